@@ -23,7 +23,7 @@ def meteo_season(date) -> Column:
 
 def local_season(date_text) -> Column:
     """Season of a yyyy-MM-dd text; anything unreadable is 'unknown'."""
-    month = F.split(_c(date_text), "-").getItem(1)
+    month = F.get(F.split(_c(date_text), "-"), F.lit(1))
     return F.coalesce(_season(month.try_cast("int"), K.LOCAL_SEASONS), F.lit("unknown"))
 
 
