@@ -9,7 +9,7 @@ from thermogrid.catalog.registry import query
 from thermogrid.functions import round_even
 from thermogrid.operators.keyed import global_row
 from thermogrid.operators.raster import aspect_direction
-from thermogrid.operators.stats import quantile_columns, unpivot_columns
+from thermogrid.operators.stats import attach_quantiles, quantile_columns, unpivot_columns
 from thermogrid.plans import feature_table as T, scenario as SC
 
 
@@ -112,8 +112,8 @@ def _(d):
       CASE WHEN lst_c IS NULL THEN 0 ELSE 1 + (lst_c >= 20)::INT + (lst_c >= 25)::INT + (lst_c >= 30)::INT + (lst_c >= 35)::INT + (lst_c >= 40)::INT END AS fixed_class
     FROM lst_pixels, b""")
 def _(d):
-    breaks = quantile_columns(d.lst_pixels, "lst_c", K.HEAT_QUANTILES)
-    return d.lst_pixels.select("row_id", "col_id", fn.classify_breaks("lst_c", breaks).alias("heat_class"), fn.heat_class_fixed("lst_c").alias("fixed_class"))
+    breaks = [F.col("_q")[i] for i in range(5)]
+    return attach_quantiles(d.lst_pixels, "_q", d.lst_pixels, "lst_c", K.HEAT_QUANTILES).select("row_id", "col_id", fn.classify_breaks("lst_c", breaks).alias("heat_class"), fn.heat_class_fixed("lst_c").alias("fixed_class"))
 
 
 @query("heat_label_P15", """

@@ -62,13 +62,12 @@ def safe_divide(numerator, denominator, fill: float | None = None) -> Column:
 
 def clip(value, low: float | None = None, high: float | None = None) -> Column:
     """Clamp to [low, high]; null stays null (greatest and least would skip it)."""
-    v = _c(value)
-    out = v
+    v = out = _c(value)
     if low is not None:
-        out = F.when(out < F.lit(float(low)), F.lit(float(low))).otherwise(out)
+        out = F.greatest(out, F.lit(float(low)))
     if high is not None:
-        out = F.when(out > F.lit(float(high)), F.lit(float(high))).otherwise(out)
-    return out
+        out = F.least(out, F.lit(float(high)))
+    return out if out is v else F.when(v.isNotNull(), out)
 
 
 def clip01(value) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 __all__ = [
     "keep_first", "latest_per_key", "top_n", "union_all", "first_by_priority", "insert_ignore",
-    "not_yet_stored", "global_row", "drop_duplicate_rows",
+    "not_yet_stored", "global_row", "attach_row", "drop_duplicate_rows",
 ]
 
 
@@ -63,3 +63,11 @@ def not_yet_stored(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def global_row(stats: DataFrame) -> Column:
     """A one-row table as a struct column: a scalar subquery, computed once, no join."""
     return stats.select(F.struct(*stats.columns)).scalar()
+
+
+def attach_row(df: DataFrame, name: str, stats: DataFrame) -> DataFrame:
+    """Put a one-row table on every row as the struct column `name`.
+
+    Expressions that need a figure many times should read it from here: the subquery then stands in the plan once.
+    """
+    return df.withColumn(name, global_row(stats))

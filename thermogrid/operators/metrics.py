@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from thermogrid.operators.keyed import global_row
-from thermogrid.operators.stats import quantile_columns
+from thermogrid.operators.stats import attach_quantiles
 
 __all__ = ["regression_metrics", "fold_summary", "tercile_classes", "confusion_table", "agreement"]
 
@@ -36,7 +35,8 @@ def fold_summary(metrics: DataFrame, columns: Sequence[str] = ("rmse", "mae", "r
 
 def tercile_classes(df: DataFrame, target: str, predicted: str) -> DataFrame:
     """Actual and predicted class by the terciles of the target; predictions outside its range get null."""
-    e0, e1, e2, e3 = quantile_columns(df, target, [0.0, 1 / 3, 2 / 3, 1.0])
+    df = attach_quantiles(df, "_e", df, target, [0.0, 1 / 3, 2 / 3, 1.0])
+    e0, e1, e2, e3 = (F.col("_e")[i] for i in range(4))
 
     def cls(column: str):
         v = F.col(column)
@@ -45,7 +45,7 @@ def tercile_classes(df: DataFrame, target: str, predicted: str) -> DataFrame:
             .when(v <= e1, F.lit("Low")).when(v <= e2, F.lit("Medium")).when(v <= e3, F.lit("High"))
         )
 
-    return df.withColumns({"actual_class": cls(target), "predicted_class": cls(predicted)})
+    return df.withColumns({"actual_class": cls(target), "predicted_class": cls(predicted)}).drop("_e")
 
 
 def confusion_table(classes: DataFrame) -> DataFrame:

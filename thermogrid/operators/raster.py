@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thermogrid import constants as K
-from thermogrid.operators.keyed import keep_first, union_all
+from thermogrid.operators.keyed import attach_row, keep_first, union_all
 from thermogrid.operators.stats import quantile_columns
 
 __all__ = [
@@ -151,19 +151,20 @@ def fill_nodata(pixels: DataFrame, value: str, rounds: int = 2, by: Sequence[str
 def pad_edges(pixels: DataFrame, columns: Sequence[str], shape_of: DataFrame | None = None) -> DataFrame:
     """Border pixels take the value of the nearest interior pixel."""
     extent = (shape_of if shape_of is not None else pixels).agg(
-        F.struct(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).alias("x")
-    ).scalar()
+        F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    keep, x = pixels.columns, F.col("_x")
 
     def clamp(name: str, low: Column, high: Column) -> Column:
         return F.greatest(low + 1, F.least(high - 1, F.col(name)))
 
-    on_edge = (F.col("row") == extent["r0"]) | (F.col("row") == extent["r1"]) | (F.col("col") == extent["c0"]) | (F.col("col") == extent["c1"])
-    inner = pixels.where(~on_edge)
-    border = pixels.where(on_edge).drop(*columns).withColumns({
-        "_r": clamp("row", extent["r0"], extent["r1"]), "_c": clamp("col", extent["c0"], extent["c1"]),
+    on_edge = (F.col("row") == x["r0"]) | (F.col("row") == x["r1"]) | (F.col("col") == x["c0"]) | (F.col("col") == x["c1"])
+    marked = attach_row(pixels, "_x", extent)
+    inner = marked.where(~on_edge)
+    border = marked.where(on_edge).drop(*columns).withColumns({
+        "_r": clamp("row", x["r0"], x["r1"]), "_c": clamp("col", x["c0"], x["c1"]),
     })
     source = inner.select(F.col("row").alias("_r"), F.col("col").alias("_c"), *columns)
-    return inner.unionByName(border.join(source, ["_r", "_c"], "left").select(*pixels.columns))
+    return inner.select(*keep).unionByName(border.join(source, ["_r", "_c"], "left").select(*keep))
 
 
 def aspect_direction(aspect) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from thermogrid.operators.keyed import global_row
+from thermogrid.operators.keyed import attach_row
 
 __all__ = [
-    "unpivot_columns", "exact_quantiles", "quantile_columns", "describe_columns", "feature_statistics",
+    "unpivot_columns", "exact_quantiles", "quantile_columns", "attach_quantiles", "describe_columns", "feature_statistics",
     "missing_report", "drop_sparse_columns", "median_fill_values", "mode_fill_values", "correlation_matrix",
     "correlation_with_target", "constant_columns", "duplicate_columns", "column_roles", "histogram",
     "degree_distribution", "share_of_total", "count_by", "class_area_table", "scaled_columns",
@@ -86,6 +86,11 @@ def quantile_columns(df: DataFrame, column: str, probs: Sequence[float]) -> list
     return [q.getItem(i) for i in range(len(probs))]
 
 
+def attach_quantiles(df: DataFrame, name: str, source: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """Put whole-table quantiles of `source` on every row of `df`, as the array column `name`."""
+    return df.withColumn(name, exact_quantiles(source, [column], probs).select("q").scalar())
+
+
 def describe_columns(df: DataFrame, columns: Sequence[str], aggregates: dict[str, object], by: Sequence[str] = ()) -> DataFrame:
     """One pass of wide aggregates, then one row per column. `aggregates`: name -> function of a column."""
     wide = df.groupBy(*by).agg(*[fn(F.col(c)).alias(f"{c}@{a}") for c in columns for a, fn in aggregates.items()])
@@ -193,11 +198,11 @@ def column_roles(df: DataFrame, target: str, id_names: Sequence[str], max_catego
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins over the range, last bin closed, nulls dropped first, empty bins kept."""
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    span = global_row(values.agg(F.min("v").alias("low"), F.max("v").alias("high")))
-    low, width = span["low"], (span["high"] - span["low"]) / F.lit(float(bins))
+    span = values.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    low, width = F.col("_s")["low"], (F.col("_s")["high"] - F.col("_s")["low"]) / F.lit(float(bins))
     index = F.when(width > 0, F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))).otherwise(F.lit(bins // 2))
-    counts = values.groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = attach_row(values, "_s", span).groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spine = attach_row(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")), "_s", span)
     middle = low + (F.col("bin") + F.lit(0.5)) * width
     return (
         spine.join(F.broadcast(counts), "bin", "left")
@@ -208,11 +213,11 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def degree_distribution(df: DataFrame, column: str, step: float = 5.0) -> DataFrame:
     """Percentage of rows per fixed-width step; the top edge belongs to the last step."""
     values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    top = global_row(values.agg(F.max("v").alias("high"), F.min("v").alias("low")))
-    s = F.lit(step)
-    last = F.when(F.ceil(top["high"] / s) == F.floor(top["low"] / s), F.floor(top["low"] / s)).otherwise(F.ceil(top["high"] / s) - 1)
+    span = values.agg(F.max("v").alias("high"), F.min("v").alias("low"))
+    s, high, low = F.lit(step), F.col("_s")["high"], F.col("_s")["low"]
+    last = F.greatest(F.ceil(high / s) - 1, F.floor(low / s))
     start = F.least(F.floor(F.col("v") / s), last) * s
-    counts = values.groupBy(start.cast("double").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    counts = attach_row(values, "_s", span).groupBy(start.cast("double").alias("start")).agg(F.count(F.lit(1)).alias("n"))
     return share_of_total(counts, "n", "percent")
 
 
@@ -251,5 +256,5 @@ def scaled_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     from thermogrid.functions import z_score
 
     wide = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))])
-    row = global_row(wide)
-    return df.withColumns({c: z_score(c, row[f"{c}_m"], row[f"{c}_s"]) for c in columns})
+    row = F.col("_s")
+    return attach_row(df, "_s", wide).withColumns({c: z_score(c, row[f"{c}_m"], row[f"{c}_s"]) for c in columns}).drop("_s")

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from thermogrid import constants as K, functions as fn
-from thermogrid.operators.keyed import drop_duplicate_rows, global_row
+from thermogrid.operators.keyed import attach_row, drop_duplicate_rows
 from thermogrid.operators.stats import (
-    describe_columns, drop_sparse_columns, median_fill_values, mode_fill_values, quantile_columns, unpivot_columns,
+    attach_quantiles, describe_columns, drop_sparse_columns, median_fill_values, mode_fill_values, unpivot_columns,
 )
 
 
@@ -32,19 +32,19 @@ def assemble(cells: DataFrame, frames: Sequence[DataFrame], weather: DataFrame)
         out = out.join(f, "grid_id", "left")
     if "green_space_pct" in out.columns:
         out = out.withColumn("green_space_pct", fn.clip("green_space_pct", 0.0, 100.0))
-    row = global_row(weather)
-    return out.withColumns({c: row[c] for c in weather.columns})
+    return attach_row(out, "_w", weather).withColumns({c: F.col("_w")[c] for c in weather.columns}).drop("_w")
 
 
 def derived_indices(cells: DataFrame) -> DataFrame:
     """The seven indices and the target. City-wide ranges and percentiles are scalars computed once."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    bounds = global_row(cells.agg(*[
+    ranges = cells.agg(*[
         a for c in ("road_density", "mean_slope", "building_density")
         for a in (F.min(zero(c)).alias(f"{c}_lo"), F.max(zero(c)).alias(f"{c}_hi"))
-    ]))
-    p2, p98 = quantile_columns(cells, "mean_ndvi", K.NDVI_SCALE_QUANTILES)
-    first = cells.withColumns({
+    ])
+    marked = attach_quantiles(attach_row(cells, "_b", ranges), "_q", cells, "mean_ndvi", K.NDVI_SCALE_QUANTILES)
+    bounds, p2, p98 = F.col("_b"), F.col("_q")[0], F.col("_q")[1]
+    first = marked.withColumns({
         "impervious_surface_ratio": fn.impervious_surface_ratio("lc_builtup_pct", "lc_bare_pct"),
         "green_to_built_ratio": fn.green_to_built_ratio("lc_vegetation_pct", "lc_builtup_pct"),
         "cooling_distance_index": fn.cooling_distance_index("dist_to_park", "dist_to_water", "green_space_pct"),
@@ -57,7 +57,7 @@ def derived_indices(cells: DataFrame) -> DataFrame:
             "impervious_surface_ratio", "green_space_pct", "building_density", "road_exposure_index", "mean_ndvi",
             bounds["building_density_lo"], bounds["building_density_hi"], p2, p98),
         "target_lst": F.col("mean_lst"),
-    })
+    }).drop("_b", "_q")
 
 
 def clean_dataset(df: DataFrame, id_column: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -131,8 +131,8 @@ def apply_preprocessor(df: DataFrame, fitted: Preprocessor) -> DataFrame:
 
 def override_columns(cells: DataFrame, live: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace columns on every cell by the values of a one-row table; an absent live value keeps the stored one."""
-    row = global_row(live.select(*columns))
-    return cells.withColumns({c: F.coalesce(row[c], F.col(c)) for c in columns})
+    row = F.col("_live")
+    return attach_row(cells, "_live", live.select(*columns)).withColumns({c: F.coalesce(row[c], F.col(c)) for c in columns}).drop("_live")
 
 
 def feature_provenance(cells: DataFrame, features: Sequence[str]) -> DataFrame:
