@@ -13,7 +13,7 @@ __all__ = [
     "haversine_m", "planar_distance", "segment_distance", "ring_area", "polygon_area_m2", "polyline_length_m",
     "vertex_centroid", "area_centroid", "flatten_positions", "point_in_ring", "metres_per_degree", "utm_epsg",
     "mercator_tile_x", "mercator_tile_y", "degree_tile_key", "degree_tile_name", "utm_forward", "utm_inverse",
-    "clip_half_plane", "clipped_length", "edge_cost",
+    "clip_to_box", "clipped_length", "edge_cost",
 ]
 
 
@@ -40,6 +40,11 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
     return planar_distance(px, py, x1 + t * dx, y1 + t * dy)
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _pairs(coords: Column) -> Column:
     """Consecutive position pairs of an open chain."""
     heads = F.slice(coords, F.lit(1), F.greatest(F.size(coords) - 1, F.lit(0)))
@@ -48,7 +53,7 @@ def _pairs(coords: Column) -> Column:
 
 
 def _sum_pairs(coords: Column, term) -> Column:
-    return F.aggregate(_pairs(coords), F.lit(0.0), lambda acc, p: acc + term(p["a"], p["b"]))
+    return _let(coords, lambda c: F.aggregate(_pairs(c), F.lit(0.0), lambda acc, p: acc + term(p["a"], p["b"])))
 
 
 def ring_area(coords) -> Column:
@@ -127,7 +132,7 @@ def point_in_ring(px, py, coords) -> Column:
         at = (b["x"] - a["x"]) * (py - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"]
         return F.when(spans & (px < at), F.lit(1)).otherwise(F.lit(0))
 
-    crossings = F.aggregate(_pairs(closed), F.lit(0), lambda acc, p: acc + crossing(p["a"], p["b"]))
+    crossings = _let(closed, lambda ring: F.aggregate(_pairs(ring), F.lit(0), lambda acc, p: acc + crossing(p["a"], p["b"])))
     return crossings % 2 == 1
 
 
@@ -227,31 +232,41 @@ def utm_inverse(x, y, zone: int = K.UTM_ZONE_45N) -> Column:
     return F.struct(F.degrees(lam).alias("x"), F.degrees(phi).alias("y"))
 
 
-def clip_half_plane(coords, axis: str, bound, keep_above: bool) -> Column:
-    """Clip a ring by one axis-parallel line (Sutherland-Hodgman, one step)."""
-    c, limit = _c(coords), _c(bound)
-    other = "y" if axis == "x" else "x"
-    edges = _pairs(F.concat(c, F.slice(c, 1, 1)))
+_RING = "array<struct<x: double, y: double>>"
+
+
+def clip_to_box(coords, left, bottom, right, top) -> Column:
+    """A ring cut to a rectangle: one fold over the four sides (Sutherland-Hodgman)."""
+
+    def side(vertical: bool, bound, above: bool) -> Column:
+        return F.struct(F.lit(vertical).alias("vertical"), _c(bound).cast("double").alias("at"), F.lit(above).alias("above"))
+
+    sides = F.array(side(True, left, True), side(True, right, False), side(False, bottom, True), side(False, top, False))
+
+    def cut_by(ring: Column, s: Column) -> Column:
+        def along(p):
+            return F.when(s["vertical"], p["x"]).otherwise(p["y"])
+
+        def inside(p):
+            return F.when(s["above"], along(p) >= s["at"]).otherwise(along(p) <= s["at"])
 
-    def inside(p):
-        return p[axis] >= limit if keep_above else p[axis] <= limit
+        def meet(a, b):
+            t = (s["at"] - along(a)) / F.when(along(b) != along(a), along(b) - along(a))
+            x, y = a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"])
+            return F.struct(F.when(s["vertical"], s["at"]).otherwise(x).alias("x"), F.when(s["vertical"], y).otherwise(s["at"]).alias("y"))
 
-    def cut(a, b):
-        t = (limit - a[axis]) / F.when(b[axis] != a[axis], b[axis] - a[axis])
-        along = a[other] + t * (b[other] - a[other])
-        parts = {axis: limit.cast("double"), other: along}
-        return F.struct(parts["x"].alias("x"), parts["y"].alias("y"))
+        def step(e):
+            a, b = e["a"], e["b"]
+            return (
+                F.when(inside(a) & inside(b), F.array(b))
+                .when(inside(a), F.array(meet(a, b)))
+                .when(inside(b), F.array(meet(a, b), b))
+                .otherwise(F.array().cast(_RING))
+            )
 
-    def step(e):
-        a, b = e["a"], e["b"]
-        return (
-            F.when(inside(a) & inside(b), F.array(b))
-            .when(inside(a), F.array(cut(a, b)))
-            .when(inside(b), F.array(cut(a, b), b))
-            .otherwise(F.slice(F.array(b), 1, 0))
-        )
+        return _let(F.concat(ring, F.slice(ring, 1, 1)), lambda closed: F.flatten(F.transform(_pairs(closed), step)).cast(_RING))
 
-    return F.flatten(F.transform(edges, step))
+    return F.aggregate(sides, _c(coords).cast(_RING), cut_by)
 
 
 def clipped_length(x1, y1, x2, y2, left, bottom, right, top) -> Column:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermogrid import constants as K
-from thermogrid.functions import area_centroid, clip_half_plane, ring_area
+from thermogrid.functions import area_centroid, clip_to_box, ring_area
 
-__all__ = ["lattice", "clip_to_boxes", "polygon_pieces", "polygon_overlap_per_cell", "generate_grid"]
+__all__ = ["lattice", "polygon_pieces", "polygon_overlap_per_cell", "generate_grid"]
 
 
 def lattice(bounds: DataFrame, size: float = K.CELL_SIZE_M, tasks: int | None = None) -> DataFrame:
@@ -30,14 +30,6 @@ def lattice(bounds: DataFrame, size: float = K.CELL_SIZE_M, tasks: int | None =
     )
 
 
-def clip_to_boxes(df: DataFrame, ring: str, left, bottom, right, top, out: str = "clipped") -> DataFrame:
-    """Clip each row's ring to the row's box, one half plane after the other."""
-    work = df.withColumn(out, clip_half_plane(ring, "x", left, True))
-    work = work.withColumn(out, clip_half_plane(out, "x", right, False))
-    work = work.withColumn(out, clip_half_plane(out, "y", bottom, True))
-    return work.withColumn(out, clip_half_plane(out, "y", top, False))
-
-
 def _edge(ring: str, fn, axis: str) -> Column:
     return fn(F.transform(ring, lambda p: p[axis]))
 
@@ -57,10 +49,11 @@ def polygon_pieces(polygons: DataFrame, size: float = K.CELL_SIZE_M, by: Sequenc
             "_x1": _edge("ring", F.array_max, "x"), "_y1": _edge("ring", F.array_max, "y"),
         })
         spread = touched_cells(boxed, "_x0", "_y0", "_x1", "_y1", step)
-        done = clip_to_boxes(spread, "ring", F.col("ix") * s, F.col("iy") * s, (F.col("ix") + 1) * s, (F.col("iy") + 1) * s, "piece")
-        return done.where(F.size("piece") >= 3).select(*by, "ix", "iy", "piece")
+        piece = clip_to_box("ring", F.col("ix") * s, F.col("iy") * s, (F.col("ix") + 1) * s, (F.col("iy") + 1) * s)
+        return spread.select(*by, "ix", "iy", piece.alias("piece"))
 
-    blocks = cut(polygons.select(*by, "ring"), size * block).repartition("ix", "iy")
+    # The exchange between the two cuts also keeps the optimizer from evaluating the first one again.
+    blocks = cut(polygons.select(*by, "ring"), size * block).repartition("ix", "iy").where(F.size("piece") >= 3)
     return cut(blocks.select(*by, F.col("piece").alias("ring")), size)
 
 
