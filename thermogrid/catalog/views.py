@@ -76,9 +76,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT event_type AS site, CAST(extract(day FROM ts) AS INT) - 1 AS day_no, value FROM events) e
         GROUP BY site, day_no"""),
     "weather_long": (["orders"], """
-        SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice) / 10000.0e0, 4) AS t2m,
-          round(least(max(o_totalprice) / 5500.0e0, 100.0e0), 4) AS rh2m,
-          CASE WHEN count(*) % 7 = 0 THEN NULL ELSE round(min(o_totalprice) / 50000.0e0, 4) END AS ws2m
+        SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 10007.0e0 AS t2m,
+          least(max(o_totalprice) / 5507.0e0, 100.0e0) AS rh2m,
+          CASE WHEN count(*) % 7 = 0 THEN NULL ELSE min(o_totalprice) / 50021.0e0 END AS ws2m
         FROM orders GROUP BY CAST(o_orderdate AS DATE)"""),
     "stations": (["supplier"], """
         SELECT k AS station_id, 20.1e0 + (k * 13 % 300) / 1000.0e0 AS lat, 85.7e0 + (k * 29 % 250) / 1000.0e0 AS lon,
