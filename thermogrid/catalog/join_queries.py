@@ -9,8 +9,7 @@ from thermogrid.catalog.function_queries import hav, lonlat_ring, RING_AREA_SQL
 from thermogrid.catalog.registry import query
 from thermogrid.functions import round_even
 from thermogrid.operators import grid as G, raster as RS, series as SR, spatial as S
-from thermogrid.operators.keyed import attach_row
-from thermogrid.plans import city as C, feature_table as FT, scenario as SC, temporal as TP
+from thermogrid.plans import city as C, feature_table as FT, temporal as TP
 
 
 def r6(*names):
@@ -338,10 +337,7 @@ def _(d):
       FROM cells a JOIN (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) AS v(dx, dy) ON true JOIN cells b ON b.ix = a.ix + v.dx AND b.iy = a.iy + v.dy)
     SELECT src, count(*) AS edges, R3(sum(m)) AS metres, R3(sum(m * (1 + 0.28e0 * least(3.0e0, greatest(0.0e0, (lst - p60) / sd))))) AS cost FROM e, s GROUP BY src""")
 def _(d):
-    marked = attach_row(d.cells, "_s", C.heat_stats(d.cells, "mean_lst"))
-    stats = C.heat_stats(d.cells, "mean_lst")
-    row = stats.select(F.struct("p60", "std")).scalar()
-    edges = S.lattice_edges(d.cells, "mean_lst", row["p60"], row["std"], 0.28)
+    edges = S.lattice_edges(d.cells, "mean_lst", C.heat_stats(d.cells, "mean_lst"), 0.28)
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("edges"), round_even(F.sum("distance_m"), 3).alias("metres"), round_even(F.sum("cost"), 3).alias("cost"))
 
 

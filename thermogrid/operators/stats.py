@@ -236,10 +236,10 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def class_area_table(df: DataFrame, class_column: str, labels: dict[int, str], pixel_area_m2: float, value: str | None = None) -> DataFrame:
     """Pixels, share, hectares and square kilometres per class; classes without pixels stay in the table."""
-    valid = df.where(F.col(class_column) > 0)
     extra = [F.min(value).alias("value_min"), F.max(value).alias("value_max")] if value else []
-    counts = valid.groupBy(F.col(class_column).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"), *extra)
-    total = valid.agg(F.count(F.lit(1)).alias("t")).scalar()
+    # Class 0 is counted too and falls away in the join with the labels.
+    counts = df.groupBy(F.col(class_column).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"), *extra)
+    total = df.agg(F.count_if(F.col(class_column) > 0).alias("t")).scalar()
     names = df.sparkSession.createDataFrame([(int(k), v) for k, v in labels.items()], "class int, label string")
     n = F.coalesce(F.col("n"), F.lit(0))
     return names.join(F.broadcast(counts), "class", "left").select(

@@ -12,3 +12,41 @@ def split_leakage(cells: DataFrame, id_column: str = "grid_id", test: str = "is_
     close = tested.join(train, id_column, "left_semi").agg(F.count(F.lit(1)).alias("adjacent"))
     return tested.agg(F.count(F.lit(1)).alias("test_cells")).withColumn("adjacent", close.scalar()).withColumn(
         "adjacent_pct", F.col("adjacent") / F.col("test_cells") * F.lit(100.0))
+
+
+def hash_split(df: DataFrame, id_column: str, test_share: float = 0.2, seed: int = 42, name: str = "is_test") -> DataFrame:
+    """Random but reproducible split: a row's side depends on its id only, not on partitioning."""
+    return df.withColumn(name, F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(1_000_000)) < int(test_share * 1_000_000))
+
+
+def hash_folds(df: DataFrame, id_column: str, folds: int, seed: int = 43) -> DataFrame:
+    return df.withColumn("fold", F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(folds)).cast("int"))
+
+
+def fixed_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
+    """Exactly n rows (or all), the same ones every time."""
+    return df.orderBy(F.xxhash64(id_column, F.lit(seed)), id_column).limit(n)
+
+
+def early_stopping_slice(df: DataFrame, id_column: str, share: float = 0.10, minimum: int = 500, seed: int = 44) -> DataFrame:
+    """Mark max(minimum, share) rows for early stopping. The cut is a hash rank found with a sketch-free count:
+    the smallest threshold below which enough rows fall, read from a histogram of 4096 hash buckets."""
+    bucket = F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(4096)).cast("int")
+    marked = df.withColumn("_b", bucket)
+    from pyspark.sql import Window as W
+
+    counts = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.orderBy("_b"))  # at most 4096 rows
+    total = F.sum("c").over(W.partitionBy())
+    wanted = F.greatest(F.lit(minimum), (total * F.lit(share)).cast("long"))
+    cut = counts.select("_b", upto.alias("u"), wanted.alias("w")).agg(
+        F.coalesce(F.min(F.when(F.col("u") >= F.col("w"), F.col("_b"))), F.lit(4096)).alias("cut"))
+    return marked.withColumn("validation", F.col("_b") <= cut.scalar()).drop("_b")
+
+
+def rank_models(metrics: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """1..n by RMSE; the table has one row per model."""
+    from pyspark.sql import Window as W
+
+    w = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("rmse", name)
+    return metrics.withColumn("rank", F.row_number().over(w))
