@@ -1 +1,113 @@
-"""To come."""
+"""ST1-ST9: streams over the events table, run to completion and compared with their static twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from thermogrid.catalog.registry import query
+from thermogrid.functions import round_even
+from thermogrid.plans import scenario as SC
+from thermogrid.streaming import jobs as J, observations as O, snapshot as SN
+
+LIVE_WEIGHTS = {"green_cover": -0.05, "mean_aqi": 0.01}
+
+
+def observation_stream(d):
+    raw = J.file_stream(d.spark, d.folder, d.events.schema, "events.parquet")
+    return raw.select("event_id", F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("observed_at"), "value", "props", "user_id")
+
+
+def observed(d):
+    return d.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+
+
+def text(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query("observation_stream_ST1", """
+    SELECT event_id, source, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AND value IS NOT NULL AS complete FROM observations""")
+def _(d):
+    parsed = O.parse_observations(observation_stream(d), "props", "k bigint").select("event_id", "source", "k", "complete")
+    return J.append_and_read(parsed, "observations")
+
+
+LATEST_SQL = "SELECT source, event_id, value, observed_at FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY observed_at DESC, event_id DESC) AS rn FROM observations) q WHERE rn = 1"
+
+
+@query("latest_reading_ST2", f"WITH l AS ({LATEST_SQL}) SELECT source, event_id, R6(value) AS value FROM l")
+def _(d):
+    latest = SN.latest_readings(observation_stream(d), ["event_id", "value"], "event_id")
+    changes = J.each_batch_and_read(latest, "latest", lambda b: b, "update")
+    return J.newest_version(changes, ["source"]).select("source", "event_id", round_even("value", 6).alias("value"))
+
+
+@query("live_periods_ST3", """
+    WITH g AS (SELECT source, observed_at, CASE WHEN epoch_us(observed_at) - epoch_us(lag(observed_at) OVER (PARTITION BY source ORDER BY observed_at)) < 300000000 THEN 0 ELSE 1 END AS starts FROM observations),
+    s AS (SELECT source, observed_at, sum(starts) OVER (PARTITION BY source ORDER BY observed_at ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT source, CAST(epoch_us(min(observed_at)) AS BIGINT) AS live_from_us, CAST(epoch_us(max(observed_at)) + 300000000 AS BIGINT) AS expires_us, count(*) AS readings FROM s GROUP BY source, k""")
+def _(d):
+    p = O.live_periods(observed(d))
+    return p.select("source", F.unix_micros("live_from").alias("live_from_us"), F.unix_micros("expires_at").alias("expires_us"), "readings")
+
+
+EXPECTED = """(VALUES ('click', 'live'), ('view', 'satellite'), ('error', 'live'), ('purchase', 'live'), ('dem', 'static'), ('lidar', 'live')) e(source, kind)"""
+STATUS_SQL = f"""
+    WITH l AS ({LATEST_SQL}), now AS (SELECT max(observed_at) AS at FROM observations),
+    st AS (SELECT e.source, e.kind, CASE WHEN e.kind = 'static' THEN 'STATIC' WHEN l.observed_at IS NULL THEN 'UNAVAILABLE' WHEN e.kind = 'satellite' THEN 'LATEST_OBSERVATION'
+      WHEN epoch_us(now.at) - epoch_us(l.observed_at) <= 300000000 THEN 'LIVE' ELSE 'UNAVAILABLE' END AS status FROM {EXPECTED} CROSS JOIN now LEFT JOIN l ON l.source = e.source)
+"""
+
+
+def statuses(d):
+    rows = [("click", "live"), ("view", "satellite"), ("error", "live"), ("purchase", "live"), ("dem", "static"), ("lidar", "live")]
+    expected = d.spark.createDataFrame(rows, "source string, kind string")
+    obs = observed(d)
+    return SN.freshness(SN.latest_readings(obs, ["event_id"], "event_id"), expected, obs.agg(F.max("observed_at").alias("at")))
+
+
+@query("freshness_status_ST4", STATUS_SQL + "SELECT source, kind, status FROM st")
+def _(d):
+    return statuses(d).select("source", "kind", "status")
+
+
+@query("snapshot_history_ST5", """
+    SELECT concat('snap_', strftime(date_trunc('hour', observed_at), '%Y_%m_%d_%H%M%S'), '_000') AS snapshot_id, count(*) AS readings FROM observations GROUP BY 1 ORDER BY 1 DESC LIMIT 100""")
+def _(d):
+    snaps = d.observations.groupBy(SN.snapshot_id(F.date_trunc("hour", "observed_at")).alias("snapshot_id")).agg(F.count(F.lit(1)).alias("readings"))
+    return SN.snapshot_history(snaps)
+
+
+@query("change_feed_ST6", "SELECT DISTINCT concat('snap_', strftime(date_trunc('minute', observed_at), '%Y_%m_%d_%H%M%S'), '_000') AS snapshot_id FROM observations")
+def _(d):
+    s = observation_stream(d).select("observed_at", SN.snapshot_id(F.date_trunc("minute", "observed_at")).alias("snapshot_id"))
+    return J.append_and_read(SN.change_feed(s), "changes").select("snapshot_id")
+
+
+@query("live_grid_scoring_ST7", f"""
+    WITH l AS ({LATEST_SQL}) SELECT count(*) AS cells, R6(avg(35.0e0 - 0.05e0 * green_cover + 0.01e0 * (SELECT value FROM l WHERE source = 'view'))) AS mean_lst,
+      R6(min(35.0e0 - 0.05e0 * green_cover + 0.01e0 * (SELECT value FROM l WHERE source = 'view'))) AS min_lst, R6(max(35.0e0 - 0.05e0 * green_cover + 0.01e0 * (SELECT value FROM l WHERE source = 'view'))) AS max_lst FROM cells""")
+def _(d):
+    cells = d.cells.select("grid_id", "green_cover", "mean_aqi")
+    latest = SN.latest_readings(observation_stream(d).where("source = 'view'"), ["value"], "event_id")
+    scorer = SC.linear_scorer(LIVE_WEIGHTS)
+    score = lambda b: SN.score_live(cells, b.select(F.col("value").alias("mean_aqi")).limit(1), ["mean_aqi"], scorer)
+    runs = J.each_batch_and_read(latest, "scores", score, "update")
+    newest = J.newest_version(runs.withColumn("_k", F.lit(1)), ["_k"])
+    return newest.select("cells", *[round_even(c, 6).alias(c) for c in ("mean_lst", "min_lst", "max_lst")])
+
+
+@query("feed_status_ST8", STATUS_SQL + """
+    SELECT string_agg(CASE WHEN status = 'UNAVAILABLE' THEN source END, ',' ORDER BY source) AS missing_sources, bool_or(kind = 'satellite' AND status = 'UNAVAILABLE') AS fallback_used,
+      CASE WHEN count(*) FILTER (status = 'UNAVAILABLE') = 0 THEN 'available' ELSE 'partial' END AS state FROM st""")
+def _(d):
+    predicted = SC.linear_scorer()(d.cells).agg(F.avg("predicted_lst").alias("prediction"))
+    out = SN.feed_status(statuses(d), predicted)
+    return out.select(F.array_join("missing_sources", ",").alias("missing_sources"), "fallback_used", "state")
+
+
+@query("daily_rollup_ST9", "SELECT CAST(observed_at AS DATE) AS date, user_id, source, R6(avg(value)) AS mean_value, count(value) AS n FROM observations GROUP BY 1, 2, 3")
+def _(d):
+    roll = O.daily_rollup(observation_stream(d), "user_id", "source", late="60 days")
+    changes = J.each_batch_and_read(roll, "rollup", lambda b: b, "update")
+    return J.newest_version(changes, ["date", "user_id", "source"]).select("date", "user_id", "source", round_even("mean_value", 6).alias("mean_value"), "n")
