@@ -1 +1,62 @@
-"""To come."""
+"""M1-M6: model work on Spark ML. Results depend on the library's generator, so these have no SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from thermogrid.catalog.registry import query
+from thermogrid.functions import round_even
+from thermogrid.plans import models as MD
+
+FEATURES = ["green_cover", "mean_ndvi", "impervious_ratio", "building_coverage_pct", "tree_count", "dist_to_park", "hvi"]
+
+
+def learnable(d):
+    """Cells with a target that follows the features plus a small disturbance."""
+    c = d.cells.withColumn("mean_ndvi", F.coalesce("mean_ndvi", F.lit(0.3)))
+    y = 35.0 - 0.05 * F.col("green_cover") - 2.0 * F.col("mean_ndvi") + 4.0 * F.col("impervious_ratio") + (F.col("grid_id") * 17 % 100) / 200.0
+    return c.select("grid_id", *FEATURES, y.alias("target_lst"))
+
+
+def rounded(df, *keep):
+    return df.select(*keep, *[round_even(c, 4).alias(c) for c in ("rmse", "mae", "r2", "mape")])
+
+
+@query("baseline_importance_M1")
+def _(d):
+    return MD.baseline_importance(learnable(d), FEATURES, "target_lst", trees=20, depth=6)
+
+
+@query("model_leaderboard_M2")
+def _(d):
+    split = MD.hash_split(learnable(d), "grid_id")
+    models = {"RandomForest": MD.random_forest("target_lst", 15, 6), "GradientBoosting": MD.boosted_trees("target_lst", 15, 4), "Linear": MD.linear("target_lst")}
+    return rounded(MD.leaderboard(split.where("not is_test"), split.where("is_test"), FEATURES, "target_lst", models), "rank", "model")
+
+
+@query("grid_prediction_M3")
+def _(d):
+    rows = learnable(d)
+    split = MD.hash_split(rows, "grid_id")
+    model = MD.fit(split.where("not is_test"), FEATURES, MD.linear("target_lst"))
+    return MD.predict_grid(model, rows).select("grid_id", round_even("predicted_lst", 3).alias("predicted_lst"))
+
+
+@query("cross_validation_M4")
+def _(d):
+    folded = MD.hash_folds(learnable(d), "grid_id", 5)
+    return rounded(MD.cross_validate(folded, FEATURES, "target_lst", MD.linear("target_lst"), 5), "fold")
+
+
+@query("parameter_search_M5")
+def _(d):
+    marked = MD.early_stopping_slice(learnable(d), "grid_id")
+    return rounded(MD.search_parameters(marked, FEATURES, "target_lst", {"depth": [3, 5], "step": [0.1, 0.3]}, rounds=10), "depth", "step")
+
+
+@query("temporal_model_M6")
+def _(d):
+    rows = d.cell_lst_dates.where(F.col("lst_c").isNotNull()).select("grid_id", "date", "lst_c")
+    joined = rows.join(d.cells.select("grid_id", "mean_lst", "green_cover", "impervious_ratio"), "grid_id").withColumn("month", F.month("date"))
+    _, metrics = MD.temporal_model(joined, ["mean_lst", "green_cover", "impervious_ratio", "month"], "lst_c", "date", rounds=15, depth=5)
+    return rounded(metrics, "split")

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+from itertools import product
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from thermogrid.operators.metrics import regression_metrics
+from thermogrid.operators.series import split_by_date
 
 
 def split_leakage(cells: DataFrame, id_column: str = "grid_id", test: str = "is_test") -> DataFrame:
@@ -29,12 +38,13 @@ def fixed_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataF
 
 
 def early_stopping_slice(df: DataFrame, id_column: str, share: float = 0.10, minimum: int = 500, seed: int = 44) -> DataFrame:
-    """Mark max(minimum, share) rows for early stopping. The cut is a hash rank found with a sketch-free count:
-    the smallest threshold below which enough rows fall, read from a histogram of 4096 hash buckets."""
+    """Mark at least max(minimum, share) rows for early stopping, in random but reproducible order.
+
+    The cut comes from a histogram of 4096 hash buckets, so no global sort is needed; the last bucket taken may
+    add a few rows.
+    """
     bucket = F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(4096)).cast("int")
     marked = df.withColumn("_b", bucket)
-    from pyspark.sql import Window as W
-
     counts = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(W.orderBy("_b"))  # at most 4096 rows
     total = F.sum("c").over(W.partitionBy())
@@ -46,7 +56,87 @@ def early_stopping_slice(df: DataFrame, id_column: str, share: float = 0.10, min
 
 def rank_models(metrics: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """1..n by RMSE; the table has one row per model."""
-    from pyspark.sql import Window as W
-
     w = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("rmse", name)
     return metrics.withColumn("rank", F.row_number().over(w))
+
+
+# --- Spark ML ----------------------------------------------------------------------------------------
+
+
+def _with_features(features: Sequence[str], estimator) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error"), estimator])
+
+
+def random_forest(target: str, trees: int = 300, depth: int = 12, seed: int = 42) -> RandomForestRegressor:
+    return RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed)
+
+
+def boosted_trees(target: str, rounds: int = 100, depth: int = 6, step: float = 0.1, seed: int = 42, validation: str | None = None) -> GBTRegressor:
+    gbt = GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed)
+    return gbt.setValidationIndicatorCol(validation) if validation else gbt
+
+
+def linear(target: str) -> LinearRegression:
+    return LinearRegression(labelCol=target, regParam=1e-6)
+
+
+def fit(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
+    return _with_features(features, estimator).fit(df)
+
+
+def baseline_importance(df: DataFrame, features: Sequence[str], target: str, trees: int = 300, depth: int = 12) -> DataFrame:
+    """Random-forest importance of every feature against the target, with its percentage."""
+    forest = fit(df, features, random_forest(target, trees, depth)).stages[-1]
+    scores = forest.featureImportances.toArray()  # one number per feature
+    total = float(scores.sum()) or 1.0
+    rows = [(f, float(v), float(v) / total * 100.0) for f, v in zip(features, scores)]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double, importance_pct double").orderBy(F.desc("importance"), "feature")
+
+
+def evaluate(model: PipelineModel, df: DataFrame, target: str) -> DataFrame:
+    return regression_metrics(model.transform(df), target, "prediction")
+
+
+def leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, models: dict[str, object]) -> DataFrame:
+    """Fit every model on the training rows, measure on the test rows, rank by RMSE."""
+    rows = None
+    for name, estimator in models.items():
+        scored = evaluate(fit(train, features, estimator), test, target).withColumn("model", F.lit(name))
+        rows = scored if rows is None else rows.unionByName(scored)
+    return rank_models(rows, "model")
+
+
+def predict_grid(model: PipelineModel, cells: DataFrame) -> DataFrame:
+    return model.transform(cells).select("grid_id", F.col("prediction").alias("predicted_lst"))
+
+
+def cross_validate(df: DataFrame, features: Sequence[str], target: str, estimator, folds: int = 5, fold: str = "fold") -> DataFrame:
+    """One row of metrics per fold. The loop runs over models; every fit and score is a Spark job."""
+    rows = None
+    for k in range(folds):
+        model = fit(df.where(F.col(fold) != k), features, estimator)
+        scored = evaluate(model, df.where(F.col(fold) == k), target).withColumn("fold", F.lit(k))
+        rows = scored if rows is None else rows.unionByName(scored)
+    return rows
+
+
+def search_parameters(train: DataFrame, features: Sequence[str], target: str, grid: dict[str, Sequence], validation: str = "validation", rounds: int = 100) -> DataFrame:
+    """Boosted trees over a parameter grid, each judged on the marked validation rows; best first."""
+    names = list(grid)
+    rows = None
+    for values in product(*grid.values()):
+        params = dict(zip(names, values))
+        model = fit(train, features, boosted_trees(target, rounds, validation=validation, **params))
+        scored = evaluate(model, train.where(F.col(validation)), target).withColumns({n: F.lit(v) for n, v in params.items()})
+        rows = scored if rows is None else rows.unionByName(scored)
+    return rows.orderBy("rmse", *names)
+
+
+def temporal_model(df: DataFrame, features: Sequence[str], target: str, date: str, rounds: int = 100, depth: int = 6) -> tuple[PipelineModel, DataFrame]:
+    """Train on the earliest dates, stop early on the middle ones, measure on each part."""
+    parts = split_by_date(df, date).withColumn("validation", F.col("split") == "validation").persist()
+    try:
+        fitted = fit(parts.where("split <> 'test'"), features, boosted_trees(target, rounds, depth, validation="validation"))
+        return fitted, regression_metrics(fitted.transform(parts), target, "prediction", ["split"])
+    finally:
+        parts.unpersist()
