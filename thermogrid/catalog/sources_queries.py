@@ -245,7 +245,27 @@ def _line(d):
     return s.select("segment_id", F.array(pt("x1", "y1"), pt("x2", "y1"), pt("x2", "y2")).alias("coords"))
 
 
-@query("tree_layer_S19")
+_LON, _LAT = "85.7e0 + {} / 104000.0e0", "20.1e0 + {} / 111000.0e0"
+
+
+def _leg(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return (f"(2 * 6371000.0e0 * asin(least(1.0e0, sqrt(pow(sin(radians(({lat2}) - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
+            f"* pow(sin(radians(({lon2}) - ({lon1})) / 2), 2)))))")
+
+
+_ROWS_SQL = f"""
+    WITH l AS (SELECT segment_id, {_LON.format('x1')} AS ax, {_LAT.format('y1')} AS ay, {_LON.format('x2')} AS bx, {_LAT.format('y2')} AS by_ FROM segments),
+    t AS (SELECT *, {_leg('ay', 'ax', 'ay', 'bx')} + {_leg('ay', 'bx', 'by_', 'bx')} AS metres FROM l),
+    k AS (SELECT *, CAST(greatest(2, floor(metres / 40.0e0)) AS BIGINT) AS n FROM t),
+    s AS (SELECT k.*, i.i, i.i * 1.0e0 / greatest(1, n - 1) * 2 AS at_ FROM k, LATERAL (SELECT unnest(generate_series(0, n - 1)) AS i) i)
+"""
+
+
+@query("tree_layer_S19", _ROWS_SQL + """
+    SELECT R6(lon) AS lon, R6(lat) AS lat, 'tree' AS kind FROM points UNION ALL
+    SELECT CASE WHEN at_ < 1 THEN R6(ax + (bx - ax) * at_) ELSE R6(bx + (bx - bx) * (at_ - 1)) END, CASE WHEN at_ < 1 THEN R6(ay) ELSE R6(ay + (by_ - ay) * (at_ - 1)) END, 'tree_row' FROM s UNION ALL
+    SELECT R6((85.7e0 + x0 / 104000.0e0 + 85.7e0 + x1 / 104000.0e0) / 2), R6((20.1e0 + y0 / 111000.0e0 + 20.1e0 + y1 / 111000.0e0) / 2),
+      CASE WHEN landuse = 'forest' THEN 'natural_wood' ELSE 'natural_scrub' END FROM rects WHERE landuse IN ('forest', 'orchard')""")
 def _(d):
     areas = d.rects.select(
         F.when(F.col("landuse") == "forest", F.lit("Wood")).when(F.col("landuse") == "orchard", F.lit("scrub")).otherwise(F.col("landuse")).alias("natural"),
@@ -255,7 +275,7 @@ def _(d):
     return trees.select(round_even("lon", 6).alias("lon"), round_even("lat", 6).alias("lat"), "kind")
 
 
-@query("tree_row_points_X4")
+@query("tree_row_points_X4", _ROWS_SQL + "SELECT segment_id, CAST(i AS BIGINT) AS k, R3(metres) AS length_m FROM s")
 def _(d):
     """How many points each tree row grows into, and its length."""
     rows = _line(d).withColumn("length_m", polyline_length_m("coords"))

@@ -13,7 +13,7 @@ __all__ = [
     "haversine_m", "planar_distance", "segment_distance", "ring_area", "polygon_area_m2", "polyline_length_m",
     "vertex_centroid", "area_centroid", "flatten_positions", "point_in_ring", "metres_per_degree", "utm_epsg",
     "mercator_tile_x", "mercator_tile_y", "degree_tile_key", "degree_tile_name", "utm_forward", "utm_inverse",
-    "clip_to_box", "clipped_length", "edge_cost",
+    "RING_TYPE", "clip_to_box", "clipped_length", "edge_cost",
 ]
 
 
@@ -232,7 +232,7 @@ def utm_inverse(x, y, zone: int = K.UTM_ZONE_45N) -> Column:
     return F.struct(F.degrees(lam).alias("x"), F.degrees(phi).alias("y"))
 
 
-_RING = "array<struct<x: double, y: double>>"
+RING_TYPE = "array<struct<x: double, y: double>>"
 
 
 def clip_to_box(coords, left, bottom, right, top) -> Column:
@@ -261,12 +261,12 @@ def clip_to_box(coords, left, bottom, right, top) -> Column:
                 F.when(inside(a) & inside(b), F.array(b))
                 .when(inside(a), F.array(meet(a, b)))
                 .when(inside(b), F.array(meet(a, b), b))
-                .otherwise(F.array().cast(_RING))
+                .otherwise(F.array().cast(RING_TYPE))
             )
 
-        return _let(F.concat(ring, F.slice(ring, 1, 1)), lambda closed: F.flatten(F.transform(_pairs(closed), step)).cast(_RING))
+        return _let(F.concat(ring, F.slice(ring, 1, 1)), lambda closed: F.flatten(F.transform(_pairs(closed), step)).cast(RING_TYPE))
 
-    return F.aggregate(sides, _c(coords).cast(_RING), cut_by)
+    return F.aggregate(sides, _c(coords).cast(RING_TYPE), cut_by)
 
 
 def clipped_length(x1, y1, x2, y2, left, bottom, right, top) -> Column:

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermogrid import constants as K
-from thermogrid.functions import area_centroid, clip_to_box, ring_area
+from thermogrid.functions import RING_TYPE, area_centroid, clip_to_box, ring_area
+from thermogrid.session import spread
 
 __all__ = ["lattice", "polygon_pieces", "polygon_overlap_per_cell", "generate_grid"]
 
 
-def lattice(bounds: DataFrame, size: float = K.CELL_SIZE_M, tasks: int | None = None) -> DataFrame:
+def lattice(bounds: DataFrame, size: float = K.CELL_SIZE_M) -> DataFrame:
     """Cells of the bounding box (minx, miny, maxx, maxy), numbered x-outer, y-inner from 1.
 
     Columns of the lattice come from one row and are spread over the cluster before each grows its cells.
@@ -21,8 +22,7 @@ def lattice(bounds: DataFrame, size: float = K.CELL_SIZE_M, tasks: int | None =
     nx = F.ceil((F.col("maxx") - F.col("minx")) / s).cast("long")
     ny = F.ceil((F.col("maxy") - F.col("miny")) / s).cast("long")
     columns = bounds.select("minx", "miny", ny.alias("_ny"), F.explode(F.sequence(F.lit(0).cast("long"), nx - 1)).alias("ix"))
-    spread = columns.repartition(tasks, "ix") if tasks else columns.repartition("ix")
-    cells = spread.withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ny") - 1)))
+    cells = spread(columns, "ix").withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ny") - 1)))
     return cells.select(
         (F.col("ix") * F.col("_ny") + F.col("iy") + 1).alias("grid_id"), "ix", "iy",
         (F.col("minx") + F.col("ix") * s).alias("left"), (F.col("miny") + F.col("iy") * s).alias("bottom"),
@@ -47,13 +47,16 @@ def polygon_pieces(polygons: DataFrame, size: float = K.CELL_SIZE_M, by: Sequenc
         boxed = df.withColumns({
             "_x0": _edge("ring", F.array_min, "x"), "_y0": _edge("ring", F.array_min, "y"),
             "_x1": _edge("ring", F.array_max, "x"), "_y1": _edge("ring", F.array_max, "y"),
+            "ring": F.col("ring").cast(RING_TYPE),
         })
-        spread = touched_cells(boxed, "_x0", "_y0", "_x1", "_y1", step)
-        piece = clip_to_box("ring", F.col("ix") * s, F.col("iy") * s, (F.col("ix") + 1) * s, (F.col("iy") + 1) * s)
-        return spread.select(*by, "ix", "iy", piece.alias("piece"))
+        wide = touched_cells(boxed, "_x0", "_y0", "_x1", "_y1", step)
+        left, bottom, right, top = F.col("ix") * s, F.col("iy") * s, (F.col("ix") + 1) * s, (F.col("iy") + 1) * s
+        whole = (F.col("_x0") >= left) & (F.col("_x1") <= right) & (F.col("_y0") >= bottom) & (F.col("_y1") <= top)
+        piece = F.when(whole, F.col("ring")).otherwise(clip_to_box("ring", left, bottom, right, top))  # most rings need no cut
+        return wide.select(*by, "ix", "iy", piece.alias("piece"))
 
     # The exchange between the two cuts also keeps the optimizer from evaluating the first one again.
-    blocks = cut(polygons.select(*by, "ring"), size * block).repartition("ix", "iy").where(F.size("piece") >= 3)
+    blocks = spread(cut(polygons.select(*by, "ring"), size * block), "ix", "iy").where(F.size("piece") >= 3)
     return cut(blocks.select(*by, F.col("piece").alias("ring")), size)
 
 

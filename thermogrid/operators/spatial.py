@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from thermogrid import constants as K
 from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, point_in_ring, segment_distance
 from thermogrid.operators.keyed import attach_row
+from thermogrid.session import spread
 
 __all__ = [
     "touched_cells", "count_per_cell", "rect_overlap_per_cell", "line_cells", "line_length_per_cell", "shared_vertices",
@@ -188,7 +189,7 @@ def nearest_features(
         return kept.select(query_id, "qx", "qy", "nx", "ny")
 
     top = nodes[1].select(F.collect_list(F.struct(*box)).alias("top")).scalar()  # at most 16 boxes
-    found = prune(queries.select(query_id, "qx", "qy").repartition(query_id).select("*", F.inline(top)))
+    found = prune(spread(queries.select(query_id, "qx", "qy"), query_id).select("*", F.inline(top)))
     for level in range(2, levels + 1):
         children = nodes[level].select(
             F.shiftright("nx", 2).alias("px"), F.shiftright("ny", 2).alias("py"), *[F.col(c).alias(f"c_{c}") for c in box])
@@ -252,10 +253,10 @@ def select_in_named_area(cells: DataFrame, areas: DataFrame, name: str, x: str,
     edge = lambda fn, axis: fn(F.transform("coords", lambda p: p[axis]))
     boxes = wanted.select("coords", edge(F.array_min, "x").alias("ax"), edge(F.array_min, "y").alias("ay"),
                           edge(F.array_max, "x").alias("bx"), edge(F.array_max, "y").alias("by"))
-    spread = touched_cells(boxes, "ax", "ay", "bx", "by", bucket).select("ix", "iy", "coords")
-    spread = spread.select(F.col("ix").alias("_bx"), F.col("iy").alias("_by"), "coords")
+    pieces = touched_cells(boxes, "ax", "ay", "bx", "by", bucket)
+    pieces = pieces.select(F.col("ix").alias("_bx"), F.col("iy").alias("_by"), "coords")
     keyed = cells.withColumns({"_bx": _index(F.col(x), bucket), "_by": _index(F.col(y), bucket)})
-    hits = keyed.join(spread, ["_bx", "_by"]).where(point_in_ring(x, y, "coords"))
+    hits = keyed.join(pieces, ["_bx", "_by"]).where(point_in_ring(x, y, "coords"))
     return hits.select(*cells.columns).dropDuplicates(["grid_id"])
 
 

@@ -48,3 +48,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the reliable checkpoint folder, so a lost executor cannot restart a long chain."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over the session's shuffle partitions before heavy work per row.
+
+    The number is stated, so adaptive execution does not fold a small but expensive stage into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

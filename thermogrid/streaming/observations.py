@@ -61,6 +61,16 @@ def daily_rollup(observations: DataFrame, station: str, parameter: str, late: st
 
 def live_periods(observations: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "1 hour") -> DataFrame:
     """Spans in which a source never went silent for the time-to-live; a span's end is when its reading expires."""
-    rows = observations.withWatermark("observed_at", late) if observations.isStreaming else observations
-    spans = rows.groupBy("source", F.session_window("observed_at", f"{ttl_seconds} seconds")).agg(F.count(F.lit(1)).alias("readings"), F.max("observed_at").alias("last_seen"))
+    if observations.isStreaming:
+        rows = observations.withWatermark("observed_at", late).withColumns({"first": F.col("observed_at"), "last": F.col("observed_at"), "_n": F.lit(1)})
+        gap = F.lit(f"{ttl_seconds} seconds")
+    else:
+        # A busy source is first reduced to one row per minute, so its readings never meet in one task.
+        minute = F.date_trunc("minute", "observed_at")
+        rows = observations.groupBy("source", minute.alias("_m")).agg(
+            F.min("observed_at").alias("first"), F.max("observed_at").alias("last"), F.count(F.lit(1)).alias("_n"))
+        seconds = (F.unix_micros("last") - F.unix_micros("first") + F.lit(ttl_seconds * 1_000_000)) / F.lit(1e6)
+        gap = F.make_interval(secs=seconds.cast("decimal(18,6)"))
+    spans = rows.groupBy("source", F.session_window("observed_at" if observations.isStreaming else "first", gap)).agg(
+        F.sum("_n").alias("readings"), F.max("last").alias("last_seen"))
     return spans.select("source", F.col("session_window.start").alias("live_from"), "last_seen", F.col("session_window.end").alias("expires_at"), "readings")
