@@ -213,13 +213,13 @@ def _(d):
     WITH w AS (SELECT * FROM weather_daily WHERE site = 'view'),
     e AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events UNION SELECT DISTINCT CAST(DATE '2024-01-01' + CAST(n_nationkey * 5 AS INT) - 10 AS DATE) FROM nation),
     r AS (SELECT e.date, w.date AS nearest_date, w.t2m, row_number() OVER (PARTITION BY e.date ORDER BY abs(date_diff('day', e.date, w.date)), w.date) AS rn FROM e, w)
-    SELECT date, nearest_date, t2m FROM r WHERE rn = 1""")
+    SELECT date, nearest_date, R6(t2m) AS t2m FROM r WHERE rn = 1""")
 def _(d):
     series = d.weather_daily.where("site = 'view'").select("date", "t2m")
     a = d.events.select(F.to_date("ts").alias("date"))
     b = d.nation.select(F.expr("date_add(date'2024-01-01', n_nationkey * 5 - 10)").alias("date"))
     events = a.union(b).distinct()
-    return SR.nearest_date_join(events, series, "date", "date").select("date", "nearest_date", F.col("nearest_t2m").alias("t2m"))
+    return SR.nearest_date_join(events, series, "date", "date").select("date", "nearest_date", round_even("nearest_t2m", 6).alias("t2m"))
 
 
 @query("monthly_lookup_J16", """
@@ -266,9 +266,9 @@ def _(d):
     return temporal(d).select("scene_id", "grid_id", *r6("lst_c", "green_cover", "mean_ndvi"))
 
 
-@query("weather_by_date_J21", TEMPORAL_SQL.format(cols="w.t2m, w.rh2m"))
+@query("weather_by_date_J21", TEMPORAL_SQL.format(cols="R6(w.t2m) AS t2m, R6(w.rh2m) AS rh2m"))
 def _(d):
-    return temporal(d).select("scene_id", "grid_id", *r6("lst_c"), "t2m", "rh2m")
+    return temporal(d).select("scene_id", "grid_id", *r6("lst_c", "t2m", "rh2m"))
 
 
 @query("inverse_distance_J22", """

@@ -168,11 +168,11 @@ def _(d):
 
 
 @query("short_heat_index_P21", """
-    SELECT site, date, CASE WHEN t2m < 27 OR rh2m < 40 THEN t2m ELSE floor((-8.78469475556e0 + 1.61139411e0 * t2m + 2.33854883889e0 * rh2m
+    SELECT site, date, CASE WHEN t2m < 27 OR rh2m < 40 THEN R6(t2m) ELSE floor((-8.78469475556e0 + 1.61139411e0 * t2m + 2.33854883889e0 * rh2m
       - 0.14611605e0 * t2m * rh2m - 0.012308094e0 * t2m * t2m - 0.0164248277778e0 * rh2m * rh2m + 0.002211732e0 * t2m * t2m * rh2m
       + 0.00072546e0 * t2m * rh2m * rh2m - 0.000003582e0 * t2m * t2m * rh2m * rh2m) * 10.0e0 + 0.5e0) / 10.0e0 END AS heat_index FROM weather_daily""")
 def _(d):
-    return d.weather_daily.select("site", "date", fn.heat_index_short("t2m", "rh2m").alias("heat_index"))
+    return d.weather_daily.select("site", "date", round_even(fn.heat_index_short("t2m", "rh2m"), 6).alias("heat_index"))
 
 
 @query("meteo_season_P22", """

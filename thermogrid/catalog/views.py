@@ -71,8 +71,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM orders"""),
     "weather_daily": (["events"], """
         SELECT site, CAST(DATE '2024-01-01' + day_no * CASE WHEN site = 'click' THEN 1 ELSE 3 END AS DATE) AS date,
-          round(avg(value) * 0.2e0 + 24.0e0, 4) AS t2m, round(least(max(value) * 0.6e0, 100.0e0), 4) AS rh2m,
-          CASE WHEN count(*) % 7 = 0 THEN NULL ELSE round(min(value) + 1.0e0, 4) END AS ws2m, count(*) AS n
+          avg(value) * 0.2003e0 + 24.0e0 AS t2m, least(max(value) * 0.6007e0, 100.0e0) AS rh2m,
+          CASE WHEN count(*) % 7 = 0 THEN NULL ELSE min(value) + 1.0e0 END AS ws2m, count(*) AS n
         FROM (SELECT event_type AS site, CAST(extract(day FROM ts) AS INT) - 1 AS day_no, value FROM events) e
         GROUP BY site, day_no"""),
     "weather_long": (["orders"], """
