@@ -67,7 +67,7 @@ def _(d):
 
 @query("composed_aggregates_X3", f"""
     WITH maj AS ({MAJORITY_SQL}), c AS (SELECT ix, iy, {_CIRC} AS aspect FROM pixels GROUP BY ix, iy)
-    SELECT c.ix, c.iy, maj.majority, R4(c.aspect) AS aspect FROM c LEFT JOIN maj ON maj.ix = c.ix AND maj.iy = c.iy""".replace("WITH n AS", "WITH n AS"))
+    SELECT c.ix, c.iy, maj.majority, R4(c.aspect) AS aspect FROM c LEFT JOIN maj ON maj.ix = c.ix AND maj.iy = c.iy""")
 def _(d):
     m = RS.majority_class(d.pixels, ["ix", "iy"], "class_code", [])
     c = d.pixels.groupBy("ix", "iy").agg(round_even(RS.circular_mean("angle"), 4).alias("aspect"))
@@ -225,7 +225,7 @@ def _(d):
     px = d.lst_pixels
     basic = px.groupBy("scene_key").agg(F.count("lst_c").alias("n"), F.avg("lst_c").alias("mean"), F.min("lst_c").alias("min"), F.max("lst_c").alias("max"), F.stddev_pop("lst_c").alias("std"))
     q = ST.exact_quantiles(px, ["lst_c"], [0.05, 0.5, 0.95], by=["scene_key"]).select("scene_key", "q")
-    out = basic.join(q, "scene_key").select("scene_key", "n", "mean", F.col("q")[1].alias("median"), "min", "max", "std", F.col("q")[0].alias("p5"), F.col("q")[2].alias("p95"))
+    out = basic.join(q, "scene_key", "left").select("scene_key", "n", "mean", F.col("q")[1].alias("median"), "min", "max", "std", F.col("q")[0].alias("p5"), F.col("q")[2].alias("p95"))
     return sel(out, digits=4)
 
 
@@ -485,6 +485,21 @@ def _(d):
     return g.withColumn("contiguous", F.col("n") == F.col("last_id") - F.col("first_id") + 1)
 
 
+def junction_streets(d):
+    """The street grid moved off the cell borders."""
+    return street_grid(d).select("segment_id", *[(F.col(c) + 37.0).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("road_junction_density_A5b", STREET_SQL + """,
+    e AS (SELECT x1 + 37 AS x, y1 + 37 AS y FROM st UNION ALL SELECT x2 + 37, y2 + 37 FROM st), j AS (SELECT x, y FROM e GROUP BY x, y HAVING count(*) >= 3),
+    n AS (SELECT CAST(floor(x / 100) AS BIGINT) AS ix, CAST(floor(y / 100) AS BIGINT) AS iy, count(*) AS n FROM j GROUP BY 1, 2)
+    SELECT c.grid_id, coalesce(n.n, 0) AS junctions, R4(coalesce(n.n, 0) / 0.01e0) AS junction_density FROM cells c LEFT JOIN n ON n.ix = c.ix AND n.iy = c.iy""")
+def _(d):
+    counts = S.count_per_cell(S.shared_vertices(junction_streets(d)), "x", "y")
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return d.cells.select("grid_id", "ix", "iy").join(counts, ["ix", "iy"], "left").select("grid_id", n.alias("junctions"), round_even(n / 0.01, 4).alias("junction_density"))
+
+
 @query("drop_duplicate_rows_D1", """
     SELECT l_linenumber AS a, l_returnflag AS b, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_partkey % 300 END AS c, min(l_orderkey * 10 + l_linenumber) AS id FROM lineitem GROUP BY 1, 2, 3""")
 def _(d):

@@ -9,7 +9,7 @@ from thermogrid.catalog.join_queries import CITY_BOX, EXPLAIN_FEATURES, EXPLAIN_
 from thermogrid.catalog.aggregate_queries import _IMP, contributions, sel
 from thermogrid.catalog.registry import query
 from thermogrid.catalog.scalar_queries import SIM_SQL, simulation
-from thermogrid.functions import heat_label, point_in_ring, round_even
+from thermogrid.functions import point_in_ring, round_even
 from thermogrid.operators import spatial as S
 from thermogrid.operators.keyed import top_n
 from thermogrid.plans import city as C, scenario as SC, temporal as TP

@@ -102,6 +102,16 @@ def _(d):
     return near.select(F.col("query_id").alias("grid_id"), round_even("distance", 4).alias("distance"))
 
 
+@query("nearest_major_road_J5b", """
+    WITH m AS (SELECT x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM segments WHERE trim(highway) IN ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'tertiary_link')),
+    t AS (SELECT c.grid_id, c.x, c.y, m.*, least(1.0e0, greatest(0.0e0, CASE WHEN dx * dx + dy * dy > 0 THEN ((c.x - x1) * dx + (c.y - y1) * dy) / (dx * dx + dy * dy) ELSE 0 END)) AS u FROM cells c, m)
+    SELECT grid_id, R4(sqrt(min((x - x1 - u * dx) * (x - x1 - u * dx) + (y - y1 - u * dy) * (y - y1 - u * dy)))) AS distance FROM t GROUP BY grid_id""")
+def _(d):
+    major = d.segments.where(fn.is_major_road("highway")).select(F.col("segment_id").alias("feature_id"), "x1", "y1", "x2", "y2")
+    near = S.nearest_features(cell_queries(d), major)
+    return near.select(F.col("query_id").alias("grid_id"), round_even("distance", 4).alias("distance"))
+
+
 _GROUPS = ["Residential", "Commercial", "Industrial", "Institutional", "Agriculture", "Green", "Railway", "Other"]
 _CLASS = """CASE trim(landuse) WHEN 'residential' THEN 'Residential' WHEN 'retail' THEN 'Commercial' WHEN 'quarry' THEN 'Industrial' WHEN 'religious' THEN 'Institutional'
       WHEN 'orchard' THEN 'Agriculture' WHEN 'forest' THEN 'Green' WHEN 'grass' THEN 'Green' WHEN 'railway' THEN 'Railway' ELSE 'Other' END"""

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermogrid.catalog.views import Data, TABLES, VIEWS, view_sql
+from thermogrid.catalog.views import Data, VIEWS, view_sql
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from thermogrid import constants as K, functions as fn
 from thermogrid.catalog.registry import query
 from thermogrid.functions import round_even
-from thermogrid.operators.keyed import global_row
 from thermogrid.operators.raster import aspect_direction
 from thermogrid.operators.stats import attach_quantiles, quantile_columns, unpivot_columns
 from thermogrid.plans import feature_table as T, scenario as SC

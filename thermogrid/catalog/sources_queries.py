@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thermogrid import constants as K
 from thermogrid.catalog.registry import query
 from thermogrid.functions import polyline_length_m, round_even
 from thermogrid.operators.keyed import insert_ignore, not_yet_stored

@@ -46,9 +46,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT o_orderkey AS k, o_orderkey % 120 AS ix, CAST(floor(o_orderkey / 120.0e0) AS BIGINT) AS iy FROM orders) o"""),
     "pixels": (["lineitem"], """
         SELECT l_orderkey AS row_id, CAST(l_linenumber AS BIGINT) AS col_id, l_partkey % 120 AS ix, l_suppkey % 120 AS iy,
-          l_orderkey % 23 AS scene_key,
+          l_suppkey AS scene_key,
           CASE WHEN l_partkey % 53 = 0 THEN 0 ELSE 38000 + l_partkey * 97 % 15000 END AS dn,
-          l_suppkey * 7 % 64 AS qa,
+          (l_suppkey * 7 + l_partkey) % 64 AS qa,
           CASE WHEN l_partkey % 31 = 0 THEN -1.0e0 ELSE (l_partkey * 13 % 3600) / 10.0e0 END AS angle,
           CASE WHEN l_partkey % 59 = 0 THEN 0 ELSE 200 + l_partkey * 11 % 6000 END AS red_dn,
           CASE WHEN l_partkey % 59 = 0 THEN 0 ELSE 300 + l_suppkey * 37 % 6000 END AS nir_dn,
@@ -111,21 +111,21 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             WHEN 13 THEN 'track' WHEN 14 THEN 'unclassified' WHEN 15 THEN 'construction' WHEN 16 THEN NULL ELSE 'tertiary' END AS highway
         FROM (SELECT p_partkey, p_size, (p_partkey * 7919 % 11900) * 1.0e0 + 0.37e0 AS x1,
                      (p_partkey * 104729 % 12500) * 1.0e0 + 0.61e0 AS y1 FROM part) p"""),
-    "scenes": (["nation"], """
+    "scenes": (["supplier"], """
         SELECT CAST(k AS BIGINT) AS scene_key, concat('LC09_', CAST(k AS VARCHAR(10))) AS scene_id,
-          CAST(DATE '2024-01-01' + CAST(k * 16 AS INT) AS DATE) AS date,
+          CAST(DATE '2024-01-01' + CAST(k * 16 % 3650 AS INT) AS DATE) AS date,
           (k * 7 % 40) * 1.0e0 AS cloud_cover,
           85.6e0 + (k % 4) * 0.06e0 AS xmin, 20.0e0 + (k % 3) * 0.06e0 AS ymin, 86.0e0 + (k % 5) * 0.01e0 AS xmax, 20.6e0 AS ymax,
-          CASE WHEN k % 6 = 0 THEN NULL ELSE 0.0034e0 + k * 0.00001e0 END AS scale_mul,
-          CASE WHEN k % 6 = 0 THEN NULL ELSE 149.0e0 + k * 0.01e0 END AS scale_add,
+          CASE WHEN k % 6 = 0 THEN NULL ELSE 0.0034e0 + k % 25 * 0.00001e0 END AS scale_mul,
+          CASE WHEN k % 6 = 0 THEN NULL ELSE 149.0e0 + k % 25 * 0.01e0 END AS scale_add,
           32.0e0 + (k * 11 % 17) * 0.5e0 AS mean_lst, 25.0e0 + (k * 7 % 11) * 0.4e0 AS min_lst, 41.0e0 + (k * 5 % 13) * 0.6e0 AS max_lst
-        FROM (SELECT n_nationkey AS k FROM nation) n"""),
+        FROM (SELECT s_suppkey AS k FROM supplier) n"""),
     "cell_lst_dates": (["lineitem", "cells", "scenes"], """
         SELECT g.grid_id, g.scene_key, s.scene_id, s.date, s.cloud_cover,
           CASE WHEN (g.grid_id + g.scene_key) % 41 = 0 OR (g.scene_key % 5 = 0 AND g.grid_id % 10 < 8) THEN NULL
                ELSE c.mean_lst + (g.grid_id * g.scene_key % 500) / 100.0e0 - 2.5e0 + g.n * 0.25e0 END AS lst_c
-        FROM (SELECT l_orderkey AS grid_id, CAST((l_orderkey * 3 + l_linenumber * 4) % 25 AS BIGINT) AS scene_key, count(*) AS n
-              FROM lineitem GROUP BY l_orderkey, CAST((l_orderkey * 3 + l_linenumber * 4) % 25 AS BIGINT)) g
+        FROM (SELECT l_orderkey AS grid_id, l_suppkey AS scene_key, count(*) AS n
+              FROM lineitem GROUP BY l_orderkey, l_suppkey) g
         JOIN scenes s ON s.scene_key = g.scene_key JOIN cells c ON c.grid_id = g.grid_id"""),
     "cell_two_dates": (["cells"], """
         SELECT grid_id, side, CASE WHEN (grid_id + side) % 41 = 0 THEN NULL
