@@ -358,7 +358,7 @@ def _(d):
     from thermogrid.operators.keyed import attach_row
 
     wet = TP.dates_per_season(d.scenes).where("season = 'monsoon'").select("n", F.element_at("dates", 1).alias("d"))
-    return attach_row(TP.catalogue_summary(d.scenes), "_m", wet).select("scene_count", "first_date", "latest_date", "date_range_years", F.col("_m.n").alias("monsoon_scenes"), F.col("_m.d").alias("first_monsoon"))
+    return attach_row(TP.catalogue_summary(d.scenes), "_m", wet).select("scene_count", "first_date", "latest_date", "date_range_years", F.coalesce(F.col("_m.n"), F.lit(0)).alias("monsoon_scenes"), F.col("_m.d").alias("first_monsoon"))
 
 
 @query("cloud_statistics_A39", """
