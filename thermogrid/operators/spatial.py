@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thermogrid import constants as K
 from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, point_in_ring, segment_distance
-from thermogrid.operators.keyed import attach_row
+from thermogrid.operators.keyed import attach_row, top_n
 from thermogrid.session import spread
 
 __all__ = [
@@ -200,7 +200,9 @@ def nearest_features(
         found = prune(step)
 
     measure = distance() if distance else segment_distance("qx", "qy", "x1", "y1", "x2", "y2")
-    pairs = found.join(placed, ["nx", "ny"]).select(query_id, feature_id, *carry, measure.alias("distance"))
+    # Copies on one spot can fill at most k places: keep k per spot, cut down per task before the shuffle.
+    few = top_n(placed, ["nx", "ny", "x1", "y1", "x2", "y2"], [F.col(feature_id)], k, "_copy").drop("_copy")
+    pairs = found.join(few, ["nx", "ny"]).select(query_id, feature_id, *carry, measure.alias("distance"))
     if k == 1:
         best = pairs.groupBy(query_id).agg(F.min_by(F.struct(feature_id, *carry, "distance"), F.struct("distance", feature_id)).alias("b"))
         return best.select(query_id, "b.*", F.lit(1).alias("rank"))
