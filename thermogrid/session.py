@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,16 +28,21 @@ def local_session(app: str = "thermogrid", cores: str = "*", shuffle_partitions:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
-    configured = spark.conf.get(_SCRATCH_KEY, None) or spark.sparkContext.getConf().get(_SCRATCH_KEY)
+    """The cluster's shared folder. Only a local master may do without one: there a temporary folder serves.
+
+    Elsewhere each executor would write to a disk of its own, so an unset folder is an error.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get(_SCRATCH_KEY, None) or context.getConf().get(_SCRATCH_KEY)
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="thermogrid-")
-    spark.conf.set(_SCRATCH_KEY, folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {_SCRATCH_KEY} to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="thermogrid-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -44,12 +50,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/thermogrid/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the reliable checkpoint folder, so a lost executor cannot restart a long chain."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash rows over the session's shuffle partitions before heavy work per row.
 
