@@ -50,3 +50,32 @@ def op10_prefix_sharding(spark, folder):
 
     placed = prefix_shards(documents(spark, folder), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_register("op3_decontamination")
+def op3_decontamination(spark, folder):
+    from thermogrid.llm.decontamination import find_contamination, names_digest
+
+    found = find_contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", names_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
+@_register("op5_tokenizer_fertility")
+def op5_tokenizer_fertility(spark, folder):
+    import public_tokenizers
+
+    from thermogrid.llm.quality import quality
+
+    return quality(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model")).drop("lang")
+
+
+@_register("op8_token_output")
+def op8_token_output(spark, folder):
+    import public_tokenizers
+
+    from thermogrid.llm.tables import scratch_path
+    from thermogrid.llm.token_output import read_tokens, token_digests, write_tokens
+
+    path = scratch_path(spark, "tokens")
+    write_tokens(documents(spark, folder), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(read_tokens(spark, path))
