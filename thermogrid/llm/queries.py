@@ -79,3 +79,10 @@ def op8_token_output(spark, folder):
     path = scratch_path(spark, "tokens")
     write_tokens(documents(spark, folder), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_digests(read_tokens(spark, path))
+
+
+@_register("op7_suffix_array_dedup")
+def op7_suffix_array_dedup(spark, folder):
+    from thermogrid.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, folder))
