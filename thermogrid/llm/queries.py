@@ -86,3 +86,10 @@ def op7_suffix_array_dedup(spark, folder):
     from thermogrid.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(documents(spark, folder))
+
+
+@_register("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark, folder):
+    from thermogrid.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(documents(spark, folder))
