@@ -149,7 +149,8 @@ def judge_quality(features: DataFrame, width: float = 4.0) -> DataFrame:
     rows = features.select("*", key.alias("band"), even.alias("evenness"), base_failed().alias("base_failed"))
     measured = ("chars_per_token", "byte_share", "evenness")
     bands = rows.where(~F.col("base_failed")).groupBy("band").agg(*(F.expr(f"percentile({c}, array(0.25, 0.75))").alias(f"q_{c}") for c in measured))
-    rows = rows.join(bands, "band", "left")
+    # A row per language, and known to be small once written, so that Spark need not gather a language's rows in one place.
+    rows = rows.join(written(bands, "quality-bands"), "band", "left")
 
     def low(c: str, slack: float):
         q = F.col(f"q_{c}")

@@ -93,3 +93,17 @@ def op4_ngram_jaccard_join(spark, folder):
     from thermogrid.llm.jaccard_join import near_duplicates
 
     return near_duplicates(documents(spark, folder))
+
+
+@_register("op2_lm_scoring")
+def op2_lm_scoring(spark, folder):
+    from thermogrid.llm.language_model import score_texts
+
+    return score_texts(documents(spark, folder))
+
+
+@_register("op6_unit_dedup")
+def op6_unit_dedup(spark, folder):
+    from thermogrid.llm.unit_dedup import keep_earliest
+
+    return keep_earliest(documents(spark, folder)).drop("kept_text")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from thermogrid.llm import textarrays as T
+from thermogrid.llm.packing import PACKED, pack_texts, unpack_texts
 from thermogrid.llm.suffixes import permuted_prefixes, suffix_array
-from thermogrid.llm.tables import tasks, written
+from thermogrid.llm.tables import written
 
 _GRAM = 32
 _BITS = 24  # of a packed value, for the place in a block
@@ -88,21 +88,6 @@ def _segmenter(length: int):
     return cut
 
 
-def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, which move through a shuffle at half the size."""
-    for b in batches:
-        packed = []
-        for _, data, offsets in T.text_blocks(b.column(2)):
-            raw = data.tobytes()
-            packed += [zlib.compress(raw[a:e], 1) for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "tie", "packed"])
-
-
-def _unpacked(column: pa.Array) -> Iterator[bytes]:
-    for x in column:
-        yield zlib.decompress(x.as_py())
-
-
 def _extractor(length: int):
     """Bytes of the wanted segments of each document; strings of crowded keys are dealt again by another least gram."""
 
@@ -113,7 +98,7 @@ def _extractor(length: int):
             want = lists.values
             start, count, key, crowded, whole = (want.field(f).to_numpy(zero_copy_only=False) for f in ("start", "starts", "key", "crowded", "whole"))
             out: list[tuple] = []
-            for i, text in enumerate(_unpacked(b.column(2))):
+            for i, text in enumerate(unpack_texts(b.column(2))):
                 for j in range(bounds[i], bounds[i + 1]):
                     part = text[start[j] : start[j] + count[j] + length - 1]
                     if not crowded[j]:
@@ -172,7 +157,7 @@ def _cutter(keep_text: bool):
             bounds = lists.offsets.to_numpy()
             start, end = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "end"))
             found = []
-            for i, text in enumerate(_unpacked(b.column(1))):
+            for i, text in enumerate(unpack_texts(b.column(1))):
                 s, e = start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]]
                 order = np.argsort(s)
                 s, reach = s[order], np.maximum.accumulate(e[order]) if len(s) else e
@@ -214,7 +199,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     wanted = classes.join(keys.drop("bytes"), "key").select("at.doc_id", "at.tie", F.struct("at.start", "starts", "key", "crowded", (F.col("n") > 1).alias("whole")).alias("run"))
     wanted = wanted.groupBy("doc_id", "tie").agg(F.collect_list("run").alias("runs"))
     # One of several equal rows is enough to cut the runs from.
-    packed = light.mapInArrow(_packer, "doc_id long, tie long, packed binary").alias("p")
+    packed = light.mapInArrow(pack_texts, PACKED).alias("p")
     met = packed.join(wanted.alias("w"), F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.tie") == F.col("w.tie")))
     parts = met.select("p.doc_id", "p.tie", "packed", "runs").mapInArrow(_extractor(length), "doc_id long, tie long, key long, start long, part binary, whole boolean")
     sorted_ = parts.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_sorter(length), "doc_id long, tie long, start long, end long")
@@ -233,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     spans = spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     text = F.col(text_col).cast("string")
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    packed = light.mapInArrow(_packer, "doc_id long, tie long, packed binary").alias("p")
+    packed = light.mapInArrow(pack_texts, PACKED).alias("p")
     met = packed.join(spans.alias("s"), F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.tie") == F.col("s.tie")), "left")
     empty = F.array().cast("array<struct<start: long, end: long>>")
     out = met.select("p.doc_id", "packed", F.coalesce("spans", empty).alias("spans")).mapInArrow(_cutter(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
