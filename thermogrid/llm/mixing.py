@@ -14,15 +14,15 @@ from thermogrid.llm.tables import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _CHUNK = 1000
-_ROW = "doc_id long, source string, size long, copies int, prob double, source_size long, target double"
+_ROW = "doc_id long, source string, tie long, size long, copies int, prob double, source_size long, target double"
 _EPS = 1e-9
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        counts = [np.diff(T.words(data, offsets)[2]) for _, data, offsets in T.text_blocks(b.column(2))]
+        counts = [np.diff(T.words(data, offsets)[2]) for _, data, offsets in T.text_blocks(b.column(3))]
         size = np.concatenate(counts) if counts else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int64))], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(size.astype(np.int64))], ["doc_id", "source", "tie", "size"])
 
 
 def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -90,7 +90,7 @@ def flight(prob: np.ndarray, size: np.ndarray, draw: np.random.Generator, land:
 
 
 def _fly(pdf: pd.DataFrame, seed: int, round_no: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable")
+    pdf = pdf.sort_values(["order", "doc_id", "tie"], kind="stable")
     draw = np.random.default_rng([seed & 0xFFFFFFFF, round_no, int(pdf["group"].iloc[0]) & 0x7FFFFFFFFFFFFFFF])
     pdf["prob"] = flight(pdf["prob"].to_numpy(), pdf["size"].to_numpy(), draw, land=int(pdf["chunks"].iloc[0]) == 1)
     return pdf[[c.split()[0] for c in _ROW.split(", ")]]
@@ -100,27 +100,28 @@ def cube_mix(
     docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: doc_id, source, size (white space words), source_size, target (the source's), copies, taken.
+    """One row per document: doc_id, source, tie (the text's hash), size (white space words), source_size, target (the source's), copies, taken.
 
     A source's documents all get target / source_size copies on average: the whole part to each, the fraction as an inclusion
     probability, decided by the cube method with balanced document and token totals. Chunks of about 1000 documents fly on
     their own; each leaves at most two fractions, and those of all chunks of a source fly again until one chunk is left, which
     lands. No task holds a whole source, and a round shrinks the open rows some 500 times.
-    Chunks, order and draws depend on ids and sizes alone, so reruns agree. Null or empty texts have size 0; a null source is a
+    Chunks, order and draws depend on ids and texts alone, so reruns agree. Null or empty texts have size 0; a null source is a
     source; repeated rows are documents of their own; an empty table gives no rows.
     """
-    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    sizes = written(light.mapInArrow(_sizes, "doc_id long, source string, size long"), "mix-sizes")
+    text = F.col(text_col).cast("string")
+    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    sizes = written(light.mapInArrow(_sizes, "doc_id long, source string, tie long, size long"), "mix-sizes")
     targets = written(source_targets(sizes, share, most, weights), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.when(F.abs(ratio - F.round(ratio)) < _EPS, F.round(ratio)).otherwise(ratio)
     rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        "doc_id", "d.source", "size", F.floor(near).cast("int").alias("copies"), (near - F.floor(near)).alias("prob"), "source_size", "target"
+        "doc_id", "d.source", "tie", "size", F.floor(near).cast("int").alias("copies"), (near - F.floor(near)).alias("prob"), "source_size", "target"
     )
     done = rows.where("prob <= 0")
     open_rows, round_no = rows.where("prob > 0"), 0
     while True:
-        order = F.xxhash64(F.lit(seed + round_no), "doc_id", "size")
+        order = F.xxhash64(F.lit(seed + round_no), "doc_id", "tie")
         counts = open_rows.groupBy("source").agg(F.ceil(F.count("*") / _CHUNK).alias("chunks"))  # one row per source
         flying = open_rows.alias("r").join(counts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select("r.*", "chunks")
         flying = flying.select("*", order.alias("order")).select("*", F.xxhash64("source", F.pmod("order", "chunks")).alias("group"))
@@ -131,4 +132,18 @@ def cube_mix(
         if open_rows.isEmpty():
             break
     copies = F.col("copies") + F.when(F.col("prob") >= 1, 1).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return done.select("doc_id", "source", "tie", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents, all columns kept, each as often as cube_mix takes it. Rows alike in id, text and source share their copies evenly."""
+    taken = cube_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = taken.groupBy("doc_id", "tie", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0").alias("t")
+    text = F.col(text_col).cast("string")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(source_col).cast("string").alias("source")).alias("p")
+    same = F.col("p.id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.tie") == F.col("t.tie")) & F.col("p.source").eqNullSafe(F.col("t.source"))
+    met = packed.join(taken, same).select("row", "p.id", "p.tie", "p.source", "copies", "rows")
+    alike = met.where("rows > 1").select("*", F.row_number().over(Window.partitionBy("id", "tie", "source").orderBy("tie")).alias("k"))
+    share = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("k") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    each = met.where("rows = 1").select("row", F.col("copies").cast("int").alias("times")).unionByName(alike.select("row", share.cast("int").alias("times")))
+    return each.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

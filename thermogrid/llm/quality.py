@@ -122,13 +122,13 @@ def _measure(file: str, held: int):
 
 
 def measure_quality(docs: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per document: counts over the whole text and the vocabulary's view of it.
+    """Per document: counts over the whole text and the vocabulary's view of it, beside doc_id, lang and tie (the text's hash).
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; n_tokens, chars_per_token, byte_share (tokens that are single bytes) and
     token_entropy (bits). Words go through the vocabulary one by one. A null or empty text has zeros everywhere.
     """
-    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return light.mapInArrow(_measure(vocabulary_file, 2), f"doc_id long, lang string, {_FEATURES}")
+    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"), F.col(text_col).cast("string").alias("text"))
+    return light.mapInArrow(_measure(vocabulary_file, 3), f"doc_id long, lang string, tie long, {_FEATURES}")
 
 
 def base_failed() -> F.Column:
@@ -172,3 +172,14 @@ def judge_quality(features: DataFrame, width: float = 4.0) -> DataFrame:
 def quality(docs: DataFrame, vocabulary_file: str, width: float = 4.0, **columns: str) -> DataFrame:
     """Features written once, then judged; see measure_quality and judge_quality."""
     return judge_quality(written(measure_quality(docs, vocabulary_file, **columns), "quality"), width)
+
+
+def passing(docs: DataFrame, vocabulary_file: str, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, all columns kept, that quality() keeps. The rejected ones, fewer, are taken away by id and text."""
+    verdicts = quality(docs, vocabulary_file, width, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.coalesce("lang", F.lit("")).alias("_lang")).distinct()
+    text = F.col(text_col).cast("string")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    # One document in two languages gets a verdict in each.
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")) & (F.col("lang") == F.col("_lang"))
+    return packed.join(gone, same, "left_anti").select("row.*")

@@ -52,7 +52,21 @@ def op10_prefix_sharding(spark, folder):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@_register("op3_decontamination")
+@_register("op3_decontamination", """
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    n AS (SELECT *, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+    g AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM n)),
+    ks AS (SELECT DISTINCT k FROM n),
+    o AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks)),
+    m AS (SELECT o.doc_id, o.k, o.i, g.item_id FROM o JOIN g USING (k, gram)),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""")
 def op3_decontamination(spark, folder):
     from thermogrid.llm.decontamination import find_contamination, names_digest
 
@@ -66,7 +80,7 @@ def op5_tokenizer_fertility(spark, folder):
 
     from thermogrid.llm.quality import quality
 
-    return quality(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model")).drop("lang")
+    return quality(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model")).drop("lang", "tie")
 
 
 @_register("op8_token_output")
@@ -102,8 +116,21 @@ def op2_lm_scoring(spark, folder):
     return score_texts(documents(spark, folder))
 
 
-@_register("op6_unit_dedup")
+@_register("op6_unit_dedup", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+    k AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w,
+        sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+    r AS (SELECT *, len(w) >= 10 AND row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS gone FROM k),
+    a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept,
+        coalesce(string_agg(CAST(CAST(upto - strlen(line) - 1 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto - (pos = n)::INT AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE gone), '') AS removed
+        FROM r GROUP BY doc_id)
+    SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, n_removed, CAST(strlen(text) - strlen(kept) AS BIGINT) AS bytes_removed,
+        sha256(kept) AS kept_sha256, removed
+    FROM a JOIN d USING (doc_id)""")
 def op6_unit_dedup(spark, folder):
     from thermogrid.llm.unit_dedup import keep_earliest
 
-    return keep_earliest(documents(spark, folder)).drop("kept_text")
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return keep_earliest(documents(spark, folder)).drop("kept_text").withColumn("removed", spans)
