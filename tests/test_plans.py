@@ -35,10 +35,10 @@ def test_ten_points_of_green_cool_half_a_degree(spark, cells):
 
 
 def test_builders(spark):
-    assert SC.tree_planting(50) == K.SCENARIOS["increase_trees"]
-    assert SC.green_corridor(1000)["dist_to_park"] == ("mul", 0.0)
+    assert SC.intervention("tree_planting", 50) == {f: (k, pytest.approx(v)) for f, (k, v) in K.SCENARIOS["increase_trees"].items()}
+    assert SC.intervention("green_corridor", 1000)["dist_to_park"] == ("mul", 0.0)
     assert SC.ratio_scaled(K.SCENARIOS["increase_green_10"])["impervious_ratio"] == ("add", -0.05)
-    for bad in (lambda: SC.tree_planting(-1), lambda: SC.cool_roof(101), lambda: SC.green_corridor(-5)):
+    for bad in (lambda: SC.intervention("tree_planting", -1), lambda: SC.intervention("cool_roof", 101), lambda: SC.intervention("green_corridor", -5)):
         with pytest.raises(ValueError):
             bad()
 
@@ -63,8 +63,8 @@ def test_python_and_column_scorer_agree(spark, cells):
 
 
 def test_subindex_gaps_and_top_band(spark):
-    df = spark.createDataFrame([(30.5,), (30.0,), (502.0,), (503.0,)], "c double").select(fn.aqi_subindex("c", "pm25").alias("i"))
-    assert [r["i"] for r in df.collect()] == [None, 50.0, 500.0, None]
+    df = spark.createDataFrame([(30.5,), (30.0,), (502.0,), (503.0,)], "c double").select(fn.aqi_subindex("c", "pm25").alias("i"), fn.aqi_subindex("c", "pm25", open_top=True).alias("j"))
+    assert [(r["i"], r["j"]) for r in df.collect()] == [(None, None), (50.0, 50.0), (500.0, 500.0), (500.0, None)]
 
 
 def test_two_category_rules_differ_between_integers(spark):
@@ -152,10 +152,10 @@ def test_streams_equal_their_static_twins(spark, tmp_path):
     assert sorted(map(tuple, got.select("source", "event_id").collect())) == sorted(map(tuple, want.select("source", "event_id").collect()))
 
     roll = J.each_batch_and_read(O.daily_rollup(stream, "source", "event_id", "30 days"), "t", lambda b: b, base=str(tmp_path / "roll"))
-    assert J.newest_version(roll, ["date", "source", "event_id"]).count() == O.daily_rollup(static, "source", "event_id").count()
+    assert J.newest_version(roll, ["date", "source", "event_id"]).count() == O.daily_rollup(static, "source", "event_id", None).count()
 
     # Append mode lets a span out once the watermark has passed its end, so the open ones at the end are absent.
-    spans = J.append_and_read(O.live_periods(stream, 300), "t", str(tmp_path / "spans"))
+    spans = J.append_and_read(O.live_periods(stream, 300, "1 hour"), "t", str(tmp_path / "spans"))
     twin = O.live_periods(static, 300)
     assert spans.exceptAll(twin).count() == 0
     assert twin.exceptAll(spans).count() == 2

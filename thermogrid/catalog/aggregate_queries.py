@@ -339,11 +339,7 @@ CONF_SQL = """
       R6((hit * 1.0e0 / t - s / (t * 1.0e0 * t)) / (1 - s / (t * 1.0e0 * t))) AS kappa, CAST((SELECT count(*) FROM k) - hit AS BIGINT) AS misclassified
     FROM (VALUES ('Low'), ('Medium'), ('High')) l(a) CROSS JOIN (VALUES ('Low'), ('Medium'), ('High')) m(p) CROSS JOIN t CROSS JOIN ch LEFT JOIN n ON n.a = l.a AND n.p = m.p""")
 def _(d):
-    from thermogrid.operators.keyed import attach_row
-
-    classes = M.tercile_classes(d.close_predictions, "target_lst", "predicted_lst")
-    table = attach_row(M.confusion_table(classes), "_m", M.agreement(classes))
-    return sel(table.select("actual_class", "predicted_class", "n", F.col("_m.accuracy").alias("accuracy"), F.col("_m.kappa").alias("kappa"), F.col("_m.misclassified").alias("misclassified")))
+    return sel(M.confusion_summary(M.tercile_classes(d.close_predictions, "target_lst", "predicted_lst")))
 
 
 @query("fold_summary_A33", f"WITH m AS ({metrics_sql('close_predictions', 'fold')}) SELECT " + ", ".join(f"R4(avg({c})) AS {c}, R4(stddev_samp({c})) AS {c}_std" for c in ("rmse", "mae", "r2", "mape")) + " FROM m")

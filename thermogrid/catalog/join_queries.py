@@ -90,9 +90,9 @@ LINE_SQL = """
 """
 
 
-@query("overlay_length_J4", LINE_SQL + "SELECT ix, iy, R4(sum(length)) AS length FROM lengths GROUP BY ix, iy HAVING sum(length) > 0.00006e0")
+@query("overlay_length_J4", LINE_SQL + "SELECT ix, iy, R4(sum(length)) AS length FROM lengths GROUP BY ix, iy HAVING sum(length) > 0")
 def _(d):
-    return S.line_length_per_cell(d.segments).where("length > 0.00006").select("ix", "iy", round_even("length", 4).alias("length"))
+    return S.line_length_per_cell(d.segments).where("length > 0").select("ix", "iy", round_even("length", 4).alias("length"))
 
 
 @query("nearest_feature_J5", """

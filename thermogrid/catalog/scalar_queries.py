@@ -16,12 +16,14 @@ def r6(*names):
     return [round_even(n, 6).alias(n) for n in names]
 
 
-def aqi_case(c: str, pollutant: str) -> str:
-    """SQL CASE for one pollutant's bands."""
+def aqi_case(c: str, pollutant: str, open_top: bool = False) -> str:
+    """SQL CASE for one pollutant's bands; above the top one the top index holds, or nothing with `open_top`."""
     parts = []
     for lo, hi, a, b in K.AQI_BANDS[pollutant]:
         top = float(hi) if hi is not None else lo * 2.0
         parts.append(f"WHEN {c} >= {float(lo)}e0 AND {c} <= {top}e0 THEN {float(a)}e0 + {float(b - a)}e0 * (({c} - {float(lo)}e0) / {top - float(lo)!r}e0)")
+    if not open_top:
+        parts.append(f"WHEN {c} > {top}e0 THEN {float(b)}e0")
     return "CASE " + " ".join(parts) + " END"
 
 
@@ -138,17 +140,33 @@ def _(d):
     return d.cells.select("grid_id", fn.aqi_category_code("mean_aqi").alias("code"))
 
 
-@query("aqi_subindex_P18", f"SELECT station_id, R6({aqi_case('pm25', 'pm25')}) AS pm25_index, R6({aqi_case('o3', 'o3')}) AS o3_index FROM stations")
-def _(d):
-    return d.stations.select("station_id", round_even(fn.aqi_subindex("pm25", "pm25"), 6).alias("pm25_index"), round_even(fn.aqi_subindex("o3", "o3"), 6).alias("o3_index"))
+def _subindex(key: str, factor: float, open_top: bool):
+    @query(key, f"SELECT station_id, R6({aqi_case(f'(pm25 * {factor}e0)', 'pm25', open_top)}) AS pm25_index, R6({aqi_case(f'(o3 * {factor}e0)', 'o3', open_top)}) AS o3_index FROM stations")
+    def _(d):
+        pm25, o3 = (fn.aqi_subindex(F.col(c) * factor, c, open_top) for c in ("pm25", "o3"))
+        return d.stations.select("station_id", round_even(pm25, 6).alias("pm25_index"), round_even(o3, 6).alias("o3_index"))
 
 
-COMPOSITE_SQL = "greatest(" + ", ".join(aqi_case(f"({p} / 1000.0e0)" if p == "co" else p, p) for p in K.POLLUTANTS) + ")"
+# The literal rule, and concentrations high enough to pass the top band with the top index held.
+_subindex("aqi_subindex_P18", 1.0, True)
+_subindex("aqi_subindex_saturated_P18b", 4.0, False)
 
 
-@query("composite_aqi_P19", f"SELECT station_id, R6({COMPOSITE_SQL}) AS aqi FROM stations")
-def _(d):
-    return d.stations.select("station_id", round_even(fn.composite_aqi({p: p for p in K.POLLUTANTS}), 6).alias("aqi"))
+def composite_sql(open_top: bool) -> str:
+    return "greatest(" + ", ".join(aqi_case(f"({p} / 1000.0e0)" if p == "co" else p, p, open_top) for p in K.POLLUTANTS) + ")"
+
+
+COMPOSITE_SQL = composite_sql(False)
+
+
+def _composite(key: str, open_top: bool):
+    @query(key, f"SELECT station_id, R6({composite_sql(open_top)}) AS aqi FROM stations")
+    def _(d):
+        return d.stations.select("station_id", round_even(fn.composite_aqi({p: p for p in K.POLLUTANTS}, open_top), 6).alias("aqi"))
+
+
+_composite("composite_aqi_P19", True)
+_composite("composite_aqi_saturated_P19b", False)
 
 
 NOAA_SQL = """
@@ -312,7 +330,7 @@ def _(d):
     FROM cells WHERE mean_ndvi IS NOT NULL
     UNION ALL SELECT grid_id, tree_count + 120.0e0, R6(least(100.0e0, tree_density + 24.0e0)), NULL, R6(least(100.0e0, green_cover + 12.0e0)), R6(veg_cooling * 1.24e0) FROM cells WHERE mean_ndvi IS NULL""")
 def _(d):
-    out = SC.perturb(d.cells, SC.tree_planting(120))
+    out = SC.perturb(d.cells, SC.intervention("tree_planting", 120))
     return out.select("grid_id", "tree_count", *r6("tree_density", "mean_ndvi", "green_cover", "veg_cooling"))
 
 
@@ -320,14 +338,14 @@ def _(d):
     SELECT grid_id, R6(greatest(0.0e0, impervious_ratio - 2.0e0)) AS impervious_ratio, R6(greatest(0.0e0, building_coverage_pct - 1.2e0)) AS building_coverage_pct,
       R6(greatest(0.0e0, hvi - 0.012e0)) AS hvi, R6(veg_cooling * 1.04e0) AS veg_cooling FROM cells""")
 def _(d):
-    return SC.perturb(d.cells, SC.cool_roof(40.0)).select("grid_id", *r6("impervious_ratio", "building_coverage_pct", "hvi", "veg_cooling"))
+    return SC.perturb(d.cells, SC.intervention("cool_roof", 40)).select("grid_id", *r6("impervious_ratio", "building_coverage_pct", "hvi", "veg_cooling"))
 
 
 @query("green_corridor_P37", """
     SELECT grid_id, R6(least(100.0e0, green_space_pct + 16.0e0)) AS green_space_pct, R6(green_to_built * 1.3e0) AS green_to_built,
       R6(veg_cooling * 1.3e0) AS veg_cooling, R6(greatest(1.0e0, dist_to_park * 0.8e0)) AS dist_to_park FROM cells""")
 def _(d):
-    return SC.perturb(d.cells, SC.green_corridor(100)).select("grid_id", *r6("green_space_pct", "green_to_built", "veg_cooling", "dist_to_park"))
+    return SC.perturb(d.cells, SC.intervention("green_corridor", 100)).select("grid_id", *r6("green_space_pct", "green_to_built", "veg_cooling", "dist_to_park"))
 
 
 @query("masked_perturbation_P38", """

@@ -45,6 +45,24 @@ def _(d):
                      round_even(F.array_min(F.transform("p", lambda c: c["y"])), 6).alias("bottom_y"))
 
 
+@query("geojson_document_S2b", """
+    SELECT CAST(n_regionkey AS BIGINT) AS region, CAST(n_nationkey AS BIGINT) AS nation, 'Point' AS geom_type, n_nationkey * 1.0e0 AS x FROM nation""")
+def _(d):
+    """One document per region, over several lines."""
+    from thermogrid.functions import flatten_positions
+
+    path = scratch_path(d.spark, "geojson-documents")
+    nation = d.spark.read.parquet(f"{d.folder}/nation.parquet")
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("n_nationkey").cast("double"), F.lit(1.0)).alias("coordinates"))
+    properties = F.struct(F.col("n_regionkey").cast("long").alias("region"), F.col("n_nationkey").cast("long").alias("nation"))
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), point.alias("geometry"))
+    documents = nation.groupBy("n_regionkey").agg(F.collect_list(feature).alias("features"))
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"), {"pretty": "true"})
+    documents.select("n_regionkey", text.alias("value")).write.partitionBy("n_regionkey").text(path)
+    df = R.read_geojson_document(d.spark, f"{path}/*", "region: bigint, nation: bigint").withColumn("p", flatten_positions("geom_type", "coordinates"))
+    return df.select("region", "nation", "geom_type", F.col("p")[0]["x"].alias("x"))
+
+
 @query("merge_layer_candidates_S3", """
     SELECT CAST(point_id AS BIGINT) AS feature_id, kind, CAST(NULL AS VARCHAR) AS landuse, R6(x) AS x FROM points
     UNION ALL SELECT CAST(rect_id AS BIGINT), kind, landuse, R6(x0) FROM rects""")
@@ -212,7 +230,7 @@ def _(d):
 @query("bounding_box_S16", """
     SELECT grid_id, R6(mean_lst) AS mean_lst FROM cells
     WHERE lon BETWEEN 85.72e0 - 0.0005e0 AND 85.76e0 + 0.0005e0 AND lat BETWEEN 20.12e0 - 0.00045e0 AND 20.16e0 + 0.00045e0
-    ORDER BY grid_id LIMIT 1000""")
+    ORDER BY grid_id""")
 def _(d):
     return R.bounding_box(d.cells, 85.72, 20.12, 85.76, 20.16, (0.0005, 0.00045)).select("grid_id", *_r6("mean_lst"))
 

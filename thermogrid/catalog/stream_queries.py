@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 from thermogrid.catalog.registry import query
 from thermogrid.functions import round_even
 from thermogrid.plans import scenario as SC
+from thermogrid.session import scratch_path
 from thermogrid.streaming import jobs as J, observations as O, snapshot as SN
 
 LIVE_WEIGHTS = {"green_cover": -0.05, "mean_aqi": 0.01}
 
 
-def observation_stream(d):
-    raw = J.file_stream(d.spark, d.folder, d.events.schema, "events.parquet")
+def observation_stream(d, batches: int = 1):
+    """Readings as a stream. With several batches, each one holds readings of all times, so most batches bring late ones."""
+    if batches == 1:
+        raw = J.file_stream(d.spark, d.folder, d.events.schema, "events.parquet")
+    else:
+        path = scratch_path(d.spark, "event-batches")
+        d.events.repartition(batches, F.pmod("event_id", F.lit(batches))).write.parquet(path)
+        raw = J.file_stream(d.spark, path, d.events.schema, files_per_trigger=1)
     return raw.select("event_id", F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("observed_at"), "value", "props", "user_id")
 
 
@@ -72,16 +79,25 @@ def _(d):
 
 
 @query("snapshot_history_ST5", """
+    SELECT concat('snap_', strftime(date_trunc('hour', observed_at), '%Y_%m_%d_%H%M%S'), '_000') AS snapshot_id, count(*) AS readings FROM observations GROUP BY 1""")
+def _(d):
+    """The stored history of a stream over several batches: the last state of every snapshot."""
+    snaps = observation_stream(d, 4).groupBy(SN.snapshot_id(F.date_trunc("hour", "observed_at")).alias("snapshot_id")).agg(F.count(F.lit(1)).alias("readings"))
+    return J.newest_version(J.each_batch_and_read(snaps, "history", lambda b: b, "update"), ["snapshot_id"]).select("snapshot_id", "readings")
+
+
+@query("newest_snapshots_ST5b", """
     SELECT concat('snap_', strftime(date_trunc('hour', observed_at), '%Y_%m_%d_%H%M%S'), '_000') AS snapshot_id, count(*) AS readings FROM observations GROUP BY 1 ORDER BY 1 DESC LIMIT 100""")
 def _(d):
     snaps = d.observations.groupBy(SN.snapshot_id(F.date_trunc("hour", "observed_at")).alias("snapshot_id")).agg(F.count(F.lit(1)).alias("readings"))
-    return SN.snapshot_history(snaps)
+    return SN.newest_snapshots(snaps, 100)
 
 
 @query("change_feed_ST6", "SELECT DISTINCT concat('snap_', strftime(date_trunc('minute', observed_at), '%Y_%m_%d_%H%M%S'), '_000') AS snapshot_id FROM observations")
 def _(d):
-    s = observation_stream(d).select("observed_at", SN.snapshot_id(F.date_trunc("minute", "observed_at")).alias("snapshot_id"))
-    return J.append_and_read(SN.change_feed(s), "changes").select("snapshot_id")
+    s = observation_stream(d, 4).select("observed_at", SN.snapshot_id(F.date_trunc("minute", "observed_at")).alias("snapshot_id"))
+    changes = J.each_batch_and_read(SN.change_feed(s), "changes", lambda b: b, "update")
+    return J.newest_version(changes, ["snapshot_id"]).select("snapshot_id")
 
 
 @query("live_grid_scoring_ST7", f"""
@@ -108,6 +124,6 @@ def _(d):
 
 @query("daily_rollup_ST9", "SELECT CAST(observed_at AS DATE) AS date, user_id, source, R6(avg(value)) AS mean_value, count(value) AS n FROM observations GROUP BY 1, 2, 3")
 def _(d):
-    roll = O.daily_rollup(observation_stream(d), "user_id", "source", late="60 days")
+    roll = O.daily_rollup(observation_stream(d, 4), "user_id", "source", late=None)
     changes = J.each_batch_and_read(roll, "rollup", lambda b: b, "update")
     return J.newest_version(changes, ["date", "user_id", "source"]).select("date", "user_id", "source", round_even("mean_value", 6).alias("mean_value"), "n")

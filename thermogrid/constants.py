@@ -161,6 +161,15 @@ SCENARIOS = {
     },
 }
 
+# --- Interventions: what one full unit of strength does, and how much strength is one unit (fixed values) ---
+INTERVENTIONS = {
+    "tree_planting": {"unit": 50.0, "range": (0.0, None), "steps": {**SCENARIOS["increase_trees"], "tree_count": ("add", 50.0)}},
+    "cool_roof": {"unit": 100.0, "range": (0.0, 100.0), "steps": {
+        "impervious_ratio": ("add", -5.0), "building_coverage_pct": ("add", -3.0), "hvi": ("add", -0.03), "veg_cooling": ("mul", 1.10)}},
+    "green_corridor": {"unit": 50.0, "range": (0.0, None), "steps": {
+        "green_space_pct": ("add", 8.0), "mean_ndvi": ("add", 0.03), "green_to_built": ("mul", 1.15), "veg_cooling": ("mul", 1.15), "dist_to_park": ("mul", 0.90)}},
+}
+
 # --- Where each model feature comes from: feature -> (source, status) (fixed values) ---
 _OSM = "STATIC_GIS"
 FEATURE_PROVENANCE = {
@@ -183,9 +192,9 @@ FEATURE_PROVENANCE = {
     "mean_pm25": ("OpenWeather Air Pollution", "LIVE"),
     "impervious_ratio": ("OSM built-up analysis", "LATEST_OBSERVATION"),
     "green_to_built": ("OSM land use analysis", "LATEST_OBSERVATION"),
-    "cooling_distance": ("computed from green/built distribution", "DERIVED"),
-    "veg_cooling": ("computed from NDVI + vegetation density", "DERIVED"),
-    "hvi": ("combined index from multiple features", "DERIVED"),
+    "cooling_distance": ("greenery and buildings", "DERIVED"),
+    "veg_cooling": ("vegetation indices", "DERIVED"),
+    "hvi": ("weighted features", "DERIVED"),
 }
 ACTIONABLE_FEATURES = [
     "impervious_ratio", "mean_pm25", "mean_ndvi", "green_cover", "building_coverage_pct",

@@ -10,8 +10,12 @@ from thermogrid.functions.numeric import _c, label_below
 __all__ = ["aqi_subindex", "composite_aqi", "aqi_category", "aqi_category_code", "column_to_surface"]
 
 
-def aqi_subindex(concentration, pollutant: str) -> Column:
-    """Linear inside each closed band; a value between two bands, or above the top one, gives null."""
+def aqi_subindex(concentration, pollutant: str, open_top: bool = False) -> Column:
+    """Linear inside each closed band; a value between two bands gives null.
+
+    The top band ends at twice its start. A value above that has the top index, so the worst pollutant is never lost;
+    with `open_top` it gives null, as the literal rule has it.
+    """
     c = _c(concentration)
     out = F.when(F.lit(False), F.lit(None).cast("double"))
     for low, high, ilow, ihigh in K.AQI_BANDS[pollutant]:
@@ -19,13 +23,15 @@ def aqi_subindex(concentration, pollutant: str) -> Column:
         low = float(low)
         share = (c - F.lit(low)) / F.lit(top - low)
         out = out.when((c >= F.lit(low)) & (c <= F.lit(top)), F.lit(float(ilow)) + F.lit(float(ihigh - ilow)) * share)
+        if high is None and not open_top:
+            out = out.when(c > F.lit(top), F.lit(float(ihigh)))
     return out
 
 
-def composite_aqi(columns: dict[str, str]) -> Column:
+def composite_aqi(columns: dict[str, str], open_top: bool = False) -> Column:
     """Largest sub-index over the pollutants given; carbon monoxide is converted to mg/m3 first."""
     parts = [
-        aqi_subindex(F.col(c) / F.lit(1000.0) if p == "co" else F.col(c), p) for p, c in columns.items()
+        aqi_subindex(F.col(c) / F.lit(1000.0) if p == "co" else F.col(c), p, open_top) for p, c in columns.items()
     ]
     return F.greatest(*parts) if len(parts) > 1 else parts[0]
 

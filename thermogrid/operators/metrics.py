@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from thermogrid.operators.stats import attach_quantiles
 
-__all__ = ["regression_metrics", "fold_summary", "tercile_classes", "confusion_table", "agreement"]
+__all__ = ["regression_metrics", "fold_summary", "tercile_classes", "confusion_summary"]
 
 
 def regression_metrics(df: DataFrame, target: str, predicted: str, by: Sequence[str] = (), min_rows: int = 1) -> DataFrame:
@@ -48,19 +48,11 @@ def tercile_classes(df: DataFrame, target: str, predicted: str) -> DataFrame:
     return df.withColumns({"actual_class": cls(target), "predicted_class": cls(predicted)}).drop("_e")
 
 
-def confusion_table(classes: DataFrame) -> DataFrame:
-    """Nine cells, zero where a pair never occurs."""
-    labels = ["Low", "Medium", "High"]
-    both = classes.where(F.col("actual_class").isNotNull() & F.col("predicted_class").isNotNull())
-    counts = both.groupBy("actual_class", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
-    spine = classes.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "actual_class string, predicted_class string")
-    return spine.join(F.broadcast(counts), ["actual_class", "predicted_class"], "left").select(
-        "actual_class", "predicted_class", F.coalesce("n", F.lit(0)).cast("long").alias("n")
-    )
-
+def confusion_summary(classes: DataFrame) -> DataFrame:
+    """Nine rows (actual_class, predicted_class, n), each with accuracy, Cohen's kappa and the misclassified rows.
 
-def agreement(classes: DataFrame) -> DataFrame:
-    """Accuracy, Cohen's kappa and misclassified rows, from the confusion counts."""
+    One aggregate of nine counts gives all of it. Accuracy is over all rows, kappa over rows with both classes.
+    """
     labels = ["Low", "Medium", "High"]
     cells = {
         f"c{i}{j}": F.count_if((F.col("actual_class") == a) & (F.col("predicted_class") == b)).cast("double")
@@ -73,8 +65,12 @@ def agreement(classes: DataFrame) -> DataFrame:
     chance = sum(
         ((c[i][0] + c[i][1] + c[i][2]) * (c[0][i] + c[1][i] + c[2][i]) for i in range(3)), F.lit(0.0)
     ) / (n * n)
+    rows = F.array(*[
+        F.struct(F.lit(a).alias("actual_class"), F.lit(b).alias("predicted_class"), c[i][j].cast("long").alias("n"))
+        for i, a in enumerate(labels) for j, b in enumerate(labels)
+    ])
     return m.select(
-        (hit / F.col("rows")).alias("accuracy"),
+        F.inline(rows), (hit / F.col("rows")).alias("accuracy"),
         F.when(chance < 1, (hit / n - chance) / (F.lit(1.0) - chance)).alias("kappa"),
         (F.col("rows") - hit).cast("long").alias("misclassified"),
     )

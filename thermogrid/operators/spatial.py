@@ -123,6 +123,26 @@ def _box_bounds(qx: Column, qy: Column) -> tuple[Column, Column, Column]:
     return F.sqrt(dx * dx + dy * dy), sure, F.sqrt(fx * fx + fy * fy)
 
 
+def sphere_bounds(qx: Column, qy: Column) -> tuple[Column, Column, Column]:
+    """As _box_bounds, in metres on the sphere, for points and boxes in degrees (x: longitude, not across the date line).
+
+    hav(d) = hav(dlat) + cos(lat1) cos(lat2) hav(dlon): each term is least, and greatest, on its own.
+    """
+    x0, y0, x1, y1 = (F.col(c) for c in ("bx0", "by0", "bx1", "by1"))
+    zero = F.lit(0.0)
+    hav = lambda degrees: F.pow(F.sin(F.radians(F.least(degrees, F.lit(180.0))) / 2), 2)
+    cos = lambda degrees: F.cos(F.radians(degrees))
+    most_cos = F.when((y0 <= 0) & (y1 >= 0), F.lit(1.0)).otherwise(F.greatest(cos(y0), cos(y1)))
+    arc = lambda h: F.lit(2.0 * K.EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    near = lambda q, a, b: F.greatest(a - q, zero, q - b)
+    far = lambda q, a, b: F.greatest(F.abs(q - a), F.abs(q - b))
+    # Longitudes may differ by more than half a turn; the nearer way round is then the other one.
+    least_lon = F.least(near(qx, x0, x1), F.greatest(zero, F.lit(360.0) - far(qx, x0, x1)))
+    low = arc(hav(near(qy, y0, y1)) + cos(qy) * F.least(cos(y0), cos(y1)) * hav(least_lon))
+    high = arc(hav(far(qy, y0, y1)) + cos(qy) * most_cos * hav(far(qx, x0, x1)))
+    return low, high, high
+
+
 def nearest_features(
     queries: DataFrame,
     features: DataFrame,
@@ -131,7 +151,7 @@ def nearest_features(
     feature_id: str = "feature_id",
     carry: Sequence[str] = (),
     distance: Callable[[], Column] | None = None,
-    slack: float = 0.0,
+    bounds: Callable[[Column, Column], tuple[Column, Column, Column]] = _box_bounds,
     depth: int | None = None,
 ) -> DataFrame:
     """The k nearest features of every query point, exactly: (query_id, feature_id, carry..., distance, rank).
@@ -139,7 +159,8 @@ def nearest_features(
     `queries` has qx, qy; `features` has x1, y1, x2, y2 (equal ends make a point). Features are summarised in
     a pyramid of boxes, each level sixteen times finer. A query walks down it and keeps only boxes that can
     still hold one of its k nearest features, so it meets a handful of leaves instead of the whole layer.
-    `slack` widens the pruning for a `distance` that differs slightly from the planar one.
+    Another `distance` needs `bounds` that hold for it: from a point to a box (columns bx0, by0, bx1, by1) the least
+    possible distance, one that a feature surely has, and the greatest possible.
     """
     spark = features.sparkSession
     mid_x, mid_y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
@@ -176,7 +197,7 @@ def nearest_features(
     per_query = W.partitionBy(query_id)
 
     def prune(candidates: DataFrame) -> DataFrame:
-        low, sure, high = _box_bounds(F.col("qx"), F.col("qy"))
+        low, sure, high = bounds(F.col("qx"), F.col("qy"))
         if k == 1:
             limit = F.min(sure).over(per_query)
         else:
@@ -185,7 +206,7 @@ def nearest_features(
             candidates = candidates.withColumn("_upto", upto)
             limit = F.min(F.when(F.col("_upto") >= k, F.col("_high"))).over(per_query)
         kept = candidates.withColumn("_limit", limit).where(
-            F.col("_limit").isNull() | (low <= F.col("_limit") * F.lit((1.0 + slack) ** 2 + 1e-9)))
+            F.col("_limit").isNull() | (low <= F.col("_limit") * F.lit(1.0 + 1e-9)))
         return kept.select(query_id, "qx", "qy", "nx", "ny")
 
     top = nodes[1].select(F.collect_list(F.struct(*box)).alias("top")).scalar()  # at most 16 boxes

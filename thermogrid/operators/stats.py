@@ -18,6 +18,8 @@ __all__ = [
 _ACCURACY = 10_000
 # Rank margins tried around a quantile, tightest first; each must exceed the sketch error plus two rows.
 _MARGINS = (5e-4, 1e-2, 1e-1)
+# Parts of a bracket that are counted apart.
+_SLICES = 256
 
 
 def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name="column", value="value") -> DataFrame:
@@ -28,12 +30,14 @@ def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Sequence[str], n
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact, linearly interpolated quantiles: rows (by..., column, n, q array).
 
-    A mergeable sketch brackets every wanted rank; a second pass counts what lies below the bracket and
-    tallies only the values inside it (about a thousandth of the rows), so no task ever holds a whole column.
+    A mergeable sketch brackets every wanted rank. A second pass counts what lies below the brackets and tallies only the
+    values inside them (about a thousandth of the rows), by slices of the bracket; totals of the slices say which one holds a
+    rank, and only that slice is sorted. So no task holds a column or a bracket.
     """
     keys = [*by, "column"]
+    ordered = sorted(set(probs))
     long = unpivot_columns(df, by, columns).where(F.col("value").isNotNull())
-    ladder = sorted({round(min(1.0, max(0.0, p + s * m)), 12) for p in probs for m in _MARGINS for s in (-1, 1)})
+    ladder = sorted({round(min(1.0, max(0.0, p + s * m)), 12) for p in ordered for m in _MARGINS for s in (-1, 1)})
     sketch = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("value").alias("_min"),
@@ -52,32 +56,49 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                 high = F.when(wide_enough, F.col("_edges").getItem(ladder.index(b))).otherwise(high)
         return F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high"))
 
-    brackets = sketch.select(*keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("_brackets"))
+    brackets = sketch.select(*keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(ordered)]).alias("_brackets"))
     if not by:
         brackets = F.broadcast(brackets)  # one row per column of the schema
-    hits = (
-        long.join(brackets, keys)
-        .select(*keys, "n", "value", F.explode(F.filter("_brackets", lambda b: F.col("value") <= b["high"])).alias("b"))
-        .select(*keys, "n", "b.i", "b.p", F.when(F.col("value") >= F.col("b.low"), F.col("value")).alias("v"))
-        .groupBy(*keys, "n", "i", "p", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
+    # A row counts once by the first bracket it lies below, and once more for each bracket that holds it. Brackets go up with
+    # their probability, so what lies below one is a sum over the first counts.
+    value, none = F.col("value"), F.lit(None).cast("double")
+    below = F.size(F.filter("_brackets", lambda b: value >= b["low"]))
+    share = lambda b: F.when(b["high"] > b["low"], (value - b["low"]) / (b["high"] - b["low"]) * F.lit(float(_SLICES - 1))).otherwise(F.lit(0.0))
+    held = F.transform(
+        F.filter("_brackets", lambda b: (value >= b["low"]) & (value <= b["high"])),
+        lambda b: F.struct(b["i"].alias("i"), F.floor(share(b)).cast("int").alias("slice"), value.alias("v")),
     )
-    running = F.sum("c").over(W.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
-    position = F.col("p") * (F.col("n") - 1)
-    ranked = hits.select(*keys, "n", "i", "v", running.alias("upto"), position.alias("pos"))
-    picked = ranked.groupBy(*keys, "n", "i", "pos").agg(
-        F.max(F.col("v").isNull() & (F.col("upto") > F.floor("pos"))).alias("missed"),
+    counted = F.concat(F.array(F.struct(F.lit(-1).alias("i"), below.alias("slice"), none.alias("v"))), held)
+    tally = long.join(brackets, keys).select(*keys, "n", F.explode(counted).alias("t"))
+    tally = tally.groupBy(*keys, "n", F.col("t.i").alias("i"), F.col("t.slice").alias("slice"), F.col("t.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    # Slices of a bracket are few and bounded; the one that holds a rank is found from their totals, and only its values are ranked.
+    slices = tally.groupBy(*keys, "n", "i", "slice").agg(F.sum("c").alias("c"))
+    slices = slices.groupBy(*keys, "n").agg(F.collect_list(F.struct("i", "slice", "c")).alias("_s"))
+    position = lambda i: F.get(F.array(*[F.lit(float(p)) for p in ordered]), i) * (F.col("n") - 1)
+
+    def total(rows: Column) -> Column:
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda t, s: t + s["c"])
+
+    wanted = slices.select(*keys, "n", "_s", F.explode(F.sequence(F.lit(0), F.lit(len(ordered) - 1))).alias("i"))
+    wanted = wanted.select(*keys, "n", "i", position(F.col("i")).alias("pos"), total(F.filter("_s", lambda s: (s["i"] == -1) & (s["slice"] <= F.col("i")))).alias("under"),
+                           F.array_sort(F.transform(F.filter("_s", lambda s: s["i"] == F.col("i")), lambda s: F.struct(s["slice"].alias("slice"), s["c"].alias("c")))).alias("_s"))
+    placed = F.transform("_s", lambda s: F.struct(s["slice"].alias("slice"), s["c"].alias("c"), (F.col("under") + total(F.filter("_s", lambda o: o["slice"] < s["slice"]))).alias("before")))
+    near = F.filter(placed, lambda s: (s["before"] <= F.ceil("pos")) & (s["before"] + s["c"] > F.floor("pos")))
+    reached = F.col("under") + total(F.col("_s"))
+    missed = (F.col("under") > F.floor("pos")) | (reached <= F.ceil("pos"))
+    checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("array<struct<slice: int, c: bigint, before: bigint>>")).otherwise(near)
+    wanted = wanted.select(*keys, "i", "pos", F.explode(checked).alias("s")).select(*keys, "i", "pos", "s.slice", "s.before")
+    ranked = tally.where("i >= 0").join(F.broadcast(wanted) if not by else wanted, [*keys, "i", "slice"])
+    running = F.sum("c").over(W.partitionBy(*keys, "i", "slice").orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    picked = ranked.select(*keys, "n", "i", "pos", "v", running.alias("upto")).groupBy(*keys, "n", "i", "pos").agg(
         F.min(F.when(F.col("upto") > F.floor("pos"), F.col("v"))).alias("lower"),
         F.min(F.when(F.col("upto") > F.ceil("pos"), F.col("v"))).alias("upper"),
     )
-    value = F.when(
-        F.col("missed") | F.col("upper").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    ).otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("pos") - F.floor("pos")))
-    return (
-        picked.select(*keys, "n", "i", value.alias("x"))
-        .groupBy(*keys, "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
-    )
+    x = F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("pos") - F.floor("pos"))
+    found = picked.select(*keys, "n", "i", x.alias("x")).groupBy(*keys, "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    back = F.array(*[F.get("q", F.lit(ordered.index(p))) for p in probs])
+    return found.select(*keys, "n", back.alias("q"))
 
 
 def quantile_columns(df: DataFrame, column: str, probs: Sequence[float]) -> list[Column]:
@@ -158,8 +179,19 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def duplicate_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns equal, row for row, to an earlier column (exact, one pass)."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    """Columns equal, row for row, to an earlier column.
+
+    One pass sums a hash of each column's value with a hash of its row, which is the same for equal columns only; then only
+    columns that share that sum are compared, exactly.
+    """
+    row = F.xxhash64(*[F.col(c).cast("string") for c in columns])
+    marks = df.agg(*[F.sum(F.xxhash64(row, F.col(c).cast("string")) % F.lit(1 << 40)).alias(c) for c in columns]).first()
+    alike: dict[object, list[str]] = {}
+    for c in columns:
+        alike.setdefault(marks[c], []).append(c)
+    pairs = [(g[i], g[j]) for g in alike.values() for i in range(len(g)) for j in range(i + 1, len(g))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column string, duplicate_of string")
     wide = df.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"{a}@{b}") for a, b in pairs])
     rows = F.array(*[
         F.struct(F.lit(b).alias("column"), F.lit(columns.index(a)).alias("at"), F.lit(a).alias("first"), F.col(f"{a}@{b}").alias("same"))
@@ -237,8 +269,8 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
 def class_area_table(df: DataFrame, class_column: str, labels: dict[int, str], pixel_area_m2: float, value: str | None = None) -> DataFrame:
     """Pixels, share, hectares and square kilometres per class; classes without pixels stay in the table."""
     extra = [F.min(value).alias("value_min"), F.max(value).alias("value_max")] if value else []
-    # Class 0 is counted too and falls away in the join with the labels.
-    counts = df.groupBy(F.col(class_column).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"), *extra)
+    # At most one row per label is left to broadcast.
+    counts = df.where(F.col(class_column).cast("int").isin([int(k) for k in labels])).groupBy(F.col(class_column).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"), *extra)
     total = df.agg(F.count_if(F.col(class_column) > 0).alias("t")).scalar()
     names = df.sparkSession.createDataFrame([(int(k), v) for k, v in labels.items()], "class int, label string")
     n = F.coalesce(F.col("n"), F.lit(0))

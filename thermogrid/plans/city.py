@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from thermogrid import constants as K, functions as fn
 from thermogrid.functions import haversine_m, round_even
 from thermogrid.operators.keyed import attach_row, top_n
-from thermogrid.operators.spatial import nearest_features
+from thermogrid.operators.spatial import nearest_features, sphere_bounds
 from thermogrid.operators.stats import attach_quantiles, unpivot_columns
 
 
@@ -41,15 +41,13 @@ def enrich(hot: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataF
 def nearest_cells(points: DataFrame, cells: DataFrame, max_km: float = 3.0) -> DataFrame:
     """Nearest cell per point (point_id, lon, lat) by great-circle distance, none beyond max_km.
 
-    The search prunes in plane degrees scaled to metres; the slack covers how far that scale can differ from
-    the sphere within a city region, and the final choice uses the sphere.
+    The search prunes by bounds that hold on the sphere at any latitude.
     """
-    kx, ky = K.M_PER_DEG_LNG, K.M_PER_DEG_LAT
-    queries = points.select("point_id", (F.col("lon") * kx).alias("qx"), (F.col("lat") * ky).alias("qy"))
-    x, y = F.col("lon") * kx, F.col("lat") * ky
+    queries = points.select("point_id", F.col("lon").alias("qx"), F.col("lat").alias("qy"))
+    x, y = F.col("lon"), F.col("lat")
     features = cells.select("grid_id", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
-    sphere = lambda: haversine_m(F.col("qy") / ky, F.col("qx") / kx, F.col("y1") / ky, F.col("x1") / kx)
-    found = nearest_features(queries, features, 1, "point_id", "grid_id", distance=sphere, slack=0.03)
+    sphere = lambda: haversine_m(F.col("qy"), F.col("qx"), F.col("y1"), F.col("x1"))
+    found = nearest_features(queries, features, 1, "point_id", "grid_id", distance=sphere, bounds=sphere_bounds)
     return found.where(F.col("distance") <= max_km * 1000.0).select("point_id", "grid_id", F.col("distance").alias("distance_m"))
 
 

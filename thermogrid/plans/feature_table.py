@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from thermogrid import constants as K, functions as fn
 from thermogrid.operators.keyed import attach_row, drop_duplicate_rows
@@ -92,38 +92,35 @@ def split_valid(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, Data
 
 @dataclass(frozen=True)
 class Preprocessor:
+    """`fill` holds one number per column; `codes` is a table (column, value, code) of any size."""
+
     fill: dict[str, float]
-    codes: dict[str, dict[float, float]]
-    fallback: dict[str, float]
+    codes: DataFrame | None = None
+    encoded: tuple[str, ...] = ()
 
 
-def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], encode: bool = True, max_codes: int = 10_000) -> Preprocessor:
-    """Medians, modes and label codes. Only one number per column and the (bounded) code lists leave the cluster."""
+def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], encode: bool = True) -> Preprocessor:
+    """Medians, modes and label codes (the rank of a value among the column's values). One number per column leaves the cluster."""
     fill = {r["column"]: r["fill"] for r in median_fill_values(df, numeric).collect()} if numeric else {}
     modes = {r["column"]: r["fill"] for r in mode_fill_values(df, categorical).collect()} if categorical else {}
-    codes: dict[str, dict[float, float]] = {}
-    fallback: dict[str, float] = {}
+    codes = None
     if encode and categorical:
         pairs = unpivot_columns(df, [], categorical).where(F.col("value").isNotNull()).distinct()
-        values = pairs.orderBy("column", "value").limit(max_codes + 1).collect()
-        if len(values) > max_codes:
-            raise ValueError("too many distinct categorical values to encode")
-        for r in values:
-            known = codes.setdefault(r["column"], {})
-            known[r["value"]] = float(len(known))
-        fallback = {c: codes[c][modes[c]] for c in codes}
-    return Preprocessor({**fill, **modes}, codes, fallback)
+        rank = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1
+        codes = pairs.select("column", "value", rank.cast("double").alias("code"))
+    return Preprocessor({**fill, **modes}, codes, tuple(c for c in categorical if c in modes) if encode else ())
 
 
 def apply_preprocessor(df: DataFrame, fitted: Preprocessor) -> DataFrame:
     """Fill, then encode; a value never seen in fitting takes the code of the most frequent one."""
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in fitted.fill.items() if c in df.columns})
-    out = {}
-    for c, table in fitted.codes.items():
+    for c in fitted.encoded:
         if c in df.columns:
-            lookup = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
-            out[c] = F.coalesce(F.try_element_at(lookup, F.col(c).cast("double")), F.lit(fitted.fallback[c]))
-    return filled.withColumns(out)
+            known = fitted.codes.where(F.col("column") == c)
+            common = known.where(F.col("value") == fitted.fill[c]).select("code").scalar()
+            table = known.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+            filled = filled.join(table, filled[c] == table["_value"], "left").withColumn(c, F.coalesce("_code", common)).drop("_value", "_code")
+    return filled
 
 
 # --- live values and provenance -----------------------------------------------------------------------

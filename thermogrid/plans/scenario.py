@@ -19,35 +19,17 @@ LINEAR_FEATURES = {"green_cover": -0.05, "mean_ndvi": -2.0, "impervious_ratio":
 # --- perturbation sets --------------------------------------------------------------------------------
 
 
-def tree_planting(trees: int = 100) -> Perturbations:
-    """Linear in the number of trees per cell, relative to the standard fifty."""
-    if trees < 0:
-        raise ValueError("trees must be >= 0")
-    share = trees / 50.0
-    base = K.SCENARIOS["increase_trees"]
-    out = {f: ("add", v * share) if kind == "add" else ("mul", 1.0 + (v - 1.0) * share) for f, (kind, v) in base.items()}
-    out["tree_count"] = ("add", float(trees))
-    return out
-
-
-def cool_roof(coverage_pct: float = 30.0) -> Perturbations:
-    if not 0.0 <= coverage_pct <= 100.0:
-        raise ValueError("coverage_pct must lie between 0 and 100")
-    share = coverage_pct / 100.0
-    return {
-        "impervious_ratio": ("add", -5.0 * share), "building_coverage_pct": ("add", -3.0 * share),
-        "hvi": ("add", -0.03 * share), "veg_cooling": ("mul", 1.0 + 0.10 * share),
-    }
+def intervention(name: str, strength: float) -> Perturbations:
+    """The steps of a named intervention at a strength in its own measure (trees, percent of roofs, metres of width).
 
-
-def green_corridor(width_m: int = 50) -> Perturbations:
-    if width_m < 0:
-        raise ValueError("width_m must be >= 0")
-    share = width_m / 50.0
-    return {
-        "green_space_pct": ("add", 8.0 * share), "mean_ndvi": ("add", 0.03 * share), "green_to_built": ("mul", 1.0 + 0.15 * share),
-        "veg_cooling": ("mul", 1.0 + 0.15 * share), "dist_to_park": ("mul", max(0.0, 1.0 - 0.10 * share)),
-    }
+    Steps grow in proportion to the strength, factors by their distance from 1; no factor falls below 0.
+    """
+    spec = K.INTERVENTIONS[name]
+    low, high = spec["range"]
+    if strength < low or (high is not None and strength > high):
+        raise ValueError(f"{name}: strength {strength} is out of range")
+    units = strength / spec["unit"]
+    return {f: (kind, units * v if kind == "add" else max(0.0, 1.0 + units * (v - 1.0))) for f, (kind, v) in spec["steps"].items()}
 
 
 def ratio_scaled(perturbations: Perturbations) -> Perturbations:
@@ -59,7 +41,10 @@ def ratio_scaled(perturbations: Perturbations) -> Perturbations:
 
 def all_scenarios() -> dict[str, Perturbations]:
     """The seven standard scenarios and the three interventions at their default strength."""
-    return {**K.SCENARIOS, "tree_planting": tree_planting(), "cool_roofs_30pct": cool_roof(), "green_corridor": green_corridor()}
+    return {
+        **K.SCENARIOS, "tree_planting": intervention("tree_planting", 100), "cool_roofs_30pct": intervention("cool_roof", 30),
+        "green_corridor": intervention("green_corridor", 50),
+    }
 
 
 def scenario_table(spark: SparkSession, scenarios: dict[str, Perturbations] | None = None) -> DataFrame:
@@ -71,16 +56,21 @@ def scenario_table(spark: SparkSession, scenarios: dict[str, Perturbations] | No
 
 
 def perturbed(feature: str, kind: str, value: float) -> Column:
-    """The changed value of one feature, clamped to its bounds."""
+    """One feature after its change, held within the feature's bounds.
+
+    Every kind is a slope, an offset, and a floor or ceiling of its own.
+    """
+    slope, offset, floor, ceiling = {
+        "add": (1.0, value, None, None), "mul": (value, 0.0, None, None), "min": (1.0, 0.0, None, value), "max": (1.0, 0.0, value, None),
+    }.get(kind) or _no_such(kind)
     v = F.col(feature)
-    changes = {
-        "add": lambda: v + F.lit(float(value)), "mul": lambda: v * F.lit(float(value)),
-        "min": lambda: clip(v, high=value), "max": lambda: clip(v, low=value),
-    }
-    if kind not in changes:
-        raise ValueError(f"unknown perturbation kind: {kind}")
-    low, high = K.FEATURE_BOUNDS.get(feature, (None, None))
-    return clip(changes[kind](), low, high)
+    v = v if slope == 1.0 else v * F.lit(float(slope))
+    v = v if offset == 0.0 else v + F.lit(float(offset))
+    return clip(clip(v, floor, ceiling), *K.FEATURE_BOUNDS.get(feature, (None, None)))
+
+
+def _no_such(kind: str):
+    raise ValueError(f"perturbations are add, mul, min and max, not {kind}")
 
 
 def perturb(df: DataFrame, perturbations: Perturbations, selected: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermogrid.operators.keyed import union_all
 
-__all__ = ["read_csv_columns", "read_geojson", "read_layer", "clean_layer", "bounding_box"]
+__all__ = ["read_csv_columns", "read_geojson", "read_geojson_document", "read_layer", "clean_layer", "bounding_box"]
 
 _GEOMETRY = "struct<type: string, coordinates: string>"
 
@@ -20,23 +20,31 @@ def read_csv_columns(spark: SparkSession, path: str, schema: str, columns: Seque
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of a GeoJSON collection: properties, geometry type, coordinates as text.
+    """Features of GeoJSON collections that hold one feature per line: properties, geometry type, coordinates as text.
 
-    A file with one feature per line is split by Spark; a single-document file is one task, so large layers
-    should be stored line by line (write_geojson_lines does) or as Parquet.
+    Spark splits such files, so large layers should be stored this way (write_geojson_lines does) or as Parquet; a collection in
+    any other layout is for read_geojson_document. A feature with a null geometry stays, with nulls. The lines that
+    open and close the collection are known by their form; any other line that is no feature is an error, not a loss.
     """
     feature = f"struct<type: string, properties: struct<{properties}>, geometry: {_GEOMETRY}>"
-    text = spark.read.text(path)
-    line = F.from_json(F.rtrim(F.trim("value"), F.lit(",")), feature)
-    parsed = text.select(line.alias("f")).where(F.col("f.geometry").isNotNull())
-    return parsed.select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    bare = F.rtrim(F.trim(F.regexp_replace("value", "[\\t\\r]+$", "")), F.lit(","))
+    lines = spark.read.text(path).select(bare.alias("line"))
+    frame = F.col("line").rlike(r'^(\{\s*("type"\s*:\s*"FeatureCollection"\s*,)?.*"features"\s*:\s*\[|[\[\]{}\s]*)$')
+    parsed = lines.where(~frame).select(F.from_json("line", feature).alias("f"), "line")
+    broken = F.raise_error(F.concat(F.lit("not a GeoJSON feature: "), F.substring("line", 1, 80)))
+    checked = F.when(F.col("f.type") == "Feature", F.col("f")).otherwise(broken.cast(feature))
+    return _feature_columns(parsed.select(checked.alias("f")))
 
 
 def read_geojson_document(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Whole-document FeatureCollections."""
+    """Features of FeatureCollections that are one document each, compact or over many lines; one task reads a file whole."""
     schema = f"type string, features array<struct<type: string, properties: struct<{properties}>, geometry: {_GEOMETRY}>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    return doc.select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    doc = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return _feature_columns(doc.select(F.explode("features").alias("f")))
+
+
+def _feature_columns(features: DataFrame) -> DataFrame:
+    return features.select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def read_layer(spark: SparkSession, candidates: Sequence[str]) -> DataFrame | None:
@@ -59,8 +67,10 @@ def clean_layer(features: DataFrame, coords: str = "coords", geom_type: str = "g
     return present.withColumn(coords, F.when(is_open, F.concat(coords, F.slice(coords, 1, 1))).otherwise(F.col(coords)))
 
 
-def bounding_box(cells: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float, half: tuple[float, float], limit: int = 1000, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Cells whose rectangle meets a box, at most `limit` (1..5000, else 1000), by id. The test reaches the scan."""
-    limit = limit if 1 <= limit <= 5000 else 1000
+def bounding_box(cells: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float, half: tuple[float, float], limit: int | None = None, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Cells whose rectangle meets a box, by id: all of them, or the first `limit` if one is asked for. The test reaches the scan."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit is at least 1")
     meets = F.col(x).between(xmin - half[0], xmax + half[0]) & F.col(y).between(ymin - half[1], ymax + half[1])
-    return cells.where(meets).orderBy("grid_id").limit(limit)
+    found = cells.where(meets).orderBy("grid_id")
+    return found if limit is None else found.limit(limit)

@@ -51,17 +51,32 @@ def parse_air_quality(raw: DataFrame, payload: str, components: Sequence[str] =
     return items.select(*keep, F.timestamp_seconds("r.dt").alias("observed_at"), F.col("r.main.aqi").alias("aqi"), *[F.col("r.components")[c].alias(c) for c in components])
 
 
-def daily_rollup(observations: DataFrame, station: str, parameter: str, late: str = "2 days") -> DataFrame:
-    """Mean and count per station, parameter and day. On a stream, later readings than `late` are left out."""
+def daily_rollup(observations: DataFrame, station: str, parameter: str, late: str | None) -> DataFrame:
+    """Mean and count per station, parameter and day.
+
+    On a stream, `late` is how long a day stays open after newer readings have come; None keeps every day open, so no reading
+    is left out and the state holds one row per station, parameter and day. A stream that closes days should keep what
+    comes later beside it (readings_before).
+    """
     day = F.window("observed_at", "1 day")
-    rows = observations.withWatermark("observed_at", late) if observations.isStreaming else observations
+    rows = observations.withWatermark("observed_at", late) if observations.isStreaming and late else observations
     agg = rows.groupBy(day, station, parameter).agg(F.avg("value").alias("mean_value"), F.count("value").alias("n"))
     return agg.select(F.to_date("window.start").alias("date"), station, parameter, "mean_value", "n")
 
 
-def live_periods(observations: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "1 hour") -> DataFrame:
-    """Spans in which a source never went silent for the time-to-live; a span's end is when its reading expires."""
+def readings_before(observations: DataFrame, closed_until) -> DataFrame:
+    """Readings of days that a rollup has closed already, for a table of their own."""
+    return observations.where(F.col("observed_at") < F.lit(closed_until))
+
+
+def live_periods(observations: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str | None = None) -> DataFrame:
+    """Spans in which a source never went silent for the time-to-live; a span's end is when its reading expires.
+
+    A stream needs `late`: a span is given out once readings that much newer have come, and readings later than that are not in it.
+    """
     if observations.isStreaming:
+        if late is None:
+            raise ValueError("a stream needs to know how late readings may come")
         rows = observations.withWatermark("observed_at", late).withColumns({"first": F.col("observed_at"), "last": F.col("observed_at"), "_n": F.lit(1)})
         gap = F.lit(f"{ttl_seconds} seconds")
     else:

@@ -52,16 +52,18 @@ def feed_status(statuses: DataFrame, predicted: DataFrame) -> DataFrame:
     return s.select("missing_sources", "fallback_used", state.alias("state"))
 
 
-def snapshot_history(snapshots: DataFrame, keep: int = 100) -> DataFrame:
-    """The newest snapshots, by id."""
-    return snapshots.orderBy(F.desc("snapshot_id")).limit(keep)
+def newest_snapshots(snapshots: DataFrame, n: int) -> DataFrame:
+    """A view of the history: its n newest snapshots, by id. The history itself is kept in full."""
+    return snapshots.orderBy(F.desc("snapshot_id")).limit(n)
 
 
-def change_feed(snapshots: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each snapshot id once. Repeats inside the watermark are dropped, so the state stays bounded."""
-    if snapshots.isStreaming:
-        return snapshots.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["snapshot_id"])
-    return snapshots.dropDuplicates(["snapshot_id"])
+def change_feed(snapshots: DataFrame) -> DataFrame:
+    """Each snapshot id with its first and last reading.
+
+    On a stream this is for update mode: an id comes again whenever its readings change, however late they arrive, and the
+    state holds one row per id.
+    """
+    return snapshots.groupBy("snapshot_id").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
 
 
 def score_live(cells: DataFrame, live_row: DataFrame, columns: Sequence[str], scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
