@@ -17,6 +17,7 @@ from thermogrid.llm.tables import written
 _GRAM = 32
 _BITS = 24  # of a packed value, for the place in a block
 _PIECE = 4 << 20
+_BLOCK = 1 << 20
 #: Bytes of distinct strings that one suffix array takes, about.
 SHARD_BYTES = 1 << 20
 
@@ -74,7 +75,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
 def _segmenter(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, block, bounds in T.text_blocks(b.column(2)):
+            for row, block, bounds in T.text_blocks(b.column(2), _BLOCK):
                 for shift, data, offsets in _pieces(block, bounds, length):
                     first, count, key, digest, inside = segments(data, offsets, length)
                     doc = np.searchsorted(offsets, first, "right") - 1

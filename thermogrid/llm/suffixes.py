@@ -68,35 +68,32 @@ def _induce(s: np.ndarray, size: int, is_s: np.ndarray, lms: np.ndarray) -> np.n
     return sa
 
 
-def _induce_names(s: list[int], size: int, is_s: list[bool], lms: list[int]) -> list[int]:
-    """The same over a large alphabet, where a bucket holds a few suffixes: one at a time."""
-    n = len(s)
-    sa, count = [-1] * n, [0] * size
-    for c in s:
-        count[c] += 1
-    ends, total = [0] * size, 0
-    for c in range(size):
-        total += count[c]
-        ends[c] = total
-    starts = [e - k for e, k in zip(ends, count)]
-    tail = ends[:]
-    for i in reversed(lms):
-        c = s[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = starts
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not is_s[j]:
-            c = s[j]
-            sa[head[c]] = j
-            head[c] += 1
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and is_s[j]:
-            c = s[j]
-            ends[c] -= 1
-            sa[ends[c]] = j
+def _sort_names(name: np.ndarray) -> np.ndarray:
+    """Suffixes of a string of names in ascending order; its last name is the least and stands nowhere else.
+
+    Names are sorted again and again by pairs: a group of suffixes that agree in h names is split by the groups of the suffixes h
+    places on, which makes 2h. Only groups of several go into the next round.
+    """
+    order = np.argsort(name, kind="stable")
+    ranked = name[order]
+    head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    size = np.diff(np.append(head, len(name)))
+    rank = np.empty(len(name), np.int64)
+    rank[order] = np.repeat(head, size)
+    open_, h = order[np.repeat(size > 1, size)], 1
+    while len(open_):
+        key = rank[open_] << 32 | rank[open_ + h]
+        by = np.argsort(key)
+        open_, key = open_[by], key[by]
+        group = key >> 32
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        place = np.arange(len(key)) - np.repeat(edge, np.diff(np.append(edge, len(key)))) + group
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(head, len(key)))
+        rank[open_] = np.repeat(place[head], size)
+        open_, h = open_[np.repeat(size > 1, size)], 2 * h
+    sa = np.empty(len(name), np.int64)
+    sa[rank] = np.arange(len(name))
     return sa
 
 
@@ -113,44 +110,34 @@ def _classes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return is_s, lms
 
 
-def _sorted_with_end(s: np.ndarray, size: int) -> np.ndarray:
-    """Suffix array of a text whose last character is 0 and stands nowhere else."""
-    if len(s) < 3:
-        return np.arange(len(s) - 1, -1, -1, dtype=np.int32) if len(s) < 2 or s[0] > s[1] else np.arange(len(s), dtype=np.int32)
-    few = size <= 1024
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of a text of non-negative integers, in ascending order.
+
+    Leftmost-smaller substrings are sorted by a first induction and named; names that repeat are sorted by pairs of names; a second
+    induction puts all suffixes in order. An alphabet of more than 1024 characters counts as names from the start.
+    """
+    s = np.append(text.astype(np.int32) + 1, np.int32(0))
+    size = int(s.max()) + 1
+    if size > 1024 or len(s) < 3:
+        return _sort_names(s)[1:].astype(np.int32)
     is_s, lms = _classes(s)
-    if few:
-        induce = lambda order: _induce(s, size, is_s, np.asarray(order, np.int32))
-    else:
-        as_list, flags = s.tolist(), is_s.tolist()
-        induce = lambda order: np.array(_induce_names(as_list, size, flags, list(order)), np.int32)
-    if len(lms) < 2:
-        return induce(lms)
-    rough = induce(lms if few else lms.tolist())
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    ranked = rough[is_lms[rough]]
-    # Leftmost-smaller substrings, each up to the start of the next, are named by rank; equal ones share a name.
-    until = np.zeros(len(s), np.int64)
-    until[lms] = np.append(lms[1:], len(s) - 1)
-    span = until[ranked] - ranked
-    sums = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(T.mix(s.astype(np.uint64) + np.uint64(7)) * T.powers(len(s))[0][: len(s)], out=sums[1:])
-    mark = T.span_hash(sums, ranked.astype(np.int64), ranked + span + 1 - (until[ranked] == ranked))
-    name = np.cumsum(np.concatenate([[0], (mark[1:] != mark[:-1]) | (span[1:] != span[:-1])]))
-    if name[-1] + 1 < len(lms):
+    if len(lms) > 1:
+        rough = _induce(s, size, is_s, lms)
+        is_lms = np.zeros(len(s), bool)
+        is_lms[lms] = True
+        ranked = rough[is_lms[rough]].astype(np.int64)
+        # A substring goes up to the start of the next one; the last of all is the end alone.
+        until = np.zeros(len(s), np.int64)
+        until[lms] = np.append(lms[1:], len(s) - 1)
+        sums = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(T.mix(s.astype(np.uint64) + np.uint64(7)) * T.powers(len(s))[0][: len(s)], out=sums[1:])
+        span = until[ranked] - ranked
+        mark = T.span_hash(sums, ranked, until[ranked] + 1)
+        name = np.cumsum(np.concatenate([[0], (mark[1:] != mark[:-1]) | (span[1:] != span[:-1])]))
         place = np.zeros(len(s), np.int64)
         place[ranked] = name
-        lms = lms[_sorted_with_end(place[lms], int(name[-1]) + 1)]
-    else:
-        lms = ranked
-    return induce(lms if few else lms.tolist())
-
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of a text of small non-negative integers, in ascending order."""
-    s = np.append(text.astype(np.int32) + 1, np.int32(0))
-    return _sorted_with_end(s, int(s.max()) + 1)[1:]
+        lms = ranked if name[-1] + 1 == len(lms) else lms[_sort_names(place[lms])]
+    return _induce(s, size, is_s, lms.astype(np.int32))[1:]
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

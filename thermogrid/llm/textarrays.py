@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -39,20 +39,19 @@ def _word_bytes(spaces_only: bool) -> np.ndarray:
     return table
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """odd^i and its inverse, for i below n."""
-    up, down = np.full(n, _ODD), np.full(n, np.uint64(pow(int(_ODD), -1, 1 << 64)))
-    up[:1], down[:1] = 1, 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: odd^i and its inverse, for the longest block so far.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 20
-    while size < n + 1:
-        size *= 2
-    up, down = _powers(size)
-    return up[: n + 1], down[: n + 1]
+    """odd^i and its inverse, for i up to n."""
+    if len(_POWERS[0]) <= n:
+        size = -(-(n + 1) // (1 << 18)) << 18
+        for k, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
+            grown = np.full(size, np.uint64(base))
+            grown[:1] = 1
+            _POWERS[k] = np.multiply.accumulate(grown, out=grown)
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
