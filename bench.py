@@ -21,7 +21,7 @@ HEADLINE = [
     "dn_to_lst_P5",
     "heat_class_quantiles_P14",
     "heat_vulnerability_index_P30",
-    "microclimate_impact_P39",
+    "live_grid_scoring_ST7",
     "points_per_cell_J2",
     "overlay_area_J3",
     "overlay_length_J4",

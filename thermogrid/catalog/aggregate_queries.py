@@ -15,6 +15,9 @@ from thermogrid.operators.keyed import drop_duplicate_rows
 from thermogrid.plans import city as C, scenario as SC, temporal as TP
 
 
+SEASON_SQL = "CASE WHEN month(date) IN (12, 1, 2) THEN 'winter' WHEN month(date) IN (3, 4, 5) THEN 'pre_monsoon' WHEN month(date) IN (6, 7, 8, 9) THEN 'monsoon' ELSE 'post_monsoon' END"
+
+
 def r6(*names):
     return [round_even(n, 6).alias(n) for n in names]
 
@@ -353,7 +356,7 @@ def _(d):
 def _(d):
     from thermogrid.operators.keyed import attach_row
 
-    wet = TP.dates_per_season(d.scenes).where("season = 'monsoon'").select("n", F.element_at("dates", 1).alias("d"))
+    wet = TP.dates_per_season(d.scenes).where("season = 'monsoon'").select("n", F.col("first_date").alias("d"))
     return attach_row(TP.catalogue_summary(d.scenes), "_m", wet).select("scene_count", "first_date", "latest_date", "date_range_years", F.coalesce(F.col("_m.n"), F.lit(0)).alias("monsoon_scenes"), F.col("_m.d").alias("first_monsoon"))
 
 
@@ -397,12 +400,26 @@ def _(d):
 
 
 @query("dataset_report_A43", f"""
-    WITH t AS ({TEMPORAL_SQL.format(cols='w.t2m, w.rh2m')}) SELECT count(*) AS total_rows, count(lst_c) AS valid_lst_rows, count(*) FILTER (t2m IS NOT NULL AND rh2m IS NOT NULL) AS valid_weather_rows,
-      count(*) FILTER (t2m IS NOT NULL AND rh2m IS NOT NULL AND lst_c IS NOT NULL) AS complete_rows FROM t""")
+    WITH t AS ({TEMPORAL_SQL.format(cols='w.t2m, w.rh2m, o.date')}) SELECT count(*) AS total_rows, count(lst_c) AS valid_lst_rows, count(*) FILTER (t2m IS NOT NULL AND rh2m IS NOT NULL) AS valid_weather_rows,
+      count(*) FILTER (t2m IS NOT NULL AND rh2m IS NOT NULL AND lst_c IS NOT NULL) AS complete_rows,
+      count(DISTINCT date) AS dates, count(DISTINCT grid_id) AS cells, count(DISTINCT scene_id) AS scenes FROM t""")
 def _(d):
     return TP.dataset_report(temporal(d), ["t2m", "rh2m"])
 
 
+@query("season_report_A43b", f"""
+    WITH t AS ({TEMPORAL_SQL.format(cols='o.date')}) SELECT {SEASON_SQL} AS season, count(*) AS rows, count(DISTINCT date) AS dates, count(DISTINCT grid_id) AS cells FROM t GROUP BY 1""")
+def _(d):
+    return TP.season_report(temporal(d))
+
+
+@query("scene_report_A43c", """
+    WITH s AS (SELECT scene_id, count(*) AS t, count(lst_c) AS v FROM cell_lst_dates GROUP BY scene_id)
+    SELECT CASE WHEN v * 1.0e0 / t < 0.3e0 THEN 'skipped_low_quality' ELSE 'included' END AS status, count(*) AS scenes, CAST(sum(t) AS BIGINT) AS total_cells, CAST(sum(v) AS BIGINT) AS valid_cells FROM s GROUP BY 1""")
+def _(d):
+    return TP.scene_report(d.cell_lst_dates)
+
+
 @query("osm_totals_A44", f"""
     SELECT (SELECT count(*) FROM rects) AS buildings, (SELECT R3(sum({SEG_LEN_SQL}) / 1000) FROM segments) AS road_km, R4(sum(CASE WHEN landuse IN ('forest', 'orchard') THEN {RING_AREA_SQL} ELSE 0 END) / 1e6) AS green_km2,
       count(*) FILTER (landuse = 'forest') AS trees FROM rects""")

@@ -8,6 +8,7 @@ from thermogrid import constants as K
 from thermogrid.catalog.join_queries import CITY_BOX, EXPLAIN_FEATURES, EXPLAIN_SQL, OUTLINE, importance_table, pip_sql
 from thermogrid.catalog.aggregate_queries import _IMP, contributions, sel
 from thermogrid.catalog.registry import query
+from thermogrid.catalog.window_queries import draw_sql
 from thermogrid.catalog.scalar_queries import SIM_SQL, simulation
 from thermogrid.functions import point_in_ring, round_even
 from thermogrid.operators import spatial as S
@@ -181,7 +182,7 @@ def _(d):
     return d.scenes.orderBy("date", "scene_id").limit(10).select("date", "scene_id")
 
 
-@query("fixed_sample_L9")
+@query("fixed_sample_L9", f"SELECT grid_id, R6(mean_lst) AS mean_lst FROM cells ORDER BY {draw_sql('grid_id', 42)}, grid_id LIMIT 300")
 def _(d):
     from thermogrid.plans.models import fixed_sample
 

@@ -58,6 +58,41 @@ def _(d):
     return p.select("source", F.unix_micros("live_from").alias("live_from_us"), F.unix_micros("expires_at").alias("expires_us"), "readings")
 
 
+def payload_stream(d, label, payload):
+    """Readings as provider payloads, streamed in two batches."""
+    path = scratch_path(d.spark, label)
+    d.events.select("event_id", payload.alias("payload")).repartition(2, "event_id").write.parquet(path)
+    return J.file_stream(d.spark, path, "event_id bigint, payload string", files_per_trigger=1)
+
+
+@query("weather_payloads_ST1b", """
+    SELECT event_id, R6(value * 0.3e0) AS temperature, R6(value / 7.0e0) AS wind_speed, R6(value / 7.0e0 * 3.6e0) AS wind_speed_kmh,
+      CASE WHEN event_id % 3 = 0 THEN R6(value / 11.0e0) ELSE 0.0e0 END AS rain_mm, event_id % 2 = 0 AS is_day
+    FROM events WHERE value IS NOT NULL AND event_id % 13 <> 0""")
+def _(d):
+    i, v = F.col("event_id"), F.col("value")
+    rain = F.when(i % 3 == 0, F.create_map(F.lit("1h"), v / 11.0))
+    sun = F.struct(F.when(i % 2 == 0, 0).otherwise(5_000_000_000).cast("long").alias("sunrise"), F.lit(6_000_000_000).alias("sunset"))
+    payload = F.to_json(F.struct(
+        F.struct(F.when(i % 13 != 0, v * 0.3).alias("temp"), F.lit(50.0).alias("humidity")).alias("main"), F.struct((v / 7.0).alias("speed")).alias("wind"),
+        rain.alias("rain"), (F.lit(1_700_000_000) + i).cast("long").alias("dt"), sun.alias("sys")))
+    parsed = J.append_and_read(O.parse_weather(payload_stream(d, "weather-payloads", payload), "payload"), "weather")
+    return parsed.select("event_id", *[round_even(c, 6).alias(c) for c in ("temperature", "wind_speed", "wind_speed_kmh", "rain_mm")], "is_day")
+
+
+@query("air_payloads_ST1c", """
+    SELECT event_id, k AS hour, CAST(1 + event_id % 5 AS INT) AS aqi, R6(value + k) AS pm2_5, CASE WHEN k = 1 THEN R6(value * 2.0e0) END AS no2
+    FROM events, (VALUES (0), (1)) t(k) WHERE value IS NOT NULL""")
+def _(d):
+    i, v = F.col("event_id"), F.col("value")
+    reading = lambda k: F.struct(
+        F.lit(3600 * k).cast("long").alias("dt"), F.struct((1 + i % 5).alias("aqi")).alias("main"),
+        F.struct((v + k).alias("pm2_5"), F.when(F.lit(k == 1), v * 2.0).alias("no2")).alias("components"))
+    payload = F.to_json(F.struct(F.array(reading(0), reading(1)).alias("list")))
+    parsed = J.append_and_read(O.parse_air_quality(payload_stream(d, "air-payloads", payload).where("payload like '%pm2_5%'"), "payload"), "air")
+    return parsed.select("event_id", (F.unix_seconds("observed_at") / 3600).cast("int").alias("hour"), "aqi", *[round_even(c, 6).alias(c) for c in ("pm2_5", "no2")])
+
+
 EXPECTED = """(VALUES ('click', 'live'), ('view', 'satellite'), ('error', 'live'), ('purchase', 'live'), ('dem', 'static'), ('lidar', 'live')) e(source, kind)"""
 STATUS_SQL = f"""
     WITH l AS ({LATEST_SQL}), now AS (SELECT max(observed_at) AS at FROM observations),

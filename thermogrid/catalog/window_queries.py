@@ -69,13 +69,28 @@ def _(d):
     return SR.date_folds(d.cell_lst_dates, "date", 4).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("dates"), F.min("date").alias("first_date"))
 
 
-@query("random_split_W9")
+@query("expanding_folds_W8b", _RANKS + """,
+    f AS (SELECT date, CAST(CASE WHEN r < (n % 4) * (floor(n / 4) + 1) THEN floor(r / (floor(n / 4) + 1)) ELSE n % 4 + floor((r - (n % 4) * (floor(n / 4) + 1)) / floor(n / 4)) END AS INT) AS fold FROM r)
+    SELECT t.k AS test_fold, CASE WHEN f.fold = t.k THEN 'test' ELSE 'train' END AS role, count(*) AS n, max(o.date) AS last_date
+    FROM cell_lst_dates o JOIN f ON f.date = o.date JOIN (VALUES (1), (2), (3)) t(k) ON f.fold <= t.k GROUP BY 1, 2""")
+def _(d):
+    uses = SR.expanding_folds(d.cell_lst_dates, "date", 4)
+    return uses.groupBy("test_fold", "role").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"))
+
+
+def draw_sql(column: str, seed: int) -> str:
+    return f"(({column} % 1000000007 * 1000003 + {seed * 7919}) % 998244353 * 48271 + 12345) % 2147483647"
+
+
+@query("random_split_W9", f"SELECT grid_id, {draw_sql('grid_id', 42)} % 1000000 < 200000 AS is_test, CAST({draw_sql('grid_id', 43)} % 5 AS INT) AS fold FROM cells")
 def _(d):
     folded = MD.hash_folds(MD.hash_split(d.cells.select("grid_id", "mean_lst"), "grid_id", 0.2), "grid_id", 5)
     return folded.select("grid_id", "is_test", "fold")
 
 
-@query("early_stopping_slice_W10")
+@query("early_stopping_slice_W10", f"""
+    WITH d AS (SELECT grid_id, {draw_sql('grid_id', 44)} AS d, count(*) OVER () AS n FROM cells)
+    SELECT grid_id, row_number() OVER (ORDER BY d % 4096, d, grid_id) <= least(greatest(500, floor(n * 0.1e0)), floor(n / 2.0e0)) AS validation FROM d""")
 def _(d):
     return MD.early_stopping_slice(d.cells.select("grid_id"), "grid_id").select("grid_id", "validation")
 

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thermogrid.operators.metrics import regression_metrics
 from thermogrid.operators.series import split_by_date
@@ -23,35 +23,48 @@ def split_leakage(cells: DataFrame, id_column: str = "grid_id", test: str = "is_
         "adjacent_pct", F.col("adjacent") / F.col("test_cells") * F.lit(100.0))
 
 
+def draw(df: DataFrame, id_column: str, seed: int) -> Column:
+    """A number below 2^31 - 1 that depends on a row's id and the seed only.
+
+    Whole ids go through plain arithmetic that any engine can repeat; other ids are hashed to a whole number first.
+    """
+    whole = dict(df.dtypes)[id_column] in ("tinyint", "smallint", "int", "bigint")
+    x = F.pmod(F.col(id_column).cast("long") if whole else F.xxhash64(id_column), F.lit(1_000_000_007))
+    return ((x * 1_000_003 + seed * 7919) % 998_244_353 * 48_271 + 12_345) % 2_147_483_647
+
+
 def hash_split(df: DataFrame, id_column: str, test_share: float = 0.2, seed: int = 42, name: str = "is_test") -> DataFrame:
     """Random but reproducible split: a row's side depends on its id only, not on partitioning."""
-    return df.withColumn(name, F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(1_000_000)) < int(test_share * 1_000_000))
+    return df.withColumn(name, draw(df, id_column, seed) % 1_000_000 < int(test_share * 1_000_000))
 
 
 def hash_folds(df: DataFrame, id_column: str, folds: int, seed: int = 43) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(folds)).cast("int"))
+    return df.withColumn("fold", (draw(df, id_column, seed) % folds).cast("int"))
 
 
 def fixed_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows (or all), the same ones every time."""
-    return df.orderBy(F.xxhash64(id_column, F.lit(seed)), id_column).limit(n)
+    return df.orderBy(draw(df, id_column, seed), id_column).limit(n)
 
 
 def early_stopping_slice(df: DataFrame, id_column: str, share: float = 0.10, minimum: int = 500, seed: int = 44) -> DataFrame:
-    """Mark at least max(minimum, share) rows for early stopping, in random but reproducible order.
+    """Mark max(minimum, share) rows for early stopping, but no more than half, in random but reproducible order.
 
-    The cut comes from a histogram of 4096 hash buckets, so no global sort is needed; the last bucket taken may
-    add a few rows.
+    A histogram of 4096 buckets of the draw says which buckets are taken whole and how many rows of the next one; only that bucket is
+    ranked, so no task sorts the table.
     """
-    bucket = F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(4096)).cast("int")
-    marked = df.withColumn("_b", bucket)
+    marked = df.withColumn("_d", draw(df, id_column, seed)).withColumn("_b", (F.col("_d") % 4096).cast("int"))
     counts = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(W.orderBy("_b"))  # at most 4096 rows
     total = F.sum("c").over(W.partitionBy())
-    wanted = F.greatest(F.lit(minimum), (total * F.lit(share)).cast("long"))
-    cut = counts.select("_b", upto.alias("u"), wanted.alias("w")).agg(
-        F.coalesce(F.min(F.when(F.col("u") >= F.col("w"), F.col("_b"))), F.lit(4096)).alias("cut"))
-    return marked.withColumn("validation", F.col("_b") <= cut.scalar()).drop("_b")
+    wanted = F.least(F.greatest(F.lit(minimum), (total * F.lit(share)).cast("long")), F.floor(total / 2))
+    cut = counts.select("_b", "c", upto.alias("u"), wanted.alias("w")).where("u >= w").agg(
+        F.min_by(F.struct(F.col("_b").alias("b"), (F.col("w") - F.col("u") + F.col("c")).alias("left")), "_b").alias("cut")).scalar()
+    last = marked.where(F.col("_b") == cut["b"]).select(id_column, "_d")
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_d", id_column))  # one bucket
+    taken = last.select(F.col(id_column).alias("_id"), place.alias("_r")).where(F.col("_r") <= cut["left"])
+    out = marked.join(taken, marked[id_column] == taken["_id"], "left")
+    return out.withColumn("validation", (F.col("_b") < cut["b"]) | F.col("_id").isNotNull()).select(*df.columns, "validation")
 
 
 def rank_models(metrics: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def catalogue_summary(scenes: DataFrame) -> DataFrame:
 
 def dates_per_season(scenes: DataFrame) -> DataFrame:
     season = local_season(F.col("date").cast("string"))
-    return scenes.groupBy(season.alias("season")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.col("date").cast("string"))).alias("dates"))
+    return scenes.groupBy(season.alias("season")).agg(F.count(F.lit(1)).alias("n"), F.min("date").cast("string").alias("first_date"), F.max("date").cast("string").alias("last_date"))
 
 
 def thermal_analytics(scenes: DataFrame) -> DataFrame:
@@ -85,7 +85,19 @@ def dataset_report(df: DataFrame, weather_columns: Sequence[str]) -> DataFrame:
         complete = complete & F.col(c).isNotNull()
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"), F.count("lst_c").alias("valid_lst_rows"), F.count_if(complete).alias("valid_weather_rows"),
-        F.count_if(complete & F.col("lst_c").isNotNull()).alias("complete_rows"))
+        F.count_if(complete & F.col("lst_c").isNotNull()).alias("complete_rows"),
+        F.count_distinct("date").alias("dates"), F.count_distinct("grid_id").alias("cells"), F.count_distinct("scene_id").alias("scenes"))
+
+
+def season_report(df: DataFrame) -> DataFrame:
+    """Rows, dates and cells of each season of the dataset."""
+    return df.groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("date").alias("dates"), F.count_distinct("grid_id").alias("cells"))
+
+
+def scene_report(observations: DataFrame, min_fraction: float = 0.3) -> DataFrame:
+    """How many scenes went in and how many were left out, with their cells."""
+    return scene_quality(observations, min_fraction).groupBy("status").agg(
+        F.count(F.lit(1)).alias("scenes"), F.sum("total_cells").alias("total_cells"), F.sum("valid_cells").alias("valid_cells"))
 
 
 def footprint_covers(bounds: tuple[float, float, float, float], tolerance: float = 1e-7) -> Column:
