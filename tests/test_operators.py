@@ -125,9 +125,22 @@ def test_line_pieces_sum_to_the_line(spark):
 def test_crossings_of_streets(spark):
     rows = [(1, 0.0, 55.0, 400.0, 55.0), (2, 120.0, 0.0, 120.0, 300.0), (3, 250.0, 60.0, 250.0, 300.0), (4, 0.0, 200.0, 400.0, 200.0)]
     df = spark.createDataFrame(rows, "segment_id long, x1 double, y1 double, x2 double, y2 double")
-    got = {(r["x"], r["y"]) for r in S.rect_crossings(df).collect()}
+    got = {(r["x"], r["y"]) for r in S.crossings(df).collect()}
     assert got == {(120.0, 55.0), (120.0, 200.0), (250.0, 200.0)}
-    assert S.rect_crossings(df).count() == 3
+
+
+def test_network_nodes(spark):
+    rows = [
+        (1, 0.0, 0.0, 400.0, 400.0), (2, 0.0, 400.0, 400.0, 0.0),  # slanted, crossing at 200, 200
+        (3, 100.0, 100.0, 100.0, 300.0),  # ends on both of them
+        (4, 500.0, 0.0, 900.0, 0.0), (5, 600.0, 0.0, 800.0, 0.0),  # on each other: no junction
+        (6, 700.0, 0.0, 700.0, 50.0),  # a T on those two
+        (7, 900.0, 0.0, 950.0, 0.0),  # continues: two ways only
+    ]
+    df = spark.createDataFrame(rows, "segment_id long, x1 double, y1 double, x2 double, y2 double")
+    for size in (100.0, 37.0):
+        got = {(r["x"], r["y"]): r["pieces"] for r in S.network_nodes(df, size=size).collect()}
+        assert got == {(200.0, 200.0): 4, (100.0, 100.0): 3, (100.0, 300.0): 3, (700.0, 0.0): 3}
 
 
 def test_point_on_a_border_belongs_to_both_cells(spark):

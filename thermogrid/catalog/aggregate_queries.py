@@ -88,32 +88,58 @@ def _(d):
                     round_even(F.col("area") / 10000.0 * 100, 4).alias("building_coverage_pct"), round_even("mean_footprint", 4).alias("avg_footprint"))
 
 
+def nodes_sql(table: str) -> str:
+    """Nodes of all pieces of a table by comparing every two of them: n(x, y, pieces)."""
+    return f"""
+    pr AS (SELECT a.x1 AS ax1, a.y1 AS ay1, a.x2 - a.x1 AS ax, a.y2 - a.y1 AS ay, b.x2 - b.x1 AS bx, b.y2 - b.y1 AS by_, b.x1 - a.x1 AS gx, b.y1 - a.y1 AS gy
+      FROM {table} a JOIN {table} b ON a.segment_id < b.segment_id AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) + 0.01e0 AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) + 0.01e0
+        AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) + 0.01e0 AND least(b.y1, b.y2) <= greatest(a.y1, a.y2) + 0.01e0),
+    tu AS (SELECT *, (gx * by_ - gy * bx) / (ax * by_ - ay * bx) AS t, (gx * ay - gy * ax) / (ax * by_ - ay * bx) AS u FROM pr WHERE ax * by_ - ay * bx <> 0),
+    pt AS (SELECT x1 AS x, y1 AS y FROM {table} UNION ALL SELECT x2, y2 FROM {table} UNION ALL
+      SELECT ax1 + t * ax, ay1 + t * ay FROM tu WHERE t BETWEEN -1e-9 AND 1 + 1e-9 AND u BETWEEN -1e-9 AND 1 + 1e-9),
+    nd AS (SELECT DISTINCT round_even(x * 1000.0e0, 0) / 1000.0e0 AS x, round_even(y * 1000.0e0, 0) / 1000.0e0 AS y FROM pt),
+    hit AS (SELECT nd.x, nd.y, s.x1, s.y1, s.x2, s.y2,
+        least(1.0e0, greatest(0.0e0, ((nd.x - s.x1) * (s.x2 - s.x1) + (nd.y - s.y1) * (s.y2 - s.y1)) / ((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1)))) AS f
+      FROM nd JOIN {table} s ON nd.x BETWEEN least(s.x1, s.x2) - 0.01e0 AND greatest(s.x1, s.x2) + 0.01e0 AND nd.y BETWEEN least(s.y1, s.y2) - 0.01e0 AND greatest(s.y1, s.y2) + 0.01e0
+      WHERE s.x1 <> s.x2 OR s.y1 <> s.y2),
+    oni AS (SELECT * FROM hit WHERE sqrt(pow(x1 + f * (x2 - x1) - x, 2) + pow(y1 + f * (y2 - y1) - y, 2)) <= 0.001e0),
+    w AS (SELECT x, y, x1 - x AS dx, y1 - y AS dy FROM oni UNION ALL SELECT x, y, x2 - x, y2 - y FROM oni),
+    dw AS (SELECT DISTINCT x, y, round_even(dx / sqrt(dx * dx + dy * dy) * 1e4, 0) + 0.0e0 AS a, round_even(dy / sqrt(dx * dx + dy * dy) * 1e4, 0) + 0.0e0 AS b FROM w WHERE sqrt(dx * dx + dy * dy) > 0.002e0),
+    n AS (SELECT x, y, count(*) AS pieces FROM dw GROUP BY x, y HAVING count(*) >= 3)"""
+
+
 @query("road_block_A5", LINE_SQL + """,
-    roads AS (SELECT ix, iy, sum(length) AS length FROM lengths WHERE trim(highway) NOT IN ('footway', 'path', 'cycleway', 'steps', 'track') GROUP BY ix, iy)
-    SELECT c.grid_id, R4(coalesce(length, 0.0e0)) AS road_length, R4(coalesce(length, 0.0e0) / 0.01e0) AS road_density FROM cells c LEFT JOIN roads r ON r.ix = c.ix AND r.iy = c.iy""")
+    roads AS (SELECT ix, iy, sum(length) AS length FROM lengths WHERE trim(highway) NOT IN ('footway', 'path', 'cycleway', 'steps', 'track') GROUP BY ix, iy),
+    m AS (SELECT segment_id, x1, y1, x2, y2 FROM segments WHERE trim(highway) NOT IN ('footway', 'path', 'cycleway', 'steps', 'track')),""" + nodes_sql("m") + """,
+    k AS (SELECT CAST(floor(x / 100) AS BIGINT) AS ix, CAST(floor(y / 100) AS BIGINT) AS iy, count(*) AS n FROM n GROUP BY 1, 2)
+    SELECT c.grid_id, R4(coalesce(length, 0.0e0)) AS road_length, R4(coalesce(length, 0.0e0) / 0.01e0) AS road_density, coalesce(k.n, 0) AS junctions, R4(coalesce(k.n, 0) / 0.01e0) AS junction_density
+    FROM cells c LEFT JOIN roads r ON r.ix = c.ix AND r.iy = c.iy LEFT JOIN k ON k.ix = c.ix AND k.iy = c.iy""")
 def _(d):
-    r = S.line_length_per_cell(d.segments.where(fn.is_motor_road("highway")))
-    length = F.coalesce(F.col("length"), F.lit(0.0))
-    return d.cells.select("grid_id", "ix", "iy").join(r, ["ix", "iy"], "left").select("grid_id", round_even(length, 4).alias("road_length"), round_even(length / 0.01, 4).alias("road_density"))
+    motor = d.segments.where(fn.is_motor_road("highway"))
+    r, k = S.line_length_per_cell(motor), S.count_per_cell(S.network_nodes(motor), "x", "y")
+    length, n = F.coalesce(F.col("length"), F.lit(0.0)), F.coalesce(F.col("n"), F.lit(0))
+    out = d.cells.select("grid_id", "ix", "iy").join(r, ["ix", "iy"], "left").join(k, ["ix", "iy"], "left")
+    return out.select("grid_id", round_even(length, 4).alias("road_length"), round_even(length / 0.01, 4).alias("road_density"), n.alias("junctions"), round_even(n / 0.01, 4).alias("junction_density"))
 
 
 def street_grid(d):
-    """Axis-parallel pieces whose ends meet on a coarse raster, so that junctions exist."""
+    """Pieces across, along and slanted that start on a coarse raster, so that they meet at ends, inside, and lie on each other."""
     k = F.col("p_partkey")
-    x, y = (k * 7919 % 40) * 100.0, (k * 104729 % 40) * 100.0
-    across = k % 2 == 0
-    return d.part.select(k.alias("segment_id"), x.alias("x1"), y.alias("y1"), F.when(across, x + 300.0).otherwise(x).alias("x2"), F.when(across, y).otherwise(y + 300.0).alias("y2"))
+    x, y = (k * 7919 % 110) * 100.0, (k * 104729 % 113) * 100.0
+    x2 = F.when(k % 3 == 1, x).otherwise(x + 300.0)
+    y2 = F.when(k % 3 == 0, y).when(k % 3 == 1, y + 300.0).otherwise(y + 200.0)
+    return d.part.select(k.alias("segment_id"), x.alias("x1"), y.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
 
 STREET_SQL = """
-    WITH b AS (SELECT p_partkey AS segment_id, (p_partkey * 7919 % 40) * 100.0e0 AS x1, (p_partkey * 104729 % 40) * 100.0e0 AS y1, p_partkey % 2 = 0 AS h FROM part),
-    st AS (SELECT segment_id, x1, y1, CASE WHEN h THEN x1 + 300 ELSE x1 END AS x2, CASE WHEN h THEN y1 ELSE y1 + 300 END AS y2 FROM b)
+    WITH b AS (SELECT p_partkey AS segment_id, (p_partkey * 7919 % 110) * 100.0e0 AS x1, (p_partkey * 104729 % 113) * 100.0e0 AS y1, p_partkey % 3 AS h FROM part),
+    st AS (SELECT segment_id, x1, y1, CASE WHEN h = 1 THEN x1 ELSE x1 + 300 END AS x2, CASE WHEN h = 0 THEN y1 WHEN h = 1 THEN y1 + 300 ELSE y1 + 200 END AS y2 FROM b)
 """
 
 
-@query("road_junctions_A6", STREET_SQL + "SELECT x, y, count(*) AS pieces FROM (SELECT x1 AS x, y1 AS y FROM st UNION ALL SELECT x2, y2 FROM st) p GROUP BY x, y HAVING count(*) >= 3")
+@query("road_junctions_A6", STREET_SQL + "," + nodes_sql("st") + " SELECT x, y, pieces FROM n")
 def _(d):
-    return S.shared_vertices(street_grid(d))
+    return S.network_nodes(street_grid(d))
 
 
 @query("tree_and_green_block_A7", f"""
@@ -504,11 +530,11 @@ def junction_streets(d):
 
 
 @query("road_junction_density_A5b", STREET_SQL + """,
-    e AS (SELECT x1 + 37 AS x, y1 + 37 AS y FROM st UNION ALL SELECT x2 + 37, y2 + 37 FROM st), j AS (SELECT x, y FROM e GROUP BY x, y HAVING count(*) >= 3),
-    n AS (SELECT CAST(floor(x / 100) AS BIGINT) AS ix, CAST(floor(y / 100) AS BIGINT) AS iy, count(*) AS n FROM j GROUP BY 1, 2)
-    SELECT c.grid_id, coalesce(n.n, 0) AS junctions, R4(coalesce(n.n, 0) / 0.01e0) AS junction_density FROM cells c LEFT JOIN n ON n.ix = c.ix AND n.iy = c.iy""")
+    j AS (SELECT segment_id, x1 + 37 AS x1, y1 + 37 AS y1, x2 + 37 AS x2, y2 + 37 AS y2 FROM st),""" + nodes_sql("j") + """,
+    k AS (SELECT CAST(floor(x / 100) AS BIGINT) AS ix, CAST(floor(y / 100) AS BIGINT) AS iy, count(*) AS n FROM n GROUP BY 1, 2)
+    SELECT c.grid_id, coalesce(k.n, 0) AS junctions, R4(coalesce(k.n, 0) / 0.01e0) AS junction_density FROM cells c LEFT JOIN k ON k.ix = c.ix AND k.iy = c.iy""")
 def _(d):
-    counts = S.count_per_cell(S.shared_vertices(junction_streets(d)), "x", "y")
+    counts = S.count_per_cell(S.network_nodes(junction_streets(d)), "x", "y")
     n = F.coalesce(F.col("n"), F.lit(0))
     return d.cells.select("grid_id", "ix", "iy").join(counts, ["ix", "iy"], "left").select("grid_id", n.alias("junctions"), round_even(n / 0.01, 4).alias("junction_density"))
 

@@ -17,8 +17,8 @@ from thermogrid.operators.keyed import attach_row, top_n
 from thermogrid.session import spread
 
 __all__ = [
-    "touched_cells", "count_per_cell", "rect_overlap_per_cell", "line_cells", "line_length_per_cell", "shared_vertices",
-    "rect_crossings", "nearest_features", "inverse_distance", "select_in_polygon", "select_in_named_area", "select_in_radius",
+    "touched_cells", "count_per_cell", "rect_overlap_per_cell", "line_cells", "line_length_per_cell", "crossings",
+    "network_nodes", "sphere_bounds", "nearest_features", "inverse_distance", "select_in_polygon", "select_in_named_area", "select_in_radius",
     "select_by_ids", "lattice_edges", "cells_with_fallback",
 ]
 
@@ -79,29 +79,51 @@ def line_length_per_cell(segments: DataFrame, size: float = K.CELL_SIZE_M, by: S
     return cells.groupBy("ix", "iy", *by).agg(F.sum(inside).alias("length")).where(F.col("length") > 0)
 
 
-def shared_vertices(segments: DataFrame, min_pieces: int = 3, digits: int = 3) -> DataFrame:
-    """Junctions: end points, rounded, that at least `min_pieces` pieces share."""
-    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    scale = F.lit(10.0**digits)
-    points = segments.select(F.inline(ends)).select((F.rint(F.col("x") * scale) / scale).alias("x"), (F.rint(F.col("y") * scale) / scale).alias("y"))
-    return points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") >= min_pieces)
-
-
-def rect_crossings(segments: DataFrame, size: float = K.CELL_SIZE_M) -> DataFrame:
-    """Where a horizontal and a vertical piece cross, both strictly inside: noding for axis-parallel lines.
+def crossings(segments: DataFrame, size: float = K.CELL_SIZE_M) -> DataFrame:
+    """x, y: where two pieces that are not parallel meet, at their ends or inside, whatever their directions.
 
-    Horizontal and vertical pieces meet per cell; the cell that holds the crossing reports it, so each
-    crossing appears once. Pieces of the same direction are never paired.
+    Pieces meet per cell along them, and only the cell that holds the meeting point reports it. A smaller `size` keeps the pairs
+    of a crowded network few.
     """
     cells = line_cells(segments.select("segment_id", "x1", "y1", "x2", "y2"), size)
-    flat = cells.where("y1 = y2 and x1 <> x2").select(
-        "ix", "iy", F.col("segment_id").alias("h_id"), F.col("y1").alias("y"), F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b"))
-    steep = cells.where("x1 = x2 and y1 <> y2").select(
-        "ix", "iy", F.col("segment_id").alias("v_id"), F.col("x1").alias("x"), F.least("y1", "y2").alias("c"), F.greatest("y1", "y2").alias("d"))
-    met = flat.join(steep, ["ix", "iy"]).where("x > a and x < b and y > c and y < d")
-    s = F.lit(float(size))
-    home = (F.floor(F.col("x") / s) == F.col("ix")) & (F.floor(F.col("y") / s) == F.col("iy"))
-    return met.where(home).select("h_id", "v_id", "x", "y")
+    side = lambda p: cells.select("ix", "iy", *[F.col(c).alias(f"{p}_{c}") for c in ("segment_id", "x1", "y1", "x2", "y2")])
+    met = side("a").join(side("b"), ["ix", "iy"]).where("a_segment_id < b_segment_id")
+    c = F.col
+    ax, ay, bx, by = c("a_x2") - c("a_x1"), c("a_y2") - c("a_y1"), c("b_x2") - c("b_x1"), c("b_y2") - c("b_y1")
+    turn = ax * by - ay * bx
+    turn = F.when(turn != 0, turn)
+    gap_x, gap_y = c("b_x1") - c("a_x1"), c("b_y1") - c("a_y1")
+    along_a, along_b = (gap_x * by - gap_y * bx) / turn, (gap_x * ay - gap_y * ax) / turn
+    met = met.select("ix", "iy", along_a.alias("t"), along_b.alias("u"), (c("a_x1") + along_a * ax).alias("x"), (c("a_y1") + along_a * ay).alias("y"))
+    inside = F.col("t").between(-1e-9, 1 + 1e-9) & F.col("u").between(-1e-9, 1 + 1e-9)
+    # A point next to a border may be worked out on either side of it; which one reports it does not matter.
+    near = (F.abs(F.col("x") - (F.col("ix") + 0.5) * size) <= size * (0.5 + 1e-9)) & (F.abs(F.col("y") - (F.col("iy") + 0.5) * size) <= size * (0.5 + 1e-9))
+    return met.where(inside & near).select("x", "y")
+
+
+def network_nodes(segments: DataFrame, min_pieces: int = 3, digits: int = 3, size: float = K.CELL_SIZE_M) -> DataFrame:
+    """x, y, pieces: points of a street network, rounded, from which at least `min_pieces` ways lead off.
+
+    The pieces are noded first: every end and every crossing is a point, and a piece leads off in one direction where it ends
+    and in two where it passes. Ways in the same direction are one, so pieces that lie on each other count once.
+    """
+    scale = F.lit(10.0**digits)
+    reach = 10.0**-digits
+    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    points = segments.select(F.inline(ends)).unionByName(crossings(segments, size))
+    points = points.select((F.rint(F.col("x") * scale) / scale).alias("x"), (F.rint(F.col("y") * scale) / scale).alias("y")).distinct()
+    at = touched_cells(points, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, size)
+    pieces = line_cells(segments.select("segment_id", "x1", "y1", "x2", "y2"), size)
+    on = at.join(pieces, ["ix", "iy"]).where(segment_distance("x", "y", "x1", "y1", "x2", "y2") <= reach)
+
+    def way(px: str, py: str) -> Column:
+        dx, dy = F.col(px) - F.col("x"), F.col(py) - F.col("y")
+        far = F.sqrt(dx * dx + dy * dy)
+        far = F.when(far > 0, far)
+        return F.when(far > 2 * reach, F.struct((F.rint(dx / far * 1e4) + 0.0).alias("dx"), (F.rint(dy / far * 1e4) + 0.0).alias("dy")))
+
+    ways = on.select("x", "y", F.explode(F.array_compact(F.array(way("x1", "y1"), way("x2", "y2")))).alias("way")).distinct()
+    return ways.groupBy("x", "y").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") >= min_pieces)
 
 
 # --- nearest features -------------------------------------------------------------------------------------
