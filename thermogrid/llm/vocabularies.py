@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -15,30 +17,32 @@ KEPT_UNITS = 1 << 20
 
 
 class UnitCache:
-    """Token ids of units, looked up by a 64-bit hash; only units not met before go through the tokenizer."""
+    """Token ids of units, looked up by a 64-bit hash; only units not met before go through the tokenizer.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], dtype: type = np.uint16):
+    `encode` takes units as bytes and returns all their ids in one array, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type = np.uint16):
         self.encode, self.dtype = encode, dtype
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, keys: list[int], units: list[bytes]) -> None:
-        found = self.encode(units)
-        sizes = np.array([len(x) for x in found], np.int64)
-        n, need = len(self.place), self.used + int(sizes.sum())
+    def _add(self, keys: np.ndarray, units: list[bytes]) -> None:
+        """Takes new keys in ascending order."""
+        ids, sizes = self.encode(units)
+        need = self.used + len(ids)
         while need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(keys) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        if need > self.used:
-            self.pool[self.used : need] = np.concatenate(found)
-        self.size[n : n + len(keys)] = sizes
-        self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.place.update(zip(keys, range(n, n + len(keys))))
+        self.pool[self.used : need] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.slot = np.insert(self.slot, at, np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
         self.used = need
 
     def lookup(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +52,17 @@ class UnitCache:
         order = np.argsort(hashes)
         ranked = hashes[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        one = order[new]  # a place of each distinct unit
-        keys = hashes[one].tolist()
-        if len(self.place) + len(keys) > KEPT_UNITS:
+        one, keys = order[new], ranked[new]  # a place of each distinct unit
+        if len(self.keys) + len(keys) > KEPT_UNITS:
             self._clear()
-        lacking = [i for i, k in enumerate(keys) if k not in self.place]
-        if lacking:
-            at = one[lacking]
-            self._add([keys[i] for i in lacking], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-        slot = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        slots = np.empty(len(hashes), np.int64)
-        slots[order] = slot[np.cumsum(new) - 1]
-        return self.start[slots], self.size[slots]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        lacking = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(lacking):
+            place = one[lacking]
+            self._add(keys[lacking], [raw[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist())])
+        slots = np.empty(len(hashes), np.int32)
+        slots[order] = self.slot[np.searchsorted(self.keys, keys)][np.cumsum(new) - 1]
+        return self.start[slots], self.size[slots].astype(np.int64)
 
     def gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of all units, one after the other."""
@@ -68,11 +71,16 @@ class UnitCache:
         return self.pool[np.arange(total) + shift]
 
 
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_MARK = np.array([0x20 < b < 0x7F and not chr(b).isalnum() and b != 0x27 for b in range(256)])
+
+
 def independent_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pieces of each document that a byte-level BPE with the usual pattern splits alike on their own.
 
-    A piece begins before a single space, and before and after a single line end, that has a plain character on either side. Plain
-    are printable ASCII and non-ASCII characters that cannot be white space; elsewhere a piece simply goes on.
+    A piece begins before a single space, and before and after a single line end, that has a plain character on either side, and between an
+    ASCII letter or digit and an ASCII mark other than the apostrophe. Plain are printable ASCII and non-ASCII characters
+    that cannot be white space; elsewhere a piece simply goes on.
     """
     n = len(data)
     cut = np.zeros(n + 1, bool)
@@ -90,36 +98,54 @@ def independent_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         space, line = single & (data == 0x20), single & (data == 0x0A)
         cut[:-1] |= space | line
         cut[1:] |= line
+        letter, mark = _ALNUM[data], _MARK[data]
+        cut[1:-1] |= letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
     cut[offsets] = True
     marks = np.flatnonzero(cut)
     return marks[:-1], marks[1:]
 
 
+def _byte_alphabet() -> str:
+    """The character that a byte-level vocabulary writes for each byte: itself where it prints, else the next free one from 256."""
+    printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    free = iter(range(256, 512))
+    return "".join(chr(b if b in printing else next(free)) for b in range(256))
+
+
+#: Units that the usual pattern leaves in one: letters (ASCII and Latin-1), digits or marks, after a space or not.
+_WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)")
+
+
 @functools.lru_cache(maxsize=1)
 def byte_bpe(file: str) -> UnitCache:
     """The cache of a worker for a tokenizer of the tokenizers library."""
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(file)
     tokenizer.encode_special_tokens = True
-    line_end = tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def encode(units: list[bytes]) -> list[np.ndarray]:
-        """Units without a line end go through in long rows joined by one; its id then stands between them."""
-        texts = [u.decode() for u in units]
-        out: list[np.ndarray | None] = [None] * len(units)
-        easy = [i for i, t in enumerate(texts) if len(t) < 200 and "\n" not in t and t.strip() and t[-1:].isprintable() and not t[-1:].isspace() and not t[1:2].isspace()]
-        for k in range(0, len(easy), 500):
-            row = easy[k : k + 500]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join([texts[i] for i in row])], add_special_tokens=False)[0].ids, np.uint16)
-            parts = np.split(ids, marks := np.flatnonzero(ids == line_end[0]))
-            if len(line_end) == 1 and len(marks) == len(row) - 1:
-                for j, (i, part) in enumerate(zip(row, parts)):
-                    out[i] = part[1:] if j else part
-        hard = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(hard, tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint16)
-        return out
+    # The same model without the pattern, for units that the pattern leaves whole, many in a row.
+    rows = Tokenizer(tokenizer.model)
+    letters = _byte_alphabet()
+    rows.pre_tokenizer = pre_tokenizers.Split(letters[10], "isolated")
+    line_end = tokenizer.token_to_id(letters[10])
+
+    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [_WHOLE.fullmatch(u) is not None for u in units]
+        easy, hard = [i for i, w in enumerate(whole) if w], [i for i, w in enumerate(whole) if not w]
+        sizes, found, owners = np.zeros(len(units), np.int64), [], []
+        texts = [b"\n".join([units[i] for i in easy[k : k + 500]]).decode("latin-1").translate(letters) for k in range(0, len(easy), 500)]
+        for k, e in enumerate(rows.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint16)
+            between = ids == line_end
+            found.append(ids[~between])
+            owners.append(np.array(easy[500 * k : 500 * k + 500])[np.cumsum(between)[~between]])
+        for i, e in zip(hard, tokenizer.encode_batch_fast([units[i].decode() for i in hard], add_special_tokens=False)):
+            found.append(np.array(e.ids, np.uint16))
+            owners.append(np.full(len(found[-1]), i))
+        if not found:
+            return np.zeros(0, np.uint16), sizes
+        owner = np.concatenate(owners)
+        return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
 
     return UnitCache(encode)
 
@@ -132,7 +158,8 @@ def pieces(file: str) -> tuple[UnitCache, np.ndarray]:
     model = sentencepiece.SentencePieceProcessor(model_file=file)
     is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
-    def encode(units: list[bytes]) -> list[np.ndarray]:
-        return [np.array(x, np.uint16) for x in model.encode([u.decode() for u in units], num_threads=1)]
+    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = model.encode([u.decode() for u in units], num_threads=1)
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint16), np.array([len(x) for x in found], np.int64)
 
     return UnitCache(encode), is_byte
