@@ -135,7 +135,7 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge_quality(features: DataFrame, width: float = 4.0) -> DataFrame:
+def judge_quality(features: DataFrame, width: float = 2.5) -> DataFrame:
     """Adds base_failed, the reasons and `kept` to written features.
 
     Bands per language (per script where the language is null) come from all documents that pass the base rules: exact quartiles of the
@@ -162,19 +162,19 @@ def judge_quality(features: DataFrame, width: float = 4.0) -> DataFrame:
 
     reasons = F.array_compact(F.array(
         F.when(F.col("base_failed"), F.lit("base")),
-        F.when(low("chars_per_token", 0.1) | high("chars_per_token", 0.5), F.lit("fertility")),
+        F.when(low("chars_per_token", 0.0) | high("chars_per_token", 0.5), F.lit("fertility")),
         F.when(high("byte_share", 0.02), F.lit("byte fallback")),
         F.when(low("evenness", 0.05), F.lit("entropy")),
     ))
     return rows.select(*features.columns, "base_failed", reasons.alias("reasons"), (F.size(reasons) == 0).alias("kept"))
 
 
-def quality(docs: DataFrame, vocabulary_file: str, width: float = 4.0, **columns: str) -> DataFrame:
+def quality(docs: DataFrame, vocabulary_file: str, width: float = 2.5, **columns: str) -> DataFrame:
     """Features written once, then judged; see measure_quality and judge_quality."""
     return judge_quality(written(measure_quality(docs, vocabulary_file, **columns), "quality"), width)
 
 
-def passing(docs: DataFrame, vocabulary_file: str, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def passing(docs: DataFrame, vocabulary_file: str, width: float = 2.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, all columns kept, that quality() keeps. The rejected ones, fewer, are taken away by id and text."""
     verdicts = quality(docs, vocabulary_file, width, id_col=id_col, text_col=text_col, lang_col=lang_col)
     gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.coalesce("lang", F.lit("")).alias("_lang")).distinct()
