@@ -23,7 +23,7 @@ MU = 200.0
 BLOCK_BYTES = 8 << 20
 #: Entries of block vocabularies, and token pairs, that one shard takes, about.
 VOCABULARY_SHARD = 500_000
-PAIR_SHARD = 2_000_000
+PAIR_SHARD = 1_000_000
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEGIN_ID = np.uint64((1 << 40) - 1)
 _UNKNOWN = np.uint64((1 << 40) - 2)
@@ -47,28 +47,35 @@ _BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths binary,
 def _blocks(folds: int, fold: int):
     """A row per block of documents: tokens as places in the block's own sorted vocabulary of word hashes, and its counts in training texts."""
 
+    def row(number: int, ids: list, tokens: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, lengths = np.concatenate(tokens), np.concatenate(lengths)
+        held = np.array([in_held_out(i, folds, fold) for i in ids])
+        order = np.argsort(tokens)
+        ranked = tokens[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        place = np.empty(len(tokens), np.uint32)
+        place[order] = np.cumsum(new) - 1
+        train = np.repeat(~held, lengths)
+        counts = np.bincount(place[train], minlength=int(new.sum()))
+        values = (number, ids, held.tolist(), pack_numbers(lengths, 5), pack_numbers(place, 4), ranked[new].tobytes(), pack_numbers(counts, 5),
+                  len(counts), len(tokens), int(train.sum()), int((~held).sum()))
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4, *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [f.split()[0] for f in _BLOCK.split(", ")])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, size, ids, tokens, lengths = TaskContext.get().partitionId() << 32, 0, [], [], []
         for b in batches:
-            for first, data, offsets in T.text_blocks(b.column(1), BLOCK_BYTES):
-                n = len(offsets) - 1
+            for first, data, offsets in T.text_blocks(b.column(1)):
                 starts, ends, bounds = T.words(data, offsets)
-                tokens = np.insert(T.span_hash(T.prefix_hash(data, True), starts, ends), bounds[1:], _END)
-                lengths = np.diff(bounds) + 1
-                ids = b.column(0).slice(first, n).to_pylist()
-                held = np.array([in_held_out(i, folds, fold) for i in ids])
-                order = np.argsort(tokens)
-                ranked = tokens[order]
-                new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-                place = np.empty(len(tokens), np.int64)
-                place[order] = np.cumsum(new) - 1
-                train = np.repeat(~held, lengths)
-                counts = np.bincount(place[train], minlength=int(new.sum()))
-                row = (number, ids, held.tolist(), pack_numbers(lengths, 5), pack_numbers(place, 4), ranked[new].tobytes(), pack_numbers(counts, 5),
-                       len(counts), len(tokens), int(train.sum()), int((~held).sum()))
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4, *[pa.int64()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [f.split()[0] for f in _BLOCK.split(", ")])
-                number += 1
+                tokens.append(np.insert(T.span_hash(T.prefix_hash(data, True), starts, ends), bounds[1:], _END))
+                lengths.append(np.diff(bounds) + 1)
+                ids += b.column(0).slice(first, len(offsets) - 1).to_pylist()
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield row(number, ids, tokens, lengths)
+                    number, size, ids, tokens, lengths = number + 1, 0, [], [], []
+        if ids:
+            yield row(number, ids, tokens, lengths)
 
     return blocks
 
