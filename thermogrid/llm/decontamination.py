@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -266,7 +265,3 @@ def decontaminate(
     for items in item_blocks(bench, block_bytes, item_id, item_text):
         docs = docs.mapInArrow(_cutter(items, window, at, least_words, most_covered), docs.schema)
     return docs
-
-
-def digest_of(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
