@@ -7,14 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermogrid.llm import textarrays as T
 from thermogrid.llm.components import components
+from thermogrid.llm.packing import pack_numbers, unpack_numbers
 from thermogrid.llm.tables import written
 
 #: Shingles that one counting task takes, about.
-SHARD_SHINGLES = 2_000_000
+SHARD_SHINGLES = 1_000_000
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -52,13 +54,20 @@ def _sets(size: int):
     return measure
 
 
+_DEALT = "shard long, block long, classes binary, sizes binary, counts binary, shingles binary"
+
+
 def _deal(size: int, shards: int):
-    """For each block and shard, one row: the classes there, their set sizes, how many shingles each has in it, and the shingles (48 bits)."""
+    """For each block and shard, one row: how many shingles each document of the block has there, and the shingles (48 bits).
+
+    The classes and set sizes of a block travel with one of its rows only.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in one partition go once
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            for _, data, offsets in T.text_blocks(b.column(1), 2 * T.BLOCK_BYTES):
+            for _, data, offsets in T.text_blocks(b.column(1), 4 * T.BLOCK_BYTES):
                 sets, classes = [], []
                 for found in document_shingles(data, offsets, size):
                     if len(found) and (c := _class_of(found)) not in seen:
@@ -67,7 +76,7 @@ def _deal(size: int, shards: int):
                         classes.append(c)
                 if not sets:
                     continue
-                sizes = np.array([len(s) for s in sets], np.uint32)
+                sizes = np.array([len(s) for s in sets])
                 every = np.concatenate(sets)
                 shard = ((every >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
                 doc = np.repeat(np.arange(len(sets)), sizes)
@@ -75,12 +84,12 @@ def _deal(size: int, shards: int):
                 shard, doc = shard[order], doc[order]
                 low = (every & _LOW)[order].view(np.uint8).reshape(-1, 8)[:, :6]
                 cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                names, rows = np.array(classes, np.int64), []
+                rows = []
                 for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
-                    here = np.bincount(doc[a:e], minlength=len(sets))
-                    who = np.flatnonzero(here)
-                    rows.append((int(shard[a]), names[who].tobytes(), sizes[who].tobytes(), here[who].astype(np.uint32).tobytes(), low[a:e].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if not k else pa.binary()) for k in range(5)], ["shard", "classes", "sizes", "counts", "shingles"])
+                    names = (np.array(classes, np.int64).tobytes(), pack_numbers(sizes, 4)) if not a else (None, None)
+                    rows.append((int(shard[a]), block, *names, pack_numbers(np.bincount(doc[a:e], minlength=len(sets)), 4), low[a:e].tobytes()))
+                block += 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.binary()) for k in range(6)], [f.split()[0] for f in _DEALT.split(", ")])
 
     return deal
 
@@ -92,58 +101,66 @@ def _wide(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+_SHARED = "block long, classes binary, sizes binary, counts binary, keys binary"
+
+
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one shard: for each class, its shingles that other classes hold as well, each under the number of classes (16 bits) that do."""
-    take = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    classes, sizes, counts = take("classes", np.int64), take("sizes", np.uint32), take("counts", np.uint32)
+    """Of one shard: for each block that sent something, the shingles of its documents that others hold as well, each under the number
+    of holders (16 bits). A class that several partitions sent counts as several holders, which only loosens the filters."""
+    counts = [unpack_numbers(x, 4).astype(np.int64) for x in table.column("counts").to_pylist()]
     shingle = np.concatenate([_wide(x) for x in table.column("shingles").to_pylist()])
-    owner = np.repeat(np.arange(len(classes)), counts)
     order = np.argsort(shingle)
     ranked = shingle[order]
-    same = ranked[1:] == ranked[:-1]
-    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    shingle, owner = ranked[several], owner[order[several]]
-    # A class that several partitions sent counts once.
-    order = np.lexsort((classes[owner], shingle))
-    shingle, owner = shingle[order], owner[order]
-    once = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (classes[owner[1:]] != classes[owner[:-1]])])[: len(shingle)]
-    shingle, owner = shingle[once], owner[once]
-    first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))[: len(shingle)]
-    times = np.diff(np.append(first, len(shingle)))
-    times = np.repeat(times, times)
-    keep = times > 1
-    key = (np.minimum(times[keep], 65535).astype(np.uint64) << np.uint64(48)) | shingle[keep]
-    owner = owner[keep]
-    order = np.argsort(classes[owner], kind="stable")
-    key, owner = key[order], owner[order]
-    named = classes[owner]
-    cuts = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))[: len(named)]
-    ends = np.append(cuts[1:], len(named))
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    times = np.diff(np.append(first, len(ranked)))
+    holders = np.empty(len(shingle), np.uint64)
+    holders[order] = np.repeat(np.minimum(times, 65535), times).astype(np.uint64)
+    keep = holders > 1
+    key = holders << np.uint64(48) | shingle
+    rows, at = [], 0
+    for c in counts:
+        n = int(c.sum())
+        mine = keep[at : at + n]
+        left = np.bincount(np.repeat(np.arange(len(c)), c)[mine], minlength=len(c))
+        rows.append((pack_numbers(left, 4), key[at : at + n][mine].tobytes()))
+        at += n
     return pa.table({
-        "class": pa.array(named[cuts]), "n": pa.array(sizes[owner[cuts]].astype(np.int64)),
-        "keys": pa.array([key[a:e].tobytes() for a, e in zip(cuts.tolist(), ends.tolist())], pa.binary()),
+        "block": table.column("block"), "classes": table.column("classes"), "sizes": table.column("sizes"),
+        "counts": pa.array([r[0] for r in rows], pa.binary()), "keys": pa.array([r[1] for r in rows], pa.binary()),
     })
 
 
+_RECORD = "class long, n long, alone long, keys binary, prefix array<long>"
+
+
 def _records(similarity: int):
-    """One row per class that can have a partner: its shared shingles in rare-first order, and those of them in its prefix.
+    """Of one block: a row per class that can have a partner, with its shared shingles in rare-first order and those in its prefix.
 
     A set of n shingles needs ceil(n * similarity / 100) of them in common with a partner, so two partners share one of their
     first n - that + 1 shingles in any order that both follow. Shingles no one else has come first; only what is left of the
     prefix after those is looked up.
     """
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for name, n, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                found = np.sort(np.frombuffer(b"".join(keys), np.uint64))
-                alone = n - len(found)
-                prefix = n - -(-n * similarity // 100) + 1 - alone
-                if prefix > 0:
-                    out.append((name, n, alone, found.tobytes(), found[:prefix].view(np.int64).tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["class", "n", "alone", "keys", "prefix"])
+    def records(table: pa.Table) -> pa.Table:
+        (named,) = [i for i, x in enumerate(table.column("classes").to_pylist()) if x is not None]
+        classes = np.frombuffer(table.column("classes")[named].as_py(), np.int64)
+        sizes = unpack_numbers(table.column("sizes")[named].as_py(), 4).astype(np.int64)
+        counts = [unpack_numbers(x, 4).astype(np.int64) for x in table.column("counts").to_pylist()]
+        owner = np.concatenate([np.repeat(np.arange(len(c)), c) for c in counts])
+        key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+        held = np.bincount(owner, minlength=len(classes))
+        prefix = sizes - -(-sizes * similarity // 100) + 1 - (sizes - held)
+        wanted = prefix[owner] > 0
+        owner, key = owner[wanted], key[wanted]
+        order = np.lexsort((key, owner))
+        owner, key = owner[order], key[order]
+        cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[: len(owner)].tolist()
+        out = []
+        for a, e in zip(cuts, [*cuts[1:], len(owner)]):
+            d = int(owner[a])
+            out.append((int(classes[d]), int(sizes[d]), int(sizes[d]) - (e - a), key[a:e].tobytes(), key[a : min(e, a + int(prefix[d]))].view(np.int64).tolist()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({f.split()[0]: pa.array([r[k] for r in out], kind) for k, (f, kind) in enumerate(zip(_RECORD.split(", "), kinds))})
 
     return records
 
@@ -178,13 +195,16 @@ def _verify(similarity: int):
 
 
 def _may_link(similarity: int) -> Column:
-    """Length and positional filters on two holders l and r of one prefix shingle; `at` is its place in a set's order.
+    """Length, prefix and positional filters on two holders l and r of one shingle; `at` is its place among a set's shared shingles.
 
-    Before it they share only shingles that others hold too, after it no more than the shorter rest.
+    Sets of n and m shingles need `need` in common, so the first one in common is among the first n - need + 1 of one and the first
+    m - need + 1 of the other: a pair that links passes at that shingle. Before it they share only shingles that others hold
+    too, after it no more than the shorter rest.
     """
     n, m = F.col("l.n"), F.col("r.n")
-    most = F.least(F.col("l.at"), F.col("r.at")) + 1 + F.least(n - F.col("l.alone") - F.col("l.at"), m - F.col("r.alone") - F.col("r.at")) - 1
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * similarity) & (most * (100 + similarity) >= (n + m) * similarity)
+    most = F.least(F.col("l.at"), F.col("r.at")) + F.least(n - F.col("l.alone") - F.col("l.at"), m - F.col("r.alone") - F.col("r.at"))
+    prefix = lambda s: (F.col(f"{s}.n") - F.col(f"{s}.alone") - F.col(f"{s}.at")) * (100 + similarity) >= (n + m) * similarity
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * similarity) & prefix("l") & prefix("r") & (most * (100 + similarity) >= (n + m) * similarity)
 
 
 def _links(pairs: DataFrame, records: DataFrame, similarity: int) -> DataFrame:
@@ -205,21 +225,24 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
 def class_links(docs: DataFrame, total: int, shingle: int, similarity: int, text_col: str = "text", shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
     """a, b: verified links between classes of equal sets, enough of them to connect all that are linked.
 
-    Shingles are dealt to shards by hash, and a shard finds those that several classes hold. Classes that meet on a prefix shingle
+    Shingles are dealt to shards by hash, and a shard tells each block which of its shingles others hold too. Classes that meet on a prefix shingle
     are compared in two rounds: all with the shingle's shortest holder, and then every two that are not yet connected.
     So a large group of near copies costs one comparison a member, and no pair that could still join two groups is left out.
     """
     shards = max(1, -(-total // shard_shingles))
     light = docs.select(F.lit(0), F.col(text_col).cast("string").alias("text"))
-    dealt = light.mapInArrow(_deal(shingle, shards), "shard long, classes binary, sizes binary, counts binary, shingles binary")
-    shared = dealt.groupBy("shard").applyInArrow(_shared, "class long, n long, keys binary")
-    gathered = shared.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("keys").alias("keys"))
-    records = written(gathered.mapInArrow(_records(similarity), "class long, n long, alone long, keys binary, prefix array<long>"), "jaccard-records")
+    shared = light.mapInArrow(_deal(shingle, shards), _DEALT).groupBy("shard").applyInArrow(_shared, _SHARED)
+    records = shared.groupBy("block").applyInArrow(_records(similarity), _RECORD)
+    # Partitions that hold the same class made equal rows of it.
+    records = written(records.dropDuplicates(["class"]), "jaccard-records")
     held = records.select("class", "n", "alone", F.posexplode("prefix").alias("at", "key"))
-    shortest = written(held.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("n", "class", "alone", "at")).alias("first")).where("holders > 1").select("key", "first.*"), "jaccard-first")
-    star = held.alias("r").join(shortest.alias("l"), "key").where((F.col("l.class") != F.col("r.class")) & _may_link(similarity))
+    middle = held.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("alone", "n", "class", "at")).alias("first")).where("holders > 1")
+    middle = written(middle.select("key", "first.*"), "jaccard-middle")
+    star = held.alias("r").join(middle.alias("l"), "key").where((F.col("l.class") != F.col("r.class")) & _may_link(similarity))
+    star = star.groupBy(F.col("r.class").alias("x")).agg(F.min(F.struct("l.alone", "l.n", F.col("l.class").alias("y"))).alias("m")).select("x", "m.y")
+    star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pair = [F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b")]
-    links = written(_links(star.select(*pair), records, similarity), "jaccard-links")
+    links = written(_links(star, records, similarity), "jaccard-links")
     labels = components(links)
     labelled = held.join(labels, held["class"] == labels.node, "left").select("key", "class", "n", "alone", "at", F.coalesce("component", "class").alias("group"))
     labelled = written(labelled, "jaccard-labelled")
