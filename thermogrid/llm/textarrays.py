@@ -6,6 +6,7 @@ byte and code point rules agree. Hashes are polynomials modulo 2^64 over random
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterable, Iterator
 
@@ -74,6 +75,16 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live long, and an executor's memory is one budget."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first row, bytes, offsets) of runs of rows; a run passes the limit only if it is one long text.
 
@@ -96,6 +107,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, spaces_only: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units kept from block to block in one worker; past that the memory starts afresh. It never changes a result.
-KEPT_UNITS = 1 << 20
+KEPT_UNITS = 1 << 19
 
 
 class UnitCache:
