@@ -74,6 +74,29 @@ def test_decontaminate(spark, tables):
     assert got[100].text == "before it " * 15 + " after"
 
 
+def test_decontaminate_by_blocks(spark, tables):
+    docs, items = tables
+    x, y = [f"x{k}" for k in range(1, 21)], prose(60, 103).split()
+    items = [*items, (20, " ".join(x[:12])), (21, " ".join(x[3:])), *((30 + k, " ".join(y[10 * k : 10 * k + 10])) for k in range(6))]
+    docs = [
+        *docs, (200, " ".join([*["fine words"] * 20, *x, "end"])),
+        (201, " ".join([*y[:30], *["other"] * 20])), (202, " ".join([*y[:30], *["other"] * 40])),  # hit by several blocks together
+        (203, " ".join([*["clean"] * 40, *x[:5], *y[:10], *x[5:12]])),  # a cut brings benchmark words together
+        (200, "the same id"), (None, None),
+    ]
+    d = spark.createDataFrame([(i, t, 1, i, "s") for i, t in docs], "spans int, text string, t1 int, doc_id long, row string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (decontaminate(d, b, block_bytes=n) for n in (1 << 20, 100))
+    assert parts.columns == d.columns
+    parts = parts.collect()
+    assert sorted(map(tuple, parts), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    want = {(i, t): (n, h) for (i, t), (_, n, h, _) in ((r, brute([r], [(str(k), v) for k, v in items])[0]) for r in docs)}
+    assert len(parts) == sum(h <= 0.5 * n for r in docs for n, h in [want[r]])
+    left = {r.doc_id: r.text for r in parts if r.text != "the same id"}
+    assert left[200] == "fine words " * 20 + " end" and 201 not in left
+    assert left[202].split() == ["other"] * 40 and words(left[203]) == ["clean"] * 40 + x[:12]
+
+
 def test_empty_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "item_id long, text string")

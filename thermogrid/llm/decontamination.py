@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -221,22 +222,65 @@ def names_digest(names: F.Column) -> F.Column:
     return F.sha2(F.array_join(names, ","), 256)
 
 
+def _runs(hit: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end of each run of hit words."""
+    edge = np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))
+    return zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
+
+
+_SPANS = "t1 long, t2 long, block int, spans array<struct<first: long, end: long>>"
+
+
+def _marker(items, window: int, block: int):
+    """Hit spans of the texts that this block of items hits, under the text's hashes."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(items, window)
+        for b in batches:
+            at, spans = [], []
+            for i, text in enumerate(_each_text(b.column(2))):
+                _, hit, _ = automaton.match(text)
+                if hit.any():
+                    at.append(i)
+                    spans.append([{"first": a, "end": e} for a, e in _runs(hit)])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array([block] * len(at), pa.int32()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
+                ["t1", "t2", "block", "spans"],
+            )
+
+    return mark
+
+
 def _cutter(items, window: int, text_at: int, least_words: int, most_covered: float):
+    """Cuts what the items hit; without items, the spans in the last column, which goes."""
+
+    def hits(b: pa.RecordBatch) -> Iterator[tuple[bytes, int, np.ndarray]]:
+        texts = _each_text(b.column(text_at))
+        if items is not None:
+            automaton = _automaton(items, window)
+            for text in texts:
+                n, hit, _ = automaton.match(text)
+                yield text, n, hit
+            return
+        for text, spans in zip(texts, b.column(b.num_columns - 1)):
+            hit = np.zeros(len(normal_words(text)), bool)
+            for x in spans.as_py() or ():
+                hit[x["first"] : x["end"]] = True
+            yield text, len(hit), hit
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items, window)
         for b in batches:
             keep, texts = [], []
-            for i, text in enumerate(_each_text(b.column(text_at))):
-                n, hit, _ = automaton.match(text)
+            for i, (text, n, hit) in enumerate(hits(b)):
                 if n and hit.sum() > most_covered * n:
                     continue
                 keep.append(i)
                 if hit.any():
                     data = np.frombuffer(text, np.uint8)
                     starts, ends, _ = T.words(data, np.array([0, len(data)]), spaces_only=False)
-                    edge = np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))
                     pieces, at = [], 0
-                    for a, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+                    for a, e in _runs(hit):
                         if e - a >= least_words:
                             pieces.append(text[at : starts[a]])
                             at = int(ends[e - 1])
@@ -245,9 +289,9 @@ def _cutter(items, window: int, text_at: int, least_words: int, most_covered: fl
                 else:
                     texts.append(b.column(text_at)[i].as_py())
             kept = b.take(pa.array(keep, pa.int64()))
-            columns = list(kept.columns)
+            columns = list(kept.columns)[: None if items is not None else -1]
             columns[text_at] = pa.array(texts, b.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=kept.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=kept.schema.names[: len(columns)])
 
     return cut
 
@@ -259,9 +303,29 @@ def decontaminate(
     """The documents, all columns kept, without the benchmark's spans.
 
     A hit span of at least `least_words` words is cut from the first to the last of its words; a document of which more than
-    `most_covered` of the words are hit goes. Blocks of a large benchmark are applied one after the other. A null text stays.
+    `most_covered` of the words are hit goes. All blocks of a large benchmark are matched on the original text, and a document is
+    judged and cut once, by what they hit together: the size of the blocks never changes the result. A null text stays.
     """
     at = docs.columns.index(text_col)
-    for items in item_blocks(bench, block_bytes, item_id, item_text):
-        docs = docs.mapInArrow(_cutter(items, window, at, least_words, most_covered), docs.schema)
-    return docs
+    blocks = item_blocks(bench, block_bytes, item_id, item_text)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.mapInArrow(_cutter(first, window, at, least_words, most_covered), docs.schema)
+    # Spans depend on the text alone, so copies share one row a block, and a text has at most as many rows as there are blocks.
+    text = F.col(text_col).cast("string")
+    hashes = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("t"), text).alias("t2")]
+    light = docs.select(*hashes, text.alias("text"))
+    found = None
+    for k, items in enumerate(chain([first, second], blocks)):
+        marked = light.mapInArrow(_marker(items, window, k), _SPANS)
+        found = marked if found is None else found.unionByName(marked)
+    found = found.groupBy("t1", "t2", "block").agg(F.first("spans").alias("spans"))
+    found = found.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *hashes)
+    spans = "spans"
+    while spans in map(str.lower, docs.columns):
+        spans += "_"
+    met = row.join(found, ["t1", "t2"], "left").select("row.*", F.col("spans").alias(spans))
+    return met.mapInArrow(_cutter(None, window, at, least_words, most_covered), docs.schema)
