@@ -54,6 +54,28 @@ def test_held_out_copies_score_higher(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) for i, r in got.items())
 
 
+def test_hot_pair_is_sent_once_a_block(spark, monkeypatch):
+    from thermogrid.llm import language_model as L
+
+    make = L._score_pairs
+
+    def limited(*args):
+        score, unpack = make(*args), L.unpack_numbers
+
+        def check(table):
+            if (n := sum(len(unpack(x, 5)) for x in table.column("words").to_pylist())) > 40:
+                raise ValueError(f"{n} pairs in one shard")
+            return score(table)
+
+        return check
+
+    monkeypatch.setattr(L, "_score_pairs", limited)
+    rows = [(i, "hot pair " * (50 + i % 3) + f"own{i % 2}") for i in range(80)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    for g, w in zip(sorted(tuple(r) for r in got), sorted(brute(rows)), strict=True):
+        assert g[:5] == w[:5] and abs(g[6] - w[6]) <= 0.01 * g[2]
+
+
 def test_reruns_agree(spark, odd_docs):
     runs = [sorted((tuple(r) for r in score_texts(d).collect()), key=repr) for d in (odd_docs, odd_docs.repartition(6))]
     assert [r[:5] for r in runs[0]] == [r[:5] for r in runs[1]]

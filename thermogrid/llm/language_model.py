@@ -147,7 +147,25 @@ class _Block:
         self.context, self.context_count = np.roll(self.word, 1), np.roll(self.count, 1)
         self.context[begins], self.context_count[begins] = _BEGIN_ID, train_docs
         #: Pairs that a training text may hold; the others are scored on the spot.
-        self.asked = (self.count > 0) & (self.context_count > 0)
+        self.asked = np.flatnonzero((self.count > 0) & (self.context_count > 0))
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        place = rank[tokens]
+        before = np.roll(place, 1)
+        before[begins] = len(ids)
+        self.pair = (before * (len(ids) + 1) + place)[self.asked]
+
+    def distinct(self, shards: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The asked pairs, each distinct one once, by shard, context and word: a token that has it and its shard; and of each asked token its pair's place."""
+        _, first, of = np.unique(self.pair, return_index=True, return_inverse=True)
+        at = self.asked[first]
+        context = self.context[at]
+        key = np.where(self.context_count[at] > hot, T.combine([context, self.word[at]]), T.mix(context + np.uint64(1)))
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return at[order], shard[order], place[of]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -157,47 +175,42 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _send_pairs(shards: int, train_docs: int, hot: int):
-    """Messages of (context, word) pairs with their documents; a context with more than `hot` pairs is spread over all shards by the word."""
+    """Messages of a block's distinct (context, word) pairs with their counts in its training texts; a context with more than `hot` pairs is spread over all shards by the word."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             k = _Block(row, train_docs)
-            at = np.flatnonzero(k.asked)
-            context, word = k.context[at], k.word[at]
-            key = np.where(k.context_count[at] > hot, T.combine([context, word]), T.mix(context + np.uint64(1)))
-            shard = (key % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((k.doc[at], context, shard))
-            at, shard = at[order], shard[order]
+            at, shard, of = k.distinct(shards, hot)
+            train = np.bincount(of[~k.held[k.doc[k.asked]]], minlength=len(at))
             cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[: len(at)]
             out = []
             for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
                 p = at[a:e]
                 c = k.context[p]
                 first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                docs, local = np.unique(k.doc[p], return_inverse=True)
                 out.append((
                     int(shard[a]), row["block"], pack_numbers(c[first], 5), pack_numbers(k.context_count[p[first]], 5), pack_numbers(np.diff(np.append(first, len(p))), 4),
-                    pack_numbers(docs, 4), k.held[docs].tobytes(), pack_numbers(local, 4), pack_numbers(k.word[p], 5), pack_numbers(_count_code(k.count[p]), 1),
+                    pack_numbers(k.word[p], 5), pack_numbers(_count_code(k.count[p]), 1), pack_numbers(train[a:e], 5),
                 ))
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 8)
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], [f.split()[0] for f in _PAIRS.split(", ")])
 
     return send
 
 
-_PAIRS = "shard long, block long, contexts binary, context_counts binary, repeats binary, docs binary, held binary, doc binary, words binary, codes binary"
-_SUMS = "shard long, block long, docs binary, sums binary"
+_PAIRS = "shard long, block long, contexts binary, context_counts binary, repeats binary, words binary, codes binary, train binary"
+_VALUES = "shard long, block long, levels binary, values binary"
 
 
 def _score_pairs(tokens: int, vocabulary: int, mu: float):
-    """Of one shard: builds the trie from the pairs of training texts, asks it for the pairs of all, and sums up by document."""
+    """Of one shard: builds the trie from the pairs of training texts, asks it for the pairs of all, and answers each block pair by pair.
+
+    A block sends a pair once, so a shard has no more entries of one pair than there are blocks.
+    """
 
     def score(table: pa.Table) -> pa.Table:
         column = lambda n, w: [unpack_numbers(x, w) for x in table.column(n).to_pylist()]
         contexts, repeats, words = column("contexts", 5), column("repeats", 4), column("words", 5)
-        docs, local = column("docs", 4), column("doc", 4)
-        held = [np.frombuffer(x, bool) for x in table.column("held").to_pylist()]
-        train = ~np.concatenate([h[d.astype(np.int64)] for h, d in zip(held, local)])
         every = np.concatenate(contexts)
         known, at = np.unique(every, return_inverse=True)
         context_count = np.zeros(len(known), np.int64)
@@ -211,7 +224,7 @@ def _score_pairs(tokens: int, vocabulary: int, mu: float):
         place = np.empty(len(key), np.int64)
         place[order] = np.cumsum(new) - 1
         pair = ranked[new]
-        seen = np.bincount(place[train], minlength=len(pair))
+        seen = np.add.reduceat(np.concatenate(column("train", 5)).astype(np.int64)[order], np.flatnonzero(new))
         of = (pair >> np.uint64(40)).astype(np.int64)
         lower = (_MIDDLE[np.concatenate(column("codes", 1)).astype(np.int64)][order[new]] + 1) / (tokens + vocabulary + 1)
         total = context_count[of] + mu
@@ -219,14 +232,14 @@ def _score_pairs(tokens: int, vocabulary: int, mu: float):
         held_by = seen > 0
         trie = BigramTrie.build(known[of[held_by]], word[held_by], np.log10((seen + mu * lower) / total)[held_by])
         there, stored = trie.query(known[of], word)
-        result = np.where(there, stored, np.log10(mu * lower / total))[place]
-        out, a = [], 0
-        for block, d, l in zip(table.column("block").to_pylist(), docs, local):
-            sums = np.bincount(l.astype(np.int64), result[a : a + len(l)], minlength=len(d))
-            out.append((block, pack_numbers(d, 4), sums.tobytes()))
-            a += len(l)
+        levels, level = np.unique(np.where(there, stored, np.log10(mu * lower / total)), return_inverse=True)
+        level, out, a = level[place], [], 0
+        for block, w in zip(table.column("block").to_pylist(), words):
+            mine, code = np.unique(level[a : a + len(w)], return_inverse=True)
+            out.append((block, levels[mine].tobytes(), pack_numbers(code, 4)))
+            a += len(w)
         shard = table.column("shard").slice(0, 1).to_pylist() * len(out)
-        return pa.table({"shard": pa.array(shard, pa.int64()), "block": pa.array([r[0] for r in out], pa.int64()), "docs": pa.array([r[1] for r in out], pa.binary()), "sums": pa.array([r[2] for r in out], pa.binary())})
+        return pa.table({"shard": pa.array(shard, pa.int64()), "block": pa.array([r[0] for r in out], pa.int64()), "levels": pa.array([r[1] for r in out], pa.binary()), "values": pa.array([r[2] for r in out], pa.binary())})
 
     return score
 
@@ -234,8 +247,8 @@ def _score_pairs(tokens: int, vocabulary: int, mu: float):
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _finish(tokens: int, vocabulary: int, train_docs: int, mu: float):
-    """Per document: the counts and the base score, and the sums of the shards with what needed no shard."""
+def _finish(tokens: int, vocabulary: int, train_docs: int, mu: float, shards: int, hot: int):
+    """Per document: the counts and the base score, and the shards' values of its pairs with what needed no shard."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -243,9 +256,11 @@ def _finish(tokens: int, vocabulary: int, train_docs: int, mu: float):
             plain = np.log10(k.count + 1) - math.log10(tokens + vocabulary + 1)
             # A context that training texts lack leaves the lower order; a word that they lack leaves its share of it.
             lower = np.where(k.context_count > 0, plain + np.log10(mu / (k.context_count + mu)), plain)
-            score = np.bincount(k.doc, np.where(k.asked, 0.0, lower), minlength=n)
-            for part in sorted(row["parts"] or [], key=lambda x: x["shard"]):
-                score[unpack_numbers(part["docs"], 4).astype(np.int64)] += np.frombuffer(part["sums"])
+            if len(k.asked):
+                parts = sorted(row["parts"], key=lambda x: x["shard"])
+                values = np.concatenate([np.frombuffer(x["levels"])[unpack_numbers(x["values"], 4).astype(np.int64)] for x in parts])
+                lower[k.asked] = values[k.distinct(shards, hot)[2]]
+            score = np.bincount(k.doc, lower, minlength=n)
             values = (k.doc_ids, k.held, k.lengths, np.bincount(k.doc, k.count > 0, minlength=n).astype(np.int64), np.bincount(k.doc, plain, minlength=n), score)
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], [f.split()[0] for f in _SCORES.split(", ")])
@@ -264,8 +279,9 @@ def score_texts(
     p(word | context) = (pairs + mu * p(word)) / (contexts + mu), the context of a first word being the text's beginning.
 
     1. Blocks of documents are written as places in their own vocabularies. 2. Vocabulary slices meet in shards by hash, which
-    return counts and dense ids. 3. Blocks send their pairs to shards by context, those of very frequent contexts by word as
-    well; a shard holds its part of the model as an Elias-Fano trie in memory-mapped levels and answers with a sum per document.
+    return counts and dense ids. 3. Blocks send each distinct pair once with its training count to shards by context, those of very
+    frequent contexts by word as well; a shard holds its part of the model as an Elias-Fano trie in memory-mapped levels and
+    answers with a value per pair, which the block adds up by document: a pair has no more entries than there are blocks.
     The model is never in one place, and every table that moves grows in proportion to the corpus. Repeated rows are
     documents of their own and count as often; an empty table gives no rows.
     """
@@ -281,7 +297,7 @@ def score_texts(
     shards = max(1, -(-sums.n_tokens // pair_shard))
     hot = max(1, sums.n_train // (4 * shards))
     pairs = met.mapInArrow(_send_pairs(shards, sums.train_docs, hot), _PAIRS)
-    scored = pairs.groupBy("shard").applyInArrow(_score_pairs(sums.n_train, vocabulary, mu), _SUMS)
-    parts = scored.groupBy("block").agg(F.collect_list(F.struct("shard", "docs", "sums")).alias("parts"))
-    out = met.join(parts, "block", "left").mapInArrow(_finish(sums.n_train, vocabulary, sums.train_docs, mu), _SCORES)
+    scored = pairs.groupBy("shard").applyInArrow(_score_pairs(sums.n_train, vocabulary, mu), _VALUES)
+    parts = scored.groupBy("block").agg(F.collect_list(F.struct("shard", "levels", "values")).alias("parts"))
+    out = met.join(parts, "block", "left").mapInArrow(_finish(sums.n_train, vocabulary, sums.train_docs, mu, shards, hot), _SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(sums.n_train).cast("long").alias("train_tokens"), "base_score", "score")
