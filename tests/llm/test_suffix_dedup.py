@@ -57,5 +57,33 @@ def test_every_string_start_is_in_one_run():
     assert set(seen.values()) == {1} and all(len(x) == 1 for x in at.values())
 
 
+def test_passage_shorter_than_a_string(spark, monkeypatch):
+    from thermogrid.llm import suffix_dedup as S
+
+    make = S._sorter
+
+    def limited(length):
+        sort = make(length)
+
+        def check(table):
+            sizes = {}
+            for k, p in zip(table.column("key").to_pylist(), table.column("part").to_pylist()):
+                sizes[k] = sizes.get(k, 0) + len(p)
+            if max(sizes.values()) > 5000:
+                raise ValueError(f"{max(sizes.values())} bytes of one key in one shard")
+            return sort(table)
+
+        return check
+
+    monkeypatch.setattr(S, "_sorter", limited)
+    notice = prose(30, 950)[:150].ljust(150, "x")
+    rows = [(i, prose(30, 1000 + i) + notice + prose(30, 2000 + i)) for i in range(60)]
+    rows += [(100 + i, prose(30, 3000 + i) + "some more before it, 50 bytes " + notice + " and more after it, 50 bytes" + prose(30, 4000 + i)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = remove_repeats(docs, 200, shard_bytes=5000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == (want := brute(rows, 200))
+    assert sum(x[2] > 0 for x in want) == 3
+
+
 def test_empty_table(no_docs):
     assert remove_repeats(no_docs).count() == 0
