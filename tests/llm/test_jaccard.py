@@ -72,6 +72,20 @@ def test_keep_one(spark, odd_docs):
     assert all(r in rows for r in kept)
 
 
+def test_keep_one_where_ids_are_shared(spark):
+    near = prose(80, 61)
+    rows = [(5, prose(60, 70 + k)) for k in range(20)]  # one id, texts that are linked with nothing
+    rows += [(5, near), (3, near + " end"), (9, near), (5, prose(70, 62)), (8, prose(70, 62) + " more")]
+    rows += [(None, prose(60, 63)), (None, prose(60, 64)), (None, prose(60, 64)), (None, prose(60, 64) + " tail"), (None, prose(60, 65)), (7, prose(60, 65))]
+    rows += [(5, rows[0][1]), (1, ""), (1, " \n"), (1, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    kept = [{(r.doc_id, r.text): r.row for r in keep_one_of_each(d).collect()} for d in (docs, docs.repartition(5))]
+    assert kept[0] == kept[1] and len(keep_one_of_each(docs).collect()) == len(kept[0])
+    sure = {*rows[:20], (3, near + " end"), (5, prose(70, 62)), (None, prose(60, 63)), (7, prose(60, 65)), (1, ""), (1, " \n"), (1, None)}
+    rest = set(kept[0]) - sure
+    assert sure <= set(kept[0]) and len(rest) == 1 and rest <= {(None, prose(60, 64)), (None, prose(60, 64) + " tail")}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(0, 400).selectExpr("(id * 37) % 401 AS a", "((id + 1) * 37) % 401 AS b")
     assert {r.component for r in components(edges).collect()} == {0}

@@ -49,7 +49,11 @@ def _sets(size: int):
                 for found in document_shingles(data, offsets, size):
                     counts.append(len(found))
                     classes.append(_class_of(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "n_shingles", "class"])
+            more = range(2, b.num_columns)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), *(b.column(k) for k in more)],
+                ["doc_id", "n_shingles", "class", *(b.schema.names[k] for k in more)],
+            )
 
     return measure
 
@@ -253,6 +257,12 @@ def class_links(docs: DataFrame, total: int, shingle: int, similarity: int, text
     return links.unionByName(_links(cross.select(*pair), records, similarity))
 
 
+def _labels(sets: DataFrame, docs: DataFrame, shingle: int, similarity: int, text_col: str, shard_shingles: int) -> DataFrame:
+    """node, component for every class that is linked with another."""
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    return components(class_links(docs, total, shingle, similarity, text_col, shard_shingles))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, similarity: int = 75, id_col: str = "doc_id", text_col: str = "text", shard_shingles: int = SHARD_SHINGLES
 ) -> DataFrame:
@@ -264,8 +274,7 @@ def near_duplicates(
     of its component, null if there is none; an empty table gives no rows. Sets and links are compared by 64- and 48-bit hashes.
     """
     sets = written(shingle_sets(docs, shingle, id_col, text_col), "jaccard-sets")
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    labels = components(class_links(docs, total, shingle, similarity, text_col, shard_shingles))
+    labels = _labels(sets, docs, shingle, similarity, text_col, shard_shingles)
     least = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, least["class"] == labels.node, "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     # One row per class; a component's least id goes back to its classes, and from there to the documents.
@@ -277,11 +286,31 @@ def near_duplicates(
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns kept, whose id is the least of their component; of rows with that id, one."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
-    kept = packed.join(keep, F.col("id").eqNullSafe(F.col("_kept")), "left_semi")
-    once = kept.where("id IS NOT NULL").groupBy("id").agg(F.first("row").alias("row")).select("row")
-    return once.unionByName(kept.where("id IS NULL").select("row")).select("row.*")
+_PLACE = ["no_id", "id", "t1", "t2"]
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: int = 75, shard_shingles: int = SHARD_SHINGLES
+) -> DataFrame:
+    """The documents, all columns kept: of each component of near duplicates exactly one row, and every row without words.
+
+    It is the row with the least id (null ids last), ties by hashes of the text, and then of all columns. Rows are told apart by id and text,
+    so rows that share an id but are not linked all stay, and of rows without an id a component keeps one at most.
+    """
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    hashes = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("t"), text).alias("t2")]
+    light = docs.select(id_.alias("doc_id"), text.alias("text"), *hashes)
+    sets = written(light.mapInArrow(_sets(shingle), "doc_id long, n_shingles long, class long, t1 long, t2 long"), "jaccard-sets")
+    labels = _labels(sets, docs, shingle, similarity, text_col, shard_shingles)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t1", "t2")
+    least = sets.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("least"))
+    named = least.join(labels, least["class"] == labels.node, "left").select("least", F.coalesce("component", "class").alias("component"))
+    keep = written(named.groupBy("component").agg(F.min("least").alias("least")).select("least.*"), "jaccard-kept")
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    tie = F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind)).alias("tie")
+    wordless = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0
+    packed = docs.select(row, tie, F.coalesce(wordless, F.lit(True)).alias("wordless"), id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id"), *hashes)
+    # Rows of one id and text meet with partial results before they are joined, so many of them are one row per task.
+    once = packed.where("NOT wordless").groupBy(*_PLACE).agg(F.min_by("row", "tie").alias("row"))
+    kept = once.join(keep, _PLACE, "left_semi").select("row")
+    return kept.unionByName(packed.where("wordless").select("row")).select("row.*")
