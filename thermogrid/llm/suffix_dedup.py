@@ -89,43 +89,56 @@ def _segmenter(length: int):
     return cut
 
 
-_PART = "doc_id long, tie long, key long, start long, part binary, whole boolean, digest long"
-
-
 def _extractor(length: int):
-    """Bytes of the wanted segments of each document; of crowded keys, a digest of each string instead."""
+    """Bytes of the wanted segments of each document; strings of crowded keys are dealt again by another least gram."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64())
         for b in batches:
             lists = b.column(3)
             bounds = lists.offsets.to_numpy()
             want = lists.values
             start, count, key, crowded, whole = (want.field(f).to_numpy(zero_copy_only=False) for f in ("start", "starts", "key", "crowded", "whole"))
             out: list[tuple] = []
-
-            def batch() -> pa.RecordBatch:
-                rows = pa.array([x[0] for x in out], pa.int64())
-                columns = [b.column(0).take(rows), b.column(1).take(rows), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds, 1))]
-                return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _PART.split(", ")])
-
             for i, text in enumerate(unpack_texts(b.column(2))):
                 for j in range(bounds[i], bounds[i + 1]):
                     part = text[start[j] : start[j] + count[j] + length - 1]
                     if not crowded[j]:
-                        out.append((i, int(key[j]), int(start[j]), part, bool(whole[j]), None))
+                        out.append((i, int(key[j]), int(start[j]), part, bool(whole[j])))
                         continue
-                    at = np.arange(count[j])
-                    digests = T.span_hash(T.prefix_hash(np.frombuffer(part, np.uint8), False), at, at + length).view(np.int64)
-                    out += [(i, int(key[j]), int(start[j]) + k, None, bool(whole[j]), d) for k, d in enumerate(digests.tolist())]
-                if len(out) >= 20_000:
-                    yield batch()
-                    out = []
-            yield batch()
+                    data = np.frombuffer(part, np.uint8)
+                    first, n, sub, _, _ = segments(data, np.array([0, len(data)]), length, salt=1)
+                    again = T.combine([np.full(len(sub), key[j]).view(np.uint64), sub.view(np.uint64)]).view(np.int64)
+                    out += [(i, k, int(start[j] + f), part[f : f + m + length - 1], bool(whole[j])) for k, f, m in zip(again.tolist(), first.tolist(), n.tolist())]
+            rows = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), *(pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary()), (4, pa.bool_())))],
+                ["doc_id", "tie", "key", "start", "part", "whole"],
+            )
 
     return extract
 
 
+_STRING = "doc_id long, tie long, key long, start long, whole boolean, digest long"
+
+
+def _strings(length: int):
+    """A digest of each string of the parts."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, data, offsets in T.text_blocks(b.column(4), _BLOCK):
+                counts = np.maximum(np.diff(offsets) - length + 1, 0)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+                first = offsets[doc] + at
+                digest = T.span_hash(T.prefix_hash(data, False), first, first + length).view(np.int64)
+                rows = pa.array(row + doc)
+                start = b.column(3).take(rows).to_numpy() + at
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(start), b.column(5).take(rows), pa.array(digest)], [f.split()[0] for f in _STRING.split(", ")])
+
+    return strings
+
+
 def _repeats(parts: list[bytes], length: int) -> np.ndarray:
     """For the joined parts with a separator after each: which starts hold a string of that length that starts elsewhere too."""
     text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int16) + 1
@@ -188,9 +201,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     2. Runs under a key with the same digest are copies: all their bytes repeat, and one of them stands for the rest.
     3. Distinct runs of a key that has several are cut out of the texts and dealt to shards by key. Each shard sorts its
        suffixes by induction and reads off its permuted common prefixes where a string starts more than once.
-    4. A key whose distinct runs pass a shard's size (a passage shorter than a string, in many texts that differ around it) goes to no
-       shard: its strings are counted by key and digest with partial sums, and those that start twice are joined back from
-       written tables, where Spark splits a common digest's rows.
+    4. A key beyond a shard's size is dealt again by a second least gram. What still passes it (a passage shorter than a string, in many
+       texts that differ around it) goes to no shard: its strings are counted by key and digest with partial sums, and those
+       that start twice are joined back from written tables, where Spark splits a common digest's rows.
     """
     text = F.col(text_col).cast("string")
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
@@ -203,7 +216,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     classes = written(classes, "suffix-classes")
     copies = runs.join(classes.where("n > 1").select("key", "digest", "starts"), ["key", "digest", "starts"])
     copies = copies.select("doc_id", "tie", "start", (F.col("start") + F.col("starts") + F.lit(length - 1)).alias("end"))
-    # What one key's distinct runs hold; a key beyond a shard's size is counted string by string.
+    # What one key's distinct runs hold; a key beyond a shard's size is dealt again by a second gram.
     keys = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max("inside").alias("inside"), F.sum(F.col("starts") + F.lit(length)).alias("bytes"))
     keys = written(keys.where("classes > 1 OR inside").select("key", (F.col("bytes") > shard_bytes).alias("crowded"), "bytes"), "suffix-shards")
     sums = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"), F.coalesce(F.max("crowded"), F.lit(False)).alias("crowded")).first()
@@ -213,16 +226,19 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     # One of several equal rows is enough to cut the runs from.
     packed = light.mapInArrow(pack_texts, PACKED).alias("p")
     met = packed.join(wanted.alias("w"), F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.tie") == F.col("w.tie")))
-    parts = met.select("p.doc_id", "p.tie", "packed", "runs").mapInArrow(_extractor(length), _PART)
+    parts = met.select("p.doc_id", "p.tie", "packed", "runs").mapInArrow(_extractor(length), "doc_id long, tie long, key long, start long, part binary, whole boolean")
     if sums.crowded:
         parts = written(parts, "suffix-parts")
-        single = parts.where("digest IS NOT NULL").select("doc_id", "tie", "key", "start", "whole", "digest")
-        twice = single.groupBy("key", "digest").agg(F.count("*").alias("n")).where("n > 1").select("key", "digest")
-        found = single.where("NOT whole").join(written(twice, "suffix-twice"), ["key", "digest"])
+        large = parts.groupBy("key").agg(F.sum(F.octet_length("part")).alias("bytes")).where(F.col("bytes") > shard_bytes).select("key")
+        large = written(large, "suffix-large")
+        single = parts.join(large, "key", "left_semi").select(*parts.columns).mapInArrow(_strings(length), _STRING)
+        single = written(single, "suffix-strings")
+        twice = written(single.groupBy("key", "digest").agg(F.count("*").alias("n")).where("n > 1").select("key", "digest"), "suffix-twice")
+        found = single.where("NOT whole").join(twice, ["key", "digest"])
         copies = copies.unionByName(found.select("doc_id", "tie", "start", (F.col("start") + F.lit(length)).alias("end")))
-        parts = parts.where("digest IS NULL")
-    parts = parts.drop("digest").withColumn("shard", F.pmod("key", F.lit(shards)))
-    return copies.unionByName(parts.groupBy("shard").applyInArrow(_sorter(length), "doc_id long, tie long, start long, end long"))
+        parts = parts.join(large, "key", "left_anti").select(*parts.columns)
+    sorted_ = parts.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_sorter(length), "doc_id long, tie long, start long, end long")
+    return copies.unionByName(sorted_)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
