@@ -134,3 +134,15 @@ def op6_unit_dedup(spark, folder):
 
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return keep_earliest(documents(spark, folder)).drop("kept_text").withColumn("removed", spans)
+
+
+@_register("op13_sentence_pieces")
+def op13_sentence_pieces(spark, folder):
+    import public_tokenizers
+
+    from thermogrid.llm.sentence_pieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode(encode(documents(spark, folder), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
