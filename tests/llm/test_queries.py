@@ -22,6 +22,7 @@ COLUMNS = {
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "size", "source_size", "target", "taken"],
     "op10": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op12": ["item_id", "rank", "doc_id", "score"],
     "op13": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 

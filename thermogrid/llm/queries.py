@@ -146,3 +146,21 @@ def op13_sentence_pieces(spark, folder):
     both = decode(encode(documents(spark, folder), model), model)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_register("op12_lexical_search", """
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    c AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+    i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+    t AS (SELECT doc_id, CAST(len AS BIGINT) AS len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+    s AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len * c.n) // c.l)) AS part FROM t, c),
+    g AS (SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * c.n + 2) / (2 * df + 1))) AS BIGINT) * part) AS BIGINT) AS score
+        FROM i JOIN s USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def op12_lexical_search(spark, folder):
+    from thermogrid.llm.lexical_search import search
+
+    return search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
