@@ -22,6 +22,7 @@ COLUMNS = {
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "size", "source_size", "target", "taken"],
     "op10": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op12": ["item_id", "rank", "doc_id", "score"],
     "op13": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
@@ -38,7 +39,7 @@ def test_matches_sql(spark, name):
 def test_names_and_columns(spark):
     named = {q.split("_")[0]: q for q in QUERIES}
     assert set(named) == set(COLUMNS)
-    for n in ("op5", "op9", "op10", "op13"):
+    for n in ("op5", "op9", "op10", "op11", "op13"):
         assert set(COLUMNS[n]) <= set(QUERIES[named[n]](spark, FOLDER).columns)
 
 

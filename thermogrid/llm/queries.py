@@ -164,3 +164,28 @@ def op12_lexical_search(spark, folder):
     from thermogrid.llm.lexical_search import search
 
     return search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@_register("op11_periodic_runs")
+def op11_periodic_runs(spark, folder):
+    from thermogrid.llm.periodic_runs import find_runs
+
+    # A tenth of the texts repeat themselves from some word on, as the contract has it.
+    docs = documents(spark, folder).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    some = docs.where("h % 10 = 0 AND text IS NOT NULL").select("doc_id", "text", words.alias("words"), F.floor(F.col("h") / 10).alias("g"))
+    some = some.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.expr("transform(sequence(0, n - 1), i -> words[CAST(if(i >= a, a + (i - a) % p, i) AS INT)])")
+    repeated = some.select("doc_id", F.when(F.col("n") > 0, F.array_join(tail, " ")).alias("text"))
+    plain = docs.where("h IS NULL OR h % 10 <> 0 OR text IS NULL").select("doc_id", "text")
+    runs = find_runs(plain.unionByName(repeated))
+    longest = F.expr("array_sort(runs, (x, y) -> CASE WHEN x.length <> y.length THEN CAST(sign(y.length - x.length) AS INT) WHEN x.start <> y.start THEN CAST(sign(x.start - y.start) AS INT) ELSE CAST(sign(x.period - y.period) AS INT) END)")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    best = F.try_element_at(longest, F.lit(1))
+    return runs.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
