@@ -8,7 +8,7 @@ from thermogrid.catalog.registry import query
 from thermogrid.functions import round_even
 from thermogrid.plans import scenario as SC
 from thermogrid.session import scratch_path
-from thermogrid.streaming import jobs as J, observations as O, snapshot as SN
+from thermogrid.streaming import jobs as J, liveness as L, observations as O, snapshot as SN
 
 LIVE_WEIGHTS = {"green_cover": -0.05, "mean_aqi": 0.01}
 
@@ -101,11 +101,14 @@ STATUS_SQL = f"""
 """
 
 
-def statuses(d):
+def expected_sources(d):
     rows = [("click", "live"), ("view", "satellite"), ("error", "live"), ("purchase", "live"), ("dem", "static"), ("lidar", "live")]
-    expected = d.spark.createDataFrame(rows, "source string, kind string")
+    return d.spark.createDataFrame(rows, "source string, kind string")
+
+
+def statuses(d):
     obs = observed(d)
-    return SN.freshness(SN.latest_readings(obs, ["event_id"], "event_id"), expected, obs.agg(F.max("observed_at").alias("at")))
+    return SN.freshness(SN.latest_readings(obs, ["event_id"], "event_id"), expected_sources(d), obs.agg(F.max("observed_at").alias("at")))
 
 
 @query("freshness_status_ST4", STATUS_SQL + "SELECT source, kind, status FROM st")
@@ -113,6 +116,47 @@ def _(d):
     return statuses(d).select("source", "kind", "status")
 
 
+def timed_stream(d, seconds_on: int, batches: int = 3):
+    """Readings in order of time, a file a batch, and then only a clock that goes on for so many seconds after the last reading."""
+    path = scratch_path(d.spark, "timed-events")
+    rows = observed(d).select("source", "observed_at")
+    low, high = rows.agg(F.min("observed_at"), F.max("observed_at")).first()
+    share = F.least(F.floor((F.unix_micros("observed_at") - F.unix_micros(F.lit(low))) * batches / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)), F.lit(batches - 1))
+    for k in range(batches):
+        rows.where(share == k).write.mode("append").parquet(f"{path}/{k}")
+    ticks = d.spark.range(1).select(F.lit(None).cast("string").alias("source"), (F.lit(high) + F.make_dt_interval(secs=F.lit(seconds_on + LATE))).alias("observed_at"))
+    for k in range(2):  # the time that a batch brings holds from the next one on
+        ticks.write.mode("append").parquet(f"{path}/{batches + k}")
+    return d.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(path)
+
+
+#: Seconds that readings may come out of order.
+LATE = 10
+
+
+@query("status_changes_ST3b", """
+    WITH g AS (SELECT source, observed_at, CASE WHEN epoch_us(observed_at) - epoch_us(lag(observed_at) OVER (PARTITION BY source ORDER BY observed_at)) < 300000000 THEN 0 ELSE 1 END AS starts FROM observations),
+    s AS (SELECT source, observed_at, sum(starts) OVER (PARTITION BY source ORDER BY observed_at ROWS UNBOUNDED PRECEDING) AS k FROM g),
+    p AS (SELECT source, epoch_us(min(observed_at)) AS first, epoch_us(max(observed_at)) AS last, count(*) AS n FROM s GROUP BY source, k)
+    SELECT source, 'LIVE' AS status, CAST(first AS BIGINT) AS at_us, CAST(0 AS BIGINT) AS readings FROM p
+    UNION ALL SELECT source, 'UNAVAILABLE', CAST(last + 300000000 AS BIGINT), n FROM p""")
+def _(d):
+    """Every change of every source, from timers: an hour after the last reading all have expired, without a reading."""
+    changes = J.append_and_read(L.status_changes(timed_stream(d, 3600), late=f"{LATE} seconds"), "changes")
+    return changes.select("source", "status", F.unix_micros("at").alias("at_us"), "readings")
+
+
+@query("status_by_timer_ST4b", f"""
+    WITH l AS ({LATEST_SQL}), now AS (SELECT max(observed_at) + INTERVAL 100 SECOND AS at FROM observations)
+    SELECT e.source, e.kind, CASE WHEN e.kind = 'static' THEN 'STATIC' WHEN l.observed_at IS NULL THEN 'UNAVAILABLE' WHEN e.kind = 'satellite' THEN 'LATEST_OBSERVATION'
+      WHEN epoch_us(now.at) - epoch_us(l.observed_at) < 300000000 THEN 'LIVE' ELSE 'UNAVAILABLE' END AS status FROM {EXPECTED} CROSS JOIN now LEFT JOIN l ON l.source = e.source""")
+def _(d):
+    """What the stream says a hundred seconds after the last reading."""
+    base = L.run_feed(L.status_changes(timed_stream(d, 100), late=f"{LATE} seconds"), expected_sources(d), "feed")
+    changes = d.spark.read.schema(L.TRANSITIONS).parquet(f"{base}/changes")
+    return L.current_status(changes, expected_sources(d))
+
+
 @query("snapshot_history_ST5", """
     SELECT concat('snap_', strftime(date_trunc('hour', observed_at), '%Y_%m_%d_%H%M%S'), '_000') AS snapshot_id, count(*) AS readings FROM observations GROUP BY 1""")
 def _(d):

@@ -26,8 +26,8 @@ def freshness(latest: DataFrame, expected: DataFrame, as_of: DataFrame, ttl_seco
 
     `as_of` is one row (at). A live source that has been silent longer than the time-to-live is unavailable.
     """
-    seen = latest.select("source", "observed_at")  # one row per source
-    joined = attach_row(expected.join(F.broadcast(seen), "source", "left"), "_now", as_of.select("at"))
+    seen = latest.select("source", "observed_at")  # one row per source; sources can be many, so Spark chooses the join
+    joined = attach_row(expected.join(seen, "source", "left"), "_now", as_of.select("at"))
     age = F.unix_micros(F.col("_now.at").cast("timestamp")) - F.unix_micros(F.col("observed_at").cast("timestamp"))
     status = (
         F.when(F.col("kind") == "static", F.lit("STATIC"))
