@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from thermogrid import constants as K
 from thermogrid.operators.keyed import attach_row, keep_first, union_all
 from thermogrid.operators.stats import quantile_columns
+from thermogrid.operators.tiles import chunked_lines, neighbours
 
 __all__ = [
     "zonal_statistics", "circular_mean", "majority_class", "pixels_to_cells", "resample_nearest", "sample_at_points",
@@ -74,28 +75,6 @@ def merge_tiles(tiles: Sequence[DataFrame], nodata: float | None = None) -> Data
     return keep_first(pixels, ["row", "col"], ["_tile"]).drop("_tile")
 
 
-def neighbours(pixels: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """The eight neighbours of every pixel as columns nw..se (null outside). Expects every position to have a row.
-
-    One pass along raster rows gives west and east, a second along columns moves whole triples north and south:
-    two shuffles of one row per pixel, where nine self-joins would move nine.
-    """
-    across, down = W.partitionBy(*by, "row").orderBy("col"), W.partitionBy(*by, "col").orderBy("row")
-
-    def beside(fn, column: str, index: str, delta: int, window) -> Column:
-        return F.when(fn(index).over(window) == F.col(index) + delta, fn(column).over(window))
-
-    first = pixels.withColumns({
-        "w": beside(F.lag, value, "col", -1, across), "e": beside(F.lead, value, "col", 1, across),
-    }).withColumn("_t", F.struct("w", F.col(value).alias("m"), "e"))
-    second = first.withColumns({"_n": beside(F.lag, "_t", "row", -1, down), "_s": beside(F.lead, "_t", "row", 1, down)})
-    return second.select(
-        *pixels.columns, "w", "e",
-        F.col("_n.w").alias("nw"), F.col("_n.m").alias("n"), F.col("_n.e").alias("ne"),
-        F.col("_s.w").alias("sw"), F.col("_s.m").alias("s"), F.col("_s.e").alias("se"),
-    )
-
-
 def _gradients(cell_x: float, cell_y: float) -> tuple[Column, Column]:
     c = F.col
     dzdx = ((c("ne") + F.lit(2.0) * c("e") + c("se")) - (c("nw") + F.lit(2.0) * c("w") + c("sw"))) / F.lit(8.0 * cell_x)
@@ -108,7 +87,7 @@ def slope_aspect(pixels: DataFrame, value: str, cell_x: float, cell_y: float, by
 
     Pixels without a full neighbourhood get null; pad_edges fills them.
     """
-    near = neighbours(pixels, value, by)
+    near = neighbours(pixels, value, by=by)
     dzdx, dzdy = _gradients(cell_x, cell_y)
     sloped = near.withColumns({"dzdx": dzdx, "dzdy": dzdy})
     slope = F.degrees(F.atan(F.hypot("dzdx", "dzdy")))
@@ -129,21 +108,30 @@ def hillshade(gradients: DataFrame, azimuth: float = 315.0, altitude: float = 45
     return gradients.withColumn("hillshade", shade)
 
 
+def _filled_along(pixels: DataFrame, line: str, index: str, by: Sequence[str]) -> DataFrame:
+    """Holes filled from the pixel before, then from the one after."""
+    ends = pixels.groupBy(*by, line).agg(
+        F.min(index).alias("lo"), F.max(index).alias("hi"), F.min_by("filled", index).alias("first"), F.max_by("filled", index).alias("last"))
+    beyond = F.array(
+        F.struct((F.col("lo") - 1).alias(index), F.col("last").alias("filled")), F.struct((F.col("hi") + 1).alias(index), F.col("first").alias("filled")))
+    wrapped = ends.select(*by, line, F.inline(beyond)).withColumn("_real", F.lit(False))
+    chunks = chunked_lines(pixels.withColumn("_real", F.lit(True)).unionByName(wrapped, allowMissingColumns=True), line, index, by=by)
+    w = W.partitionBy(*by, line, "_chunk").orderBy(index)
+    chunks = chunks.withColumn("filled", F.coalesce("filled", F.lag("filled").over(w)))
+    chunks = chunks.withColumn("filled", F.coalesce("filled", F.lead("filled").over(w)))
+    return chunks.where("_own AND _real").select(*pixels.columns)
+
+
 def fill_nodata(pixels: DataFrame, value: str, rounds: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """Fill holes from the left, right, upper and lower neighbour, each pass seeing the last; the edge wraps.
 
-    What is still empty takes the median.
+    What is still empty takes the median. A line may begin and end anywhere but has no gaps. Lines are worked on in chunks that know
+    the pixel before and after; each line's two ends, one row a line, stand beyond the other end once more.
     """
     out = pixels.withColumn("filled", F.col(value))
     for _ in range(rounds):
         for line, index in (("row", "col"), ("col", "row")):
-            w = W.partitionBy(*by, line).orderBy(index)
-            whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-            at, size = F.row_number().over(w), F.count(F.lit(1)).over(W.partitionBy(*by, line))
-            before = F.when(at == 1, F.last("filled").over(whole)).otherwise(F.lag("filled").over(w))
-            out = out.withColumn("filled", F.coalesce("filled", before))
-            after = F.when(at == size, F.first("filled").over(whole)).otherwise(F.lead("filled").over(w))
-            out = out.withColumn("filled", F.coalesce("filled", after))
+            out = _filled_along(out, line, index, by)
     (median,) = quantile_columns(out, "filled", [0.5])
     return out.withColumn("filled", F.coalesce(F.col("filled"), median))
 

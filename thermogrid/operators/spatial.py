@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from thermogrid import constants as K
 from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, point_in_ring, segment_distance
 from thermogrid.operators.keyed import attach_row, top_n
+from thermogrid.operators.tiles import neighbours
 from thermogrid.session import spread
 
 __all__ = [
@@ -323,13 +324,13 @@ def select_by_ids(cells: DataFrame, ids: DataFrame, key: str = "grid_id") -> Dat
 
 
 def lattice_edges(cells: DataFrame, lst: str, stats: DataFrame, weight: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Directed edges to the eight neighbours with distance and heat-weighted cost; `stats` is one row (p60, std)."""
-    steps = F.array(*[
-        F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy"))
-        for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)
-    ])
-    sources = cells.select(F.col("grid_id").alias("src"), F.col(lon).alias("slon"), F.col(lat).alias("slat"), "ix", "iy", F.inline(steps))
-    sources = sources.withColumns({"ix": F.col("ix") + F.col("dx"), "iy": F.col("iy") + F.col("dy")})
-    targets = cells.select("ix", "iy", F.col("grid_id").alias("dst"), F.col(lon).alias("tlon"), F.col(lat).alias("tlat"), F.col(lst).alias("_lst"))
-    joined = attach_row(sources.join(targets, ["ix", "iy"]), "_s", stats).withColumn("distance_m", haversine_m("slat", "slon", "tlat", "tlon"))
+    """Directed edges to the eight neighbours with distance and heat-weighted cost; `stats` is one row (p60, std).
+
+    Neighbours meet inside tiles: a cell moves once, not once a neighbour.
+    """
+    here = F.struct(F.col("grid_id").alias("dst"), F.col(lon).alias("tlon"), F.col(lat).alias("tlat"), F.col(lst).alias("_lst"))
+    near = neighbours(cells.select("grid_id", lon, lat, lst, "ix", "iy"), here, "iy", "ix")
+    sides = F.array_compact(F.array("nw", "n", "ne", "w", "e", "sw", "s", "se"))
+    edges = near.select(F.col("grid_id").alias("src"), F.col(lon).alias("slon"), F.col(lat).alias("slat"), F.inline(sides))
+    joined = attach_row(edges, "_s", stats).withColumn("distance_m", haversine_m("slat", "slon", "tlat", "tlon"))
     return joined.select("src", "dst", "distance_m", edge_cost("distance_m", "_lst", F.col("_s.p60"), F.col("_s.std"), weight).alias("cost"))
