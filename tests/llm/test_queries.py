@@ -17,7 +17,7 @@ COLUMNS = {
     "op3": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op4": ["doc_id", "n_shingles", "component_id"],
     "op5": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
-    "op6": ["doc_id", "n_removed", "kept_sha256"],
+    "op6": ["doc_id", "n_passages", "n_removed", "kept_sha256"],
     "op7": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "size", "source_size", "target", "taken"],

@@ -117,18 +117,21 @@ def op2_lm_scoring(spark, folder):
 
 
 @_register("op6_unit_dedup", """
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-    l AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
-    k AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w,
-        sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
-    r AS (SELECT *, len(w) >= 10 AND row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS gone FROM k),
-    a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
-        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept,
-        coalesce(string_agg(CAST(CAST(upto - strlen(line) - 1 AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto - (pos = n)::INT AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE gone), '') AS removed
-        FROM r GROUP BY doc_id)
-    SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, n_removed, CAST(strlen(text) - strlen(kept) AS BIGINT) AS bytes_removed,
-        sha256(kept) AS kept_sha256, removed
-    FROM a JOIN d USING (doc_id)""")
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*?(?:[.!?]+[ \\t]+|\\n|$)') AS us FROM documents),
+    u AS (SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS pos FROM d),
+    k AS (SELECT *, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w,
+        sum(strlen(unit)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM u),
+    r AS (SELECT *, count(*) OVER (PARTITION BY w) > 1 AS again, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS later,
+        row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM k WHERE len(w) > 0),
+    i AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id, again ORDER BY seq) AS island FROM r),
+    p AS (SELECT *, again AND sum(len(w)) OVER (PARTITION BY doc_id, again, island) >= 40 AS passage FROM i),
+    a AS (SELECT k.doc_id, count(*) FILTER (WHERE passage AND later) AS n_removed, count(DISTINCT island) FILTER (WHERE passage) AS n_passages,
+        coalesce(string_agg(k.unit, '' ORDER BY k.pos) FILTER (WHERE NOT coalesce(passage AND later, false)), '') AS kept,
+        coalesce(string_agg(CAST(CAST(k.upto - strlen(k.unit) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(k.upto AS BIGINT) AS VARCHAR), ',' ORDER BY k.pos) FILTER (WHERE passage AND later), '') AS removed
+        FROM k LEFT JOIN p ON p.doc_id = k.doc_id AND p.pos = k.pos GROUP BY k.doc_id)
+    SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, coalesce(n_passages, 0) AS n_passages, coalesce(n_removed, 0) AS n_removed,
+        CAST(strlen(text) - strlen(coalesce(kept, '')) AS BIGINT) AS bytes_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(removed, '') AS removed
+    FROM d LEFT JOIN a USING (doc_id)""")
 def op6_unit_dedup(spark, folder):
     from thermogrid.llm.unit_dedup import keep_earliest
 
