@@ -12,15 +12,14 @@ from thermogrid.llm.token_output import read_tokens, token_digests, write_tokens
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def run(spark, docs):
+def run(spark, docs, file=FILE):
     path = scratch_path(spark, "test-tokens")
-    write_tokens(docs, path, FILE)
+    write_tokens(docs, path, file)
     return read_tokens(spark, path), path
 
 
 def test_round_trip(spark, odd_docs):
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     tokens, path = run(spark, odd_docs)
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd_docs.collect()))
     want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for _, _, t in rows]
@@ -36,14 +35,31 @@ def test_round_trip(spark, odd_docs):
 def test_any_text_is_cut_safely(spark):
     """Random strings over characters that matter to the pattern."""
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
-    draw, letters = np.random.default_rng(5), ["a", "Be", " ", " ", "\n", "\t", "'", "'s", "1", ".", "é", " ", " ", "　", "\u0085", "漢", "\x1c", "\x7f", "ll"]
+    draw, letters = np.random.default_rng(5), ["a", "Be", " ", " ", "\n", "\t", "'", "'s", "1", ".", "é", " ", " ", "　", "\u0085", "漢", "\x1c", "\x7f", "ll", "<|endoftext|>", "<|", "|>"]
     texts = ["".join(letters[k] for k in draw.integers(0, len(letters), draw.integers(0, 40))) for _ in range(3000)]
     tokens, _ = run(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     for r in tokens.collect():
         assert r.ids[:-1] == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, repr(texts[r.doc_id])
 
 
+def thue_morse():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_special_tokens_long_words_and_other_files(spark):
+    """End-of-text marks are one id; two long words that polynomial hashes confuse stay apart; another kind of file gets whole texts."""
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>1", "<|endoftext", " ".join(thue_morse()), "", "Ünï  Code\n\nTWO"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for file in (FILE, public_tokenizers.path("word_bpe_49k.json")):
+        tokenizer = Tokenizer.from_file(file)
+        for r in run(spark, docs, file)[0].collect():
+            assert r.ids[:-1] == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, (file, r.doc_id)
+    assert Tokenizer.from_file(FILE).encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_files(spark, odd_docs):
     """Pages have an index and dictionary encoding; counting reads no ids."""
     import glob

@@ -27,3 +27,9 @@ def ascii_lower(text: str) -> F.Column:
     c = F.col(text)
     plain = F.octet_length(c) == F.char_length(c)
     return F.when(plain, F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that move to and from a Python worker at once, for tables of texts: the usual ten thousand hold tens of megabytes on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)) or rows)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermogrid.llm import textarrays as T
 from thermogrid.llm.tables import tasks
-from thermogrid.llm.vocabularies import byte_bpe, independent_units
+from thermogrid.llm.vocabularies import byte_bpe
 
 SCHEMA = "doc_id long, part long, before long, n_tokens long, ids array<int>"
 
@@ -23,7 +23,7 @@ def _encoder(file: str, end_id: int):
         cache, part, before = byte_bpe(file), TaskContext.get().partitionId(), 0
         for b in batches:
             for first, data, offsets in T.text_blocks(b.column(1)):
-                starts, ends = independent_units(data, offsets)
+                starts, ends = cache.units(data, offsets)
                 hashes = T.span_hash(T.prefix_hash(data, False), starts, ends)
                 where, size = cache.lookup(hashes, data.tobytes(), starts, ends)
                 ids = cache.gather(where, size)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
+import json
 import os
 import re
 from collections.abc import Callable
@@ -14,6 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units kept from block to block in one worker; past that the memory starts afresh. It never changes a result.
 KEPT_UNITS = 1 << 19
+#: Bytes from which a unit is known by a cryptographic digest: polynomials modulo 2^64 agree on some pairs of long words whatever their base.
+LONG_UNIT = 256
 
 
 class UnitCache:
@@ -49,6 +53,11 @@ class UnitCache:
         """For each unit, where its ids begin in `pool`, and how many they are."""
         if not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long = np.flatnonzero(ends - starts >= LONG_UNIT)
+        if len(long):
+            hashes = hashes.copy()
+            for i in long.tolist():
+                hashes[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
         order = np.argsort(hashes)
         ranked = hashes[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -75,9 +84,11 @@ _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _MARK = np.array([0x20 < b < 0x7F and not chr(b).isalnum() and b != 0x27 for b in range(256)])
 
 
-def independent_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def independent_units(data: np.ndarray, offsets: np.ndarray, fixed: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pieces of each document that a byte-level BPE with the usual pattern splits alike on their own.
 
+    `fixed` are spans of whole tokens, which the library takes out before it splits anything; each is a piece.
+
     A piece begins before a single space, and before and after a single line end, that has a plain character on either side, and between an
     ASCII letter or digit and an ASCII mark other than the apostrophe. Plain are printable ASCII and non-ASCII characters
     that cannot be white space; elsewhere a piece simply goes on.
@@ -100,11 +111,33 @@ def independent_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         cut[1:] |= line
         letter, mark = _ALNUM[data], _MARK[data]
         cut[1:-1] |= letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+    for start, end in fixed:
+        cut[start:end] = False
+        cut[[start, end]] = True
     cut[offsets] = True
     marks = np.flatnonzero(cut)
     return marks[:-1], marks[1:]
 
 
+class BytePairs(UnitCache):
+    """A tokenizer of the tokenizers library, as its file has it."""
+
+    #: Whether the file splits texts by the usual pattern and nothing else, so that independent_units holds for it.
+    usual = False
+    #: Strings that are tokens wherever they stand.
+    added: re.Pattern | None = None
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.usual:
+            some = np.diff(offsets) > 0
+            return offsets[:-1][some], offsets[1:][some]
+        raw, fixed = data.tobytes(), []
+        if self.added is not None and self.added.search(raw):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                fixed += [(a + m.start(), a + m.end()) for m in self.added.finditer(raw[a:b])]
+        return independent_units(data, offsets, fixed)
+
+
 def _byte_alphabet() -> str:
     """The character that a byte-level vocabulary writes for each byte: itself where it prints, else the next free one from 256."""
     printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -117,12 +150,20 @@ _WHOLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9
 
 
 @functools.lru_cache(maxsize=1)
-def byte_bpe(file: str) -> UnitCache:
-    """The cache of a worker for a tokenizer of the tokenizers library."""
+def byte_bpe(file: str) -> BytePairs:
+    """The cache of a worker for a tokenizer file; ids are those of the tokenizer as loaded, without special tokens put around a text."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, extra = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    names = sorted((t["content"].encode() for t in extra), key=len, reverse=True)
+    usual = (
+        split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+        and spec["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in extra)
+    )
+    dtype = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.int32
     # The same model without the pattern, for units that the pattern leaves whole, many in a row.
     rows = Tokenizer(tokenizer.model)
     letters = _byte_alphabet()
@@ -130,24 +171,26 @@ def byte_bpe(file: str) -> UnitCache:
     line_end = tokenizer.token_to_id(letters[10])
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [_WHOLE.fullmatch(u) is not None for u in units]
+        whole = [usual and _WHOLE.fullmatch(u) is not None and u not in names for u in units]
         easy, hard = [i for i, w in enumerate(whole) if w], [i for i, w in enumerate(whole) if not w]
         sizes, found, owners = np.zeros(len(units), np.int64), [], []
         texts = [b"\n".join([units[i] for i in easy[k : k + 500]]).decode("latin-1").translate(letters) for k in range(0, len(easy), 500)]
         for k, e in enumerate(rows.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint16)
+            ids = np.array(e.ids, dtype)
             between = ids == line_end
             found.append(ids[~between])
             owners.append(np.array(easy[500 * k : 500 * k + 500])[np.cumsum(between)[~between]])
         for i, e in zip(hard, tokenizer.encode_batch_fast([units[i].decode() for i in hard], add_special_tokens=False)):
-            found.append(np.array(e.ids, np.uint16))
+            found.append(np.array(e.ids, dtype))
             owners.append(np.full(len(found[-1]), i))
         if not found:
-            return np.zeros(0, np.uint16), sizes
+            return np.zeros(0, dtype), sizes
         owner = np.concatenate(owners)
         return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
 
-    return UnitCache(encode)
+    cache = BytePairs(encode, dtype)
+    cache.usual, cache.added = usual, re.compile(b"|".join(map(re.escape, names))) if names else None
+    return cache
 
 
 @functools.lru_cache(maxsize=1)
