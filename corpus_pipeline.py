@@ -8,7 +8,7 @@ from thermogrid.llm.decontamination import decontaminate
 from thermogrid.llm.jaccard_join import keep_one_of_each
 from thermogrid.llm.mixing import mixed
 from thermogrid.llm.quality import passing
-from thermogrid.llm.tables import documents, scratch_path, written
+from thermogrid.llm.tables import documents, scratch_path, small_batches, written
 from thermogrid.llm.token_output import read_tokens, write_tokens
 
 #: No part of this can be said in SQL as a whole: vocabularies, the cube method's draws, token ids.
@@ -23,6 +23,7 @@ def _vocabulary(name: str) -> str:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    small_batches(spark)
     return passing(docs, _vocabulary("piece_bpe_32k.model"))
 
 
@@ -33,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document that is mostly such passages goes."""
+    small_batches(spark)
     clean = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -44,6 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written in ascending id order and read back: doc_id, start, n_tokens, ids."""
+    small_batches(spark)
     path = scratch_path(spark, "tokens")
     write_tokens(docs, path, _vocabulary("byte_bpe_50k.json"))
     return read_tokens(spark, path)
