@@ -186,3 +186,33 @@ def test_freshness_and_feed_state(spark):
     state = SN.feed_status(st, spark.sql("select 31.0d prediction")).first()
     assert (state["missing_sources"], state["fallback_used"], state["state"]) == (["air"], False, "partial")
     assert SN.feed_status(st, spark.sql("select cast(null as double) prediction")).first()["state"] == "model_error"
+
+
+def test_weather_of_two_months_stays_apart(spark, tmp_path):
+    """The fifth of January and the fifth of February are two days."""
+    from thermogrid.catalog.views import Data
+
+    rows = [(0, "click", "2024-01-05 10:00:00", 10.0), (1, "click", "2024-02-05 10:00:00", 30.0), (2, "view", "2024-02-05 10:00:00", 50.0), (3, "view", "2025-02-05 10:00:00", 90.0)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = Data(spark, str(tmp_path)).weather_daily.orderBy("site", "date").collect()
+    assert [(r.site, r.n) for r in got] == [("click", 1), ("click", 1), ("view", 1), ("view", 1)]
+    assert [str(r.date) for r in got if r.site == "click"] == ["2024-01-05", "2024-02-05"]
+
+
+def test_nearest_date_stays_within_its_station(spark):
+    from thermogrid.operators import series as SR
+
+    events = spark.createDataFrame([("a", "2024-03-01"), ("b", "2024-03-01"), ("c", "2024-03-01")], "site string, date string").withColumn("date", F.to_date("date"))
+    series = spark.createDataFrame([("a", "2023-12-31", 1.0), ("b", "2024-02-20", 2.0), ("b", "2024-03-09", 3.0), ("a", "2025-01-01", 4.0)], "site string, date string, v double").withColumn("date", F.to_date("date"))
+    got = SR.nearest_date_join(events, series, "date", "date", by=["site"]).collect()
+    assert {(r.site, r.nearest_v) for r in got} == {("a", 1.0), ("b", 3.0)}
+
+
+@pytest.mark.parametrize("kind,value,want", [("add", 5.0, [15.0, None]), ("mul", 0.5, [5.0, None]), ("min", 4.0, [4.0, None]), ("max", 12.0, [12.0, None])])
+def test_every_kind_of_change(spark, kind, value, want):
+    df = spark.createDataFrame([(1, 10.0), (2, None)], "i int, z double")
+    got = df.select("i", SC.perturbed("z", kind, value).alias("z"), SC.changed("z", F.lit(kind), F.lit(value)).alias("y")).orderBy("i").collect()
+    assert [r.z for r in got] == want == [r.y for r in got]
+    with pytest.raises(ValueError):
+        SC.perturbed("z", "div", 1.0)

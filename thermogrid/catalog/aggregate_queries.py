@@ -8,7 +8,7 @@ from thermogrid import constants as K, functions as fn
 from thermogrid.catalog.function_queries import lonlat_ring, RING_AREA_SQL, SEG_LEN_SQL
 from thermogrid.catalog.join_queries import LINE_SQL, POINT_COUNT_SQL, _OVER, touch, temporal, TEMPORAL_SQL
 from thermogrid.catalog.registry import query
-from thermogrid.catalog.scalar_queries import COMPOSITE_SQL, NOAA_SQL, simulation, SIM_SQL
+from thermogrid.catalog.scalar_queries import COMPOSITE_SQL, NOAA_SQL
 from thermogrid.functions import round_even
 from thermogrid.operators import metrics as M, raster as RS, series as SR, spatial as S, stats as ST
 from thermogrid.operators.keyed import drop_duplicate_rows
@@ -492,13 +492,6 @@ def _(d):
     return sel(d.cells.agg(*[F.avg(c).alias(c) for c in ("mean_ndvi", "max_ndvi", "green_cover", "land_cover_class")]))
 
 
-@query("impact_totals_A49", SIM_SQL + """
-    SELECT count(*) FILTER (temp_drop > 0 OR aqi_drop > 0) AS affected_cells, floor(sum(temp_drop) / count(*) FILTER (temp_drop > 0 OR aqi_drop > 0) * 10 + 0.5e0) / 10 AS mean_temp_drop,
-      floor(sum(aqi_drop) / count(*) FILTER (temp_drop > 0 OR aqi_drop > 0) + 0.5e0) AS mean_aqi_drop, sum(shielded) AS population_shielded, sum(benefit) AS total_benefit, max(temp_drop) AS max_temp_drop, max(aqi_drop) AS max_aqi_drop FROM sim""")
-def _(d):
-    return SC.impact_totals(simulation(d))
-
-
 @query("route_statistics_A50", """
     WITH p AS (SELECT iy AS route_id, ix AS step, lon, lat, mean_lst AS lst, lag(lon) OVER (PARTITION BY iy ORDER BY ix) AS plon, lag(lat) OVER (PARTITION BY iy ORDER BY ix) AS plat FROM cells),
     l AS (SELECT *, 2 * 6371000.0e0 * asin(least(1.0e0, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) AS leg FROM p)

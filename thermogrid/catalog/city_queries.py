@@ -9,7 +9,6 @@ from thermogrid.catalog.join_queries import CITY_BOX, EXPLAIN_FEATURES, EXPLAIN_
 from thermogrid.catalog.aggregate_queries import _IMP, contributions, sel
 from thermogrid.catalog.registry import query
 from thermogrid.catalog.window_queries import draw_sql
-from thermogrid.catalog.scalar_queries import SIM_SQL, simulation
 from thermogrid.functions import point_in_ring, round_even
 from thermogrid.operators import spatial as S
 from thermogrid.operators.keyed import top_n
@@ -153,9 +152,27 @@ def _(d):
     return top_n(e, ["grid_id"], [F.desc(round_even("importance", 6)), F.col("feature")], 8).select("grid_id", "feature", "rank")
 
 
-@query("priority_cells_L4", SIM_SQL + "SELECT grid_id, benefit AS benefit_score FROM sim ORDER BY benefit DESC, grid_id LIMIT 8")
+IMPACT_SQL = RESULTS + """, i AS (SELECT grid_id, -min(delta_lst) AS best_cooling, avg(delta_lst) AS mean_delta_lst,
+      count(*) FILTER (delta_lst <= -0.1e0) AS worthwhile FROM r GROUP BY grid_id)
+"""
+
+
+@query("cell_impact_P39", IMPACT_SQL + "SELECT grid_id, R6(best_cooling) AS best_cooling, R6(mean_delta_lst) AS mean_delta_lst, worthwhile FROM i")
+def _(d):
+    return SC.cell_impact(results(d)).select("grid_id", *r6("best_cooling", "mean_delta_lst"), "worthwhile")
+
+
+@query("impact_summary_A49", IMPACT_SQL + """
+    SELECT count(*) FILTER (best_cooling > 0) AS affected_cells, R6(avg(CASE WHEN best_cooling > 0 THEN best_cooling END)) AS mean_cooling, R6(max(best_cooling)) AS max_cooling,
+      count(*) FILTER (worthwhile > 1) AS cells_with_choice FROM i""")
+def _(d):
+    return SC.impact_summary(SC.cell_impact(results(d))).select("affected_cells", *r6("mean_cooling", "max_cooling"), "cells_with_choice")
+
+
+@query("priority_cells_L4", IMPACT_SQL + "SELECT grid_id, R6(best_cooling) AS best_cooling FROM i ORDER BY R6(best_cooling) DESC, grid_id LIMIT 8")
 def _(d):
-    return simulation(d).select("grid_id", "benefit_score").orderBy(F.desc("benefit_score"), "grid_id").limit(8)
+    cooling = SC.cell_impact(results(d)).select("grid_id", *r6("best_cooling"))
+    return cooling.orderBy(F.desc("best_cooling"), "grid_id").limit(8)
 
 
 @query("rank_scenarios_L5", RESULTS + "SELECT scenario, R6(avg(delta_lst)) AS mean_delta_lst, row_number() OVER (ORDER BY R6(avg(delta_lst)), scenario) AS \"rank\" FROM r GROUP BY scenario")

@@ -220,16 +220,18 @@ def _(d):
 
 
 @query("nearest_date_join_J15", """
-    WITH w AS (SELECT * FROM weather_daily WHERE site = 'view'),
-    e AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events UNION SELECT DISTINCT CAST(DATE '2024-01-01' + CAST(n_nationkey * 5 AS INT) - 10 AS DATE) FROM nation),
-    r AS (SELECT e.date, w.date AS nearest_date, w.t2m, row_number() OVER (PARTITION BY e.date ORDER BY abs(date_diff('day', e.date, w.date)), w.date) AS rn FROM e, w)
-    SELECT date, nearest_date, R6(t2m) AS t2m FROM r WHERE rn = 1""")
-def _(d):
-    series = d.weather_daily.where("site = 'view'").select("date", "t2m")
-    a = d.events.select(F.to_date("ts").alias("date"))
+    WITH e AS (SELECT DISTINCT event_type AS site, CAST(ts AS DATE) AS date FROM events
+      UNION SELECT DISTINCT s.site, CAST(DATE '2024-01-01' + CAST(n_nationkey * 5 AS INT) - 10 AS DATE) FROM nation, (SELECT DISTINCT event_type AS site FROM events) s),
+    r AS (SELECT e.site, e.date, w.date AS nearest_date, w.t2m, row_number() OVER (PARTITION BY e.site, e.date ORDER BY abs(date_diff('day', e.date, w.date)), w.date) AS rn
+      FROM e JOIN weather_daily w ON w.site = e.site)
+    SELECT site, date, nearest_date, R6(t2m) AS t2m FROM r WHERE rn = 1""")
+def _(d):
+    series = d.weather_daily.select("site", "date", "t2m")
+    a = d.events.select(F.col("event_type").alias("site"), F.to_date("ts").alias("date"))
     b = d.nation.select(F.expr("date_add(date'2024-01-01', n_nationkey * 5 - 10)").alias("date"))
-    events = a.union(b).distinct()
-    return SR.nearest_date_join(events, series, "date", "date").select("date", "nearest_date", round_even("nearest_t2m", 6).alias("t2m"))
+    # Every station is asked for the dates of a short fixed list, beside its own.
+    events = a.union(a.select("site").distinct().crossJoin(b).select("site", "date")).distinct()
+    return SR.nearest_date_join(events, series, "date", "date", by=["site"]).select("site", "date", "nearest_date", round_even("nearest_t2m", 6).alias("t2m"))
 
 
 @query("monthly_lookup_J16", """
@@ -263,12 +265,15 @@ def _(d):
 TEMPORAL_SQL = """
     WITH f AS (SELECT scene_id, count(lst_c) * 1.0e0 / count(*) AS f FROM cell_lst_dates GROUP BY scene_id)
     SELECT o.scene_id, o.grid_id, R6(o.lst_c) AS lst_c, {cols} FROM cell_lst_dates o JOIN f ON f.scene_id = o.scene_id AND f.f >= 0.3e0
-    LEFT JOIN cells c ON c.grid_id = o.grid_id LEFT JOIN (SELECT date, t2m, rh2m FROM weather_daily WHERE site = 'view') w ON w.date = o.date"""
+    LEFT JOIN cells c ON c.grid_id = o.grid_id LEFT JOIN weather_daily w ON w.date = o.date
+      AND w.site = CASE o.scene_key % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END"""
 
 
 def temporal(d):
     static = d.cells.select("grid_id", "green_cover", "mean_ndvi", "x", "y")
-    return TP.build_dataset(d.cell_lst_dates, static, d.weather_daily.where("site = 'view'").select("date", "t2m", "rh2m"))
+    stations = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))  # each scene lies near one station
+    scenes = d.cell_lst_dates.withColumn("site", F.element_at(stations, (F.col("scene_key") % 5 + 1).cast("int")))
+    return TP.build_dataset(scenes, static, d.weather_daily.select("site", "date", "t2m", "rh2m"), by=["site"])
 
 
 @query("scene_static_join_J20", TEMPORAL_SQL.format(cols="R6(c.green_cover) AS green_cover, R6(c.mean_ndvi) AS mean_ndvi"))

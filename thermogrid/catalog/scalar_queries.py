@@ -356,34 +356,6 @@ def _(d):
     return out.select("grid_id", *r6("green_cover"), "tree_count")
 
 
-SIM_SQL = """
-    WITH c AS (SELECT grid_id, mean_lst AS lst, coalesce(mean_aqi, 0.0e0) AS aqi, coalesce(mean_ndvi, 0.0e0) AS ndvi, building_coverage_pct / 100.0e0 AS dens,
-        impervious_ratio AS svf, cooling_distance AS traffic, hvi * 100.0e0 AS vul, tree_count AS workers, building_density AS pop, green_cover AS unc, land_cover_class <> 1 AS hit FROM cells),
-    t AS (SELECT *, least(6.5e0, floor((2.0e0 * 1.15e0 * (1 - ndvi * 0.5e0) + 3.0e0 * 1.45e0 * dens + 1.0e0 * 0.85e0 * svf + 4.0e0 * 0.25e0 * traffic) * 10.0e0 + 0.5e0) / 10.0e0) AS td,
-        least(120.0e0, floor(2.0e0 * 4.2e0 + 4.0e0 * 7.8e0 * traffic + 0.5e0)) AS ad FROM c),
-    sim AS (SELECT grid_id, hit, CASE WHEN hit THEN td ELSE 0.0e0 END AS temp_drop, CASE WHEN hit THEN ad ELSE 0.0e0 END AS aqi_drop,
-        CASE WHEN hit THEN floor((lst - td) * 10.0e0 + 0.5e0) / 10.0e0 ELSE lst END AS sim_lst,
-        CASE WHEN hit THEN greatest(25.0e0, floor(aqi - ad + 0.5e0)) ELSE aqi END AS sim_aqi,
-        CASE WHEN hit THEN floor((td * 18.0e0 + ad * 0.65e0) * (1.0e0 + vul / 35.0e0 + workers / 600.0e0) + 0.5e0) ELSE 0.0e0 END AS benefit,
-        CASE WHEN hit AND (td > 0.5e0 OR ad > 5) THEN floor(pop * 0.01e0 * (vul / 100.0e0) + 0.5e0) ELSE 0.0e0 END AS shielded,
-        CASE WHEN hit THEN floor((0.4e0 + unc / 100.0e0 * 1.8e0) * 10.0e0 + 0.5e0) / 10.0e0 ELSE unc * 0.03e0 END AS lst_margin FROM t)
-"""
-
-
-def simulation(d):
-    base = d.cells.select(
-        "grid_id", F.col("mean_lst").alias("baseline_lst"), F.coalesce("mean_aqi", F.lit(0.0)).alias("baseline_aqi"), F.coalesce("mean_ndvi", F.lit(0.0)).alias("ndvi"),
-        (F.col("building_coverage_pct") / 100.0).alias("building_density"), F.col("impervious_ratio").alias("svf"), F.col("cooling_distance").alias("traffic_density"),
-        (F.col("hvi") * 100.0).alias("vulnerability"), F.col("tree_count").alias("outdoor_workers"), F.col("building_density").alias("population_km2"),
-        F.col("green_cover").alias("uncertainty"), (F.col("land_cover_class") != 1).alias("targeted"))
-    return SC.microclimate(base, tree_canopy=20.0, cool_roof=30.0, shade=10.0, traffic_cut=40.0)
-
-
-@query("microclimate_impact_P39", SIM_SQL + "SELECT grid_id, temp_drop, aqi_drop, R6(sim_lst) AS simulated_lst, R6(sim_aqi) AS simulated_aqi, benefit AS benefit_score, R6(lst_margin) AS lst_margin FROM sim")
-def _(d):
-    return simulation(d).select("grid_id", "temp_drop", "aqi_drop", *r6("simulated_lst", "simulated_aqi"), "benefit_score", *r6("lst_margin"))
-
-
 @query("landuse_group_P40", """
     SELECT rect_id, CASE trim(landuse) WHEN 'residential' THEN 'Residential' WHEN 'retail' THEN 'Commercial' WHEN 'quarry' THEN 'Industrial' WHEN 'religious' THEN 'Institutional'
       WHEN 'orchard' THEN 'Agriculture' WHEN 'forest' THEN 'Green' WHEN 'grass' THEN 'Green' WHEN 'railway' THEN 'Railway' ELSE 'Other' END AS land_class FROM rects""")

@@ -70,10 +70,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           20.0e0 + (o_orderkey * 13 % 97) / 3.0e0 + (o_orderkey % 120) / 7.0e0 AS ground
         FROM orders"""),
     "weather_daily": (["events"], """
-        SELECT site, CAST(DATE '2024-01-01' + day_no * CASE WHEN site = 'click' THEN 1 ELSE 3 END AS DATE) AS date,
+        SELECT site, CASE WHEN site = 'click' THEN min(day) ELSE CAST(DATE '2024-01-01' + day_no * 3 AS DATE) END AS date,
           avg(value) * 0.2003e0 + 24.0e0 AS t2m, least(max(value) * 0.6007e0, 100.0e0) AS rh2m,
           CASE WHEN count(*) % 7 = 0 THEN NULL ELSE min(value) + 1.0e0 END AS ws2m, count(*) AS n
-        FROM (SELECT event_type AS site, CAST(extract(day FROM ts) AS INT) - 1 AS day_no, value FROM events) e
+        FROM (SELECT event_type AS site, CAST(ts AS DATE) AS day, value,
+            CAST((extract(year FROM ts) - 2024) * 366 + extract(doy FROM ts) AS INT) - 1 AS day_no FROM events) e
         GROUP BY site, day_no"""),
     "weather_long": (["orders"], """
         SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 10007.0e0 AS t2m,

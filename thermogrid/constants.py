@@ -163,7 +163,7 @@ SCENARIOS = {
 
 # --- Interventions: what one full unit of strength does, and how much strength is one unit (fixed values) ---
 INTERVENTIONS = {
-    "tree_planting": {"unit": 50.0, "range": (0.0, None), "steps": {**SCENARIOS["increase_trees"], "tree_count": ("add", 50.0)}},
+    "tree_planting": {"unit": 50.0, "range": (0.0, None), "steps": dict(SCENARIOS["increase_trees"])},
     "cool_roof": {"unit": 100.0, "range": (0.0, 100.0), "steps": {
         "impervious_ratio": ("add", -5.0), "building_coverage_pct": ("add", -3.0), "hvi": ("add", -0.03), "veg_cooling": ("mul", 1.10)}},
     "green_corridor": {"unit": 50.0, "range": (0.0, None), "steps": {

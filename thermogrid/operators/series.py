@@ -55,34 +55,36 @@ def seasonal_climatology(df: DataFrame, date: str, columns: Sequence[str]) -> Da
     return spine.join(F.broadcast(means), "season", "left")
 
 
-def nearest_date_join(events: DataFrame, series: DataFrame, date: str, series_date: str, tie: Sequence[str] = ()) -> DataFrame:
-    """Each event date takes the nearest series row on either side; the earlier date wins a tie.
+def nearest_date_join(
+    events: DataFrame, series: DataFrame, date: str, series_date: str, tie: Sequence[str] = (), by: Sequence[str] = ()
+) -> DataFrame:
+    """Each event date takes the nearest series row on either side, within its `by` group; the earlier date wins a tie.
 
     The two date lists are merged once: last known row before and next row after, both by running aggregates
     over distinct dates only. The result goes back to the events by an equi-join on the date, so no event is
     ever paired with the whole series.
     """
-    payload = [c for c in series.columns]
-    rows = keep_first(series, [series_date], tie) if tie else series
-    day_list = events.select(F.col(date).alias("_d")).distinct()
-    known = rows.select(F.col(series_date).alias("_d"), F.struct(*payload).alias("_row"))
+    payload = [c for c in series.columns if c not in by]
+    rows = keep_first(series, [*by, series_date], tie) if tie else series
+    day_list = events.select(*by, F.col(date).alias("_d")).distinct()
+    known = rows.select(*by, F.col(series_date).alias("_d"), F.struct(*payload).alias("_row"))
     merged = day_list.withColumn("_row", F.lit(None).cast(known.schema["_row"].dataType)).unionByName(known)
-    by_day = merged.groupBy("_d").agg(F.max("_row").alias("_row"))
+    by_day = merged.groupBy(*by, "_d").agg(F.max("_row").alias("_row"))
     # Years cut the day axis into bounded pieces; each piece learns its neighbours from the year summary.
-    yearly = by_day.where("_row is not null").groupBy(F.year("_d").alias("_y")).agg(
+    yearly = by_day.where("_row is not null").groupBy(*by, F.year("_d").alias("_y")).agg(
         F.max_by("_row", "_d").alias("last"), F.min_by("_row", "_d").alias("first"))
-    order = W.orderBy("_y")
-    edges = yearly.select("_y", F.lit(True).alias("real"), "last", "first")
-    span = by_day.select(F.year("_d").alias("_y")).distinct().join(F.broadcast(edges), "_y", "left")
+    order = W.partitionBy(*by).orderBy("_y")
+    edges = yearly.select(*by, "_y", F.lit(True).alias("real"), "last", "first")
+    span = by_day.select(*by, F.year("_d").alias("_y")).distinct().join(edges, [*by, "_y"], "left")
     carried = span.select(
-        "_y",
+        *by, "_y",
         F.last("last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before_year"),
         F.first("first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after_year"),
     )
-    w = W.partitionBy("_y").orderBy("_d")
+    w = W.partitionBy(*by, "_y").orderBy("_d")
     around = (
         by_day.withColumn("_y", F.year("_d"))
-        .join(F.broadcast(carried), "_y")
+        .join(carried, [*by, "_y"])
         .withColumns({
             "_before": F.coalesce(F.last("_row", True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("_before_year")),
             "_after": F.coalesce(F.first("_row", True).over(w.rowsBetween(0, W.unboundedFollowing)), F.col("_after_year")),
@@ -91,8 +93,8 @@ def nearest_date_join(events: DataFrame, series: DataFrame, date: str, series_da
     before = F.abs(F.datediff("_d", F.col("_before")[series_date]))
     after = F.abs(F.datediff("_d", F.col("_after")[series_date]))
     choice = F.when(F.col("_after").isNull() | (before <= after), F.col("_before")).otherwise(F.col("_after"))
-    nearest = around.select(F.col("_d").alias(date), choice.alias("_row")).where(F.col("_row").isNotNull())
-    return events.join(nearest, date).select(*events.columns, *[F.col("_row")[c].alias(f"nearest_{c}") for c in payload])
+    nearest = around.select(*by, F.col("_d").alias(date), choice.alias("_row")).where(F.col("_row").isNotNull())
+    return events.join(nearest, [*by, date]).select(*events.columns, *[F.col("_row")[c].alias(f"nearest_{c}") for c in payload])
 
 
 def month_lookup_join(events: DataFrame, monthly: DataFrame, date: str, columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from thermogrid import constants as K
-from thermogrid.functions import clip, round_half_up
+from thermogrid.functions import clip
 
 Perturbations = dict[str, tuple[str, float]]
 Scorer = Callable[[DataFrame], DataFrame]
@@ -55,22 +55,24 @@ def scenario_table(spark: SparkSession, scenarios: dict[str, Perturbations] | No
 # --- perturbation ------------------------------------------------------------------------------------
 
 
-def perturbed(feature: str, kind: str, value: float) -> Column:
-    """One feature after its change, held within the feature's bounds.
+KINDS = ("add", "mul", "min", "max")
 
-    Every kind is a slope, an offset, and a floor or ceiling of its own.
-    """
-    slope, offset, floor, ceiling = {
-        "add": (1.0, value, None, None), "mul": (value, 0.0, None, None), "min": (1.0, 0.0, None, value), "max": (1.0, 0.0, value, None),
-    }.get(kind) or _no_such(kind)
+
+def changed(feature: str, kind: Column, amount: Column) -> Column:
+    """One feature after a change given as columns, held within the feature's bounds; a missing value stays missing."""
     v = F.col(feature)
-    v = v if slope == 1.0 else v * F.lit(float(slope))
-    v = v if offset == 0.0 else v + F.lit(float(offset))
-    return clip(clip(v, floor, ceiling), *K.FEATURE_BOUNDS.get(feature, (None, None)))
+    new = (
+        F.when(kind == "add", v + amount).when(kind == "mul", v * amount)
+        .when(kind == "min", F.when(v > amount, amount).otherwise(v)).when(kind == "max", F.when(v < amount, amount).otherwise(v))
+    )
+    return clip(new, *K.FEATURE_BOUNDS.get(feature, (None, None)))
 
 
-def _no_such(kind: str):
-    raise ValueError(f"perturbations are add, mul, min and max, not {kind}")
+def perturbed(feature: str, kind: str, value: float) -> Column:
+    """The same for a change known beforehand: constant folding leaves the one branch."""
+    if kind not in KINDS:
+        raise ValueError(f"perturbations are {', '.join(KINDS)}, not {kind}")
+    return changed(feature, F.lit(kind), F.lit(float(value)))
 
 
 def perturb(df: DataFrame, perturbations: Perturbations, selected: Column | None = None) -> DataFrame:
@@ -172,57 +174,25 @@ def validate_area(results: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     return counts.withColumn("validation_passed", F.col("outside_total") == F.col("outside_unchanged"))
 
 
-# --- microclimate impact -----------------------------------------------------------------------------
+# --- impact per cell -------------------------------------------------------------------------------------
 
 
-def microclimate(cells: DataFrame, tree_canopy: float = 0.0, cool_roof: float = 0.0, shade: float = 0.0, traffic_cut: float = 0.0) -> DataFrame:
-    """Temperature and air-quality drops per cell with caps, uncertainty margins and a benefit score.
+def cell_impact(results: DataFrame, worth: float = 0.1) -> DataFrame:
+    """Per cell over all scenarios: the strongest cooling and who gives it, the mean change, and how many scenarios cool by `worth` or more.
 
-    Expects baseline_lst, baseline_aqi, ndvi, building_density, svf, traffic_density, vulnerability,
-    outdoor_workers, population_km2, uncertainty and the flag `targeted`.
+    An aggregate with partial sums: a cell's scenarios are neighbours where they were expanded, so most of it happens before the shuffle.
     """
-    c, tens = F.col, lambda v: F.lit(v / 10.0)
-    hit = c("targeted")
-    cooling = (
-        tens(tree_canopy) * F.lit(1.15) * (F.lit(1.0) - c("ndvi") * F.lit(0.5)) + tens(cool_roof) * F.lit(1.45) * c("building_density")
-        + tens(shade) * F.lit(0.85) * c("svf") + tens(traffic_cut) * F.lit(0.25) * c("traffic_density")
-    )
-    cleaning = tens(tree_canopy) * F.lit(4.2) + tens(traffic_cut) * F.lit(7.8) * c("traffic_density")
-    drops = cells.withColumns({
-        "_t": F.least(F.lit(6.5), round_half_up(cooling, 1)), "_a": F.least(F.lit(120.0), round_half_up(cleaning)),
-    })
-    weight = F.lit(1.0) + c("vulnerability") / F.lit(35.0) + c("outdoor_workers") / F.lit(600.0)
-    benefit = round_half_up((c("_t") * F.lit(18.0) + c("_a") * F.lit(0.65)) * weight)
-    shielded = round_half_up(c("population_km2") * F.lit(0.01) * (c("vulnerability") / F.lit(100.0)))
-    lst_margin = round_half_up(F.lit(0.4) + c("uncertainty") / F.lit(100.0) * F.lit(1.8), 1)
-    aqi_margin = round_half_up(F.lit(5.0) + c("uncertainty") / F.lit(100.0) * F.lit(25.0))
-    zero = F.lit(0.0)
-    out = drops.withColumns({
-        "temp_drop": F.when(hit, c("_t")).otherwise(zero), "aqi_drop": F.when(hit, c("_a")).otherwise(zero),
-        "simulated_lst": F.when(hit, round_half_up(c("baseline_lst") - c("_t"), 1)).otherwise(c("baseline_lst")),
-        "simulated_aqi": F.when(hit, F.greatest(F.lit(25.0), round_half_up(c("baseline_aqi") - c("_a")))).otherwise(c("baseline_aqi")),
-        "benefit_score": F.when(hit, benefit).otherwise(zero),
-        "shielded": F.when(hit & ((c("_t") > 0.5) | (c("_a") > 5)), shielded).otherwise(zero),
-        "lst_margin": F.when(hit, lst_margin).otherwise(c("uncertainty") * F.lit(0.03)),
-        "aqi_margin": F.when(hit, aqi_margin).otherwise(c("uncertainty") * F.lit(0.8)),
-    })
-    return out.withColumns({
-        "lst_lower": c("simulated_lst") - c("lst_margin"), "lst_upper": c("simulated_lst") + c("lst_margin"),
-        "aqi_lower": F.greatest(zero, c("simulated_aqi") - c("aqi_margin")), "aqi_upper": c("simulated_aqi") + c("aqi_margin"),
-    }).drop("_t", "_a")
-
-
-def impact_totals(simulated: DataFrame) -> DataFrame:
-    affected = (F.col("temp_drop") > 0) | (F.col("aqi_drop") > 0)
-    sums = simulated.agg(
-        F.count_if(affected).alias("affected_cells"), F.sum("temp_drop").alias("_t"), F.sum("aqi_drop").alias("_a"),
-        F.sum("shielded").alias("population_shielded"), F.sum("benefit_score").alias("total_benefit"),
-        F.max("temp_drop").alias("max_temp_drop"), F.max("aqi_drop").alias("max_aqi_drop"),
+    delta = F.col("delta_lst")
+    return results.groupBy("grid_id").agg(
+        F.min_by("scenario", F.struct(delta, F.col("scenario"))).alias("best_scenario"), (-F.min(delta)).alias("best_cooling"),
+        F.avg(delta).alias("mean_delta_lst"), F.count_if(delta <= -worth).alias("worthwhile"),
     )
-    some = F.col("affected_cells") > 0
-    return sums.select(
-        "affected_cells",
-        F.when(some, round_half_up(F.col("_t") / F.col("affected_cells"), 1)).otherwise(F.lit(0.0)).alias("mean_temp_drop"),
-        F.when(some, round_half_up(F.col("_a") / F.col("affected_cells"))).otherwise(F.lit(0.0)).alias("mean_aqi_drop"),
-        "population_shielded", "total_benefit", "max_temp_drop", "max_aqi_drop",
+
+
+def impact_summary(impact: DataFrame) -> DataFrame:
+    """One row: cells that some scenario cools, their mean and greatest cooling, and those with a choice of scenarios."""
+    cooled = F.col("best_cooling") > 0
+    return impact.agg(
+        F.count_if(cooled).alias("affected_cells"), F.avg(F.when(cooled, F.col("best_cooling"))).alias("mean_cooling"),
+        F.max("best_cooling").alias("max_cooling"), F.count_if(F.col("worthwhile") > 1).alias("cells_with_choice"),
     )

@@ -33,10 +33,10 @@ def usable_observations(observations: DataFrame, min_fraction: float = 0.3) -> D
     return observations.join(kept, "scene_id", "left_semi")
 
 
-def build_dataset(observations: DataFrame, static: DataFrame, weather: DataFrame, min_fraction: float = 0.3) -> DataFrame:
-    """Scene temperatures of usable scenes with the static features of the cell and the weather of the day."""
+def build_dataset(observations: DataFrame, static: DataFrame, weather: DataFrame, min_fraction: float = 0.3, by: Sequence[str] = ()) -> DataFrame:
+    """Scene temperatures of usable scenes with the static features of the cell and the weather of the day, at the scene's own station where `by` names it."""
     rows = usable_observations(observations, min_fraction).withColumn("season", local_season(F.col("date").cast("string")))
-    return rows.join(static, "grid_id", "left").join(weather, "date", "left")
+    return rows.join(static, "grid_id", "left").join(weather, [*by, "date"], "left")
 
 
 def compare_dates(first: DataFrame, second: DataFrame) -> DataFrame:
