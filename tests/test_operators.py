@@ -242,3 +242,25 @@ def test_histogram_of_a_constant(spark):
 def test_sparse_columns_are_dropped(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 3.0, 5.0)], "id int, a double, b double")
     assert ST.drop_sparse_columns(df, ["a", "b"], 50.0).columns == ["id", "a"]
+
+
+def test_clusters_and_an_outlier_leave_few_pairs(spark):
+    """Two tight crowds, one of them on a single spot, thin country and a point very far away: a query meets few spots."""
+    import random
+
+    from thermogrid.operators.spatial import _box_bounds, _open_leaves, _packed_tree
+
+    draw = random.Random(8)
+    points = [(500 + draw.gauss(0, 0.01), 500 + draw.gauss(0, 0.01)) for _ in range(3000)] + [(200.0, 300.0)] * 2000
+    points += [(draw.uniform(0, 1000), draw.uniform(0, 1000)) for _ in range(1000)] + [(1e9, -1e9)]
+    queries = [(i, *points[draw.randrange(len(points))]) for i in range(40)] + [(100, 500.0, 500.0), (101, 200.1, 300.0), (102, 5e8, 0.0)]
+    features = spark.createDataFrame([(i, x, y, x, y) for i, (x, y) in enumerate(points)], "feature_id int, x1 double, y1 double, x2 double, y2 double")
+    q = spark.createDataFrame(queries, "query_id int, qx double, qy double")
+    for k in (1, 5):
+        placed, levels = _packed_tree(features, "feature_id", [], k, None)
+        met = _open_leaves(q, placed, levels, k, "query_id", _box_bounds).join(placed, "node").groupBy("query_id").count()
+        assert max(r["count"] for r in met.collect()) <= 160
+        got = {(r.query_id, r["rank"]): (r.feature_id, r.distance) for r in S.nearest_features(q, features, k).collect()}
+        for i, qx, qy in queries:
+            want = sorted((((x - qx) ** 2 + (y - qy) ** 2) ** 0.5, f) for f, (x, y) in enumerate(points))[:k]
+            assert [got[i, r + 1][0] for r in range(k)] == [f for _, f in want]

@@ -15,7 +15,7 @@ from thermogrid import constants as K
 from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, point_in_ring, segment_distance
 from thermogrid.operators.keyed import attach_row, top_n
 from thermogrid.operators.tiles import neighbours
-from thermogrid.session import spread
+from thermogrid.session import scratch_path, spread
 
 __all__ = [
     "touched_cells", "count_per_cell", "rect_overlap_per_cell", "line_cells", "line_length_per_cell", "crossings",
@@ -129,8 +129,62 @@ def network_nodes(segments: DataFrame, min_pieces: int = 3, digits: int = 3, siz
 
 # --- nearest features -------------------------------------------------------------------------------------
 
-_FAN = 4  # every node of the pyramid splits into 4 x 4 children
+_FAN_BITS = 4  # every node of the tree has sixteen children
+_LEAF = 8  # distinct spots in a leaf
 _BROADCAST_LEVELS = 4  # at most 16**4 = 65,536 nodes of a few numbers each
+_AXIS_BITS = 30
+
+
+def _interleaved(value: Column) -> Column:
+    """The bits of a number, each followed by an empty one."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return value
+
+
+def _packed_tree(features: DataFrame, feature_id: str, carry: Sequence[str], k: int, depth: int | None) -> tuple[DataFrame, int] | None:
+    """(spots with their leaf, levels of the tree), None without features. Leaves hold equally many distinct spots, however those lie.
+
+    Spots are put in order along a curve that fills the plane and are numbered: `_LEAF` in a row make a leaf, sixteen leaves in a
+    row a node, and so on. The axes are stretched around their medians first, so an outlier takes little of them. A spot holds
+    at most k features, the ones of the least ids, which is all that a search for k can use.
+    """
+    spot = ["x1", "y1", "x2", "y2"]
+    few = top_n(features.select(feature_id, *carry, *spot), spot, [F.col(feature_id)], k, "_copy").drop("_copy")
+    spots = few.groupBy(*spot).agg(F.collect_list(F.struct(feature_id, *carry)).alias("held"), F.count(F.lit(1)).alias("cnt"))
+    spots = spots.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
+    size = spots.agg(
+        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{c}") for c in ("mx", "my") for name, f in (("low", F.min), ("high", F.max), ("q", quartiles))]
+    ).first()  # one row: it fixes the axes and the number of levels
+    n = size["n"]
+    if not n:
+        return None
+
+    def axis(c: str) -> Column:
+        low, high, (q1, middle, q3) = size[f"low_{c}"], size[f"high_{c}"], size[f"q_{c}"]
+        unit = max((q3 - q1) / 4, (high - low) * 1e-9, 1e-300)
+        stretched = lambda v: math.asinh((v - middle) / unit)
+        span = max(stretched(high) - stretched(low), 1e-300)
+        share = (F.asinh((F.col(c) - F.lit(middle)) / F.lit(unit)) - F.lit(stretched(low))) / F.lit(span)
+        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * F.lit(float((1 << _AXIS_BITS) - 1))).cast("long")
+
+    code = _interleaved(axis("mx")).bitwiseOR(F.shiftleft(_interleaved(axis("my")), 1))
+    spark = features.sparkSession
+    path = scratch_path(spark, "spots")
+    order = ["code", "mx", "my", *spot]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = spots.withColumn("code", code).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = ordered.withColumn("_at", F.monotonically_increasing_id()).drop("code", "mx", "my")
+    ordered.write.parquet(path)
+    stored = spark.read.schema(ordered.schema).parquet(path)
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
+    before = spark.createDataFrame([(c["part"], sum(x["n"] for x in counts[:i])) for i, c in enumerate(counts)], "_part long, _before long")
+    levels = depth or max(1, math.ceil(math.log(max(n / _LEAF, 1.0), 1 << _FAN_BITS)))
+    leaf_size = max(_LEAF if depth is None else 1, -(-n // (1 << _FAN_BITS * levels)))
+    placed = stored.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.select(F.floor((F.col("_before") + row) / F.lit(leaf_size)).cast("long").alias("node"), *spot, "held", "cnt"), levels
 
 
 def _box_bounds(qx: Column, qy: Column) -> tuple[Column, Column, Column]:
@@ -179,44 +233,40 @@ def nearest_features(
 ) -> DataFrame:
     """The k nearest features of every query point, exactly: (query_id, feature_id, carry..., distance, rank).
 
-    `queries` has qx, qy; `features` has x1, y1, x2, y2 (equal ends make a point). Features are summarised in
-    a pyramid of boxes, each level sixteen times finer. A query walks down it and keeps only boxes that can
-    still hold one of its k nearest features, so it meets a handful of leaves instead of the whole layer.
+    `queries` has qx, qy; `features` has x1, y1, x2, y2 (equal ends make a point). Features are packed into a tree of boxes whose
+    leaves hold a few distinct spots each, in crowds and in empty country alike. A query walks down it and keeps only boxes that
+    can still hold one of its k nearest features, so it meets a handful of leaves instead of the whole layer.
     Another `distance` needs `bounds` that hold for it: from a point to a box (columns bx0, by0, bx1, by1) the least
     possible distance, one that a feature surely has, and the greatest possible.
     """
-    spark = features.sparkSession
-    mid_x, mid_y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    size_row = features.agg(
-        F.count(F.lit(1)).alias("n"), F.min(mid_x).alias("x"), F.min(mid_y).alias("y"),
-        F.max(mid_x).alias("u"), F.max(mid_y).alias("v"),
-    ).first()  # one row: it fixes the number of levels
-    n = size_row["n"]
-    if n == 0:
+    tree = _packed_tree(features, feature_id, carry, k, depth)
+    if tree is None:
         queries_schema = dict(queries.dtypes)
         feature_schema = dict(features.dtypes)
         fields = [f"{query_id} {queries_schema[query_id]}", f"{feature_id} {feature_schema[feature_id]}"]
         fields += [f"{c} {feature_schema[c]}" for c in carry] + ["distance double", "rank int"]
-        return spark.createDataFrame([], ", ".join(fields))
-    levels = depth or min(8, max(1, math.ceil(math.log(max(n / 8.0, 1.0), _FAN * _FAN))))
-    across = _FAN**levels
-    extent = max(size_row["u"] - size_row["x"], size_row["v"] - size_row["y"], 1e-6) * (1 + 1e-9)
-    leaf = extent / across
+        return features.sparkSession.createDataFrame([], ", ".join(fields))
+    placed, levels = tree
+    found = _open_leaves(queries, placed, levels, k, query_id, bounds)
+    measure = distance() if distance else segment_distance("qx", "qy", "x1", "y1", "x2", "y2")
+    pairs = found.join(placed, "node").select(query_id, measure.alias("distance"), F.inline("held"))
+    if k == 1:
+        best = pairs.groupBy(query_id).agg(F.min_by(F.struct(feature_id, *carry, "distance"), F.struct("distance", feature_id)).alias("b"))
+        return best.select(query_id, "b.*", F.lit(1).alias("rank"))
+    w = W.partitionBy(query_id).orderBy("distance", feature_id)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, feature_id, *carry, "distance", "rank")
 
-    def slot(value: Column, origin: float) -> Column:
-        return F.least(F.lit(across - 1), F.floor((value - F.lit(origin)) / F.lit(leaf))).cast("long")
 
-    placed = features.select(
-        feature_id, *carry, "x1", "y1", "x2", "y2", slot(mid_x, size_row["x"]).alias("nx"), slot(mid_y, size_row["y"]).alias("ny")
-    )
-    nodes = {levels: placed.groupBy("nx", "ny").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min(F.least("x1", "x2")).alias("bx0"), F.min(F.least("y1", "y2")).alias("by0"),
+def _open_leaves(queries: DataFrame, placed: DataFrame, levels: int, k: int, query_id: str, bounds) -> DataFrame:
+    """(query_id, qx, qy, node): the leaves that can hold one of a query's k nearest features."""
+    nodes = {levels: placed.groupBy("node").agg(
+        F.sum("cnt").alias("cnt"), F.min(F.least("x1", "x2")).alias("bx0"), F.min(F.least("y1", "y2")).alias("by0"),
         F.max(F.greatest("x1", "x2")).alias("bx1"), F.max(F.greatest("y1", "y2")).alias("by1"))}
     for level in range(levels - 1, 0, -1):
-        nodes[level] = nodes[level + 1].groupBy(F.shiftright("nx", 2).alias("nx"), F.shiftright("ny", 2).alias("ny")).agg(
+        nodes[level] = nodes[level + 1].groupBy(F.shiftright("node", _FAN_BITS).alias("node")).agg(
             F.sum("cnt").alias("cnt"), F.min("bx0").alias("bx0"), F.min("by0").alias("by0"), F.max("bx1").alias("bx1"), F.max("by1").alias("by1"))
 
-    box = ["nx", "ny", "cnt", "bx0", "by0", "bx1", "by1"]
+    box = ["node", "cnt", "bx0", "by0", "bx1", "by1"]
     per_query = W.partitionBy(query_id)
 
     def prune(candidates: DataFrame) -> DataFrame:
@@ -225,33 +275,23 @@ def nearest_features(
             limit = F.min(sure).over(per_query)
         else:
             candidates = candidates.withColumn("_high", high)
-            upto = F.sum("cnt").over(per_query.orderBy("_high", "nx", "ny").rowsBetween(W.unboundedPreceding, 0))
+            upto = F.sum("cnt").over(per_query.orderBy("_high", "node").rowsBetween(W.unboundedPreceding, 0))
             candidates = candidates.withColumn("_upto", upto)
             limit = F.min(F.when(F.col("_upto") >= k, F.col("_high"))).over(per_query)
         kept = candidates.withColumn("_limit", limit).where(
             F.col("_limit").isNull() | (low <= F.col("_limit") * F.lit(1.0 + 1e-9)))
-        return kept.select(query_id, "qx", "qy", "nx", "ny")
+        return kept.select(query_id, "qx", "qy", "node")
 
     top = nodes[1].select(F.collect_list(F.struct(*box)).alias("top")).scalar()  # at most 16 boxes
     found = prune(spread(queries.select(query_id, "qx", "qy"), query_id).select("*", F.inline(top)))
     for level in range(2, levels + 1):
-        children = nodes[level].select(
-            F.shiftright("nx", 2).alias("px"), F.shiftright("ny", 2).alias("py"), *[F.col(c).alias(f"c_{c}") for c in box])
+        children = nodes[level].select(F.shiftright("node", _FAN_BITS).alias("parent"), *[F.col(c).alias(f"c_{c}") for c in box])
         if level <= _BROADCAST_LEVELS:
             children = F.broadcast(children)
-        parents = found.select(query_id, "qx", "qy", F.col("nx").alias("px"), F.col("ny").alias("py"))
-        step = parents.join(children, ["px", "py"]).select(query_id, "qx", "qy", *[F.col(f"c_{c}").alias(c) for c in box])
+        parents = found.select(query_id, "qx", "qy", F.col("node").alias("parent"))
+        step = parents.join(children, "parent").select(query_id, "qx", "qy", *[F.col(f"c_{c}").alias(c) for c in box])
         found = prune(step)
-
-    measure = distance() if distance else segment_distance("qx", "qy", "x1", "y1", "x2", "y2")
-    # Copies on one spot can fill at most k places: keep k per spot, cut down per task before the shuffle.
-    few = top_n(placed, ["nx", "ny", "x1", "y1", "x2", "y2"], [F.col(feature_id)], k, "_copy").drop("_copy")
-    pairs = found.join(few, ["nx", "ny"]).select(query_id, feature_id, *carry, measure.alias("distance"))
-    if k == 1:
-        best = pairs.groupBy(query_id).agg(F.min_by(F.struct(feature_id, *carry, "distance"), F.struct("distance", feature_id)).alias("b"))
-        return best.select(query_id, "b.*", F.lit(1).alias("rank"))
-    w = per_query.orderBy("distance", feature_id)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found
 
 
 def inverse_distance(nearest: DataFrame, query_id: str, value: str, power: int = 2) -> DataFrame:
