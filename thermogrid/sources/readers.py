@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermogrid.operators.keyed import union_all
+from thermogrid.sources.documents import split_members
 
 __all__ = ["read_csv_columns", "read_geojson", "read_geojson_document", "read_layer", "clean_layer", "bounding_box"]
 
@@ -37,10 +38,17 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
 
 
 def read_geojson_document(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of FeatureCollections that are one document each, compact or over many lines; one task reads a file whole."""
-    schema = f"type string, features array<struct<type: string, properties: struct<{properties}>, geometry: {_GEOMETRY}>>"
-    doc = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return _feature_columns(doc.select(F.explode("features").alias("f")))
+    """Features of FeatureCollections that are one document each, compact or over many lines, whatever their size: see split_members.
+
+    Objects at the same depth that are no features (in `crs`, say) have no geometry and are left out; one that has a geometry and is
+    no feature, or that is broken, is an error, not a loss.
+    """
+    feature = f"struct<type: string, properties: struct<{properties}>, geometry: {_GEOMETRY}>"
+    parsed = split_members(spark, path).select(F.from_json("text", feature).alias("f"), "text")
+    broken = F.raise_error(F.concat(F.lit("not a GeoJSON feature: "), F.substring("text", 1, 80)))
+    # The error is part of the condition: a later filter may run before this one, but then finds rows of no kind to complain of.
+    is_feature = F.when(F.col("f.type") == "Feature", F.lit(True)).when(F.col("text").contains('"geometry"'), broken.cast("boolean")).otherwise(F.lit(False))
+    return _feature_columns(parsed.where(is_feature).select("f"))
 
 
 def _feature_columns(features: DataFrame) -> DataFrame:
