@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Sequence
 from itertools import product
 
@@ -10,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from thermogrid.operators.keyed import union_all
 from thermogrid.operators.metrics import regression_metrics
 from thermogrid.operators.series import split_by_date
 
@@ -110,13 +112,25 @@ def evaluate(model: PipelineModel, df: DataFrame, target: str) -> DataFrame:
     return regression_metrics(model.transform(df), target, "prediction")
 
 
+def _kept(*frames: DataFrame) -> contextlib.ExitStack:
+    """Rows that several fits read are held in the executors, and let go at the end, after the metrics have been worked out."""
+    stack = contextlib.ExitStack()
+    for frame in frames:
+        frame.persist()
+        stack.callback(frame.unpersist)
+    return stack
+
+
+def _measured(scored: DataFrame) -> DataFrame:
+    """Metrics, a row or a few, worked out now."""
+    return scored.sparkSession.createDataFrame(scored.collect(), scored.schema)
+
+
 def leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, models: dict[str, object]) -> DataFrame:
     """Fit every model on the training rows, measure on the test rows, rank by RMSE."""
-    rows = None
-    for name, estimator in models.items():
-        scored = evaluate(fit(train, features, estimator), test, target).withColumn("model", F.lit(name))
-        rows = scored if rows is None else rows.unionByName(scored)
-    return rank_models(rows, "model")
+    with _kept(train, test):
+        rows = [_measured(evaluate(fit(train, features, estimator), test, target).withColumn("model", F.lit(name))) for name, estimator in models.items()]
+    return rank_models(union_all(rows), "model")
 
 
 def predict_grid(model: PipelineModel, cells: DataFrame) -> DataFrame:
@@ -124,32 +138,29 @@ def predict_grid(model: PipelineModel, cells: DataFrame) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, estimator, folds: int = 5, fold: str = "fold") -> DataFrame:
-    """One row of metrics per fold. The loop runs over models; every fit and score is a Spark job."""
-    rows = None
-    for k in range(folds):
-        model = fit(df.where(F.col(fold) != k), features, estimator)
-        scored = evaluate(model, df.where(F.col(fold) == k), target).withColumn("fold", F.lit(k))
-        rows = scored if rows is None else rows.unionByName(scored)
-    return rows
+    """One row of metrics per fold. The loop runs over models; every fit and score is a Spark job over the same held rows."""
+    rows = []
+    with _kept(df):
+        for k in range(folds):
+            model = fit(df.where(F.col(fold) != k), features, estimator)
+            rows.append(_measured(evaluate(model, df.where(F.col(fold) == k), target).withColumn("fold", F.lit(k))))
+    return union_all(rows)
 
 
 def search_parameters(train: DataFrame, features: Sequence[str], target: str, grid: dict[str, Sequence], validation: str = "validation", rounds: int = 100) -> DataFrame:
     """Boosted trees over a parameter grid, each judged on the marked validation rows; best first."""
-    names = list(grid)
-    rows = None
-    for values in product(*grid.values()):
-        params = dict(zip(names, values))
-        model = fit(train, features, boosted_trees(target, rounds, validation=validation, **params))
-        scored = evaluate(model, train.where(F.col(validation)), target).withColumns({n: F.lit(v) for n, v in params.items()})
-        rows = scored if rows is None else rows.unionByName(scored)
-    return rows.orderBy("rmse", *names)
+    names, rows = list(grid), []
+    with _kept(train):
+        for values in product(*grid.values()):
+            params = dict(zip(names, values))
+            model = fit(train, features, boosted_trees(target, rounds, validation=validation, **params))
+            rows.append(_measured(evaluate(model, train.where(F.col(validation)), target).withColumns({n: F.lit(v) for n, v in params.items()})))
+    return union_all(rows).orderBy("rmse", *names)
 
 
 def temporal_model(df: DataFrame, features: Sequence[str], target: str, date: str, rounds: int = 100, depth: int = 6) -> tuple[PipelineModel, DataFrame]:
     """Train on the earliest dates, stop early on the middle ones, measure on each part."""
-    parts = split_by_date(df, date).withColumn("validation", F.col("split") == "validation").persist()
-    try:
+    parts = split_by_date(df, date).withColumn("validation", F.col("split") == "validation")
+    with _kept(parts):
         fitted = fit(parts.where("split <> 'test'"), features, boosted_trees(target, rounds, depth, validation="validation"))
-        return fitted, regression_metrics(fitted.transform(parts), target, "prediction", ["split"])
-    finally:
-        parts.unpersist()
+        return fitted, _measured(regression_metrics(fitted.transform(parts), target, "prediction", ["split"]))
