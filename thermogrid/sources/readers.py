@@ -46,7 +46,7 @@ def read_geojson_document(spark: SparkSession, path: str, properties: str) -> Da
     feature = f"struct<type: string, properties: struct<{properties}>, geometry: {_GEOMETRY}>"
     parsed = split_members(spark, path).select(F.from_json("text", feature).alias("f"), "text")
     broken = F.raise_error(F.concat(F.lit("not a GeoJSON feature: "), F.substring("text", 1, 80)))
-    # The error is part of the condition: a later filter may run before this one, but then finds rows of no kind to complain of.
+    # The error is part of the condition, not of the columns: Spark may run a caller's filter on the columns first.
     is_feature = F.when(F.col("f.type") == "Feature", F.lit(True)).when(F.col("text").contains('"geometry"'), broken.cast("boolean")).otherwise(F.lit(False))
     return _feature_columns(parsed.where(is_feature).select("f"))
 
