@@ -46,7 +46,28 @@ def _(d):
     return g.select("grid_id", *[round_even(c, 4).alias(c) for c in ("area_m2", "cx", "cy")])
 
 
-@query("polygon_cell_clip_X2")
+@query("polygon_cell_clip_X2", """
+    WITH b AS (SELECT min(x) AS a, min(y) AS lo, max(x) AS c, max(y) AS hi FROM points),
+    q AS (SELECT *, (c - a) * 0.3e0 AS w, (hi - lo) * 0.2e0 AS h FROM b),
+    p AS (SELECT 0 AS i, w AS x, 0.0e0 AS y FROM q UNION ALL SELECT 1, c - a - w, 0.0e0 FROM q UNION ALL SELECT 2, c - a, h FROM q UNION ALL SELECT 3, c - a, hi - lo - h FROM q UNION ALL
+      SELECT 4, c - a - w, hi - lo FROM q UNION ALL SELECT 5, w, hi - lo FROM q UNION ALL SELECT 6, 0.0e0, hi - lo - h FROM q UNION ALL SELECT 7, 0.0e0, h FROM q),
+    e AS (SELECT s.x AS x1, s.y AS y1, t.x AS x2, t.y AS y2 FROM p s JOIN p t ON t.i = (s.i + 1) % 8 WHERE s.y <> t.y),
+    r AS (SELECT iy, x1, y1, x2, y2, greatest(iy * 100.0e0, least(iy * 100.0e0 + 100, y1)) AS ya, greatest(iy * 100.0e0, least(iy * 100.0e0 + 100, y2)) AS yb
+      FROM e, LATERAL (SELECT unnest(generate_series(CAST(floor(least(y1, y2) / 100) AS BIGINT), CAST(floor(greatest(y1, y2) / 100) AS BIGINT))) AS iy) k),
+    f AS (SELECT iy, ya - iy * 100 AS ya, yb - iy * 100 AS yb, x1 + (ya - y1) / (y2 - y1) * (x2 - x1) AS xa, x1 + (yb - y1) / (y2 - y1) * (x2 - x1) AS xb FROM r),
+    g AS (SELECT iy, ix, ya, yb, xa - ix * 100 AS xa, xb - ix * 100 AS xb, greatest(0.0e0, least(100.0e0, xa - ix * 100)) AS p, greatest(0.0e0, least(100.0e0, xb - ix * 100)) AS q
+      FROM f, LATERAL (SELECT unnest(generate_series(0, (SELECT CAST(floor((c - a) / 100) AS BIGINT) FROM b))) AS ix) k),
+    -- The stretch within the cell, and the heights of what lies left of it.
+    m AS (SELECT *, CASE WHEN xa = xb THEN ya ELSE ya + (p - xa) / (xb - xa) * (yb - ya) END AS u, CASE WHEN xa = xb THEN yb ELSE ya + (q - xa) / (xb - xa) * (yb - ya) END AS v,
+        greatest(xa, xb) < 0 AS l, least(xa, xb) > 100 AS o FROM g),
+    n AS (SELECT iy, ix,
+        CASE WHEN o THEN 0 WHEN l THEN (yb - ya) * 100 ELSE (v - u) * (100 - (p + q) / 2) + (CASE WHEN xa < 0 THEN u - ya ELSE 0 END + CASE WHEN xb < 0 THEN yb - v ELSE 0 END) * 100 END AS area,
+        CASE WHEN o THEN 0 WHEN l THEN (yb - ya) * 5000 ELSE (v - u) * (10000 - (p * p + p * q + q * q) / 3) / 2 + (CASE WHEN xa < 0 THEN u - ya ELSE 0 END + CASE WHEN xb < 0 THEN yb - v ELSE 0 END) * 5000 END AS mx,
+        CASE WHEN o THEN 0 WHEN l THEN (yb * yb - ya * ya) * 50 ELSE (v - u) * (50 * (u + v) - (2 * p * u + p * v + q * u + 2 * q * v) / 6)
+          + (CASE WHEN xa < 0 THEN u * u - ya * ya ELSE 0 END + CASE WHEN xb < 0 THEN yb * yb - v * v ELSE 0 END) * 50 END AS my FROM m),
+    t AS (SELECT ix, iy, -sum(area) AS area, -sum(mx) AS mx, -sum(my) AS my FROM n GROUP BY ix, iy)
+    SELECT CAST(ix * ceil((hi - lo) / 100.0e0) + iy + 1 AS BIGINT) AS grid_id, ix, iy, R4(area) AS area_m2, R4(mx / area + ix * 100 + a) AS cx, R4(my / area + iy * 100 + lo) AS cy
+    FROM t, b WHERE area > 1e-6""")
 def _(d):
     g = G.generate_grid(boundary(d, cut=True))
     return g.select("grid_id", "ix", "iy", *[round_even(c, 4).alias(c) for c in ("area_m2", "cx", "cy")])

@@ -13,7 +13,7 @@ __all__ = [
     "haversine_m", "planar_distance", "segment_distance", "ring_area", "polygon_area_m2", "polyline_length_m",
     "vertex_centroid", "area_centroid", "flatten_positions", "point_in_ring", "metres_per_degree", "utm_epsg",
     "mercator_tile_x", "mercator_tile_y", "degree_tile_key", "degree_tile_name", "utm_forward", "utm_inverse",
-    "RING_TYPE", "clip_to_box", "clipped_length", "edge_cost",
+    "RING_TYPE", "clip_to_box", "ring_turn", "clipped_length", "edge_cost",
 ]
 
 
@@ -64,6 +64,17 @@ def ring_area(coords) -> Column:
     return F.when(F.size(c) >= 3, F.abs(twice) / F.lit(2.0)).otherwise(F.lit(0.0))
 
 
+def ring_turn(coords) -> Column:
+    """1 for a ring that runs counter-clockwise, -1 clockwise, 0 without area."""
+    c = _c(coords)
+
+    def twice(ring: Column) -> Column:
+        first = F.get(ring, 0)
+        return _sum_pairs(ring, lambda a, b: (a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"]))
+
+    return F.signum(_let(c, twice))
+
+
 def polygon_area_m2(coords) -> Column:
     """Area of a closed lon/lat ring: planar degrees scaled to metres at the reference latitude."""
     c = _c(coords)
