@@ -53,6 +53,8 @@ def _complete(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     clause = view_sql(used)
     body = sql.strip()
+    if clause and body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE" + clause.rstrip()[4:] + ",\n" + body[15:]
     if clause and body.upper().startswith("WITH "):
         return clause.rstrip() + ",\n" + body[5:]
     return clause + body

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from thermogrid.operators.gram import pair_correlations
 from thermogrid.operators.keyed import attach_row
 
 __all__ = [
@@ -159,13 +160,8 @@ def mode_fill_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair over rows where both are present: one pass, one row per pair."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}@{b}") for a, b in pairs])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"{a}@{b}").alias("corr")) for a, b in pairs
-    ])
-    return wide.select(F.inline(rows))
+    """Pearson correlation of every pair over rows where both are present: one row per pair, from one block of cross products."""
+    return pair_correlations(df, columns)
 
 
 def correlation_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

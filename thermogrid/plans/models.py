@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from thermogrid.operators.gram import cross_moments
 from thermogrid.operators.keyed import union_all
 from thermogrid.operators.metrics import regression_metrics
 from thermogrid.operators.series import split_by_date
@@ -95,6 +98,73 @@ def linear(target: str) -> LinearRegression:
     return LinearRegression(labelCol=target, regParam=1e-6)
 
 
+@dataclass(frozen=True)
+class LinearFit:
+    """Weights of a linear model, as a Spark column over its features."""
+
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+    def predict(self) -> Column:
+        terms = [F.lit(w) * F.col(f).cast("double") for f, w in zip(self.features, self.weights)]
+        return sum(terms, F.lit(self.intercept))
+
+
+def _solved(features: Sequence[str], sums: np.ndarray, means: np.ndarray, ridge: float) -> LinearFit:
+    """Least squares with a small ridge on standardised features, from n, sums and cross products about `means` (target last)."""
+    n, linear, cross = sums[0, 0, 0], np.diag(sums[1]), sums[2]
+    if n < 2:
+        return LinearFit(tuple(features), (0.0,) * len(features), float("nan") if n < 1 else float(means[-1] + linear[-1] / n))
+    shared = (cross - np.outer(linear, linear) / n) / n
+    scale = np.sqrt(np.maximum(np.diag(shared), 0.0))
+    varies = scale > 1e-12 * np.abs(means)
+    scale = np.where(varies, scale, 1.0)
+    alike = np.where(np.outer(varies, varies), shared / np.outer(scale, scale), 0.0)
+    weights = np.linalg.solve(alike[:-1, :-1] + np.diag(np.where(varies[:-1], ridge, 1.0)), alike[:-1, -1]) * scale[-1] / scale[:-1]
+    centre = means + linear / n
+    return LinearFit(tuple(features), tuple(float(w) for w in weights), float(centre[-1] - weights @ centre[:-1]))
+
+
+def _product_sums(df: DataFrame, features: Sequence[str], target: str, by: str | None = None) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Per group the counts, sums and cross products of rows without a gap; few numbers, since groups are folds."""
+    columns = [*features, target]
+    whole = df.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in columns))
+    size = len(columns)
+    found: dict[int, np.ndarray] = {}
+    means = np.zeros(size)
+    for r in cross_moments(whole, columns, by).collect():
+        sums = found.setdefault(r[by] if by else 0, np.zeros((3, size, size)))
+        sums[0, r.i, r.j] = sums[0, r.j, r.i] = r.n
+        sums[1, r.i, r.j], sums[1, r.j, r.i] = r.si, r.sj
+        sums[2, r.i, r.j] = sums[2, r.j, r.i] = r.sij
+        means[r.i], means[r.j] = r.mi, r.mj
+    return found, means
+
+
+def linear_fit(df: DataFrame, features: Sequence[str], target: str, ridge: float = 1e-6) -> LinearFit:
+    """A linear model from one pass of cross products; rows with a missing value take no part, an empty table predicts NaN."""
+    found, means = _product_sums(df, features, target)
+    return _solved(features, found.get(0, np.zeros((3, len(features) + 1, len(features) + 1))), means, ridge)
+
+
+def linear_folds(df: DataFrame, features: Sequence[str], target: str, fold: str = "fold", ridge: float = 1e-6) -> dict[int, LinearFit]:
+    """The model of every fold, fitted on all other folds: their sums are the total less the fold's own, so one pass serves all."""
+    found, means = _product_sums(df, features, target, fold)
+    total = sum(found.values())
+    return {k: _solved(features, total - sums, means, ridge) for k, sums in sorted(found.items())}
+
+
+def cross_validate_linear(df: DataFrame, features: Sequence[str], target: str, fold: str = "fold", ridge: float = 1e-6) -> DataFrame:
+    """One row of metrics per fold: one pass for all models and one that scores every row by its fold's model."""
+    fits = linear_folds(df, features, target, fold, ridge)
+    guess = F.lit(None).cast("double")
+    for k, fitted in fits.items():
+        guess = F.when(F.col(fold) == k, fitted.predict()).otherwise(guess)
+    scored = df.withColumn("prediction", guess).where(F.col("prediction").isNotNull() & F.col(target).isNotNull())
+    return regression_metrics(scored, target, "prediction", [fold])
+
+
 def fit(df: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
     return _with_features(features, estimator).fit(df)
 
