@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thermogrid import constants as K
 from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, point_in_ring, segment_distance
-from thermogrid.operators.keyed import attach_row, top_n
+from thermogrid.operators.keyed import attach_row, top_n, union_all
 from thermogrid.operators.tiles import neighbours
 from thermogrid.session import scratch_path, spread
 
@@ -80,28 +80,106 @@ def line_length_per_cell(segments: DataFrame, size: float = K.CELL_SIZE_M, by: S
     return cells.groupBy("ix", "iy", *by).agg(F.sum(inside).alias("length")).where(F.col("length") > 0)
 
 
+_SPLIT = 4  # a crowded cell is cut into 4 x 4
+_SPLITS = 2  # times, at most
+_CROWDED = 2048  # pairs of pieces in different directions that a cell may hold uncut
+_END_POINTS = ("x1", "y1", "x2", "y2")
+
+
+def _dealt_pieces(segments: DataFrame, size: float) -> DataFrame:
+    """Distinct pieces per cell along them: (step, ix, iy, slope, x1, y1, x2, y2), `step` being the side of the cell.
+
+    Crowds of short pieces go to cells a quarter as wide, twice at most. Long pieces are left, since every smaller cell would hold them
+    again.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    slope = F.when(dx != 0, dy / F.when(dx != 0, dx) + F.lit(0.0)).otherwise(F.lit(float("inf")))
+    pieces = segments.select(*[F.col(c).cast("double").alias(c) for c in _END_POINTS]).distinct().withColumns({"slope": slope, "length": F.hypot(dx, dy)})
+    pieces = pieces.where("length > 0")
+    spark = segments.sparkSession
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    settled, step, crowd = [], float(size), None
+    for level in range(_SPLITS + 1):
+        cells = line_cells(pieces, step)
+        if crowd is not None:
+            parents = crowd.select(F.col("ix").alias("px"), F.col("iy").alias("py"))
+            cells = cells.join(parents, [F.floor(F.col("ix") / _SPLIT) == F.col("px"), F.floor(F.col("iy") / _SPLIT) == F.col("py")], "left_semi")
+        cells = stored(cells.select(F.lit(step).alias("step"), "ix", "iy", "slope", "length", *_END_POINTS), "pieces")
+        ways = cells.groupBy("ix", "iy", "slope").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
+        load = ways.groupBy("ix", "iy").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"), F.sum("length").alias("length"))
+        heavy = (F.col("n") * F.col("n") - F.col("alike") > 2 * _CROWDED) & (F.col("length") < F.col("n") * F.lit(step / 2))
+        crowd = stored(load.where(heavy).select("ix", "iy"), "crowded") if level < _SPLITS else None
+        if crowd is None or crowd.isEmpty():
+            settled.append(cells)
+            break
+        settled.append(cells.join(crowd, ["ix", "iy"], "left_anti"))
+        pieces = cells.join(crowd, ["ix", "iy"], "left_semi").select("slope", "length", *_END_POINTS).distinct()
+        step /= _SPLIT
+    return union_all([c.drop("length") for c in settled])
+
+
+def _meeting_pairs(dealt: DataFrame) -> DataFrame:
+    """Pairs of pieces in one cell that run in different directions; pieces side by side never look at each other."""
+    cell = ["step", "ix", "iy"]
+    ways = dealt.select(*cell, "slope").distinct()
+    turn = ways.withColumnRenamed("slope", "a_slope").join(ways.withColumnRenamed("slope", "b_slope"), cell).where("a_slope < b_slope")
+    side = lambda p: dealt.select(*cell, *[F.col(c).alias(f"{p}_{c}") for c in ("slope", *_END_POINTS)])
+    return turn.join(side("a"), [*cell, "a_slope"]).join(side("b"), [*cell, "b_slope"])
+
+
 def crossings(segments: DataFrame, size: float = K.CELL_SIZE_M) -> DataFrame:
-    """x, y: where two pieces that are not parallel meet, at their ends or inside, whatever their directions.
+    """x, y: where two different pieces that are not parallel meet, at their ends or inside, whatever their directions.
 
-    Pieces meet per cell along them, and only the cell that holds the meeting point reports it. A smaller `size` keeps the pairs
-    of a crowded network few.
+    Pieces meet per cell along them, by classes of equal direction, and only the cell that holds the meeting point reports it. Equal pieces
+    are one. Crowded cells are cut up (see _dealt_pieces).
     """
-    cells = line_cells(segments.select("segment_id", "x1", "y1", "x2", "y2"), size)
-    side = lambda p: cells.select("ix", "iy", *[F.col(c).alias(f"{p}_{c}") for c in ("segment_id", "x1", "y1", "x2", "y2")])
-    met = side("a").join(side("b"), ["ix", "iy"]).where("a_segment_id < b_segment_id")
+    return _crossings(_dealt_pieces(segments, size))
+
+
+def _crossings(dealt: DataFrame) -> DataFrame:
     c = F.col
     ax, ay, bx, by = c("a_x2") - c("a_x1"), c("a_y2") - c("a_y1"), c("b_x2") - c("b_x1"), c("b_y2") - c("b_y1")
     turn = ax * by - ay * bx
     turn = F.when(turn != 0, turn)
     gap_x, gap_y = c("b_x1") - c("a_x1"), c("b_y1") - c("a_y1")
     along_a, along_b = (gap_x * by - gap_y * bx) / turn, (gap_x * ay - gap_y * ax) / turn
-    met = met.select("ix", "iy", along_a.alias("t"), along_b.alias("u"), (c("a_x1") + along_a * ax).alias("x"), (c("a_y1") + along_a * ay).alias("y"))
+    met = _meeting_pairs(dealt).select("step", "ix", "iy", along_a.alias("t"), along_b.alias("u"), (c("a_x1") + along_a * ax).alias("x"), (c("a_y1") + along_a * ay).alias("y"))
     inside = F.col("t").between(-1e-9, 1 + 1e-9) & F.col("u").between(-1e-9, 1 + 1e-9)
     # A point next to a border may be worked out on either side of it; which one reports it does not matter.
-    near = (F.abs(F.col("x") - (F.col("ix") + 0.5) * size) <= size * (0.5 + 1e-9)) & (F.abs(F.col("y") - (F.col("iy") + 0.5) * size) <= size * (0.5 + 1e-9))
+    step, half = F.col("step"), F.col("step") * (0.5 + 1e-9)
+    near = (F.abs(F.col("x") - (F.col("ix") + 0.5) * step) <= half) & (F.abs(F.col("y") - (F.col("iy") + 0.5) * step) <= half)
     return met.where(inside & near).select("x", "y")
 
 
+def _pieces_at(points: DataFrame, dealt: DataFrame, size: float, reach: float) -> DataFrame:
+    """Pieces within `reach` of points: (x, y, x1, y1, x2, y2).
+
+    A point asks per direction found in its cell, for the pieces whose line passes it: lines of one direction are numbered by their
+    distance from the cell's corner, in bands of four times the reach.
+    """
+    cell = ["step", "ix", "iy"]
+    ways = dealt.select(*cell, "slope").distinct()
+    at = union_all([
+        touched_cells(points, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, size / _SPLIT**k).withColumn("step", F.lit(float(size) / _SPLIT**k))
+        for k in range(_SPLITS + 1)
+    ])
+    upright = F.col("slope") == F.lit(float("inf"))
+    along = F.when(upright, F.lit(0.0)).otherwise(F.lit(1.0) / F.sqrt(F.lit(1.0) + F.col("slope") * F.col("slope")))
+    up = F.when(upright, F.lit(1.0)).otherwise(F.col("slope") * along)
+
+    def line(x: str, y: str) -> Column:
+        return ((F.col(x) - F.col("ix") * F.col("step")) * up - (F.col(y) - F.col("iy") * F.col("step")) * along) / F.lit(4 * reach)
+
+    asked = at.join(ways, cell).withColumn("band", F.explode(F.sequence(F.floor(line("x", "y") - F.lit(0.5)), F.floor(line("x", "y") + F.lit(0.5)))))
+    return asked.join(dealt.withColumn("band", F.floor(line("x1", "y1"))), [*cell, "slope", "band"]).where(
+        segment_distance("x", "y", *_END_POINTS) <= reach).select("x", "y", *_END_POINTS)
+
+
 def network_nodes(segments: DataFrame, min_pieces: int = 3, digits: int = 3, size: float = K.CELL_SIZE_M) -> DataFrame:
     """x, y, pieces: points of a street network, rounded, from which at least `min_pieces` ways lead off.
 
@@ -110,12 +188,11 @@ def network_nodes(segments: DataFrame, min_pieces: int = 3, digits: int = 3, siz
     """
     scale = F.lit(10.0**digits)
     reach = 10.0**-digits
+    dealt = _dealt_pieces(segments, size)
     ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    points = segments.select(F.inline(ends)).unionByName(crossings(segments, size))
+    points = segments.select(F.inline(ends)).unionByName(_crossings(dealt))
     points = points.select((F.rint(F.col("x") * scale) / scale).alias("x"), (F.rint(F.col("y") * scale) / scale).alias("y")).distinct()
-    at = touched_cells(points, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, size)
-    pieces = line_cells(segments.select("segment_id", "x1", "y1", "x2", "y2"), size)
-    on = at.join(pieces, ["ix", "iy"]).where(segment_distance("x", "y", "x1", "y1", "x2", "y2") <= reach)
+    on = _pieces_at(points, dealt, size, reach)
 
     def way(px: str, py: str) -> Column:
         dx, dy = F.col(px) - F.col("x"), F.col(py) - F.col("y")
