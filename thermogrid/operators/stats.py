@@ -28,50 +28,105 @@ def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Sequence[str], n
     return wide.unpivot(list(ids), list(columns), name, value)
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact, linearly interpolated quantiles: rows (by..., column, n, q array).
+def _ladder(probs: Sequence[float]) -> list[float]:
+    """Ranks the sketch is asked for: every margin around every wanted one."""
+    return sorted({round(min(1.0, max(0.0, p + s * m)), 12) for p in probs for m in _MARGINS for s in (-1, 1)})
+
+
+def _bracket(p: float, ladder: Sequence[float], n: Column, low: Column, high: Column, edges: Column) -> tuple[Column, Column]:
+    """Bounds that hold the rank of `p`: the tightest margin that the number of rows allows for."""
+    for m in reversed(_MARGINS):
+        wide_enough = n * F.lit(m) >= F.lit(2.0) + n * F.lit(2.0 / _ACCURACY)
+        a, b = round(min(1.0, max(0.0, p - m)), 12), round(min(1.0, max(0.0, p + m)), 12)
+        if a > 0.0:
+            low = F.when(wide_enough, F.get(edges, F.lit(ladder.index(a)))).otherwise(low)
+        if b < 1.0:
+            high = F.when(wide_enough, F.get(edges, F.lit(ladder.index(b)))).otherwise(high)
+    return low, high
+
 
-    A mergeable sketch brackets every wanted rank. A second pass counts what lies below the brackets and tallies only the
-    values inside them (about a thousandth of the rows), by slices of the bracket; totals of the slices say which one holds a
-    rank, and only that slice is sorted. So no task holds a column or a bracket.
+def _slice(value: Column, low: Column, high: Column) -> Column:
+    share = F.when(high > low, (value - low) / (high - low) * F.lit(float(_SLICES - 1))).otherwise(F.lit(0.0))
+    return F.floor(share).cast("int")
+
+
+def _tally_of_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Rows (column, n, i, slice, v, c): values inside the brackets with their counts; i = -1: rows that lie below bracket `slice` and no earlier one.
+
+    Three wide passes: sketches of all columns, counts below all brackets, and the rows with a value in some bracket. Only the last
+    ones, few, are taken apart into values.
     """
+    ladder = _ladder(probs)
+    value = {c: F.col(c).cast("double") for c in columns}
+    sketch = df.agg(*[a.alias(f"{c}@{name}") for c in columns for name, a in (
+        ("n", F.count(value[c])), ("low", F.min(value[c])), ("high", F.max(value[c])), ("edges", F.percentile_approx(value[c], [float(x) for x in ladder], _ACCURACY)))])
+
+    found = sketch.first()  # one row: as many numbers as columns and ranks ask for
+    places = []
+    for c in columns:
+        n, low, high, edges = (found[f"{c}@{name}"] for name in ("n", "low", "high", "edges"))
+        for i, p in enumerate(probs if n else ()):
+            a, b = low, high
+            for m in reversed(_MARGINS):
+                if n * m >= 2.0 + n * 2.0 / _ACCURACY:
+                    down, up = round(min(1.0, max(0.0, p - m)), 12), round(min(1.0, max(0.0, p + m)), 12)
+                    a = edges[ladder.index(down)] if down > 0.0 else a
+                    b = edges[ladder.index(up)] if up < 1.0 else b
+            places.append((c, n, i, a, b))
+    if not places:
+        return df.sparkSession.createDataFrame([], "column string, n long, i int, slice int, v double, c long")
+
+    below = df.agg(*[F.count_if(value[c] < F.lit(a)).alias(f"{c}@{i}") for c, _, i, a, _ in places])
+    first = lambda c, i: F.col(f"{c}@{i}") - (F.col(f"{c}@{i - 1}") if i else F.lit(0))
+    under = below.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.lit(i).alias("slice"), first(c, i).alias("c")) for c, _, i, _, _ in places])))
+    under = under.select("column", F.lit(-1).alias("i"), "slice", F.lit(None).cast("double").alias("v"), "c")
+
+    held = [(value[c] >= F.lit(a)) & (value[c] <= F.lit(b)) for c, _, _, a, b in places]
+    some = held[0]
+    for h in held[1:]:
+        some = some | h
+    entry = [F.when(h, F.struct(F.lit(c).alias("column"), F.lit(i).alias("i"), _slice(value[c], F.lit(a), F.lit(b)).alias("slice"), value[c].alias("v"))) for h, (c, _, i, a, b) in zip(held, places)]
+    inside = df.where(some).select(F.inline(F.array_compact(F.array(*entry)))).groupBy("column", "i", "slice", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = F.create_map(*[F.lit(x) for c, n in {c: n for c, n, *_ in places}.items() for x in (c, n)])
+    tally = under.unionByName(inside)
+    return tally.select("column", F.element_at(counts, F.col("column")).cast("long").alias("n"), "i", "slice", "v", F.col("c").cast("long").alias("c"))
+
+
+def _tally_by_group(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """As above with the groups' columns in front, over rows of single values: brackets differ from group to group."""
     keys = [*by, "column"]
-    ordered = sorted(set(probs))
+    ladder = _ladder(probs)
     long = unpivot_columns(df, by, columns).where(F.col("value").isNotNull())
-    ladder = sorted({round(min(1.0, max(0.0, p + s * m)), 12) for p in ordered for m in _MARGINS for s in (-1, 1)})
     sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
         F.percentile_approx("value", [float(x) for x in ladder], _ACCURACY).alias("_edges"),
     )
-
-    def bracket(i: int, p: float) -> Column:
-        low, high = F.col("_min"), F.col("_max")
-        for m in reversed(_MARGINS):
-            wide_enough = F.col("n") * F.lit(m) >= F.lit(2.0) + F.col("n") * F.lit(2.0 / _ACCURACY)
-            a, b = round(min(1.0, max(0.0, p - m)), 12), round(min(1.0, max(0.0, p + m)), 12)
-            if a > 0.0:
-                low = F.when(wide_enough, F.col("_edges").getItem(ladder.index(a))).otherwise(low)
-            if b < 1.0:
-                high = F.when(wide_enough, F.col("_edges").getItem(ladder.index(b))).otherwise(high)
-        return F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high"))
-
-    brackets = sketch.select(*keys, "n", F.array(*[bracket(i, p) for i, p in enumerate(ordered)]).alias("_brackets"))
-    if not by:
-        brackets = F.broadcast(brackets)  # one row per column of the schema
+    pairs = [_bracket(p, ladder, F.col("n"), F.col("_min"), F.col("_max"), F.col("_edges")) for p in probs]
+    brackets = sketch.select(*keys, "n", F.array(*[F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high")) for i, (low, high) in enumerate(pairs)]).alias("_brackets"))
     # A row counts once by the first bracket it lies below, and once more for each bracket that holds it. Brackets go up with
     # their probability, so what lies below one is a sum over the first counts.
     value, none = F.col("value"), F.lit(None).cast("double")
     below = F.size(F.filter("_brackets", lambda b: value >= b["low"]))
-    share = lambda b: F.when(b["high"] > b["low"], (value - b["low"]) / (b["high"] - b["low"]) * F.lit(float(_SLICES - 1))).otherwise(F.lit(0.0))
     held = F.transform(
         F.filter("_brackets", lambda b: (value >= b["low"]) & (value <= b["high"])),
-        lambda b: F.struct(b["i"].alias("i"), F.floor(share(b)).cast("int").alias("slice"), value.alias("v")),
+        lambda b: F.struct(b["i"].alias("i"), _slice(value, b["low"], b["high"]).alias("slice"), value.alias("v")),
     )
     counted = F.concat(F.array(F.struct(F.lit(-1).alias("i"), below.alias("slice"), none.alias("v"))), held)
     tally = long.join(brackets, keys).select(*keys, "n", F.explode(counted).alias("t"))
-    tally = tally.groupBy(*keys, "n", F.col("t.i").alias("i"), F.col("t.slice").alias("slice"), F.col("t.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return tally.groupBy(*keys, "n", F.col("t.i").alias("i"), F.col("t.slice").alias("slice"), F.col("t.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact, linearly interpolated quantiles: rows (by..., column, n, q array).
+
+    A mergeable sketch brackets every wanted rank. Then it is counted what lies below the brackets, and only the values inside them
+    (about a thousandth of the rows) are tallied, by slices of the bracket; totals of the slices say which one holds a rank, and only
+    that slice is sorted. So no task holds a column or a bracket.
+    """
+    keys = [*by, "column"]
+    ordered = sorted(set(probs))
+    tally = _tally_by_group(df, columns, ordered, by) if by else _tally_of_table(df, columns, ordered)
     # Slices of a bracket are few and bounded; the one that holds a rank is found from their totals, and only its values are ranked.
     slices = tally.groupBy(*keys, "n", "i", "slice").agg(F.sum("c").alias("c"))
     slices = slices.groupBy(*keys, "n").agg(F.collect_list(F.struct("i", "slice", "c")).alias("_s"))
