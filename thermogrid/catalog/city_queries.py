@@ -9,7 +9,7 @@ from thermogrid.catalog.join_queries import CITY_BOX, EXPLAIN_FEATURES, EXPLAIN_
 from thermogrid.catalog.aggregate_queries import _IMP, contributions, sel
 from thermogrid.catalog.registry import query
 from thermogrid.catalog.window_queries import draw_sql
-from thermogrid.functions import point_in_ring, round_even
+from thermogrid.functions import round_even
 from thermogrid.operators import spatial as S
 from thermogrid.operators.keyed import top_n
 from thermogrid.plans import city as C, scenario as SC, temporal as TP
@@ -76,8 +76,8 @@ AREA = f"""WITH r AS (SELECT grid_id, {pip_sql('lon', 'lat')} AS selected, {scor
 
 
 def area_run(d):
-    inside = point_in_ring("lon", "lat", S._ring(OUTLINE))
-    return SC.run_area_scenario(d.cells, SC.linear_scorer(), K.SCENARIOS["increase_green_20"], inside)
+    marked = S.mark_in_polygon(d.cells, "lon", "lat", OUTLINE, "in_outline")
+    return SC.run_area_scenario(marked, SC.linear_scorer(), K.SCENARIOS["increase_green_20"], F.col("in_outline"))
 
 
 @query("area_scenario_M8", AREA + "SELECT grid_id, selected, R6(baseline_lst) AS baseline_lst, R6(scenario_lst) AS scenario_lst FROM r")

@@ -421,8 +421,8 @@ def _(d):
 
 @query("boundary_mask_J32", f"SELECT grid_id, CASE WHEN {pip_sql('lon', 'lat')} THEN R6(mean_aqi) END AS mean_aqi FROM cells")
 def _(d):
-    inside = fn.point_in_ring("lon", "lat", S._ring(OUTLINE))
-    return d.cells.select("grid_id", F.when(inside, round_even("mean_aqi", 6)).alias("mean_aqi"))
+    marked = S.mark_in_polygon(d.cells.select("grid_id", "lon", "lat", "mean_aqi"), "lon", "lat", OUTLINE)
+    return marked.select("grid_id", F.when(F.col("inside"), round_even("mean_aqi", 6)).alias("mean_aqi"))
 
 
 @query("enrich_hot_cells_J33", """

@@ -12,14 +12,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thermogrid import constants as K
-from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, point_in_ring, segment_distance
+from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, segment_distance
 from thermogrid.operators.keyed import attach_row, top_n, union_all
+from thermogrid.operators.outlines import cell_side, mark_inside, ring_rows, where_inside, where_near
 from thermogrid.operators.tiles import neighbours
 from thermogrid.session import scratch_path, spread
 
 __all__ = [
     "touched_cells", "count_per_cell", "rect_overlap_per_cell", "line_cells", "line_length_per_cell", "crossings",
-    "network_nodes", "sphere_bounds", "nearest_features", "inverse_distance", "select_in_polygon", "select_in_named_area", "select_in_radius",
+    "network_nodes", "sphere_bounds", "nearest_features", "inverse_distance", "select_in_polygon", "mark_in_polygon", "select_in_named_area", "select_in_radius",
     "select_by_ids", "lattice_edges", "cells_with_fallback",
 ]
 
@@ -386,41 +387,30 @@ def inverse_distance(nearest: DataFrame, query_id: str, value: str, power: int =
 # --- selections -------------------------------------------------------------------------------------------
 
 
-def _ring(coords: Sequence[Sequence[float]]) -> Column:
-    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in coords])
-
-
 def select_in_polygon(cells: DataFrame, x: str, y: str, coords: Sequence[Sequence[float]]) -> DataFrame:
     """Cells whose centroid lies in a drawn polygon. The box test goes first and reaches the scan."""
     xs, ys = [c[0] for c in coords], [c[1] for c in coords]
     boxed = cells.where(F.col(x).between(min(xs), max(xs)) & F.col(y).between(min(ys), max(ys)))
-    return boxed.where(point_in_ring(x, y, _ring(coords)))
+    return where_inside(boxed, ring_rows(cells.sparkSession, coords), x, y, cell_side(coords))
 
 
 def cells_with_fallback(cells: DataFrame, x: str, y: str, coords: Sequence[Sequence[float]], margin: float = 0.002) -> DataFrame:
     """As above; when nothing is selected, every centroid within `margin` of the outline counts."""
     inside = select_in_polygon(cells, x, y, coords)
-    closed = [*coords, coords[0]]
-    gap = F.least(*[
-        segment_distance(x, y, F.lit(float(a[0])), F.lit(float(a[1])), F.lit(float(b[0])), F.lit(float(b[1])))
-        for a, b in zip(closed, closed[1:])
-    ])
-    near = point_in_ring(x, y, _ring(coords)) | (gap <= F.lit(margin))
-    any_inside = inside.agg(F.count(F.lit(1)).alias("n")).scalar() > 0
-    return cells.where(F.when(any_inside, point_in_ring(x, y, _ring(coords))).otherwise(near))
+    if not inside.isEmpty():
+        return inside
+    return where_near(cells, ring_rows(cells.sparkSession, coords), x, y, max(cell_side(coords), margin), margin)
+
+
+def mark_in_polygon(cells: DataFrame, x: str, y: str, coords: Sequence[Sequence[float]], name: str = "inside") -> DataFrame:
+    """All cells, with a flag for those whose centroid lies in a drawn polygon."""
+    return mark_inside(cells, ring_rows(cells.sparkSession, coords), x, y, cell_side(coords), name)
 
 
 def select_in_named_area(cells: DataFrame, areas: DataFrame, name: str, x: str, y: str, bucket: float) -> DataFrame:
-    """Cells in the area of that name, ignoring case. Area boxes are spread over buckets and joined by equality."""
-    wanted = areas.where(F.lower("name") == name.lower())
-    edge = lambda fn, axis: fn(F.transform("coords", lambda p: p[axis]))
-    boxes = wanted.select("coords", edge(F.array_min, "x").alias("ax"), edge(F.array_min, "y").alias("ay"),
-                          edge(F.array_max, "x").alias("bx"), edge(F.array_max, "y").alias("by"))
-    pieces = touched_cells(boxes, "ax", "ay", "bx", "by", bucket)
-    pieces = pieces.select(F.col("ix").alias("_bx"), F.col("iy").alias("_by"), "coords")
-    keyed = cells.withColumns({"_bx": _index(F.col(x), bucket), "_by": _index(F.col(y), bucket)})
-    hits = keyed.join(pieces, ["_bx", "_by"]).where(point_in_ring(x, y, "coords"))
-    return hits.select(*cells.columns).dropDuplicates(["grid_id"])
+    """Cells in an area of that name, ignoring case; `bucket` is the side of the cells that cover the areas."""
+    outlines = areas.where(F.lower("name") == name.lower()).select(F.col("coords").alias("ring")).distinct()
+    return where_inside(cells, outlines.withColumn("area", F.md5(F.to_json("ring"))), x, y, bucket, ["area"])
 
 
 def select_in_radius(cells: DataFrame, lon: str, lat: str, center: tuple[float, float], radius_m: float, exact: bool = False) -> DataFrame:
