@@ -415,10 +415,10 @@ def _(d):
 
 
 @query("live_override_P47", """
-    WITH live AS (SELECT R6(avg(value)) AS aqi, R6(max(value)) AS pm25 FROM observations WHERE source = 'view')
+    WITH live AS (SELECT R6(avg(value)) AS aqi, R6(max(value)) AS pm25 FROM observations)
     SELECT grid_id, coalesce((SELECT aqi FROM live), mean_aqi) AS mean_aqi, coalesce((SELECT pm25 FROM live), mean_pm25) AS mean_pm25 FROM cells""")
 def _(d):
-    live = d.observations.where("source = 'view'").agg(round_even(F.avg("value"), 6).alias("mean_aqi"), round_even(F.max("value"), 6).alias("mean_pm25"))
+    live = d.observations.agg(round_even(F.avg("value"), 6).alias("mean_aqi"), round_even(F.max("value"), 6).alias("mean_pm25"))
     return T.override_columns(d.cells, live, ["mean_aqi", "mean_pm25"]).select("grid_id", "mean_aqi", "mean_pm25")
 
 

@@ -179,17 +179,21 @@ def _(d):
     return J.newest_version(changes, ["snapshot_id"]).select("snapshot_id")
 
 
+_LIVE_SCORE = "35.0e0 - 0.05e0 * green_cover + 0.01e0 * v"
+
+
 @query("live_grid_scoring_ST7", f"""
-    WITH l AS ({LATEST_SQL}) SELECT count(*) AS cells, R6(avg(35.0e0 - 0.05e0 * green_cover + 0.01e0 * (SELECT value FROM l WHERE source = 'view'))) AS mean_lst,
-      R6(min(35.0e0 - 0.05e0 * green_cover + 0.01e0 * (SELECT value FROM l WHERE source = 'view'))) AS min_lst, R6(max(35.0e0 - 0.05e0 * green_cover + 0.01e0 * (SELECT value FROM l WHERE source = 'view'))) AS max_lst FROM cells""")
+    WITH l AS (SELECT arg_max(value, (observed_at, event_id)) AS v FROM observations)
+    SELECT count(*) AS cells, R6(avg({_LIVE_SCORE})) AS mean_lst, R6(min({_LIVE_SCORE})) AS min_lst, R6(max({_LIVE_SCORE})) AS max_lst FROM cells, l""")
 def _(d):
+    """The newest reading of any source on every cell; each batch that brings one scores the grid anew."""
     cells = d.cells.select("grid_id", "green_cover", "mean_aqi")
-    latest = SN.latest_readings(observation_stream(d).where("source = 'view'"), ["value"], "event_id")
+    newest = SN.newest_reading(observation_stream(d, 4), ["value"], "event_id")
     scorer = SC.linear_scorer(LIVE_WEIGHTS)
-    score = lambda b: SN.score_live(cells, b.select(F.col("value").alias("mean_aqi")).limit(1), ["mean_aqi"], scorer)
-    runs = J.each_batch_and_read(latest, "scores", score, "update")
-    newest = J.newest_version(runs.withColumn("_k", F.lit(1)), ["_k"])
-    return newest.select("cells", *[round_even(c, 6).alias(c) for c in ("mean_lst", "min_lst", "max_lst")])
+    score = lambda b: SN.score_live(cells, b.select(F.col("value").alias("mean_aqi")), ["mean_aqi"], scorer)
+    runs = J.each_batch_and_read(newest, "scores", score, "update")
+    last = J.newest_version(runs.withColumn("_k", F.lit(1)), ["_k"])
+    return last.select("cells", *[round_even(c, 6).alias(c) for c in ("mean_lst", "min_lst", "max_lst")])
 
 
 @query("feed_status_ST8", STATUS_SQL + """

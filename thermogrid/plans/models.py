@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from thermogrid.operators.gram import cross_moments
 from thermogrid.operators.keyed import union_all
 from thermogrid.operators.metrics import regression_metrics
+from thermogrid.operators.selection import cut_of_order
 from thermogrid.operators.series import split_by_date
 
 
@@ -48,28 +49,29 @@ def hash_folds(df: DataFrame, id_column: str, folds: int, seed: int = 43) -> Dat
 
 
 def fixed_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all), the same ones every time."""
-    return df.orderBy(draw(df, id_column, seed), id_column).limit(n)
+    """Exactly n rows (or all with an id), the same ones every time, however large n is: rows of the smallest draws, ties by id.
+
+    Where an id repeats and only some of its rows fit, these are the first in the order of their columns.
+    """
+    key = draw(df, id_column, seed)
+    cut = cut_of_order(df, key, 31, id_column, lambda _: n)
+    if cut is None:
+        return df.limit(0)
+    if cut.left == cut.held:
+        return df.where(cut.before(key, id_column) | cut.last(key, id_column))
+    return df.where(cut.before(key, id_column)).unionByName(df.where(cut.last(key, id_column)).orderBy(*df.columns).limit(cut.left))
 
 
 def early_stopping_slice(df: DataFrame, id_column: str, share: float = 0.10, minimum: int = 500, seed: int = 44) -> DataFrame:
     """Mark max(minimum, share) rows for early stopping, but no more than half, in random but reproducible order.
 
-    A histogram of 4096 buckets of the draw says which buckets are taken whole and how many rows of the next one; only that bucket is
-    ranked, so no task sorts the table.
+    Whether a row is marked follows from its id alone, so repeats of the last id taken are all marked; rows without an id are not.
     """
-    marked = df.withColumn("_d", draw(df, id_column, seed)).withColumn("_b", (F.col("_d") % 4096).cast("int"))
-    counts = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.orderBy("_b"))  # at most 4096 rows
-    total = F.sum("c").over(W.partitionBy())
-    wanted = F.least(F.greatest(F.lit(minimum), (total * F.lit(share)).cast("long")), F.floor(total / 2))
-    cut = counts.select("_b", "c", upto.alias("u"), wanted.alias("w")).where("u >= w").agg(
-        F.min_by(F.struct(F.col("_b").alias("b"), (F.col("w") - F.col("u") + F.col("c")).alias("left")), "_b").alias("cut")).scalar()
-    last = marked.where(F.col("_b") == cut["b"]).select(id_column, "_d")
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_d", id_column))  # one bucket
-    taken = last.select(F.col(id_column).alias("_id"), place.alias("_r")).where(F.col("_r") <= cut["left"])
-    out = marked.join(taken, marked[id_column] == taken["_id"], "left")
-    return out.withColumn("validation", (F.col("_b") < cut["b"]) | F.col("_id").isNotNull()).select(*df.columns, "validation")
+    number = draw(df, id_column, seed)
+    key = (number % 4096) * 2**19 + F.shiftright(number, 12)
+    cut = cut_of_order(df, key, 31, id_column, lambda rows: min(max(minimum, int(rows * share)), rows // 2))
+    marked = F.lit(False) if cut is None else F.coalesce(cut.before(key, id_column) | cut.last(key, id_column), F.lit(False))
+    return df.withColumn("validation", marked)
 
 
 def rank_models(metrics: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

@@ -17,6 +17,11 @@ def latest_readings(observations: DataFrame, columns: Sequence[str], tie: str) -
     return observations.groupBy("source").agg(row.alias("r")).select("source", "r.*")
 
 
+def newest_reading(observations: DataFrame, columns: Sequence[str], tie: str) -> DataFrame:
+    """The newest reading of all: one row, the state of a stream as well."""
+    return observations.groupBy().agg(F.max_by(F.struct(*columns, "observed_at"), F.struct("observed_at", tie)).alias("r")).select("r.*")
+
+
 def snapshot_id(at) -> "F.Column":
     return F.concat(F.lit("snap_"), F.date_format(at, "yyyy_MM_dd_HHmmss_SSS"))
 
