@@ -17,3 +17,11 @@ ODD = [
     None, "", " ", "\n", "\n\n a\n", "A", "Ünïcode ÉÉ é x 　 y", "tab\tand\x0bfeed\r\nline", "# $ % & * | < >", "don't  he'll 's  x  ",
     "<|endoftext|> is text", " sep  \u0085next", "\U0001F600 emoji \U0001F600", "a" * 3000, "ab " * 400, "x\n" * 40, "0 1 2 3 4 5 6 7 8 9 10 11",
 ]
+
+
+def thue_morse():
+    """Two words whose polynomial hashes modulo a power of two are equal."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from samples import prose
+from samples import prose, thue_morse
 
 from thermogrid.llm.components import components
 from thermogrid.llm.jaccard_join import keep_one_of_each, least_difference, near_duplicates
@@ -62,6 +62,13 @@ def test_against_brute_force(spark, odd_docs, shard):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 
+def test_words_that_a_weak_hash_would_confuse(spark):
+    a, b = thue_morse()
+    rows = [(i, f"{w} {prose(3, 1)}") for i, w in enumerate((a, b, a))] + [(9, f"{prose(60, 4)} {a}"), (8, f"{prose(60, 4)} {b}")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+
+
 def test_keep_one(spark, odd_docs):
     rows = odd_docs.collect()
     want = {d for d, _, c in brute([(r.doc_id, r.text) for r in rows]) if d == c}

@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from samples import prose
+from samples import prose, thue_morse
 
 from thermogrid.llm.language_model import MU, in_held_out, score_texts
 
@@ -46,6 +46,14 @@ def test_against_brute_force(spark, odd_docs, sizes):
         assert abs(g[6] - w[6]) <= 0.01 * g[2] + 1e-6
 
 
+def test_words_that_a_weak_hash_would_confuse(spark):
+    a, b = thue_morse()
+    rows = [(i, a if i % 2 else f"{b} {a}") for i in range(9)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for g, w in zip(sorted(tuple(r) for r in got), sorted(brute(rows)), strict=True):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6
+
+
 def test_held_out_copies_score_higher(spark):
     rows = [(i, prose(80, i % 40, 3000)) for i in range(200)]
     got = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from samples import prose
+from samples import prose, thue_morse
 
 from thermogrid.llm.suffix_dedup import remove_repeats, segments
 
@@ -43,6 +43,15 @@ def test_against_brute_force(spark, length, shard):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute(rows, length)
 
 
+@pytest.mark.parametrize("length", [200, 1024])
+def test_strings_that_a_weak_hash_would_confuse(spark, length):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, "x" + b + "y"), (4, a[:1023])]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, start int, spans int")
+    got = remove_repeats(docs, length).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute(rows, length)
+
+
 def test_every_string_start_is_in_one_run():
     draw = np.random.default_rng(2)
     texts = [bytes(draw.integers(97, 97 + k, n).tolist()) for k, n in ((3, 900), (26, 700), (1, 600), (2, 10), (26, 199), (26, 200))]

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from samples import thue_morse
 from tokenizers import Tokenizer
 
 from thermogrid.llm.tables import scratch_path
@@ -42,13 +43,6 @@ def test_any_text_is_cut_safely(spark):
         assert r.ids[:-1] == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, repr(texts[r.doc_id])
 
 
-def thue_morse():
-    word = "a"
-    for _ in range(10):
-        word += word.translate(str.maketrans("ab", "ba"))
-    return word, word.translate(str.maketrans("ab", "ba"))
-
-
 def test_special_tokens_long_words_and_other_files(spark):
     """End-of-text marks are one id; two long words that polynomial hashes confuse stay apart; another kind of file gets whole texts."""
     texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>1", "<|endoftext", " ".join(thue_morse()), "", "Ünï  Code\n\nTWO"]

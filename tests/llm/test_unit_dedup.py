@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import pytest
-from samples import prose
+from samples import prose, thue_morse
 
 from thermogrid.llm.unit_dedup import keep_earliest
 
@@ -57,6 +57,13 @@ def test_against_brute_force(spark, least, kind, run_words):
     assert sorted(got, key=repr) == brute(rows, least, kind, run_words)
 
 
+def test_words_that_a_weak_hash_would_confuse(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{b} {a}")]
+    got = [(r.doc_id, r.n_passages, [(s.start, s.end) for s in r.removed], r.kept_sha256) for r in keep_earliest(spark.createDataFrame(rows, "doc_id long, text string"), 1, "lines", 1).collect()]
+    assert sorted(got, key=repr) == brute(rows, 1, "lines", 1)
+
+
 def test_odd_and_empty(odd_docs, no_docs):
     got = keep_earliest(odd_docs, 1).collect()
     assert len(got) == odd_docs.count()

@@ -45,7 +45,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, salt: int = 0)
         return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64), np.zeros(0, bool))
     sums = T.prefix_hash(data, False)
     n = len(data) - gram + 1
-    hashes = T.mix((sums[gram:] - sums[:-gram]) * T.powers(len(data))[1][:n] + np.uint64(salt))
+    hashes = T.mix(T.window_hash(sums, gram) + np.uint64(salt))
     low = np.uint64((1 << _BITS) - 1)
     place, high = np.arange(n, dtype=np.uint64), hashes & ~low
     left = (_window_least(high | place, width) & low).astype(np.int64)

@@ -129,8 +129,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         # A substring goes up to the start of the next one; the last of all is the end alone.
         until = np.zeros(len(s), np.int64)
         until[lms] = np.append(lms[1:], len(s) - 1)
-        sums = np.zeros(len(s) + 1, np.uint64)
-        np.cumsum(T.mix(s.astype(np.uint64) + np.uint64(7)) * T.powers(len(s))[0][: len(s)], out=sums[1:])
+        sums = T.running_hash(T.mix(s.astype(np.uint64) + np.uint64(7)))
         span = until[ranked] - ranked
         mark = T.span_hash(sums, ranked, until[ranked] + 1)
         name = np.cumsum(np.concatenate([[0], (mark[1:] != mark[:-1]) | (span[1:] != span[:-1])]))
