@@ -94,5 +94,10 @@ def test_passage_shorter_than_a_string(spark, monkeypatch):
     assert sum(x[2] > 0 for x in want) == 3
 
 
+def test_nothing_long_enough(spark):
+    got = remove_repeats(spark.createDataFrame([(1, "short"), (2, "short"), (3, None)], "doc_id long, text string"), 200).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(1, 5, 0, 0), (2, 5, 0, 0), (3, 0, 0, 0)]
+
+
 def test_empty_table(no_docs):
     assert remove_repeats(no_docs).count() == 0

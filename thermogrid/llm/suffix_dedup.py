@@ -42,7 +42,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, salt: int = 0)
     gram = min(_GRAM, length)
     width = length - gram + 1
     if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64), np.zeros(0, bool))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, bool),)
     sums = T.prefix_hash(data, False)
     n = len(data) - gram + 1
     hashes = T.mix(T.window_hash(sums, gram) + np.uint64(salt))
