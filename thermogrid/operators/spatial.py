@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from thermogrid import constants as K
 from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, segment_distance
+from thermogrid.operators.blocks import cut_blocks, reach_leaf, search_block
 from thermogrid.operators.keyed import attach_row, top_n, union_all
 from thermogrid.operators.outlines import cell_side, mark_inside, ring_rows, where_inside, where_near
 from thermogrid.operators.tiles import neighbours
@@ -211,6 +215,11 @@ _FAN_BITS = 4  # every node of the tree has sixteen children
 _LEAF = 8  # distinct spots in a leaf
 _BROADCAST_LEVELS = 4  # at most 16**4 = 65,536 nodes of a few numbers each
 _AXIS_BITS = 30
+_RANGE_ROWS = 1 << 19  # rows in a range partition, about
+_BLOCK = 1024  # queries in a block, at most
+_BLOCK_LEAF = 64  # distinct spots in a leaf that blocks look at
+_BLOCK_SPOTS = 8192  # spots that a block would see if both were spread alike
+_BLOCK_LEAVES = 1024  # leaves that a block may need before its queries walk by themselves
 
 
 def _interleaved(value: Column) -> Column:
@@ -220,24 +229,18 @@ def _interleaved(value: Column) -> Column:
     return value
 
 
-def _packed_tree(features: DataFrame, feature_id: str, carry: Sequence[str], k: int, depth: int | None) -> tuple[DataFrame, int] | None:
-    """(spots with their leaf, levels of the tree), None without features. Leaves hold equally many distinct spots, however those lie.
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to the shared folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Spots are put in order along a curve that fills the plane and are numbered: `_LEAF` in a row make a leaf, sixteen leaves in a
-    row a node, and so on. The axes are stretched around their medians first, so an outlier takes little of them. A spot holds
-    at most k features, the ones of the least ids, which is all that a search for k can use.
+def _curve(size, x: str, y: str) -> Column:
+    """A row's place along a plane-filling curve. `size` has the least, greatest and quartiles of both columns.
+
+    The axes are stretched around their medians first, so an outlier takes little of them.
     """
-    spot = ["x1", "y1", "x2", "y2"]
-    few = top_n(features.select(feature_id, *carry, *spot), spot, [F.col(feature_id)], k, "_copy").drop("_copy")
-    spots = few.groupBy(*spot).agg(F.collect_list(F.struct(feature_id, *carry)).alias("held"), F.count(F.lit(1)).alias("cnt"))
-    spots = spots.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
-    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
-    size = spots.agg(
-        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{c}") for c in ("mx", "my") for name, f in (("low", F.min), ("high", F.max), ("q", quartiles))]
-    ).first()  # one row: it fixes the axes and the number of levels
-    n = size["n"]
-    if not n:
-        return None
 
     def axis(c: str) -> Column:
         low, high, (q1, middle, q3) = size[f"low_{c}"], size[f"high_{c}"], size[f"q_{c}"]
@@ -247,22 +250,49 @@ def _packed_tree(features: DataFrame, feature_id: str, carry: Sequence[str], k:
         share = (F.asinh((F.col(c) - F.lit(middle)) / F.lit(unit)) - F.lit(stretched(low))) / F.lit(span)
         return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * F.lit(float((1 << _AXIS_BITS) - 1))).cast("long")
 
-    code = _interleaved(axis("mx")).bitwiseOR(F.shiftleft(_interleaved(axis("my")), 1))
+    return _interleaved(axis(x)).bitwiseOR(F.shiftleft(_interleaved(axis(y)), 1))
+
+
+def _extent(df: DataFrame, x: str, y: str):
+    """One row: the number of rows, and per column the least, the greatest and the quartiles."""
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
+    return df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{c}") for c in (x, y) for name, f in (("low", F.min), ("high", F.max), ("q", quartiles))]).first()
+
+
+def _ranges(spark, n: int) -> int:
+    """Range partitions for n rows: their size does not grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // _RANGE_ROWS))
+
+
+def _packed_tree(features: DataFrame, feature_id: str, carry: Sequence[str], k: int, depth: int | None, leaf: int = _LEAF) -> tuple[DataFrame, int] | None:
+    """(spots with their leaf, levels of the tree), None without features. Leaves hold equally many distinct spots, however those lie.
+
+    Spots are put in order along a curve that fills the plane and are numbered: `leaf` in a row make a leaf, sixteen leaves in a
+    row a node, and so on; a leaf never holds fewer, unless there are fewer. A spot holds at most k features, the ones of the least
+    ids, which is all that a search for k can use. A feature without a place is near nothing.
+    """
+    spot = ["x1", "y1", "x2", "y2"]
+    somewhere = features.select(feature_id, *carry, *[F.col(c).cast("double").alias(c) for c in spot]).dropna(subset=spot)
+    few = top_n(somewhere, spot, [F.col(feature_id)], k, "_copy").drop("_copy")
+    spots = few.groupBy(*spot).agg(F.collect_list(F.struct(feature_id, *carry)).alias("held"), F.count(F.lit(1)).alias("cnt"))
     spark = features.sparkSession
-    path = scratch_path(spark, "spots")
+    spots = _stored(spots.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}), "distinct-spots")
+    size = _extent(spots, "mx", "my")  # one row: it fixes the axes and the number of levels
+    n = size["n"]
+    if not n:
+        return None
     order = ["code", "mx", "my", *spot]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spots.withColumn("code", code).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered = ordered.withColumn("_at", F.monotonically_increasing_id()).drop("code", "mx", "my")
-    ordered.write.parquet(path)
-    stored = spark.read.schema(ordered.schema).parquet(path)
+    ordered = spots.withColumn("code", _curve(size, "mx", "my")).repartitionByRange(_ranges(spark, n), *order).sortWithinPartitions(*order)
+    stored = _stored(ordered.withColumn("_at", F.monotonically_increasing_id()).drop("code", "mx", "my"), "spots")
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted(stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
-    before = spark.createDataFrame([(c["part"], sum(x["n"] for x in counts[:i])) for i, c in enumerate(counts)], "_part long, _before long")
-    levels = depth or max(1, math.ceil(math.log(max(n / _LEAF, 1.0), 1 << _FAN_BITS)))
-    leaf_size = max(_LEAF if depth is None else 1, -(-n // (1 << _FAN_BITS * levels)))
+    starts = accumulate([c["n"] for c in counts], initial=0)
+    before = spark.createDataFrame([(c["part"], s) for c, s in zip(counts, starts)], "_part long, _before long")
+    levels = depth or max(1, math.ceil(math.log(max(n / leaf, 1.0), 1 << _FAN_BITS)))
+    leaf_size = max(leaf if depth is None else 1, -(-n // (1 << _FAN_BITS * levels)))
     placed = stored.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return placed.select(F.floor((F.col("_before") + row) / F.lit(leaf_size)).cast("long").alias("node"), *spot, "held", "cnt"), levels
+    node = F.least(F.floor((F.col("_before") + row) / F.lit(leaf_size)), F.lit(max(n // leaf_size, 1) - 1)).cast("long")
+    return placed.select(node.alias("node"), *spot, "held", "cnt"), levels
 
 
 def _box_bounds(qx: Column, qy: Column) -> tuple[Column, Column, Column]:
@@ -305,19 +335,22 @@ def nearest_features(
     query_id: str = "query_id",
     feature_id: str = "feature_id",
     carry: Sequence[str] = (),
-    distance: Callable[[], Column] | None = None,
-    bounds: Callable[[Column, Column], tuple[Column, Column, Column]] = _box_bounds,
+    sphere: bool = False,
     depth: int | None = None,
 ) -> DataFrame:
     """The k nearest features of every query point, exactly: (query_id, feature_id, carry..., distance, rank).
 
-    `queries` has qx, qy; `features` has x1, y1, x2, y2 (equal ends make a point). Features are packed into a tree of boxes whose
-    leaves hold a few distinct spots each, in crowds and in empty country alike. A query walks down it and keeps only boxes that
-    can still hold one of its k nearest features, so it meets a handful of leaves instead of the whole layer.
-    Another `distance` needs `bounds` that hold for it: from a point to a box (columns bx0, by0, bx1, by1) the least
-    possible distance, one that a feature surely has, and the greatest possible.
+    `queries` has qx, qy; `features` has x1, y1, x2, y2 (equal ends make a point). With `sphere` both are points in degrees
+    (x: longitude) and distances are great-circle metres. Features are packed into a tree of boxes whose leaves hold equally many
+    distinct spots, in crowds and in empty country alike. Queries are cut into blocks of points that lie together. A block, not a
+    query, walks down the tree, and takes along the spots that one of its points may need (see blocks.py); its points and those spots
+    meet in one group. Where a block would see too many leaves, its points walk down by themselves. Queries of one id are one;
+    one without a place is at no distance from anything, and gets the least ids.
     """
-    tree = _packed_tree(features, feature_id, carry, k, depth)
+    spots = ["x1", "y1", "x2", "y2", "held"]
+    asked = queries.select(query_id, F.col("qx").cast("double").alias("qx"), F.col("qy").cast("double").alias("qy"))
+    nowhere = F.col("qx").isNull() | F.col("qy").isNull() | F.isnan("qx") | F.isnan("qy")
+    tree = _packed_tree(features, feature_id, carry, k, depth, max(_BLOCK_LEAF, k))
     if tree is None:
         queries_schema = dict(queries.dtypes)
         feature_schema = dict(features.dtypes)
@@ -325,26 +358,135 @@ def nearest_features(
         fields += [f"{c} {feature_schema[c]}" for c in carry] + ["distance double", "rank int"]
         return features.sparkSession.createDataFrame([], ", ".join(fields))
     placed, levels = tree
-    found = _open_leaves(queries, placed, levels, k, query_id, bounds)
-    measure = distance() if distance else segment_distance("qx", "qy", "x1", "y1", "x2", "y2")
-    pairs = found.join(placed, "node").select(query_id, measure.alias("distance"), F.inline("held"))
+    blocks = _query_blocks(asked.where(~nowhere), query_id, placed)
+    open_leaves, crowded = _block_leaves(blocks, placed, levels, k, sphere)
+    seen = placed.join(open_leaves.select("node").distinct(), "node", "left_semi")
+    met = StructType([open_leaves.schema["block"], *[seen.schema[c] for c in (*spots, "cnt")]])
+    known = open_leaves.groupBy("node").cogroup(seen.groupBy("node")).applyInArrow(reach_leaf(_probes(sphere), sphere, [*spots, "cnt"]), met)
+    q_columns = [query_id, "qx", "qy"]
+    light = blocks.join(F.broadcast(crowded), "block", "left_anti")  # at most a block a thousand leaves
+    schema = StructType([f for f in light.schema.fields if f.name in q_columns] + [f for f in known.schema.fields if f.name in spots])
+    found = light.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(search_block(k, sphere, q_columns, spots), schema)
+    if not crowded.isEmpty():  # their points, equal rows once, as often as they came
+        alone = blocks.join(F.broadcast(crowded), "block", "left_semi").groupBy(*q_columns).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        alone = alone.withColumn("_point", F.struct(*q_columns, "_n"))
+        own = _open_leaves(alone, placed, levels, k, "_point", sphere_bounds if sphere else _box_bounds).join(placed, "node")
+        found = found.unionByName(own.select("_point.*", *spots, F.explode(F.sequence(F.lit(1), F.col("_point._n"))).alias("_copy")).drop("_n", "_copy"))
+    least = placed.select(*spots, F.array_min(F.transform("held", lambda h: h[feature_id])).alias("_least")).orderBy("_least").limit(k).drop("_least")
+    found = found.unionByName(asked.where(nowhere).crossJoin(F.broadcast(least)))
+
+    measure = haversine_m("qy", "qx", "y1", "x1") if sphere else segment_distance("qx", "qy", "x1", "y1", "x2", "y2")
+    pairs = found.select(query_id, measure.alias("distance"), F.inline("held"))
     if k == 1:
-        best = pairs.groupBy(query_id).agg(F.min_by(F.struct(feature_id, *carry, "distance"), F.struct("distance", feature_id)).alias("b"))
-        return best.select(query_id, "b.*", F.lit(1).alias("rank"))
+        best = spread(pairs, query_id).groupBy(query_id).agg(F.min(F.struct("distance", feature_id, *carry)).alias("b"))
+        return best.select(query_id, f"b.{feature_id}", *[f"b.{c}" for c in carry], "b.distance", F.lit(1).alias("rank"))
     w = W.partitionBy(query_id).orderBy("distance", feature_id)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, feature_id, *carry, "distance", "rank")
 
 
-def _open_leaves(queries: DataFrame, placed: DataFrame, levels: int, k: int, query_id: str, bounds) -> DataFrame:
-    """(query_id, qx, qy, node): the leaves that can hold one of a query's k nearest features."""
+def _query_blocks(queries: DataFrame, query_id: str, placed: DataFrame) -> DataFrame:
+    """(query_id, qx, qy, block): points in order along a curve, cut into blocks; fewer points a block where features are many."""
+    size = _extent(queries, "qx", "qy")
+    n, spots = size["n"], placed.count()
+    if not n:
+        return queries.withColumn("block", F.lit(0).cast("long"))
+    most = max(1, min(_BLOCK, n * _BLOCK_SPOTS // spots))
+    order = ["_code", "qx", "qy", "_tie"]
+    ordered = queries.withColumns({"_code": _curve(size, "qx", "qy"), "_tie": F.xxhash64(query_id)})
+    ordered = ordered.repartitionByRange(_ranges(queries.sparkSession, n), *order).sortWithinPartitions(*order).drop("_code", "_tie")
+    return _stored(ordered.mapInArrow(cut_blocks(most), StructType([*ordered.schema.fields, StructField("block", LongType())])), "query-blocks")
+
+
+def _probe_distance(sphere: bool, probe: str) -> Column:
+    """From a probe of a block to a spot."""
+    x, y = F.col(f"{probe}x"), F.col(f"{probe}y")
+    return haversine_m(y, x, "y1", "x1") if sphere else segment_distance(x, y, "x1", "y1", "x2", "y2")
+
+
+def _probes(sphere: bool) -> list[str]:
+    """Where a block looks from: its four corners, or its middle on the sphere."""
+    return ["_m"] if sphere else ["_a", "_b", "_c", "_d"]
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _block_leaves(blocks: DataFrame, placed: DataFrame, levels: int, k: int, sphere: bool) -> tuple[DataFrame, DataFrame]:
+    """((block, probes, node): the leaves that a block needs, (block): blocks that would need too many).
+
+    A block goes to one leaf near its middle first. k features there give each corner a limit: what is farther than they are from every
+    corner is farther from every point of the block. On the sphere the limit holds from the middle, wider by the block twice.
+    """
+    around = blocks.groupBy("block").agg(*[f(c).alias(n) for n, f, c in (("_x0", F.min, "qx"), ("_x1", F.max, "qx"), ("_y0", F.min, "qy"), ("_y1", F.max, "qy"))])
+    middle = _stored(around.withColumns({"_mx": (F.col("_x0") + F.col("_x1")) / 2, "_my": (F.col("_y0") + F.col("_y1")) / 2}), "block-boxes")
+    nodes = _tree_nodes(placed, levels)
+    bounds = sphere_bounds if sphere else _box_bounds
+    box = F.struct(F.col("node"))
+    closest = lambda df: df.groupBy("block", "_mx", "_my").agg(F.min_by(box, F.struct(bounds(F.col("_mx"), F.col("_my"))[0], F.col("node"))).alias("b")).select("block", "_mx", "_my", "b.node")
+    first = _descend(spread(middle.select("block", "_mx", "_my"), "block"), nodes, levels, ["block", "_mx", "_my"], closest)
+    # The k features nearest to the middle in that leaf, or fewer spots that hold as many.
+    t_x, t_y = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length2 = t_x * t_x + t_y * t_y
+    t = F.when(length2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("_mx") - F.col("x1")) * t_x + (F.col("_my") - F.col("y1")) * t_y) / length2))).otherwise(F.lit(0.0))
+    seen = first.join(placed, "node").select("block", _probe_distance(sphere, "_m").alias("d"), "cnt", (F.col("x1") + t * t_x).alias("px"), (F.col("y1") + t * t_y).alias("py"))
+    nearest = W.partitionBy("block").orderBy("d", "px", "py").rowsBetween(W.unboundedPreceding, 0)
+    pivots = seen.withColumn("have", F.sum("cnt").over(nearest)).where(F.col("have") - F.col("cnt") < k)
+    pivots = pivots.groupBy("block").agg(F.max("have").alias("have"), F.max("d").alias("d"), F.collect_list(F.struct("px", "py")).alias("pivots"))
+    ready = middle.join(pivots, "block")
+    # Places far from the origin carry fewer digits; limits are that much wider.
+    noise = lambda *cs: F.lit(1e-12) * F.greatest(*[F.abs(c) for c in cs]) + F.lit(1e-9)
+    corner = {"_a": ("_x0", "_y0"), "_b": ("_x0", "_y1"), "_c": ("_x1", "_y0"), "_d": ("_x1", "_y1"), "_m": ("_mx", "_my")}
+    for p in _probes(sphere):
+        x, y = (F.col(c) for c in corner[p])
+        if sphere:  # from the middle to the farthest point of the block's box
+            ready = ready.withColumns({"bx0": F.col("_x0"), "by0": F.col("_y0"), "bx1": F.col("_x1"), "by1": F.col("_y1")})
+            limit = F.col("d") + 2 * bounds(x, y)[2] + F.lit(1e-3)
+        else:
+            limit = F.array_max(F.transform("pivots", lambda v: planar_distance(x, y, v["px"], v["py"]))) + noise(x, y)
+        ready = ready.withColumns({f"{p}x": x, f"{p}y": y, f"{p}l": F.when(F.col("have") >= k, limit * F.lit(1.0 + 1e-9))})
+    probes = [f"{p}{c}" for p in _probes(sphere) for c in "xyl"]
+    ready = _stored(ready.select("block", *probes), "block-probes")
+
+    def reached(df: DataFrame) -> DataFrame:
+        near = _any([F.col(f"{p}l").isNull() | (bounds(F.col(f"{p}x"), F.col(f"{p}y"))[0] <= F.col(f"{p}l")) for p in _probes(sphere)])
+        return df.where(near).select("block", *probes, "node")
+
+    leaves = _stored(_descend(spread(ready, "block"), nodes, levels, ["block", *probes], reached), "block-leaves")
+    crowded = _stored(leaves.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _BLOCK_LEAVES).select("block"), "crowded-blocks")
+    return leaves.join(F.broadcast(crowded), "block", "left_anti"), crowded
+
+
+def _tree_nodes(placed: DataFrame, levels: int) -> dict[int, DataFrame]:
+    """Boxes of every level: (node, cnt, bx0, by0, bx1, by1)."""
     nodes = {levels: placed.groupBy("node").agg(
         F.sum("cnt").alias("cnt"), F.min(F.least("x1", "x2")).alias("bx0"), F.min(F.least("y1", "y2")).alias("by0"),
         F.max(F.greatest("x1", "x2")).alias("bx1"), F.max(F.greatest("y1", "y2")).alias("by1"))}
+    nodes[levels] = _stored(nodes[levels], "leaves")
     for level in range(levels - 1, 0, -1):
         nodes[level] = nodes[level + 1].groupBy(F.shiftright("node", _FAN_BITS).alias("node")).agg(
             F.sum("cnt").alias("cnt"), F.min("bx0").alias("bx0"), F.min("by0").alias("by0"), F.max("bx1").alias("bx1"), F.max("by1").alias("by1"))
+    return nodes
+
 
-    box = ["node", "cnt", "bx0", "by0", "bx1", "by1"]
+_NODE = ("node", "cnt", "bx0", "by0", "bx1", "by1")
+
+
+def _descend(seekers: DataFrame, nodes: dict[int, DataFrame], levels: int, own: Sequence[str], prune: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Seekers (columns `own`) beside the leaves that are left when `prune` has looked at the boxes of each level."""
+    top = nodes[1].select(F.collect_list(F.struct(*_NODE)).alias("top")).scalar()  # at most 16 boxes
+    found = prune(seekers.select("*", F.inline(top)))
+    for level in range(2, levels + 1):
+        children = nodes[level].select(F.shiftright("node", _FAN_BITS).alias("parent"), *[F.col(c).alias(f"c_{c}") for c in _NODE])
+        if level <= _BROADCAST_LEVELS:
+            children = F.broadcast(children)
+        parents = found.select(*own, F.col("node").alias("parent"))
+        found = prune(parents.join(children, "parent").select(*own, *[F.col(f"c_{c}").alias(c) for c in _NODE]))
+    return found
+
+
+def _open_leaves(queries: DataFrame, placed: DataFrame, levels: int, k: int, query_id: str, bounds) -> DataFrame:
+    """(query_id, qx, qy, node): the leaves that can hold one of a query's k nearest features."""
     per_query = W.partitionBy(query_id)
 
     def prune(candidates: DataFrame) -> DataFrame:
@@ -360,16 +502,7 @@ def _open_leaves(queries: DataFrame, placed: DataFrame, levels: int, k: int, que
             F.col("_limit").isNull() | (low <= F.col("_limit") * F.lit(1.0 + 1e-9)))
         return kept.select(query_id, "qx", "qy", "node")
 
-    top = nodes[1].select(F.collect_list(F.struct(*box)).alias("top")).scalar()  # at most 16 boxes
-    found = prune(spread(queries.select(query_id, "qx", "qy"), query_id).select("*", F.inline(top)))
-    for level in range(2, levels + 1):
-        children = nodes[level].select(F.shiftright("node", _FAN_BITS).alias("parent"), *[F.col(c).alias(f"c_{c}") for c in box])
-        if level <= _BROADCAST_LEVELS:
-            children = F.broadcast(children)
-        parents = found.select(query_id, "qx", "qy", F.col("node").alias("parent"))
-        step = parents.join(children, "parent").select(query_id, "qx", "qy", *[F.col(f"c_{c}").alias(c) for c in box])
-        found = prune(step)
-    return found
+    return _descend(spread(queries.select(query_id, "qx", "qy"), query_id), _tree_nodes(placed, levels), levels, [query_id, "qx", "qy"], prune)
 
 
 def inverse_distance(nearest: DataFrame, query_id: str, value: str, power: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from thermogrid import constants as K, functions as fn
 from thermogrid.functions import haversine_m, round_even
 from thermogrid.operators.keyed import attach_row, top_n
-from thermogrid.operators.spatial import nearest_features, sphere_bounds
+from thermogrid.operators.spatial import nearest_features
 from thermogrid.operators.stats import attach_quantiles, unpivot_columns
 
 
@@ -46,8 +46,7 @@ def nearest_cells(points: DataFrame, cells: DataFrame, max_km: float = 3.0) -> D
     queries = points.select("point_id", F.col("lon").alias("qx"), F.col("lat").alias("qy"))
     x, y = F.col("lon"), F.col("lat")
     features = cells.select("grid_id", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
-    sphere = lambda: haversine_m(F.col("qy"), F.col("qx"), F.col("y1"), F.col("x1"))
-    found = nearest_features(queries, features, 1, "point_id", "grid_id", distance=sphere, bounds=sphere_bounds)
+    found = nearest_features(queries, features, 1, "point_id", "grid_id", sphere=True)
     return found.where(F.col("distance") <= max_km * 1000.0).select("point_id", "grid_id", F.col("distance").alias("distance_m"))
 
 
