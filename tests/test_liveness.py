@@ -105,3 +105,33 @@ def test_a_busy_second_is_one_row(spark):
     rows = spark.range(10_000).select(F.lit("a").alias("source"), F.timestamp_micros(F.col("id") * 100).alias("observed_at")).coalesce(1)
     got = L.condensed(rows).collect()
     assert len(got) == 1 and got[0].n == 10_000 and got[0].last_us - got[0].first_us == 999_900
+
+
+def test_a_busy_second_is_one_row_over_small_batches(spark):
+    """A row a batch came out."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        rows = spark.range(10_000).select(F.lit("a").alias("source"), F.timestamp_micros(F.col("id") * 400).alias("observed_at")).coalesce(1)
+        got = sorted((r.first_us, r.last_us, r.n) for r in L.condensed(rows).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(k * 1_000_000, k * 1_000_000 + 999_600, 2500) for k in range(4)]
+
+
+def test_seconds_that_wait_are_packed():
+    """A reading a second for four days waits in a few megabytes, and comes out the same."""
+    import tracemalloc
+
+    import numpy as np
+
+    n = 4 * 86_400
+    start = np.arange(n, dtype=np.int64) * 1_000_000
+    parts = [np.column_stack([start[k::3], start[k::3] + 5, np.ones(len(start[k::3]), np.int64)]) for k in range(3)]
+    tracemalloc.start()
+    rows = L.Liveness._by_second(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == n and (np.diff(rows[:, 1]) > 0).all() and rows[:, 2].sum() == n
+    assert peak < 150 * n

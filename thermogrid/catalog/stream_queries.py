@@ -116,18 +116,27 @@ def _(d):
     return statuses(d).select("source", "kind", "status")
 
 
+#: Readings in a batch, about, so that what a batch holds does not grow with the table.
+BATCH_READINGS = 1_000_000
+
+
 def timed_stream(d, seconds_on: int, batches: int = 3):
-    """Readings in order of time, a file a batch, and then only a clock that goes on for so many seconds after the last reading."""
+    """Readings in order of time, a file a batch, and then only a clock that goes on for so many seconds after the last reading.
+
+    A stretch of time is one file: of several, those that a later batch brought would come too late. There are more stretches of
+    larger tables.
+    """
     path = scratch_path(d.spark, "timed-events")
     rows = observed(d).select("source", "observed_at")
-    low, high = rows.agg(F.min("observed_at"), F.max("observed_at")).first()
+    low, high, n = rows.agg(F.min("observed_at"), F.max("observed_at"), F.count(F.lit(1))).first()
+    batches = max(batches, -(-n // BATCH_READINGS))
     share = F.least(F.floor((F.unix_micros("observed_at") - F.unix_micros(F.lit(low))) * batches / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)), F.lit(batches - 1))
     for k in range(batches):
-        rows.where(share == k).write.mode("append").parquet(f"{path}/{k}")
+        rows.where(share == k).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
     ticks = d.spark.range(1).select(F.lit(None).cast("string").alias("source"), (F.lit(high) + F.make_dt_interval(secs=F.lit(seconds_on + LATE))).alias("observed_at"))
     for k in range(2):  # the time that a batch brings holds from the next one on
         ticks.write.mode("append").parquet(f"{path}/{batches + k}")
-    return d.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(path)
+    return d.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
 
 
 #: Seconds that readings may come out of order.

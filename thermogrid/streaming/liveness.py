@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -16,6 +17,7 @@ from thermogrid.streaming.observations import TTL_SECONDS
 TRANSITIONS = "source string, status string, at timestamp, last_seen timestamp, readings long"
 _SPAN = "first bigint, last bigint, n bigint"
 _SECOND = 1_000_000
+_HELD = 1 << 16  # seconds that a task puts together, and that stand in one value of the state
 
 
 def with_state_store(spark) -> None:
@@ -24,17 +26,31 @@ def with_state_store(spark) -> None:
 
 
 def condensed(readings: DataFrame) -> DataFrame:
-    """One row per source, second and input batch (source, last, first_us, last_us, n), so that a busy source's readings shrink before they meet.
+    """One row per source, second and stretch of a task's input (source, last, first_us, last_us, n), so that a busy source's readings shrink before they meet.
 
     Readings of one second never lie a time-to-live apart, so nothing is lost. Rows without a source are ticks of a clock:
     they move the stream's time on and count as nobody's reading. Rows without a time are left out.
     """
 
+    def merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        by = rows.groupby([rows.source, rows.last_us // _SECOND], dropna=False, sort=False)
+        out = by.agg(first_us=("first_us", "min"), last_us=("last_us", "max"), n=("n", "sum")).reset_index(level=0)
+        return out.assign(source=out.source.astype(object).where(out.source.notna(), None)).reset_index(drop=True)
+
     def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for frame in frames:
-            seconds = frame.us // _SECOND
-            out = frame.groupby([frame.source, seconds], dropna=False, sort=False).us.agg(["min", "max", "count"]).reset_index(level=0)
-            yield pd.DataFrame({"source": out.source.astype(object).where(out.source.notna(), None), "first_us": out["min"], "last_us": out["max"], "n": out["count"]})
+            held.append(merged([pd.DataFrame({"source": frame.source, "first_us": frame.us, "last_us": frame.us, "n": 1})]))
+            rows += len(held[-1])
+            if rows > _HELD:
+                held = [merged(held)]
+                rows = len(held[0])
+            if rows > _HELD // 2 and len(held) == 1:
+                yield held.pop()
+                rows = 0
+        if held:
+            yield merged(held)
 
     times = readings.select("source", F.unix_micros("observed_at").alias("us")).where("us IS NOT NULL")
     small = times.mapInPandas(shrink, "source string, first_us long, last_us long, n long")
@@ -42,18 +58,21 @@ def condensed(readings: DataFrame) -> DataFrame:
 
 
 class Liveness(StatefulProcessor):
-    """Spans of one source. Readings wait until the stream's time has passed them, and are then taken in order of time."""
+    """Spans of one source. Readings wait until the stream's time has passed them, and are then taken in order of time.
+
+    What waits are three numbers a second (first, last, n), held as packed arrays.
+    """
 
     def __init__(self, ttl_us: int):
         self.ttl = ttl_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _SPAN)
+        self.waiting = handle.getListState("waiting", "packed binary")
         self.span = handle.getValueState("span", _SPAN)
 
-    def _held(self) -> dict[int, tuple[int, int, int]]:
-        return {x[1] // _SECOND: tuple(x) for x in self.waiting.get()} if self.waiting.exists() else {}
+    def _held(self) -> list[np.ndarray]:
+        return [np.frombuffer(bytes(x[0]), np.int64).reshape(-1, 3) for x in self.waiting.get()] if self.waiting.exists() else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is None:  # a tick has moved the time on already
@@ -61,47 +80,62 @@ class Liveness(StatefulProcessor):
                 pass
             return
         held = self._held()
-        for frame in rows:
-            for first, last, n in zip(frame.first_us.tolist(), frame.last_us.tolist(), frame.n.tolist()):
-                a, b, m = held.get(last // _SECOND, (first, last, 0))
-                held[last // _SECOND] = (min(a, first), max(b, last), m + n)
+        held += [np.ascontiguousarray(frame[["first_us", "last_us", "n"]].to_numpy(np.int64)) for frame in rows]
         yield from self._advance(key, timerValues, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, timerValues, self._held())
 
-    def _advance(self, key, timer_values, held: dict[int, tuple[int, int, int]]) -> Iterator[pd.DataFrame]:
+    @staticmethod
+    def _by_second(held: list[np.ndarray]) -> np.ndarray:
+        """One row a second, in order."""
+        rows = np.concatenate([np.empty((0, 3), np.int64), *held])
+        rows = rows[np.argsort(rows[:, 1], kind="stable")]
+        if not len(rows):
+            return rows
+        starts = np.flatnonzero(np.diff(rows[:, 1] // _SECOND, prepend=rows[0, 1] // _SECOND - 1))
+        return np.column_stack([np.minimum.reduceat(rows[:, 0], starts), np.maximum.reduceat(rows[:, 1], starts), np.add.reduceat(rows[:, 2], starts)])
+
+    def _advance(self, key, timer_values, held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         passed = timer_values.getCurrentWatermarkInMs() * 1000
-        span, out = self.span.get() if self.span.exists() else None, []
-        waiting = [x for x in held.values() if x[1] > passed]
-        for first, last, n in sorted(x for x in held.values() if x[1] <= passed):
-            if span is not None and first - span[1] >= self.ttl:
-                out.append(("UNAVAILABLE", span[1] + self.ttl, span[1], span[2]))
-                span = None
-            if span is None:
-                out.append(("LIVE", first, first, 0))
-                span = (first, last, n)
-            else:
-                span = (span[0], max(span[1], last), span[2] + n)
-        if span is not None and span[1] + self.ttl <= passed:
-            out.append(("UNAVAILABLE", span[1] + self.ttl, span[1], span[2]))
-            span = None
+        rows = self._by_second(held)
+        ready = int(np.searchsorted(rows[:, 1], passed, "right"))
+        waiting, taken = rows[ready:], rows[:ready]
+        span = tuple(self.span.get()) if self.span.exists() else None
+        known = span is not None  # its LIVE has gone out
+        if known:
+            taken = np.concatenate([np.array([span], np.int64), taken])
+        out = pd.DataFrame()
+        if len(taken):
+            last = np.maximum.accumulate(taken[:, 1])
+            starts = np.flatnonzero(np.append(True, taken[1:, 0] - last[:-1] >= self.ttl))
+            first, n = taken[starts, 0], np.add.reduceat(taken[:, 2], starts)
+            last = last[np.append(starts[1:], len(taken)) - 1]
+            over = last + self.ttl <= passed
+            over[:-1] = True
+            span = None if over[-1] else (int(first[-1]), int(last[-1]), int(n[-1]))
+            opened = np.arange(len(first)) >= known
+            parts = [(2 * np.flatnonzero(opened), "LIVE", first[opened], first[opened], np.zeros(opened.sum(), np.int64))]
+            parts += [(2 * np.flatnonzero(over) + 1, "UNAVAILABLE", last[over] + self.ttl, last[over], n[over])]
+            out = pd.concat([pd.DataFrame({"order": o, "status": s, "at": a, "last_seen": b, "readings": c}) for o, s, a, b, c in parts]).sort_values("order")
         if span is None:
             self.span.clear()
         else:
-            self.span.update(tuple(span))
-        if waiting:
-            self.waiting.put(waiting)
+            self.span.update(tuple(int(x) for x in span))
+        if len(waiting):
+            self.waiting.put([(waiting[i : i + _HELD].tobytes(),) for i in range(0, len(waiting), _HELD)])
         else:
             self.waiting.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        due = [x[1] for x in waiting] + ([span[1] + self.ttl] if span is not None else [])
+        due = [int(waiting[0, 1])] if len(waiting) else []
+        due += [span[1] + self.ttl] if span is not None else []
         if due:
             self.handle.registerTimer(-(-min(due) // 1000))
-        if out:
-            at, seen = (pd.to_datetime([x[k] for x in out], unit="us") for k in (1, 2))
-            yield pd.DataFrame({"source": key[0], "status": [x[0] for x in out], "at": at, "last_seen": seen, "readings": [x[3] for x in out]})
+        for i in range(0, len(out), 10_000):
+            part = out.iloc[i : i + 10_000]
+            at, seen = (pd.to_datetime(part[c].to_numpy(), unit="us") for c in ("at", "last_seen"))
+            yield pd.DataFrame({"source": key[0], "status": part.status.to_numpy(), "at": at, "last_seen": seen, "readings": part.readings.to_numpy()})
 
     def close(self) -> None:
         pass
