@@ -18,6 +18,7 @@ from thermogrid import constants as K
 from thermogrid.functions import clipped_length, edge_cost, haversine_m, planar_distance, segment_distance
 from thermogrid.operators.blocks import cut_blocks, reach_leaf, search_block
 from thermogrid.operators.keyed import attach_row, top_n, union_all
+from thermogrid.operators.nodes import NODE, cell_nodes
 from thermogrid.operators.outlines import cell_side, mark_inside, ring_rows, where_inside, where_near
 from thermogrid.operators.tiles import neighbours
 from thermogrid.session import scratch_path, spread
@@ -60,20 +61,20 @@ def rect_overlap_per_cell(rects: DataFrame, size: float = K.CELL_SIZE_M, by: Seq
     )
 
 
-def line_cells(segments: DataFrame, size: float = K.CELL_SIZE_M) -> DataFrame:
-    """One row per cell along a segment: columns of cells first, then only the rows crossed inside each column."""
-    s = F.lit(float(size))
+def line_cells(segments: DataFrame, size: float = K.CELL_SIZE_M, halo: float = 0.0) -> DataFrame:
+    """One row per cell along a segment, or within the halo of it: columns of cells first, then only the rows crossed inside each column."""
+    s, more = F.lit(float(size)), F.lit(float(halo))
     lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
     dx = F.col("x2") - F.col("x1")
-    out = segments.withColumn("ix", F.explode(F.sequence(_index(lo, size), _index(hi, size))))
+    out = segments.withColumn("ix", F.explode(F.sequence(_index(lo - more, size), _index(hi + more, size))))
 
     def y_at(x: Column) -> Column:
         return F.col("y1") + (x - F.col("x1")) / F.when(dx != 0, dx) * (F.col("y2") - F.col("y1"))
 
-    ya = F.coalesce(y_at(F.greatest(lo, F.col("ix") * s)), F.col("y1"))
-    yb = F.coalesce(y_at(F.least(hi, (F.col("ix") + 1) * s)), F.col("y2"))
+    ya = F.coalesce(y_at(F.greatest(lo, F.col("ix") * s - more)), F.col("y1"))
+    yb = F.coalesce(y_at(F.least(hi, (F.col("ix") + 1) * s + more)), F.col("y2"))
     low, high = F.least(ya, yb), F.greatest(ya, yb)
-    slack = F.lit(1e-9 * size)
+    slack = F.lit(1e-9 * size + halo)
     return out.withColumn("iy", F.explode(F.sequence(_index(low - slack, size), _index(high + slack, size))))
 
 
@@ -88,19 +89,29 @@ def line_length_per_cell(segments: DataFrame, size: float = K.CELL_SIZE_M, by: S
 _SPLIT = 4  # a crowded cell is cut into 4 x 4
 _SPLITS = 2  # times, at most
 _CROWDED = 2048  # pairs of pieces in different directions that a cell may hold uncut
+_GROUP_ROWS = 1 << 14  # pieces of whole cells that are worked on together, about
 _END_POINTS = ("x1", "y1", "x2", "y2")
 
 
-def _dealt_pieces(segments: DataFrame, size: float) -> DataFrame:
+def _ends() -> Column:
+    return F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+
+
+def _dealt_pieces(segments: DataFrame, size: float, halo: float = 0.0) -> DataFrame:
     """Distinct pieces per cell along them: (step, ix, iy, slope, x1, y1, x2, y2), `step` being the side of the cell.
 
     Crowds of short pieces go to cells a quarter as wide, twice at most. Long pieces are left, since every smaller cell would hold them
-    again.
+    again. With a halo, a cell has all pieces that come so near, and ends of pieces without a length are pieces too.
     """
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     slope = F.when(dx != 0, dy / F.when(dx != 0, dx) + F.lit(0.0)).otherwise(F.lit(float("inf")))
     pieces = segments.select(*[F.col(c).cast("double").alias(c) for c in _END_POINTS]).distinct().withColumns({"slope": slope, "length": F.hypot(dx, dy)})
-    pieces = pieces.where("length > 0")
+    if halo:
+        ends = pieces.where("coalesce(length <= 0, true)").select(F.inline(_ends()), F.lit(float("inf")).alias("slope"), F.lit(0.0).alias("length"))
+        ends = ends.where("x IS NOT NULL AND y IS NOT NULL").select(*[F.col(c[0]).alias(c) for c in _END_POINTS], "slope", "length").distinct()
+        pieces = pieces.where("length > 0").unionByName(ends)
+    else:
+        pieces = pieces.where("length > 0")
     spark = segments.sparkSession
 
     def stored(df: DataFrame, label: str) -> DataFrame:
@@ -110,7 +121,7 @@ def _dealt_pieces(segments: DataFrame, size: float) -> DataFrame:
 
     settled, step, crowd = [], float(size), None
     for level in range(_SPLITS + 1):
-        cells = line_cells(pieces, step)
+        cells = line_cells(pieces, step, halo)
         if crowd is not None:
             parents = crowd.select(F.col("ix").alias("px"), F.col("iy").alias("py"))
             cells = cells.join(parents, [F.floor(F.col("ix") / _SPLIT) == F.col("px"), F.floor(F.col("iy") / _SPLIT) == F.col("py")], "left_semi")
@@ -190,23 +201,16 @@ def network_nodes(segments: DataFrame, min_pieces: int = 3, digits: int = 3, siz
 
     The pieces are noded first: every end and every crossing is a point, and a piece leads off in one direction where it ends
     and in two where it passes. Ways in the same direction are one, so pieces that lie on each other count once.
+
+    Everything is worked out where the pieces are: a cell gets the pieces within two of the smallest steps of it and owns the points that are
+    rounded into it. Neither crossings nor their ways are shuffled, only pieces, so what moves grows with the streets alone.
     """
-    scale = F.lit(10.0**digits)
-    reach = 10.0**-digits
-    dealt = _dealt_pieces(segments, size)
-    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    points = segments.select(F.inline(ends)).unionByName(_crossings(dealt))
-    points = points.select((F.rint(F.col("x") * scale) / scale).alias("x"), (F.rint(F.col("y") * scale) / scale).alias("y")).distinct()
-    on = _pieces_at(points, dealt, size, reach)
-
-    def way(px: str, py: str) -> Column:
-        dx, dy = F.col(px) - F.col("x"), F.col(py) - F.col("y")
-        far = F.sqrt(dx * dx + dy * dy)
-        far = F.when(far > 0, far)
-        return F.when(far > 2 * reach, F.struct((F.rint(dx / far * 1e4) + 0.0).alias("dx"), (F.rint(dy / far * 1e4) + 0.0).alias("dy")))
-
-    ways = on.select("x", "y", F.explode(F.array_compact(F.array(way("x1", "y1"), way("x2", "y2")))).alias("way")).distinct()
-    return ways.groupBy("x", "y").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") >= min_pieces)
+    scale, reach = 10.0**digits, 10.0**-digits
+    dealt = _dealt_pieces(segments, size, 2 * reach)
+    spark = segments.sparkSession
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // _GROUP_ROWS))
+    group = F.pmod(F.xxhash64("step", "ix", "iy"), F.lit(groups)).alias("group")
+    return dealt.groupBy(group).applyInArrow(cell_nodes(min_pieces, scale, reach), NODE)
 
 
 # --- nearest features -------------------------------------------------------------------------------------
