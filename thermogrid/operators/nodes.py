@@ -24,6 +24,11 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(values))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def _crossed(p: np.ndarray, slope: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Where pieces of different directions meet; pieces come in order of their slopes."""
     x1, y1, dx, dy = p[0], p[1], p[2] - p[0], p[3] - p[1]
@@ -58,8 +63,8 @@ def _points(p: np.ndarray, slope: np.ndarray, mine: Callable[[np.ndarray, np.nda
         own = mine(x / scale, y / scale)
         waiting.append((x[own] - base_x).astype(np.int64) * width + (y[own] - base_y).astype(np.int64))
         if sum(map(len, waiting)) > _MET:
-            found, waiting = np.unique(np.concatenate([found, *waiting])), []
-    found = np.unique(np.concatenate([found, *waiting]))
+            found, waiting = _distinct(np.concatenate([found, *waiting])), []
+    found = _distinct(np.concatenate([found, *waiting]))
     return (found // width + base_x) / scale, (found % width + base_y) / scale
 
 
@@ -99,8 +104,8 @@ def _ways(x: np.ndarray, y: np.ndarray, p: np.ndarray, slope: np.ndarray, corner
             turn_x, turn_y = (np.rint(v[off] / far[off] * 1e4).astype(np.int64) + _TURNS // 2 for v in (vx, vy))
             waiting.append((point[near][off] * _TURNS + turn_x) * _TURNS + turn_y)
         if sum(map(len, waiting)) > _MET:
-            found, waiting = np.unique(np.concatenate([found, *waiting])), []
-    found = np.unique(np.concatenate([found, *waiting]))
+            found, waiting = _distinct(np.concatenate([found, *waiting])), []
+    found = _distinct(np.concatenate([found, *waiting]))
     return np.bincount(found // (_TURNS * _TURNS), minlength=len(x))
 
 
